@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.safe import c, composite_key, day_number, has_all, text
 from ..session import cut
-from .aggs import attach
+from .aggs import attach, multi_period_entities
 from .ordering import dense_codes
-from .windows import ordered
+from .windows import jump_flags, ordered
 
 
 def block_ids(df: DataFrame, id_col: str, keysets: dict[str, Sequence[str]]) -> DataFrame:
@@ -163,12 +163,9 @@ def split_on_jumps(df: DataFrame, entity: str, order: Sequence[str], values: Seq
     Each round flags the jumps of every value within the current entity and
     appends the flags to its id; between rounds the table is checkpointed.
     """
-    from .windows import jump_flag
-
     x = df.withColumn("split_id", c(entity).cast("string"))
     for i in range(rounds):
-        for v in values:
-            x = jump_flag(x, ["split_id"], order, v, threshold, f"_f_{v}", **kw)
+        x = jump_flags(x, ["split_id"], order, {f"_f_{v}": v for v in values}, threshold, **kw)
         x = x.withColumn("split_id", F.concat_ws("-", "split_id", *[F.col(f"_f_{v}").cast("string") for v in values]))
         x = x.drop(*[f"_f_{v}" for v in values])
         if i < rounds - 1:
@@ -178,8 +175,6 @@ def split_on_jumps(df: DataFrame, entity: str, order: Sequence[str], values: Seq
 
 def leak_split(df: DataFrame, entity: str, period: str, a: str, b: str, gap: float, out: str = "is_leak") -> DataFrame:
     """1 for rows of entities seen in several periods or where two models differ by more than ``gap``."""
-    from .aggs import multi_period_entities
-
     many = multi_period_entities(df, entity, period).select(entity, F.lit(1).alias("_m"))
     j = df.join(many, entity, "left")
     return j.withColumn(out, F.when(F.col("_m").isNotNull() | (F.abs(c(a) - c(b)) > gap), 1).otherwise(0)).drop("_m")

@@ -23,11 +23,9 @@ MAX_BUCKETS = 2_000
 
 def value_edges(df: DataFrame, value: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> list[float]:
     """Inner bucket edges (at most ``MAX_BUCKETS``) from one aggregate; none for small inputs."""
-    probs = [i / MAX_BUCKETS for i in range(1, MAX_BUCKETS)]
-    row = df.agg(
-        F.count(value).alias("n"),
-        F.percentile_approx(F.col(value).cast("double"), probs, 20_000).alias("q"),
-    ).first()
+    probs = ",".join(f"{i / MAX_BUCKETS}D" for i in range(1, MAX_BUCKETS))
+    edges = F.expr(f"percentile_approx(CAST(`{value}` AS DOUBLE), array({probs}), 20000)")
+    row = df.agg(F.count(value).alias("n"), edges.alias("q")).first()
     n = row["n"] or 0
     m = min(MAX_BUCKETS, -(-n // rows_per_bucket))
     if m <= 1:
@@ -115,28 +113,38 @@ def exact_quantiles(
         pos = pos.join(total, by)
     else:
         pos = pos.withColumn("_total", total.scalar())
-    targets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("q")) for i, p in enumerate(probs)])
-    place = lambda t: t["q"] * (F.col("_total") - 1)
-    frac = lambda t: place(t) - F.floor(place(t))
-    lo_in = lambda t: (F.floor(place(t)) >= F.col("_n_before")) & (
-        F.floor(place(t)) < F.col("_n_before") + F.col("_n")
-    )
-    hi_in = lambda t: (F.ceil(place(t)) >= F.col("_n_before")) & (
-        F.ceil(place(t)) < F.col("_n_before") + F.col("_n")
-    )
-    hits = pos.withColumn("_t", F.filter(targets, lambda t: lo_in(t) | hi_in(t))).where(F.size("_t") > 0)
+    place = lambda q: q * (F.col("_total") - 1)
+    first, past = F.col("_n_before"), F.col("_n_before") + F.col("_n")
+    lo_in = lambda q: (F.floor(place(q)) >= first) & (F.floor(place(q)) < past)
+    hi_in = lambda q: (F.ceil(place(q)) >= first) & (F.ceil(place(q)) < past)
+    targets = _candidates(probs, first, past, F.col("_total"))
+    hits = pos.withColumn("_t", F.filter(targets, lambda q: lo_in(q) | hi_in(q))).where(F.size("_t") > 0)
     hits = hits.withColumn("_t", F.explode("_t"))
     t = F.col("_t")
     lo = F.when(lo_in(t), F.col(value).cast("double"))
     hi = F.when(hi_in(t), F.col(value).cast("double"))
     return (
-        hits.withColumns({"_lo": lo, "_hi": hi, "_f": frac(t), "q": t["q"], "i": t["i"]})
-        .groupBy(*by, "i", "q")
+        hits.withColumns({"_lo": lo, "_hi": hi, "_f": place(t) - F.floor(place(t)), "q": t})
+        .groupBy(*by, "q")
         .agg(F.max("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.max("_f").alias("_f"))
         .select(*by, "q", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")).alias("quantile"))
     )
 
 
+def _candidates(probs: Sequence[float], first: Column, past: Column, total: Column) -> Column:
+    """Probabilities whose position may fall on this value. On an even grid i/m they
+    are found by arithmetic; other lists are short and tried in full."""
+    probs = sorted({float(p) for p in probs})
+    m = round(1 / (probs[1] - probs[0])) if len(probs) > 8 else 0
+    if not m or any(p != i / m for p, i in zip(probs, range(round(probs[0] * m), m + 1))):
+        return F.array(*[F.lit(p) for p in probs])
+    per = F.lit(float(m)) / F.greatest(total - 1, F.lit(1))
+    low = F.greatest(F.lit(round(probs[0] * m)), F.floor((first - 1) * per).cast("int"))
+    high = F.least(F.lit(round(probs[-1] * m)), F.ceil(past * per).cast("int"))
+    seq = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+    return F.transform(seq, lambda i: i / F.lit(m))
+
+
 def quantile_list(df: DataFrame, value: str, probs: Sequence[float], **kw) -> list[float]:
     """The same as a driver-side list; its length is that of ``probs``."""
     rows = exact_quantiles(df, value, probs, **kw).collect()

@@ -59,8 +59,13 @@ def leave_period_out(
     """
     cells = period_cells(df, keys, label, period)
     w = Window.partitionBy(*keys)  # at most one row per period
-    tot = cells.withColumns({"_S": F.sum("_s").over(w), "_N": F.sum("_n").over(w)})
-    own = tot.select(*keys, c(period).cast("string").alias("_p"), (F.col("_S") - F.col("_s")).alias("_s"), (F.col("_N") - F.col("_n")).alias("_n"))
+    tot = cells.withColumns({"_all_s": F.sum("_s").over(w), "_all_n": F.sum("_n").over(w)})
+    own = tot.select(
+        *keys,
+        c(period).cast("string").alias("_p"),
+        (F.col("_all_s") - F.col("_s")).alias("_s"),
+        (F.col("_all_n") - F.col("_n")).alias("_n"),
+    )
     every = cells.groupBy(*keys).agg(F.sum("_s").alias("_s"), F.sum("_n").alias("_n"))
     every = every.select(*keys, F.lit(ALL_PERIODS).alias("_p"), "_s", "_n")
     enc = own.unionByName(every).where(F.col("_n") > 0)

@@ -4,9 +4,9 @@ A window over an entity sends all its rows to one task. Entities above
 ``rows_per_split`` rows are therefore cut into time slices; every slice also
 gets copies of the few rows before and after it that lags and leads reach for
 (the halo), and the copies are dropped afterwards. Entities below the limit are
-one slice, so ordinary data pays one aggregation and a join with a table of
-the hot keys. Frames over days or hours work on totals per (entity, day), whose
-size is bounded by the calendar.
+one slice. Whether any entity is above it is asked once, when the plan is
+built; without one the plan is the plain window. Frames over days or hours work
+on totals per (entity, day), whose size is bounded by the calendar.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.safe import c, day_number, epoch_micros, has_all, no_nan, ratio
+from ..session import cut
 
 ROWS_PER_SPLIT = 1_000_000
 
@@ -38,14 +39,24 @@ def _axis(df: DataFrame, order: str) -> Column:
     )
 
 
-def sliced(df: DataFrame, keys: Sequence[str], order: str, rows_per_split: int = ROWS_PER_SPLIT) -> DataFrame:
-    """Add ``_slice``: 0 for ordinary keys, equal order ranges from 1 up for hot ones."""
-    hot = hot_keys(df, keys, order, rows_per_split)
+def hot_table(df: DataFrame, keys: Sequence[str], order: str, rows_per_split: int) -> DataFrame | None:
+    """The hot keys as a checkpointed table, or None. Fewer rows than the limit need no look at the keys."""
+    if df.count() <= rows_per_split:
+        return None
+    hot = cut(hot_keys(df, keys, order, rows_per_split))
+    return None if hot.isEmpty() else hot
+
+
+def sliced(df: DataFrame, keys: Sequence[str], order: str, rows_per_split: int = ROWS_PER_SPLIT) -> tuple[DataFrame, bool]:
+    """Add ``_slice``: 0 for ordinary keys, equal order ranges from 1 up for hot ones; and tell whether there are any."""
+    hot = hot_table(df, keys, order, rows_per_split)
+    if hot is None:
+        return df.withColumn("_slice", F.lit(0).cast("long")), False
     out = df.join(hot, list(keys), "left")
     pieces = F.ceil(F.col("_n") / rows_per_split)
     step = (_axis(df, order) - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1)
     piece = F.when(F.col("_n").isNotNull(), F.floor(step * pieces) + 1).otherwise(0)
-    return out.withColumn("_slice", piece.cast("long")).drop("_n", "_lo", "_hi")
+    return out.withColumn("_slice", piece.cast("long")).drop("_n", "_lo", "_hi"), True
 
 
 def with_halo(df: DataFrame, keys: Sequence[str], order: Sequence[str], before: int, after: int) -> DataFrame:
@@ -104,10 +115,15 @@ def ordered(
     no entity: they stay, with NULL in the new columns.
     """
     full = df.where(has_all(keys))
-    cut = with_halo(sliced(full, keys, order[0], rows_per_split), keys, order, before, after)
-    w = Window.partitionBy(*keys, "_slice").orderBy(*order)
-    out = cut.withColumns({k: f(w) for k, f in exprs.items()})
-    out = out.where(~F.col("_halo")).drop("_halo", "_slice")
+    parts, any_hot = sliced(full, keys, order[0], rows_per_split)
+    if any_hot:
+        parts = with_halo(parts, keys, order, before, after)
+        w = Window.partitionBy(*keys, "_slice").orderBy(*order)
+        out = parts.withColumns({k: f(w) for k, f in exprs.items()})
+        out = out.where(~F.col("_halo")).drop("_halo", "_slice")
+    else:
+        w = Window.partitionBy(*keys).orderBy(*order)
+        out = full.withColumns({k: f(w) for k, f in exprs.items()})
     return out.unionByName(df.where(~has_all(keys)), allowMissingColumns=True)
 
 
@@ -115,13 +131,14 @@ def row_numbers(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "row_no", rows_per_split: int = ROWS_PER_SPLIT
 ) -> DataFrame:
     """Row number per key in an explicit order; slice offsets make it exact for hot keys."""
-    s = sliced(df.where(has_all(keys)), keys, order[0], rows_per_split)
+    s, any_hot = sliced(df.where(has_all(keys)), keys, order[0], rows_per_split)
+    w = Window.partitionBy(*keys, "_slice").orderBy(*order)
+    if not any_hot:
+        return s.withColumn(out, F.row_number().over(w)).drop("_slice")
     per = s.where(F.col("_slice") > 0).groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_c"))
     k = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offs = per.withColumn("_off", F.sum("_c").over(k)).drop("_c")
-    w = Window.partitionBy(*keys, "_slice").orderBy(*order)
-    s = s.withColumn(out, F.row_number().over(w))
-    s = s.join(offs, [*keys, "_slice"], "left")
+    s = s.withColumn(out, F.row_number().over(w)).join(offs, [*keys, "_slice"], "left")
     return s.withColumn(out, F.col(out) + F.coalesce(F.col("_off"), F.lit(0))).drop("_off", "_slice")
 
 
@@ -154,13 +171,20 @@ def time_differences(df: DataFrame, keys: Sequence[str], ts: str, id_col: str, r
     return out.drop(*[f"_l{i}" for i in range(1, reach + 1)])
 
 
-def jump_flag(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, threshold: str | Column, out: str, **kw
+def jump_flags(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], outs: Mapping[str, str], threshold: str | Column, **kw
 ) -> DataFrame:
-    """1 where value / |previous value| exceeds the row's own threshold; the first row compares with itself."""
-    d = ordered(df, keys, order, {"_p": lambda w: F.lag(value, 1).over(w)}, 1, 0, **kw)
-    step = ratio(c(value), F.abs(F.coalesce(F.col("_p"), c(value))))
-    return d.withColumn(out, F.coalesce((step > c(threshold)).cast("int"), F.lit(0))).drop("_p")
+    """1 where value / |previous value| exceeds the row's own threshold; the first row compares with itself.
+
+    ``outs`` maps the flag's name to the value column; all flags share one window.
+    """
+    lags = {f"_p{i}": (lambda w, v=v: F.lag(v, 1).over(w)) for i, v in enumerate(outs.values())}
+    d = ordered(df, keys, order, lags, 1, 0, **kw)
+    step = lambda v, p: ratio(c(v), F.abs(F.coalesce(F.col(p), c(v))))
+    flags = {
+        k: F.coalesce((step(v, f"_p{i}") > c(threshold)).cast("int"), F.lit(0)) for i, (k, v) in enumerate(outs.items())
+    }
+    return d.withColumns(flags).drop(*lags)
 
 
 # -- frames over days and hours -------------------------------------------------
@@ -247,7 +271,9 @@ def window_hours(
         if n > 0:
             whole = F.sum("_n").over(w.rangeBetween(-(n - 1), 0))
         else:
-            whole = F.coalesce(F.col("_tied"), F.lit(0)) + F.coalesce(F.sum("_n").over(w.rangeBetween(1, -n - 1)), F.lit(0)) if n < -1 else F.coalesce(F.col("_tied"), F.lit(0))
+            whole = F.coalesce(F.col("_tied"), F.lit(0))
+        if n < -1:
+            whole = whole + F.coalesce(F.sum("_n").over(w.rangeBetween(1, -n - 1)), F.lit(0))
         out = out.withColumn(f"hour{n}_count".replace("-", "m"), whole + F.coalesce(F.col(f"`{n}`"), F.lit(0)))
     names = [f"hour{n}_count".replace("-", "m") for n in hours]
     return out.select(*keys, (F.col("_h")).alias("hour_no"), *names)
