@@ -1 +1,226 @@
+"""Model-shaped jobs and user functions."""
 
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+from ..operators import models as ml
+from ..operators import sampling as sa
+from ..operators import udf
+from ..sources.tables import TXN_SQL, Tables
+from .registry import R, query, r, rs
+
+FEATS = ["k", "value", "hr"]
+
+
+def _ml_frame(t: Tables):
+    """Events as labelled rows; the last week is the unlabelled test side."""
+    d = t.ev.withColumn("hr", F.hour("ts"))
+    train = F.col("ts") < F.lit("2024-01-24").cast("timestamp_ntz")
+    y = F.when(train, ((F.col("value") > 20) & (F.col("k") > 30)).cast("int"))
+    return sa.folds(d.select("event_id", "value", "k", "hr", y.alias("y")), "event_id", 3, 11)
+
+
+@query("l01_classifier_logistic", "L01", None)
+def _(t):
+    d = _ml_frame(t)
+    m = ml.fit_classifier(d, "y", FEATS, "lgr")
+    return ml.score(m, d.where("y IS NULL"), FEATS).select("event_id", r("pred").alias("pred"))
+
+
+@query("l01_classifier_boosted", "L01", None)
+def _(t):
+    d = _ml_frame(t)
+    m = ml.fit_classifier(d, "y", FEATS, "lgb", {"maxIter": 5, "maxDepth": 3})
+    return ml.score(m, d.where("y IS NULL"), FEATS).select("event_id", r("pred").alias("pred"))
+
+
+@query(
+    "l02_regressor_linear", "L02",
+    f"""WITH x AS (SELECT event_id, value, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)
+      SELECT event_id, {R('(SELECT regr_intercept(value, k) FROM x) + k * (SELECT regr_slope(value, k) FROM x)', 3)} AS pred FROM x""",
+)
+def _(t):
+    d = t.ev.select("event_id", "value", "k")
+    m = ml.fit_regressor(d, "value", ["k"], "linear", {"solver": "normal"})
+    return ml.score(m, d, ["k"]).select("event_id", r("pred", 3).alias("pred"))
+
+
+@query("l02_regressor_lasso", "L02", None)
+def _(t):
+    d = t.ev.select("event_id", "value", "k")
+    m = ml.fit_regressor(d, "value", ["k"], "lasso", {"regParam": 0.1})
+    return ml.score(m, d, ["k"]).select("event_id", r("pred", 3).alias("pred"))
+
+
+@query("l03_cross_validation", "L03 M10", None)
+def _(t):
+    d = _ml_frame(t)
+    pred, _ = ml.cross_validate(d, "event_id", "y", FEATS, "fold", [0, 1, 2], "lgr")
+    return rs(pred, ["pred"])
+
+
+@query("l04_first_component", "L04", None)
+def _(t):
+    d = t.lineitem.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), "l_quantity", "l_discount", "l_tax")
+    return rs(ml.first_component(d, "id", ["l_quantity", "l_discount", "l_tax"], "pc1"), ["pc1"])
+
+
+@query("l05_topic_mixture", "L05", None)
+def _(t):
+    toks = ml.token_lists(ml.tokens_without_singletons(t.documents.select("doc_id", F.lower("text").alias("text")), "doc_id", "text"), "doc_id")
+    return ml.topic_mixture(toks, "doc_id", "tokens", k=5, iterations=5)
+
+
+@query(
+    "l06_tokens_without_singletons", "L06",
+    r"""WITH x AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\s+')) AS token FROM documents), k AS (SELECT token FROM x WHERE token <> '' GROUP BY 1 HAVING count(*) >= 2)
+      SELECT doc_id, count(*) AS n_tokens, count(DISTINCT token) AS n_distinct, min(token) AS first_token FROM x WHERE token IN (SELECT token FROM k) GROUP BY 1""",
+)
+def _(t):
+    long = ml.tokens_without_singletons(t.documents, "doc_id", "text")
+    return long.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n_tokens"), F.count_distinct("token").alias("n_distinct"), F.min("token").alias("first_token")
+    )
+
+
+@query(
+    "l06_token_frequency", "L06",
+    r"""SELECT token, count(*) AS freq FROM (SELECT unnest(regexp_split_to_array(text, '\s+')) AS token FROM documents) WHERE token <> '' GROUP BY 1""",
+)
+def _(t):
+    toks = t.documents.select(F.explode(F.split("text", r"\s+")).alias("token")).where("token <> ''")
+    return toks.groupBy("token").agg(F.count(F.lit(1)).alias("freq"))
+
+
+@query("l08_incremental_feature_test", "L08", None)
+def _(t):
+    d = _ml_frame(t).where("y IS NOT NULL")
+    return rs(ml.candidate_scores(d, "y", ["hr"], ["k", "value"], "fold", [0, 1, 2], "lgr", seed=3), ["score"])
+
+
+@query(
+    "l08_improving_features", "L08",
+    f"""WITH s AS (SELECT CASE WHEN floor(l_quantity / 10) = 2 THEN 'base' ELSE 'f' || floor(l_quantity / 10)::INT END AS feature, l_returnflag AS fold, avg(l_quantity) AS score FROM lineitem GROUP BY ALL)
+      SELECT a.feature, {R('avg(a.score)')} AS cv_score FROM s a JOIN s b ON a.fold = b.fold AND b.feature = 'base' WHERE a.feature <> 'base' GROUP BY 1 HAVING bool_and(a.score > b.score)""",
+)
+def _(t):
+    m = F.floor(F.col("l_quantity") / 10)
+    s = t.lineitem.select(F.when(m == 2, "base").otherwise(F.concat(F.lit("f"), m.cast("string"))).alias("feature"), F.col("l_returnflag").alias("fold"), "l_quantity")
+    s = s.groupBy("feature", "fold").agg(F.avg("l_quantity").alias("score"))
+    return rs(ml.improving_features(s), ["cv_score"])
+
+
+@query(
+    "l09_average_importance", "L09",
+    f"""SELECT p_brand AS feature, {R('avg(p_size)')} AS imp_fold1, {R('avg(p_retailprice)')} AS imp_fold2, {R('(avg(p_size) + avg(p_retailprice)) / 2')} AS imp_avg FROM part GROUP BY 1""",
+)
+def _(t):
+    i = t.part.groupBy(F.col("p_brand").alias("feature")).agg(F.avg("p_size").alias("imp_fold1"), F.avg("p_retailprice").alias("imp_fold2"))
+    return rs(ml.average_importance(i, ["imp_fold1", "imp_fold2"]), ["imp_fold1", "imp_fold2", "imp_avg"])
+
+
+@query("l09_fold_importances", "L09", None)
+def _(t):
+    _, imp = ml.cross_validate(_ml_frame(t), "event_id", "y", FEATS, "fold", [0, 1], "lgr")
+    return rs(imp, imp.columns[1:])
+
+
+@query(
+    "l10_points_few_values", "L10",
+    "SELECT l_linenumber::DOUBLE AS value, count(*) AS n FROM lineitem GROUP BY 1",
+)
+def _(t):
+    return ml.dependence_points(t.lineitem.select("l_linenumber"), "l_linenumber")
+
+
+@query(
+    "l10_points_many_values", "L10",
+    f"""WITH e AS (SELECT DISTINCT unnest(quantile_cont(o_totalprice, [i / 10.0 for i in range(11)])) AS e FROM orders),
+      b AS (SELECT greatest((SELECT count(*) FROM e WHERE e.e < o_totalprice) - 1, 0) AS b, o_totalprice AS v FROM orders),
+      u AS (SELECT v, row_number() OVER (ORDER BY v) AS i, count(*) OVER () AS n FROM (SELECT DISTINCT o_totalprice AS v FROM orders)),
+      p AS (SELECT unnest([(5 + 10 * i) / 100.0 for i in range(10)])::DOUBLE AS p),
+      q AS (SELECT p, max(n) AS n, max(n) * p + 0.4 + p * 0.2 AS aleph FROM p, u GROUP BY p)
+      SELECT {R('median(v)', 3)} AS value, count(*)::DOUBLE AS n FROM b GROUP BY b
+      UNION ALL SELECT round_even(lo.v + (hi.v - lo.v) * (aleph - floor(aleph)), 0), -1.0 FROM q JOIN u lo ON lo.i = floor(aleph) JOIN u hi ON hi.i = floor(aleph) + 1""",
+)
+def _(t):
+    x = ml.dependence_points(t.orders.select("o_totalprice"), "o_totalprice", rounding=0)
+    return x.select(r("value", 3).alias("value"), F.coalesce(F.col("n").cast("double"), F.lit(-1.0)).alias("n"))
+
+
+@query("l10_partial_dependence", "L10", None)
+def _(t):
+    d = _ml_frame(t)
+    m = ml.fit_classifier(d, "y", FEATS, "lgr")
+    pts = [float(x) for x in (0, 25, 50, 75, 99)]
+    x = ml.partial_dependence(m, d.select("event_id", *FEATS), FEATS, "k", pts, "event_id")
+    return rs(x, ["xray"])
+
+
+@query("l11_predict_feature_from_others", "L11", None)
+def _(t):
+    d = _ml_frame(t)
+    pred, _ = ml.cross_validate(d.withColumn("_t", F.col("value")), "event_id", "_t", ["k", "hr"], "fold", [0, 1, 2], "linear", regression=True)
+    return rs(pred, ["pred"])
+
+
+@query(
+    "l12_calendar_forecast", "L12",
+    f"""WITH d AS (SELECT ts::DATE AS ds, count(*)::DOUBLE AS y, date_diff('day', DATE '1970-01-01', ts::DATE) AS n FROM events GROUP BY ALL),
+      f AS (SELECT regr_slope(y, n) AS b, regr_intercept(y, n) AS a, max(ds) AS last FROM d),
+      full_d AS (SELECT ds, y, n FROM d UNION ALL SELECT (last + i::INT), NULL, date_diff('day', DATE '1970-01-01', (last + i::INT)) FROM f, range(1, 8) g(i)),
+      tr AS (SELECT ds, y, a + b * n AS trend, isodow(ds) - 1 AS dow FROM full_d, f), e AS (SELECT dow, avg(y - trend) AS e FROM tr WHERE y IS NOT NULL GROUP BY 1)
+      SELECT strftime(ds, '%Y-%m-%d') AS ds, {R('coalesce(y, -1)')} AS observed, {R('trend', 3)} AS trend, {R('trend + coalesce(e, 0)', 3)} AS yhat FROM tr LEFT JOIN e USING (dow)""",
+)
+def _(t):
+    daily = t.events.groupBy(F.col("ts").cast("date").alias("d")).agg(F.count(F.lit(1)).alias("n"))
+    x = ml.calendar_forecast(daily, "d", "n", horizon=7)
+    return x.select(F.col("ds").cast("string").alias("ds"), r(F.coalesce("observed", F.lit(-1.0))).alias("observed"), r("trend", 3).alias("trend"), r("yhat", 3).alias("yhat"))
+
+
+# -- user functions -------------------------------------------------------------------
+
+
+@query("x01_map_arguments", "X01", "SELECT n_nationkey::BIGINT AS n_nationkey, length(n_name)::BIGINT AS size FROM nation")
+def _(t):
+    args = t.nation.select(F.col("n_nationkey").cast("long"), "n_name")
+    return udf.map_arguments(t.spark, lambda n_nationkey, n_name: {"n_nationkey": n_nationkey, "size": len(n_name)}, args, "n_nationkey long, size long")
+
+
+@query("x02_map_rows", "X02", f"SELECT event_id, {R('value * 2 + 1')} AS v FROM events")
+def _(t):
+    f = lambda b: pd.DataFrame({"event_id": b["event_id"], "v": b["value"] * 2 + 1})
+    return rs(udf.map_rows(t.events.select("event_id", "value"), f, "event_id long, v double"), ["v"])
+
+
+@query("x02_map_columns", "X02", f"SELECT o_orderkey, {R('o_totalprice / 7')} AS o_totalprice, {R('o_custkey / 7')} AS o_custkey FROM orders")
+def _(t):
+    return rs(udf.map_columns(t.orders, ["o_orderkey"], ["o_totalprice", "o_custkey"], _seventh), ["o_totalprice", "o_custkey"])
+
+
+def _seventh(s: pd.Series) -> pd.Series:
+    return s / 7
+
+
+@query("x03_grouped_aggregate", "X03", f"SELECT user_id, count(*) AS n, {R('sum(value * value)', 2)} AS sq FROM events GROUP BY 1")
+def _(t):
+    def lift(g):
+        return pd.DataFrame({"user_id": [g["user_id"].iloc[0]], "n": [len(g)], "sq": [(g["value"] ** 2).sum()]})
+
+    def merge(g):
+        return pd.DataFrame({"user_id": [g["user_id"].iloc[0]], "n": [g["n"].sum()], "sq": [g["sq"].sum()]})
+
+    schema = "user_id long, n long, sq double"
+    x = udf.grouped_aggregate(t.events.select("user_id", "value"), ["user_id"], lift, merge, lambda g: g, schema, schema)
+    return rs(x, ["sq"], 2)
+
+
+@query("x04_row_function", "X04", f"SELECT l_orderkey, l_linenumber, {R('greatest(l_discount, l_tax) - least(l_discount, l_tax)')} AS spread FROM lineitem")
+def _(t):
+    def spread(a: pd.Series, b: pd.Series) -> pd.Series:
+        return (a - b).abs()
+
+    f = udf.row_function(spread, "double")
+    return t.lineitem.select("l_orderkey", "l_linenumber", r(f("l_discount", "l_tax")).alias("spread"))
