@@ -124,8 +124,8 @@ def greedy_chains(
         rows, tails = rows.sort_values(["_us", "_id"]), tails.sort_values("_seq")
         ids = rows["_id"].to_numpy()
         chain, names, open_ = fold_block(
-            rows[STATE].to_numpy(dtype="float64").reshape(len(rows), -1), ids,
-            tails["chain"].to_numpy(dtype="int64"), tails[STATE].to_numpy(dtype="float64").reshape(len(tails), -1), tol,
+            rows[STATE].to_numpy(dtype="float64"), ids,
+            tails["chain"].to_numpy(dtype="int64"), tails[STATE].to_numpy(dtype="float64"), tol,
         )
         done = pd.DataFrame({"_id": ids, "chain": chain, "open": False, "_seq": 0})
         left = pd.DataFrame(open_, columns=STATE).assign(_id=0, chain=names, open=True, _seq=np.arange(len(names)))

@@ -86,31 +86,31 @@ def sparse_levels(
 def quantile_bins(df: DataFrame, col: str, q: int = 100, out: str | None = None, fill: float | None = None) -> DataFrame:
     """Equal-frequency bins ``(a, b]`` on exact quantiles; equal edges merge into one."""
     out = out or f"bin__{col}"
-    src = df.withColumn("_x", c(col).cast("double") if fill is None else F.coalesce(c(col).cast("double"), F.lit(float(fill))))
-    edges = sorted(set(quantile_list(src, "_x", [i / q for i in range(q + 1)])))
-    return _bucketed(src, edges, out).drop("_x")
+    src = df.withColumn("_binned", c(col).cast("double") if fill is None else F.coalesce(c(col).cast("double"), F.lit(float(fill))))
+    edges = sorted(set(quantile_list(src, "_binned", [i / q for i in range(q + 1)])))
+    return _bucketed(src, edges, out).drop("_binned")
 
 
 def _bucketed(src: DataFrame, edges: Sequence[float], out: str) -> DataFrame:
     # Bucketizer is closed on the left, so bin the mirrored value and mirror the number back.
     inner = [-e for e in reversed(edges[1:-1])]
     splits = [-float("inf"), *inner, float("inf")]
-    src = src.withColumn("_m", -F.col("_x"))
+    src = src.withColumn("_cut_in", -F.col("_binned"))
     if len(splits) == 2:
-        return src.withColumn(out, F.when(F.col("_x").isNotNull(), F.lit(0))).drop("_m")
-    b = Bucketizer(splits=splits, inputCol="_m", outputCol="_b", handleInvalid="keep").transform(src)
-    code = F.lit(len(inner)) - F.col("_b").cast("int")
-    return b.withColumn(out, F.when(F.col("_x").isNotNull(), code)).drop("_m", "_b")
+        return src.withColumn(out, F.when(F.col("_binned").isNotNull(), F.lit(0))).drop("_cut_in")
+    b = Bucketizer(splits=splits, inputCol="_cut_in", outputCol="_cut_out", handleInvalid="keep").transform(src)
+    code = F.lit(len(inner)) - F.col("_cut_out").cast("int")
+    return b.withColumn(out, F.when(F.col("_binned").isNotNull(), code)).drop("_cut_in", "_cut_out")
 
 
 def equal_frequency_digits(df: DataFrame, col: str, q: int = 50, out: str | None = None) -> DataFrame:
     """Mode-filled value digitised on ``q`` equal-frequency edges: the number of edges at or below it."""
     out = out or f"digit__{col}"
-    src = mode_fill(df.withColumn("_x", c(col).cast("double")), "_x")
-    edges = sorted(set(quantile_list(src, "_x", [i / q for i in range(q)])))
+    src = mode_fill(df.withColumn("_binned", c(col).cast("double")), "_binned")
+    edges = sorted(set(quantile_list(src, "_binned", [i / q for i in range(q)])))
     splits = [-float("inf"), *edges, float("inf")]
-    b = Bucketizer(splits=splits, inputCol="_x", outputCol="_b", handleInvalid="keep").transform(src)
-    return b.withColumn(out, F.col("_b").cast("int")).drop("_x", "_b")
+    b = Bucketizer(splits=splits, inputCol="_binned", outputCol="_cut_out", handleInvalid="keep").transform(src)
+    return b.withColumn(out, F.col("_cut_out").cast("int")).drop("_binned", "_cut_out")
 
 
 def scale(df: DataFrame, cols: Sequence[str]) -> DataFrame:

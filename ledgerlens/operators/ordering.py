@@ -39,9 +39,9 @@ def with_bucket(df: DataFrame, value: str, edges: Sequence[float], out: str = "_
     if not edges:
         return df.withColumn(out, F.lit(0))
     splits = [-float("inf"), *edges, float("inf")]
-    tmp = df.withColumn("_v", F.col(value).cast("double"))
-    b = Bucketizer(splits=splits, inputCol="_v", outputCol="_b", handleInvalid="keep").transform(tmp)
-    return b.withColumn(out, F.col("_b").cast("int")).drop("_v", "_b")
+    tmp = df.withColumn("_cut_in", F.col(value).cast("double"))
+    b = Bucketizer(splits=splits, inputCol="_cut_in", outputCol="_cut_out", handleInvalid="keep").transform(tmp)
+    return b.withColumn(out, F.col("_cut_out").cast("int")).drop("_cut_in", "_cut_out")
 
 
 def running_totals(
