@@ -84,11 +84,16 @@ def subgroup_aucs(df: DataFrame, label: str, score: str, subgroups: Sequence[str
 def subgroup_metric(
     df: DataFrame, label: str, score: str, subgroups: Sequence[str], power: float = -5, overall_weight: float = 0.25
 ) -> DataFrame:
-    """One row: overall AUC, power means of the three subgroup AUCs, weighted total."""
+    """One row: overall AUC, power means of the three subgroup AUCs, weighted total.
+
+    A subgroup with one class only has no AUC; its mean and the total are NULL then.
+    """
     kinds = ["subgroup_auc", "bpsn_auc", "bnsp_auc"]
     per = subgroup_aucs(df, label, score, subgroups)
     n = F.count(F.lit(1))
-    means = per.agg(*[F.pow(F.sum(F.pow(k, F.lit(power))) / n, F.lit(1.0 / power)).alias(k) for k in kinds])
+    means = per.agg(
+        *[F.when(F.count(k) == n, F.pow(F.avg(F.pow(k, F.lit(power))), F.lit(1.0 / power))).alias(k) for k in kinds]
+    )
     out = means.withColumn("overall_auc", auc(df, label, score).select("auc").scalar())
     bias = reduce(add, [F.col(k) for k in kinds]) / len(kinds)
     return out.withColumn("final_metric", overall_weight * F.col("overall_auc") + (1 - overall_weight) * bias)

@@ -166,7 +166,7 @@ def _(t):
 
 @query(
     "m09_subgroup_metric", "M09",
-    f"""WITH {_SUB_SQL}, p AS ({_sub_parts()}), k AS (SELECT kind, pow(avg(pow(auc, -5)), -0.2) AS m FROM p GROUP BY 1),
+    f"""WITH {_SUB_SQL}, p AS ({_sub_parts()}), k AS (SELECT kind, CASE WHEN count(auc) = count(*) THEN pow(avg(pow(auc, -5)), -0.2) END AS m FROM p GROUP BY 1),
       o AS (SELECT auc FROM ({auc_sql('toxic', 'score', 's')})),
       w AS (SELECT max(m) FILTER (kind = 'subgroup_auc') AS a, max(m) FILTER (kind = 'bpsn_auc') AS b, max(m) FILTER (kind = 'bnsp_auc') AS c FROM k)
       SELECT {R('a', 6)} AS subgroup_auc, {R('b', 6)} AS bpsn_auc, {R('c', 6)} AS bnsp_auc, {R('auc', 6)} AS overall_auc, {R('0.25 * auc + 0.75 * (a + b + c) / 3', 6)} AS final_metric FROM w, o""",
