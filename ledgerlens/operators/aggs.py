@@ -1,8 +1,8 @@
 """Grouped statistics: one aggregation per key set, joined back by key.
 
 Every statistic here is algebraic, so hot keys are added up before the
-shuffle. Rows get their group's statistics through a join on the key (split by
-adaptive execution when one key is hot), never through a window over the group.
+shuffle. Rows get their group's statistics through ``attach``, never through a
+window over the group.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.safe import c, epoch_micros, has_all, no_nan, ratio
+from ..functions.safe import c, has_all, no_nan, ratio
+from .attach import FEW, SIZE, attach, group_size
 
 
 def skew(x: str | Column) -> Column:
@@ -48,28 +49,44 @@ def group_stats(
     return src.groupBy(*keys).agg(*stat_columns(spec, prefix))
 
 
-def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left join of a table that holds each key once."""
-    return df.join(stats, list(keys), "left")
-
-
-def attach_null_safe(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """As ``attach``, where a missing key matches a missing key."""
-    right = stats.withColumnsRenamed({k: f"_r_{k}" for k in keys})
-    cond = None
-    for k in keys:
-        t = df[k].eqNullSafe(right[f"_r_{k}"])
-        cond = t if cond is None else cond & t
-    return df.join(right, cond, "left").drop(*[f"_r_{k}" for k in keys])
+def sized_stats(df: DataFrame, keys: Sequence[str], spec: Mapping[str, Sequence[str]], prefix: str = "") -> DataFrame:
+    """``group_stats`` with the group size, ready for ``attach``."""
+    return df.where(has_all(keys)).groupBy(*keys).agg(*stat_columns(spec, prefix), group_size())
 
 
 def attach_group_stats(
-    df: DataFrame, keysets: Sequence[Sequence[str]], spec: Mapping[str, Sequence[str]]
+    df: DataFrame, keysets: Sequence[Sequence[str]], spec: Mapping[str, Sequence[str]], few: bool = False
 ) -> DataFrame:
+    """Statistics of several key sets; ``few`` when every key set has a short list of values.
+
+    Then one pass with grouping sets serves all of them and the tables are
+    broadcast; more than FEW groups in all fall back to one join per key set.
+    """
     out = df
+    small = _few_tables(df, keysets, spec) if few else None
+    if small is not None:
+        for keys, table in zip(keysets, small):
+            out = attach(out, F.broadcast(table), keys)
+        return out
     for keys in keysets:
         name = "-".join(keys) + "__"
-        out = attach(out, group_stats(df, keys, spec, prefix=name), keys)
+        out = attach(out, sized_stats(df, keys, spec, prefix=name), keys)
+    return out
+
+
+def _few_tables(df: DataFrame, keysets: Sequence[Sequence[str]], spec) -> list[DataFrame] | None:
+    every = list(dict.fromkeys(k for keys in keysets for k in keys))
+    sets = df.groupingSets([[F.col(k) for k in keys] for keys in keysets], *every)
+    table = sets.agg(*stat_columns(spec), F.grouping_id().alias("_g"))
+    rows = table.limit(FEW + 1).collect()
+    if len(rows) > FEW:
+        return None
+    local, out = df.sparkSession.createDataFrame(rows, table.schema), []
+    for keys in keysets:
+        gid = sum(2 ** (len(every) - 1 - i) for i, k in enumerate(every) if k not in keys)
+        name = "-".join(keys) + "__"
+        mine = local.where((F.col("_g") == gid) & has_all(keys))
+        out.append(mine.select(*keys, *[F.col(x).alias(f"{name}{x}") for x in table.columns if x not in [*every, "_g"]]))
     return out
 
 
@@ -77,32 +94,34 @@ def key_combinations(keys: Sequence[str], low: int, high: int) -> list[list[str]
     return [list(x) for n in range(low, high + 1) for x in combinations(keys, n)]
 
 
-def combination_stats(df: DataFrame, keys: Sequence[str], low: int, high: int, spec) -> DataFrame:
-    return attach_group_stats(df, key_combinations(keys, low, high), spec)
+def combination_stats(df: DataFrame, keys: Sequence[str], low: int, high: int, spec, few: bool = False) -> DataFrame:
+    return attach_group_stats(df, key_combinations(keys, low, high), spec, few)
 
 
 def counts(df: DataFrame, keys: Sequence[str], out: str = "n", null_token: bool = True) -> DataFrame:
     """Attach the size of each row's key; missing values count as a value."""
-    per = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(out))
-    return attach_null_safe(df, per, keys) if null_token else attach(df, per.where(has_all(keys)), keys)
+    src = df if null_token else df.where(has_all(keys))
+    per = src.groupBy(*keys).agg(F.count(F.lit(1)).alias(out), group_size())
+    return attach(df, per, keys, null_safe=null_token)
 
 
-def sentinel_count(df: DataFrame, col: str, drop: bool = True) -> DataFrame:
+def sentinel_count(df: DataFrame, col: str, drop: bool = True, few: bool = False) -> DataFrame:
     """``cnt__col`` with missing values under a sentinel (``#`` or -98765); the column itself goes."""
     kind = dict(df.dtypes)[col]
     fill = F.lit("#") if kind == "string" else F.lit(-98765).cast(kind)
     src = df.withColumn("_k", F.coalesce(c(col), fill))
-    per = src.groupBy("_k").agg(F.count(F.lit(1)).alias(f"cnt__{col}"))
-    out = src.join(per, "_k", "left").drop("_k")
+    per = src.groupBy("_k").agg(F.count(F.lit(1)).alias(f"cnt__{col}"), group_size())
+    out = attach(src, per, ["_k"], few=few).drop("_k")
     return out.drop(col) if drop else out
 
 
 def period_share(df: DataFrame, value: str, period: str, out: str) -> DataFrame:
     """Rows with this value in the period over all rows of the period."""
-    cell = df.groupBy(value, period).agg(F.count(F.lit(1)).alias("_n"))
-    total = cell.groupBy(period).agg(F.sum("_n").alias("_t"))
-    cell = cell.join(total, period).select(value, period, ratio("_n", "_t").alias(out))
-    return attach_null_safe(df, cell, [value, period])
+    cell = df.groupBy(value, period).agg(group_size())
+    total = df.groupBy(period).agg(F.count(F.lit(1)).alias("_t"))
+    cell = attach(cell, total, [period], few=True, null_safe=True)
+    cell = cell.select(value, period, SIZE, ratio(SIZE, "_t").alias(out))
+    return attach(df, cell, [value, period], null_safe=True)
 
 
 def period_profile(df: DataFrame, value: str, period: str, periods: Sequence, prefix: str = "p") -> DataFrame:
@@ -118,8 +137,8 @@ def period_profile(df: DataFrame, value: str, period: str, periods: Sequence, pr
 def category_share(df: DataFrame, keys: Sequence[str], cat: str, out: str = "share") -> DataFrame:
     """One row per (keys, category): its share of the group's non-null categories."""
     cell = df.where(has_all([*keys, cat])).groupBy(*keys, cat).agg(F.count(F.lit(1)).alias("cnt"))
-    total = cell.groupBy(*keys).agg(F.sum("cnt").alias("_t"))
-    return cell.join(total, list(keys)).withColumn(out, ratio("cnt", "_t")).drop("_t")
+    total = cell.groupBy(*keys).agg(F.sum("cnt").alias("_t"), group_size())
+    return attach(cell, total, keys).withColumn(out, ratio("cnt", "_t")).drop("_t")
 
 
 def category_share_wide(df: DataFrame, keys: Sequence[str], cat: str, levels: Sequence, prefix: str) -> DataFrame:
@@ -136,18 +155,20 @@ def category_share_wide(df: DataFrame, keys: Sequence[str], cat: str, levels: Se
 def category_variety(df: DataFrame, keys: Sequence[str], cat: str) -> DataFrame:
     """Per (keys, category): rows, distinct categories of the group, and their ratio."""
     cell = df.where(has_all([*keys, cat])).groupBy(*keys, cat).agg(F.count(F.lit(1)).alias("n_sample"))
-    var = cell.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_total"))
-    return cell.join(var, list(keys)).withColumn("ratio", ratio("n_total", "n_sample"))
+    var = cell.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_total"), group_size())
+    return attach(cell, var, keys).withColumn("ratio", ratio("n_total", "n_sample"))
 
 
 def modal_value(df: DataFrame, col: str, keys: Sequence[str] = (), out: str = "mode") -> DataFrame:
-    """Most frequent value, the smallest on ties: one row per key (or one row)."""
+    """Most frequent value, the smallest on ties, and the group size: one row per key (or one row)."""
     cell = df.where(has_all([*keys, col])).groupBy(*keys, col).agg(F.count(F.lit(1)).alias("_n"))
-    return cell.groupBy(*keys).agg(F.min(F.struct(-F.col("_n"), F.col(col).alias("v")))["v"].alias(out))
+    return cell.groupBy(*keys).agg(
+        F.min(F.struct(-F.col("_n"), F.col(col).alias("v")))["v"].alias(out), F.sum("_n").alias(SIZE)
+    )
 
 
 def mode_fill(df: DataFrame, col: str) -> DataFrame:
-    return df.withColumn(col, F.coalesce(c(col), modal_value(df, col).scalar()))
+    return df.withColumn(col, F.coalesce(c(col), modal_value(df, col).drop(SIZE).scalar()))
 
 
 def offset_from_mode(df: DataFrame, keys: Sequence[str], col: str, out: str) -> DataFrame:
@@ -155,7 +176,7 @@ def offset_from_mode(df: DataFrame, keys: Sequence[str], col: str, out: str) ->
 
 
 def offset_from_mean(df: DataFrame, keys: Sequence[str], col: str, out: str) -> DataFrame:
-    per = group_stats(df, keys, {col: ["mean"]}).withColumnRenamed(f"{col}_mean", "_m")
+    per = sized_stats(df, keys, {col: ["mean"]}).withColumnRenamed(f"{col}_mean", "_m")
     return attach(df, per, keys).withColumn(out, c(col) - F.col("_m")).drop("_m")
 
 
@@ -221,11 +242,9 @@ def day_changes(df: DataFrame, keys: Sequence[str], date: str, value: str) -> Da
     absolute changes, std, max and min. Days come from all keys, so a day on which the
     key is absent breaks the chain on both sides."""
     daily = df.where(has_all([*keys, date])).groupBy(*keys, date).agg(F.sum(value).alias("_v"))
-    days = daily.select(date).distinct()
-    # number of days is bounded by the calendar
-    w = Window.partitionBy(F.lit(0)).orderBy(date)
-    pos = days.withColumn("_i", F.row_number().over(w))
-    daily = daily.join(pos, date)
+    # one sorted array of days, bounded by the calendar
+    days = daily.agg(F.sort_array(F.collect_set(date))).scalar()
+    daily = daily.withColumn("_days", days).withColumn("_i", F.array_position("_days", F.col(date))).drop("_days")
     k = Window.partitionBy(*keys).orderBy("_i")
     prev = F.lag("_v").over(k)
     adjacent = F.lag("_i").over(k) == F.col("_i") - 1
@@ -265,7 +284,3 @@ def first_last(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: S
         out = out.withColumn(f"{x}_diff", F.col(f"{x}_last") - F.col(f"{x}_first"))
         out = out.withColumn(f"{x}_ratio", ratio(f"{x}_last", f"{x}_first", 10))
     return out
-
-
-def micros(ts: str) -> Column:
-    return epoch_micros(ts)

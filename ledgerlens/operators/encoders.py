@@ -7,21 +7,27 @@ from collections.abc import Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.safe import bounded_values, c, ratio
-from .aggs import attach, mode_fill, sentinel_count
+from .aggs import mode_fill, sentinel_count
+from .attach import FEW, SIZE, attach, group_size
 from .ordering import dense_codes, quantile_list
 
 
-def code_table(df: DataFrame, col: str, out: str) -> DataFrame:
-    """Sorted distinct values with consecutive codes from 0."""
-    return dense_codes(df.select(col).where(c(col).isNotNull()).distinct(), [col], out)
+def code_table(df: DataFrame, col: str, out: str, few: bool = False) -> DataFrame:
+    """Sorted distinct values with consecutive codes from 0; ``few`` for a short list of values."""
+    if few:
+        values = bounded_values(df, col, FEW)
+        schema = T.StructType([df.schema[col], T.StructField(out, T.LongType())])
+        return F.broadcast(df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(values)], schema))
+    return dense_codes(df.where(c(col).isNotNull()).groupBy(col).agg(group_size()), [col], out)
 
 
-def label_encode(df: DataFrame, cols: Sequence[str], drop: bool = True) -> DataFrame:
+def label_encode(df: DataFrame, cols: Sequence[str], drop: bool = True, few: bool = False) -> DataFrame:
     """``label__col``: position in sort order over all rows given (both splits)."""
     for x in cols:
-        df = attach(df, code_table(df, x, f"label__{x}"), [x])
+        df = attach(df, code_table(df, x, f"label__{x}", few), [x])
         df = df.drop(x) if drop else df
     return df
 
@@ -56,8 +62,8 @@ def encode_by_cardinality(df: DataFrame, cols: Sequence[str], high: int = 15, lo
     for x in cols:
         n = row[x]
         if n > low:
-            out = sentinel_count(out, x, drop=False)
-        out = label_encode(out, [x], drop=False)
+            out = sentinel_count(out, x, drop=False, few=n <= FEW)
+        out = label_encode(out, [x], drop=False, few=n <= FEW)
         if low < n <= high:
             out = one_hot(out, [x], drop=False)
         out = out.drop(x)
@@ -80,7 +86,9 @@ def sparse_levels(
     share = F.col("n_train") / F.col("n_total")
     level = level.where((F.col("n_train") > min_train) & (share > low) & (share < high))
     level = dense_codes(level, ["feature", "level"], "slot")
-    return level, long.join(level.select("feature", "level", "slot"), ["feature", "level"]).select(id_col, "slot")
+    slots = level.select("feature", "level", "slot", F.col("n_total").alias(SIZE))
+    rows = attach(long, slots, ["feature", "level"]).where("slot IS NOT NULL")
+    return level, rows.select(id_col, "slot")
 
 
 def quantile_bins(df: DataFrame, col: str, q: int = 100, out: str | None = None, fill: float | None = None) -> DataFrame:

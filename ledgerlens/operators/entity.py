@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.safe import c, composite_key, day_number, has_all, text
 from ..session import cut
-from .aggs import attach, multi_period_entities
+from .aggs import multi_period_entities
+from .attach import SIZE, attach, group_size
 from .ordering import dense_codes
 from .windows import jump_flags, ordered
 
@@ -19,14 +20,14 @@ def block_ids(df: DataFrame, id_col: str, keysets: dict[str, Sequence[str]]) ->
     out = df
     for name, keys in keysets.items():
         k = df.select(id_col, F.md5(composite_key(keys, sep="\x1f")).alias("_k"))
-        per = k.groupBy("_k").agg(F.min(id_col).alias(name))
-        out = out.withColumn("_k", F.md5(composite_key(keys, sep="\x1f"))).join(per, "_k", "left").drop("_k")
+        per = k.groupBy("_k").agg(F.min(id_col).alias(name), group_size())
+        out = attach(out.withColumn("_k", F.md5(composite_key(keys, sep="\x1f"))), per, ["_k"]).drop("_k")
     return out
 
 
 def label_consistency(df: DataFrame, entity: str, label: str) -> DataFrame:
     """Largest label in the entity and whether the row disagrees with it."""
-    per = df.where(has_all([entity])).groupBy(entity).agg(F.max(label).alias("max_label"))
+    per = df.where(has_all([entity])).groupBy(entity).agg(F.max(label).alias("max_label"), group_size())
     j = attach(df, per, [entity])
     return j.withColumn("disagrees", F.coalesce((c(label) != F.col("max_label")).cast("int"), F.lit(0)))
 
@@ -89,9 +90,9 @@ def components(nodes: DataFrame, edges: DataFrame, id_col: str, a: str = "a", b:
 def consecutive_ids(sets: DataFrame, id_col: str, component: str, out: str = "entity_id") -> DataFrame:
     """Linked sets get ids 0.. in order of their smallest row; single rows follow after the largest."""
     size = sets.groupBy(component).agg(F.count(F.lit(1)).alias("_n"))
-    order = size.select((F.col("_n") == 1).cast("int").alias("_single"), component)
+    order = size.select((F.col("_n") == 1).cast("int").alias("_single"), component, F.col("_n").alias(SIZE))
     codes = dense_codes(order, ["_single", component], out).drop("_single")
-    return sets.join(codes, component).select(id_col, component, out)
+    return attach(sets, codes, [component]).select(id_col, component, out)
 
 
 def invariant_groups(df: DataFrame, keys: Sequence[Column | str], id_col: str) -> DataFrame:
@@ -99,8 +100,8 @@ def invariant_groups(df: DataFrame, keys: Sequence[Column | str], id_col: str) -
     transitive, so the head and the size stand for all pairs of the set."""
     names = [f"_k{i}" for i in range(len(keys))]
     x = df.select(id_col, *[c(k).alias(n) for k, n in zip(keys, names)]).where(has_all(names))
-    per = x.groupBy(*names).agg(F.min(id_col).alias("head"), F.count(F.lit(1)).alias("size"))
-    return x.join(per, names).select(id_col, "head", "size")
+    per = x.groupBy(*names).agg(F.min(id_col).alias("head"), F.count(F.lit(1)).alias("size"), group_size())
+    return attach(x, per, names).select(id_col, "head", "size")
 
 
 def progress_links(df: DataFrame, id_col: str, keys: Sequence[str], position: str, step: str) -> DataFrame:
@@ -113,7 +114,9 @@ def progress_links(df: DataFrame, id_col: str, keys: Sequence[str], position: st
         F.count(F.lit(1)).alias("matches"), F.min(id_col).alias("partner")
     )
     asks = df.where(has_all([*keys, position, step])).select(id_col, *keys, (c(position) - c(step)).alias("_at"))
-    return asks.join(places, [*keys, "_at"]).select(id_col, "matches", "partner")
+    sizes = asks.groupBy(*keys, "_at").agg(group_size())
+    hits = attach(asks, places.join(sizes, [*keys, "_at"]), [*keys, "_at"]).where("matches IS NOT NULL")
+    return hits.select(id_col, "matches", "partner")
 
 
 def grouping_id(parts: Sequence[str | Column], digits: int = 3) -> Column:
@@ -175,6 +178,6 @@ def split_on_jumps(df: DataFrame, entity: str, order: Sequence[str], values: Seq
 
 def leak_split(df: DataFrame, entity: str, period: str, a: str, b: str, gap: float, out: str = "is_leak") -> DataFrame:
     """1 for rows of entities seen in several periods or where two models differ by more than ``gap``."""
-    many = multi_period_entities(df, entity, period).select(entity, F.lit(1).alias("_m"))
-    j = df.join(many, entity, "left")
+    many = multi_period_entities(df, entity, period).select(entity, F.lit(1).alias("_m"), F.col("n_rows").alias(SIZE))
+    j = attach(df, many, [entity])
     return j.withColumn(out, F.when(F.col("_m").isNotNull() | (F.abs(c(a) - c(b)) > gap), 1).otherwise(0)).drop("_m")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.safe import c, has_all
-from .aggs import attach_null_safe
+from .attach import SIZE, attach, group_size
 from .ordering import running_totals
 
 
@@ -28,6 +28,7 @@ def split_presence(df: DataFrame, col: str, split: str) -> DataFrame:
         .agg(
             F.sum((c(split) == "train").cast("int")).alias("_tr"),
             F.sum((c(split) == "test").cast("int")).alias("_te"),
+            group_size(),
         )
     )
 
@@ -36,22 +37,21 @@ def mask_unshared(df: DataFrame, col: str, split: str, more_than: int = 0, out:
     """NULL where the value misses from one split or has at most ``more_than`` rows in all."""
     p = split_presence(df, col, split)
     p = p.where((F.col("_tr") > 0) & (F.col("_te") > 0) & (F.col("_tr") + F.col("_te") > more_than))
-    j = df.join(p.select(col, F.lit(True).alias("_ok")), col, "left")
+    j = attach(df, p.select(col, F.lit(True).alias("_ok"), SIZE), [col])
     return j.withColumn(out or col, F.when(F.col("_ok"), c(col))).drop("_ok")
 
 
 def in_other_split(df: DataFrame, col: str, split: str, out: str) -> DataFrame:
     """1 where the value also occurs in the other split."""
     p = split_presence(df, col, split)
-    j = df.join(p, col, "left")
+    j = attach(df, p, [col])
     other = F.when(c(split) == "train", F.col("_te")).otherwise(F.col("_tr"))
     return j.withColumn(out, F.coalesce((other > 0).cast("int"), F.lit(0))).drop("_tr", "_te")
 
 
 def collapse_rare(df: DataFrame, col: str, below: int = 200, label: str = "others", out: str | None = None) -> DataFrame:
     per = df.where(has_all([col])).groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
-    rare = per.where(F.col("_n") < below).select(col, F.lit(True).alias("_rare"))
-    j = df.join(rare, col, "left")
+    j = attach(df, per.select(col, (F.col("_n") < below).alias("_rare"), F.col("_n").alias(SIZE)), [col])
     return j.withColumn(out or col, F.when(F.col("_rare"), F.lit(label)).otherwise(c(col))).drop("_rare")
 
 
@@ -96,10 +96,6 @@ def best_per(df: DataFrame, keys: Sequence[str], score: str | Column, cols: Sequ
     return df.groupBy(*keys).agg(best.alias("_b")).select(*keys, *[F.col(f"_b.{x}").alias(x) for x in cols], (-F.col("_b._s")).alias("best"))
 
 
-def null_safe_left(df: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return attach_null_safe(df, right, keys)
-
-
 def union_splits(train: DataFrame, test: DataFrame) -> DataFrame:
     """Rows of both, aligned by name, with their split as a column."""
     return train.withColumn("split", F.lit("train")).unionByName(

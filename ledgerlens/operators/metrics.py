@@ -163,7 +163,7 @@ def rank_blend(df: DataFrame, weights: Mapping[str, str | Column], out: str) ->
     """Weighted sum of minimum-tie ranks; weights may differ by row."""
     x = df
     for i, m in enumerate(weights):
-        x = ranked(x, m, f"_rank{i}", ties="min")
+        x = ranked(x, m, {f"_rank{i}": "min"})
     total = reduce(add, [F.col(f"_rank{i}") * c(w) for i, w in enumerate(weights.values())])
     return x.withColumn(out, total).drop(*[f"_rank{i}" for i in range(len(weights))])
 
@@ -177,8 +177,8 @@ def override(pred: DataFrame, known: DataFrame, key: str, col: str, known_label:
 
 def rank_residual(a: DataFrame, b: DataFrame, key: str, pred: str, out: str = "residual") -> DataFrame:
     """Difference of two models' average ranks."""
-    ra = ranked(a, pred, "_ra").select(key, "_ra")
-    rb = ranked(b, pred, "_rb").select(key, "_rb")
+    ra = ranked(a, pred, {"_ra": "average"}).select(key, "_ra")
+    rb = ranked(b, pred, {"_rb": "average"}).select(key, "_rb")
     return ra.join(rb, key).select(key, F.col("_ra").alias("rank_a"), F.col("_rb").alias("rank_b"), (F.col("_ra") - F.col("_rb")).alias(out))
 
 

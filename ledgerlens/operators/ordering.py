@@ -9,6 +9,8 @@ sees more than one bucket, however skewed the values or the groups are.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.safe import has_all
 from ..session import cut
+from .attach import SIZE, attach, group_size
 
 ROWS_PER_BUCKET = 2_000_000
 MAX_BUCKETS = 2_000
@@ -81,17 +84,17 @@ def running_totals(
 def ranked(
     df: DataFrame,
     value: str,
-    out: str = "rank",
-    ties: str = "average",
+    outs: Mapping[str, str],
     by: Sequence[str] = (),
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
-    """Attach the ascending rank of ``value``; equal values share the average or the smallest rank."""
+    """Attach ascending ranks of ``value``: ``outs`` maps a name to how equal values share
+    a rank, ``average`` or ``min``."""
     pos = running_totals(df, value, {"_n": F.count(F.lit(1))}, by, rows_per_bucket)
     low = F.col("_n_before") + 1
-    rank = low + (F.col("_n") - 1) / 2 if ties == "average" else low
-    pos = pos.select(*by, value, rank.cast("double").alias(out))
-    return df.join(pos, [*by, value], "left")
+    kinds = {"average": low + (F.col("_n") - 1) / 2, "min": low}
+    ranks = [kinds[k].cast("double").alias(n) for n, k in outs.items()]
+    return attach(df, pos.select(*by, value, *ranks, F.col("_n").alias(SIZE)), [*by, value])
 
 
 def exact_quantiles(
@@ -104,21 +107,17 @@ def exact_quantiles(
     """Exact linear-interpolated quantiles: one row per (by, q)."""
     by = list(by)
     pos = running_totals(df, value, {"_n": F.count(F.lit(1))}, by, rows_per_bucket)
-    total = (
-        df.where(F.col(value).isNotNull() & has_all(by))
-        .groupBy(*by)
-        .agg(F.count(value).alias("_total"))
-    )
     if by:
-        pos = pos.join(total, by)
+        pos = attach(pos, pos.groupBy(*by).agg(F.sum("_n").alias("_total"), group_size()), by)
     else:
-        pos = pos.withColumn("_total", total.scalar())
+        pos = pos.withColumn("_total", df.agg(F.count(value)).scalar())
     place = lambda q: q * (F.col("_total") - 1)
     first, past = F.col("_n_before"), F.col("_n_before") + F.col("_n")
     lo_in = lambda q: (F.floor(place(q)) >= first) & (F.floor(place(q)) < past)
     hi_in = lambda q: (F.ceil(place(q)) >= first) & (F.ceil(place(q)) < past)
-    targets = _candidates(probs, first, past, F.col("_total"))
-    hits = pos.withColumn("_t", F.filter(targets, lambda q: lo_in(q) | hi_in(q))).where(F.size("_t") > 0)
+    targets, possible = _candidates(probs, first, past, F.col("_total"))
+    # almost all values go by plain arithmetic before any array is built
+    hits = pos.where(possible).withColumn("_t", F.filter(targets, lambda q: lo_in(q) | hi_in(q)))
     hits = hits.withColumn("_t", F.explode("_t"))
     t = F.col("_t")
     lo = F.when(lo_in(t), F.col(value).cast("double"))
@@ -131,18 +130,22 @@ def exact_quantiles(
     )
 
 
-def _candidates(probs: Sequence[float], first: Column, past: Column, total: Column) -> Column:
-    """Probabilities whose position may fall on this value. On an even grid i/m they
-    are found by arithmetic; other lists are short and tried in full."""
+def _candidates(probs: Sequence[float], first: Column, past: Column, total: Column) -> tuple[Column, Column]:
+    """Probabilities whose position may fall on this value, and whether there can be any.
+
+    A position hits when it lies strictly between ``first - 1`` and ``past``. On
+    an even grid i/m that is arithmetic on i; other lists are tried one by one.
+    """
     probs = sorted({float(p) for p in probs})
     m = round(1 / (probs[1] - probs[0])) if len(probs) > 8 else 0
     if not m or any(p != i / m for p, i in zip(probs, range(round(probs[0] * m), m + 1))):
-        return F.array(*[F.lit(p) for p in probs])
+        near = [(F.lit(p) * (total - 1) > first - 1) & (F.lit(p) * (total - 1) < past) for p in probs]
+        return F.array(*[F.lit(p) for p in probs]), reduce(or_, near)
     per = F.lit(float(m)) / F.greatest(total - 1, F.lit(1))
-    low = F.greatest(F.lit(round(probs[0] * m)), F.floor((first - 1) * per).cast("int"))
-    high = F.least(F.lit(round(probs[-1] * m)), F.ceil(past * per).cast("int"))
-    seq = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
-    return F.transform(seq, lambda i: i / F.lit(m))
+    # a hair wider than exact, the caller tests each candidate again
+    low = F.greatest(F.lit(round(probs[0] * m)), F.floor((first - 1) * per - 1e-6).cast("int") + 1)
+    high = F.least(F.lit(round(probs[-1] * m)), F.ceil(past * per + 1e-6).cast("int") - 1)
+    return F.transform(F.sequence(low, high), lambda i: i / F.lit(m)), low <= high
 
 
 def quantile_list(df: DataFrame, value: str, probs: Sequence[float], **kw) -> list[float]:

@@ -129,12 +129,19 @@ def ks_two_sample(df: DataFrame, split: str, cols: Sequence[str], level: float =
     long = long_form(df, [split], cols).where(F.col("value").isNotNull())
     one = {"_a": F.sum((c(split) == "train").cast("long")), "_b": F.sum((c(split) != "train").cast("long"))}
     pos = running_totals(long, "value", one, ["feature"], **kw)
-    tot = pos.groupBy("feature").agg(F.sum("_a").alias("n_train"), F.sum("_b").alias("n_test"))
+    # totals of the listed columns as one small map, looked up without a join
+    tr = c(split) == "train"
+    sizes = [
+        F.struct(F.count_if(tr & c(x).isNotNull()).alias("n_train"), F.count_if(~tr & c(x).isNotNull()).alias("n_test"))
+        for x in cols
+    ]
+    pairs = [y for x, n in zip(cols, sizes) for y in (F.lit(x), n)]
+    pos = pos.withColumn("_t", F.element_at(df.agg(F.create_map(*pairs)).scalar(), F.col("feature"))).select("*", "_t.*")
     gap = F.abs(
         F.try_divide(F.col("_a_before") + F.col("_a"), F.col("n_train"))
         - F.try_divide(F.col("_b_before") + F.col("_b"), F.col("n_test"))
     )
-    d = pos.join(tot, "feature").groupBy("feature").agg(
+    d = pos.groupBy("feature").agg(
         F.max(gap).alias("ks"), F.first("n_train").alias("n_train"), F.first("n_test").alias("n_test")
     )
     en = F.sqrt(F.col("n_train") * F.col("n_test") / (F.col("n_train") + F.col("n_test")))

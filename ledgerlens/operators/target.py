@@ -9,14 +9,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.safe import c, has_all, ratio
+from .attach import SIZE, attach, group_size
 
 ALL_PERIODS = "test"  # period name under which unlabelled rows find their encoding
 
 
-def label_mean(df: DataFrame, key: str, label: str, out: str) -> DataFrame:
+def label_mean(df: DataFrame, key: str, label: str, out: str, few: bool = False) -> DataFrame:
     """Mean label of the labelled rows by key, mapped to every row."""
-    per = df.where(c(label).isNotNull() & c(key).isNotNull()).groupBy(key).agg(F.avg(label).alias(out))
-    return df.join(per, key, "left")
+    per = df.where(c(key).isNotNull()).groupBy(key).agg(F.avg(label).alias(out), group_size())
+    return attach(df, per, [key], few=few)
 
 
 def smoothed_label_mean(
@@ -31,9 +32,10 @@ def smoothed_label_mean(
 ) -> DataFrame:
     """Label mean pulled to the prior where the key is rare; unseen keys get the prior."""
     labelled = df.where(c(label).isNotNull())
-    per = labelled.where(c(key).isNotNull()).groupBy(key).agg(F.avg(label).alias("_m"), F.count(label).alias("_n"))
+    per = df.where(c(key).isNotNull()).groupBy(key)
+    per = per.agg(F.avg(label).alias("_m"), F.nullif(F.count(label), F.lit(0)).alias("_n"), group_size())
     weight = F.lit(1.0) / (1 + F.exp(-(F.col("_n") - min_leaf) / smoothing))
-    j = df.join(per, key, "left").withColumn("_prior", labelled.agg(F.avg(label)).scalar())
+    j = attach(df, per, [key]).withColumn("_prior", labelled.agg(F.avg(label)).scalar())
     enc = F.coalesce(F.col("_prior") * (1 - weight) + F.col("_m") * weight, F.col("_prior"))
     if noise:
         enc = enc * (1 + noise * F.randn(seed))
@@ -57,26 +59,19 @@ def leave_period_out(
     Totals minus the own period, so one aggregation serves all periods. With
     ``min_count`` a key with fewer labelled rows gets the overall mean.
     """
-    cells = period_cells(df, keys, label, period)
-    w = Window.partitionBy(*keys)  # at most one row per period
-    tot = cells.withColumns({"_all_s": F.sum("_s").over(w), "_all_n": F.sum("_n").over(w)})
-    own = tot.select(
-        *keys,
-        c(period).cast("string").alias("_p"),
-        (F.col("_all_s") - F.col("_s")).alias("_s"),
-        (F.col("_all_n") - F.col("_n")).alias("_n"),
+    rows = df.withColumn("_p", F.when(c(label).isNotNull(), c(period).cast("string")).otherwise(ALL_PERIODS))
+    cells = rows.where(has_all([*keys, "_p"])).groupBy(*keys, "_p").agg(
+        F.coalesce(F.sum(c(label).cast("double")), F.lit(0.0)).alias("_s"), F.count(label).alias("_n"), group_size()
     )
-    every = cells.groupBy(*keys).agg(F.sum("_s").alias("_s"), F.sum("_n").alias("_n"))
-    every = every.select(*keys, F.lit(ALL_PERIODS).alias("_p"), "_s", "_n")
-    enc = own.unionByName(every).where(F.col("_n") > 0)
-    mean = F.col("_s") / F.col("_n")
+    w = Window.partitionBy(*keys)  # at most one row per period
+    s, n = F.sum("_s").over(w) - F.col("_s"), F.sum("_n").over(w) - F.col("_n")
+    enc = cells.withColumns({"_ls": s, "_ln": n})
+    mean = F.try_divide("_ls", "_ln")
     if min_count:
-        prior = df.where(c(label).isNotNull()).agg(F.avg(label)).scalar()
-        enc = enc.withColumn("_prior", prior)
-        mean = F.when(F.col("_n") < min_count, F.col("_prior")).otherwise(mean)
-    enc = enc.select(*keys, "_p", mean.alias(out))
-    rows = df.withColumn("_p", F.when(c(label).isNotNull(), c(period).cast("string")).otherwise(ALL_PERIODS))
-    return rows.join(enc, [*keys, "_p"], "left").drop("_p")
+        enc = enc.withColumn("_prior", df.agg(F.avg(label)).scalar())
+        mean = F.when(F.col("_ln") < min_count, F.when(F.col("_ln") > 0, F.col("_prior"))).otherwise(mean)
+    enc = enc.select(*keys, "_p", mean.alias(out), SIZE)
+    return attach(rows, enc, [*keys, "_p"]).drop("_p")
 
 
 def _spread(arr: Column, name: str) -> list[Column]:
@@ -147,4 +142,5 @@ def attach_period_profile(df: DataFrame, keys: Sequence[str], label: str, period
     enc = enc.withColumn("own", F.coalesce("own", F.lit(-1)))
     enc = enc.withColumnsRenamed({n: f"{prefix}{n}" for n in enc.columns if n not in [*keys, "own"]})
     rows = df.withColumn("own", F.when(c(label).isNotNull(), c(period).cast("int")).otherwise(-1))
-    return rows.join(enc, [*keys, "own"], "left").drop("own")
+    sizes = rows.where(has_all([*keys, "own"])).groupBy(*keys, "own").agg(group_size())
+    return attach(rows, enc.join(sizes, [*keys, "own"]), [*keys, "own"]).drop("own")

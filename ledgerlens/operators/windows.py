@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.safe import c, day_number, epoch_micros, has_all, no_nan, ratio
 from ..session import cut
+from .attach import attach, group_size
 
 ROWS_PER_SPLIT = 1_000_000
 
@@ -229,9 +230,11 @@ def window_days(
 def attach_window_days(df, keys, ts, value, days, stats=("mean",), relative: bool = True) -> DataFrame:
     """Attach ``window_days`` to the rows, with ratio and difference to the row's own value."""
     feats = window_days(df, keys, ts, value, days, stats)
-    out = df.withColumn("_day", day_number(ts)).join(feats, [*keys, "_day"], "left").drop("_day")
+    names = feats.columns[len(keys) + 1 :]
+    sizes = df.where(has_all([*keys, ts])).groupBy(*keys, day_number(ts).alias("_day")).agg(group_size())
+    out = attach(df.withColumn("_day", day_number(ts)), feats.join(sizes, [*keys, "_day"]), [*keys, "_day"]).drop("_day")
     if relative:
-        for n in feats.columns[len(keys) + 1 :]:
+        for n in names:
             out = out.withColumns({f"{n}_org_ratio": ratio(n, value, 1), f"{n}_org_diff": F.col(n) - F.col(value)})
     return out
 
@@ -298,15 +301,16 @@ def relative_to_group(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -
     aggs = []
     for x in cols:
         aggs += [F.avg(x).alias(f"_{x}_m"), no_nan(F.stddev(x)).alias(f"_{x}_s")]
-    out = df.join(df.where(has_all(keys)).groupBy(*keys).agg(*aggs), list(keys), "left")
+    out = attach(df, df.where(has_all(keys)).groupBy(*keys).agg(*aggs, group_size()), keys)
     for x in cols:
         out = out.withColumns({f"{x}_to_mean": ratio(x, f"_{x}_m"), f"{x}_to_std": ratio(x, f"_{x}_s")})
     return out.drop(*[f"_{x}_{s}" for x in cols for s in "ms"])
 
 
 def group_zscore(df: DataFrame, keys: Sequence[str], col: str, out: str) -> DataFrame:
-    per = df.where(has_all(keys)).groupBy(*keys).agg(F.avg(col).alias("_m"), no_nan(F.stddev(col)).alias("_s"))
-    j = df.join(per, list(keys), "left")
+    per = df.where(has_all(keys)).groupBy(*keys)
+    per = per.agg(F.avg(col).alias("_m"), no_nan(F.stddev(col)).alias("_s"), group_size())
+    j = attach(df, per, keys)
     return j.withColumn(out, ratio(F.col(col) - F.col("_m"), F.col("_s"))).drop("_m", "_s")
 
 
@@ -315,7 +319,7 @@ def period_scaling(df: DataFrame, period: str, cols: Sequence[str]) -> DataFrame
     aggs = []
     for x in cols:
         aggs += [F.min(x).alias(f"_{x}_lo"), F.max(x).alias(f"_{x}_hi"), F.avg(x).alias(f"_{x}_m"), no_nan(F.stddev(x)).alias(f"_{x}_s")]
-    out = df.join(df.where(has_all([period])).groupBy(period).agg(*aggs), period, "left")
+    out = attach(df, df.where(has_all([period])).groupBy(period).agg(*aggs), [period], few=True)
     for x in cols:
         lo, hi = F.col(f"_{x}_lo"), F.col(f"_{x}_hi")
         out = out.withColumns(

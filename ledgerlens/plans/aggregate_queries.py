@@ -24,7 +24,7 @@ def entity_group_stats(t: Tables):
     d = t.txn_wide.select("txn_id", "uid", "segment", "nation", "amt", "ts")
     d = d.withColumn("uid_day", composite_key([en.rounded_text(F.col("amt") / 100000, 1), "segment", "nation"]))
     return rs(
-        ag.attach(d, ag.group_stats(d, ["uid_day"], {"amt": ["mean", "std"]}), ["uid_day"]).select(
+        ag.attach(d, ag.sized_stats(d, ["uid_day"], {"amt": ["mean", "std"]}), ["uid_day"]).select(
             "txn_id", "uid_day", "amt_mean", F.coalesce("amt_std", F.lit(-1.0)).alias("amt_std"), ratio("amt", "amt_mean").alias("amt_rel")
         ),
         ["amt_mean", "amt_std", "amt_rel"],
@@ -79,7 +79,7 @@ _KEYS = ["product", "segment", "status"]
 )
 def _(t):
     d = t.txn_wide.select("txn_id", *_KEYS, "amt")
-    x = ag.combination_stats(d, _KEYS, 2, 3, {"amt": ["sum", "mean", "std"]}).drop(*_KEYS, "amt")
+    x = ag.combination_stats(d, _KEYS, 2, 3, {"amt": ["sum", "mean", "std"]}, few=True).drop(*_KEYS, "amt")
     return x.select("txn_id", *[r(F.col(f"`{n}`"), 2 if n.endswith("_sum") else 4).alias(n) for n in x.columns[1:]])
 
 

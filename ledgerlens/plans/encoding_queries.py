@@ -110,7 +110,7 @@ def _(t):
     f"WITH {TXN_WIDE_SQL}, m AS (SELECT product, avg(label) AS m FROM txn_wide GROUP BY 1) SELECT txn_id, {R('m')} AS te FROM txn_wide JOIN m USING (product)",
 )
 def _(t):
-    return rs(tg.label_mean(t.txn.select("txn_id", "product", "label"), "product", "label", "te").select("txn_id", "te"), ["te"])
+    return rs(tg.label_mean(t.txn.select("txn_id", "product", "label"), "product", "label", "te", few=True).select("txn_id", "te"), ["te"])
 
 
 @query(

@@ -22,7 +22,7 @@ from .registry import R, query, r, rs
 )
 def _(t: Tables):
     d = t.txn.select("txn_id", "uid", "product", "amt")
-    a = ag.attach(d, ag.group_stats(d, ["uid", "product"], {"amt": ["mean"]}), ["uid", "product"])
+    a = ag.attach(d, ag.sized_stats(d, ["uid", "product"], {"amt": ["mean"]}), ["uid", "product"])
     return rs(a.select("txn_id", "amt_mean"), ["amt_mean"])
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import aggs as ag
 from ..operators import ordering as od
 from ..operators import windows as wi
+from ..operators.attach import group_size
 from ..sources.tables import TXN_AGED_SQL, TXN_SQL, Tables
 from .registry import R, query, r, rs
 
@@ -150,7 +151,8 @@ def _(t):
     o = t.orders.select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate")
     keys = ["o_custkey", "o_orderpriority"]
     per = o.groupBy(*keys).agg(
-        F.date_format(F.min("o_orderdate"), "yyyy-MM-dd").alias("first_date"), F.date_format(F.max("o_orderdate"), "yyyy-MM-dd").alias("last_date")
+        F.date_format(F.min("o_orderdate"), "yyyy-MM-dd").alias("first_date"), F.date_format(F.max("o_orderdate"), "yyyy-MM-dd").alias("last_date"),
+        group_size(),
     )
     return ag.attach(o, per, keys).select("o_orderkey", "first_date", "last_date")
 
@@ -205,8 +207,7 @@ def _(t):
 )
 def _(t):
     d = t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity")
-    x = od.ranked(od.ranked(d, "l_quantity", "rank_min", "min"), "l_quantity", "rank_avg")
-    return x.drop("l_quantity")
+    return od.ranked(d, "l_quantity", {"rank_min": "min", "rank_avg": "average"}).drop("l_quantity")
 
 
 @query(

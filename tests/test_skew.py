@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ledgerlens.operators.attach import attach, group_size
 from ledgerlens.operators import chains, entity, metrics, neighbours, ordering, quality, sampling, windows
 
 
@@ -65,7 +66,7 @@ def test_quantiles_over_buckets_match_numpy(hot):
 
 
 def test_ranks_over_buckets(hot):
-    got = ordering.ranked(hot, "v", "r", rows_per_bucket=11).select("id", "v", "r").toPandas()
+    got = ordering.ranked(hot, "v", {"r": "average"}, rows_per_bucket=11).select("id", "v", "r").toPandas()
     want = got["v"].rank(method="average")
     assert np.allclose(got["r"], want, equal_nan=True)
 
@@ -185,3 +186,29 @@ def test_stratified_folds_are_balanced(spark):
     for y in (0, 1):
         sizes = [r["count"] for r in n if r["y"] == y]
         assert len(sizes) == 4 and max(sizes) - min(sizes) <= 1
+
+
+@pytest.mark.parametrize("hot_keys", [2, 10, 2000])
+@pytest.mark.parametrize("null_safe", [False, True])
+def test_attach_serves_hot_and_cold_keys(hot, hot_keys, null_safe):
+    src = hot if null_safe else hot.where("key IS NOT NULL")
+    stats = src.groupBy("key").agg(F.sum("id").alias("s"), F.max("v").alias("m"), group_size())
+    got = attach(hot, stats, ["key"], null_safe=null_safe, hot_keys=hot_keys)
+    assert got.columns == [*hot.columns, "s", "m"]
+    want = {}
+    for i, k, v in [(r["id"], r["key"], r["v"]) for r in hot.collect()]:
+        s, m = want.get(k, (0, None))
+        want[k] = (s + i, v if m is None else max(m, v) if v is not None else m)
+    if not null_safe:
+        want[None] = (None, None)
+    assert got.count() == hot.count()
+    assert all((r["s"], r["m"]) == want[r["key"]] for r in got.collect())
+
+
+def test_attach_few_falls_back_when_the_table_is_long(hot, monkeypatch):
+    import ledgerlens.operators.attach as mod
+
+    stats = hot.where("key IS NOT NULL").groupBy("key").agg(F.count(F.lit(1)).alias("n"), group_size())
+    a = rows(attach(hot, stats, ["key"], few=True), "id", "n")
+    monkeypatch.setattr(mod, "FEW", 1)
+    assert rows(attach(hot, stats, ["key"], few=True), "id", "n") == a
