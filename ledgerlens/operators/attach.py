@@ -56,7 +56,8 @@ def attach(
     x = _left(df, F.broadcast(hot), keys, null_safe).select(*df.columns, "_hot")
     done = F.col("_hot").isNotNull() if null_safe else F.col("_hot").isNotNull() | ~has_all(keys)
     x = x.withColumn("_salt", F.when(done, F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)) + 1).otherwise(F.lit(0)))
-    cold = packed.select(*key_cols, "_cold", F.lit(0).cast("long").alias("_salt0"))
+    # reading the size here too, and first, lets Spark run one exchange for both uses of the table
+    cold = packed.select(*key_cols, F.when(F.col(SIZE) > 0, F.lit(0).cast("long")).alias("_salt0"), "_cold")
     x = _left(x, cold, keys, null_safe, F.col("_salt") == F.col("_salt0"))
     found = F.coalesce("_hot", "_cold")
     return x.select(*df.columns, *[found[n].alias(n) for n in names])

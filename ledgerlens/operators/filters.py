@@ -70,10 +70,12 @@ def drop_sparse_columns(df: DataFrame, limit: float = 0.8, cols: Sequence[str] |
 
 def position_cut(df: DataFrame, order: str, share: float, first: str, rest: str, out: str) -> DataFrame:
     """Name the first ``share`` of the rows by position in ``order`` (unique values)."""
-    pos = running_totals(df, order, {"_n": F.count(F.lit(1))}).select(order, F.col("_n_before").alias("_pos"))
-    total = df.agg(F.count(F.lit(1))).scalar()
-    j = df.join(pos, order, "left").withColumn("_t", total)
-    return j.withColumn(out, F.when(F.col("_pos") < F.floor(F.col("_t") * share), first).otherwise(rest)).drop("_pos", "_t")
+    k = int(df.count() * share)
+    hit = lambda a, b: (a <= k) & (b > k)
+    pos = running_totals(df, order, {"_n": F.count(F.lit(1))}, keep=hit)
+    edge = pos.where(hit(F.col("_n_before"), F.col("_n_before") + F.col("_n"))).agg(F.min(order)).scalar()
+    # no edge: everything comes first
+    return df.withColumn(out, F.when(F.coalesce(c(order) < edge, F.lit(True)), first).otherwise(rest))
 
 
 def value_counts(df: DataFrame, col: str, n: int | None = None) -> DataFrame:

@@ -17,6 +17,7 @@ from ..functions.safe import c
 from .sampling import hash_int
 
 BLOCK_ROWS = 20_000
+MERGE = 16
 
 
 def _dist(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -52,11 +53,13 @@ def knn_mean(
     vec: str,
     target: str,
     k: int = 350,
-    pivots: int = 64,
+    pivots: int | None = None,
     exclude_self: bool = False,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """(id, knn_mean): mean target of the k nearest points; equal distances prefer the smaller id."""
+    if pivots is None:
+        pivots = min(4096, max(16, int(points.count() ** 0.5)))
     piv = choose_pivots(points, id_col, vec, pivots)
     near = F.array_position(F.col("_d"), F.array_min("_d")).cast("int") - 1
     pts = _to_pivots(points.select(id_col, vec, target), vec, piv)
@@ -98,11 +101,11 @@ def knn_mean(
     pts = pts.where(q_slices.isNotNull()).withColumn("_qs", F.explode(F.sequence(F.lit(0), q_slices - 1)))
     keys = ["_cell", "_ps", "_qs"]
     id_type = dict(queries.dtypes)[id_col]
-    schema = f"{id_col} {id_type}, near_id {id_type}, dist double, target double"
+    schema = f"{id_col} {id_type}, near_id {id_type}, dist double, target double, part long"
 
     def block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({id_col: [], "near_id": [], "dist": [], "target": []})
+            return pd.DataFrame({id_col: [], "near_id": [], "dist": [], "target": [], "part": []})
         right = right.sort_values(id_col)
         b, rid, y = _matrix(right[vec]), right[id_col].to_numpy(), right[target].to_numpy(dtype="float64")
         parts = []
@@ -122,14 +125,16 @@ def knn_mean(
                         "near_id": rid[best][keep],
                         "dist": dd[keep],
                         "target": y[best][keep],
+                        "part": right["_cell"].iloc[0] // MERGE * 1_000_000 + right["_ps"].iloc[0] // MERGE,
                     }
                 )
             )
         return pd.concat(parts)
 
     hits = q.groupBy(*keys).cogroup(pts.groupBy(*keys)).applyInPandas(block, schema)
-    # at most k rows per query and block reach this sort
+    # k rows per block; MERGE x MERGE neighbouring cells and slices are merged first, then the rest
     best = F.slice(F.sort_array(F.collect_list(F.struct("dist", "near_id", "target"))), 1, k)
+    hits = hits.groupBy(id_col, "part").agg(best.alias("_b")).select(id_col, F.inline("_b"))
     return hits.groupBy(id_col).agg(best.alias("_b")).select(
         id_col,
         F.size("_b").alias("n_near"),

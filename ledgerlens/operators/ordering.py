@@ -8,7 +8,7 @@ sees more than one bucket, however skewed the values or the groups are.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 from operator import or_
 
@@ -53,8 +53,14 @@ def running_totals(
     measures: Mapping[str, Column],
     by: Sequence[str] = (),
     rows_per_bucket: int = ROWS_PER_BUCKET,
+    keep: Callable[[Column, Column], Column] | None = None,
 ) -> DataFrame:
-    """One row per (by, value): measures (sums or counts) and ``<m>_before``, their total over smaller values."""
+    """One row per (by, value): measures (sums or counts) and ``<m>_before``, their total over smaller values.
+
+    Without ``by``, ``keep`` may name the stretches of the running total that
+    matter, as a condition on the first measure before and after a bucket; the
+    other buckets are not sorted.
+    """
     by = list(by)
     src = df.where(F.col(value).isNotNull() & has_all(by))
     edges = value_edges(src, value, rows_per_bucket)
@@ -63,22 +69,25 @@ def running_totals(
         w = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
         return per.withColumns({f"{k}_before": F.coalesce(F.sum(k).over(w), F.lit(0)) for k in measures})
     per = with_bucket(per, value, edges)
-    inner = Window.partitionBy(*by, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumns({f"{k}_before": F.coalesce(F.sum(k).over(inner), F.lit(0)) for k in measures})
     if not edges:
-        return per.drop("_bucket")
+        inner = Window.partitionBy("_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        return per.withColumns({f"{k}_before": F.coalesce(F.sum(k).over(inner), F.lit(0)) for k in measures}).drop("_bucket")
     # One row per bucket and group: small enough for a plain window.
     outer = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offs = (
         per.groupBy(*by, "_bucket")
         .agg(*[F.sum(k).alias(f"{k}_t") for k in measures])
         .withColumns({f"{k}_off": F.coalesce(F.sum(f"{k}_t").over(outer), F.lit(0)) for k in measures})
-        .drop(*[f"{k}_t" for k in measures])
     )
-    out = per.join(offs, [*by, "_bucket"])
-    for k in measures:
-        out = out.withColumn(f"{k}_before", F.col(f"{k}_before") + F.col(f"{k}_off"))
-    return out.drop("_bucket", *[f"{k}_off" for k in measures])
+    if not by:
+        n = next(iter(measures))
+        if keep is not None:
+            offs = offs.where(keep(F.col(f"{n}_off"), F.col(f"{n}_off") + F.col(f"{n}_t")))
+        offs = F.broadcast(offs)  # at most MAX_BUCKETS rows
+    per = per.join(offs.drop(*[f"{k}_t" for k in measures]), [*by, "_bucket"])
+    inner = Window.partitionBy(*by, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    running = {f"{k}_before": F.coalesce(F.sum(k).over(inner), F.lit(0)) + F.col(f"{k}_off") for k in measures}
+    return per.withColumns(running).drop("_bucket", *[f"{k}_off" for k in measures])
 
 
 def ranked(
@@ -106,11 +115,13 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact linear-interpolated quantiles: one row per (by, q)."""
     by = list(by)
-    pos = running_totals(df, value, {"_n": F.count(F.lit(1))}, by, rows_per_bucket)
+    total = df.agg(F.count(value)).scalar()
+    keep = lambda first, past: _candidates(probs, first, past, total)[1]
+    pos = running_totals(df, value, {"_n": F.count(F.lit(1))}, by, rows_per_bucket, None if by else keep)
     if by:
         pos = attach(pos, pos.groupBy(*by).agg(F.sum("_n").alias("_total"), group_size()), by)
     else:
-        pos = pos.withColumn("_total", df.agg(F.count(value)).scalar())
+        pos = pos.withColumn("_total", total)
     place = lambda q: q * (F.col("_total") - 1)
     first, past = F.col("_n_before"), F.col("_n_before") + F.col("_n")
     lo_in = lambda q: (F.floor(place(q)) >= first) & (F.floor(place(q)) < past)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.safe import c, day_number, epoch_micros, has_all, no_nan, ratio
 from ..session import cut
-from .attach import attach, group_size
+from .attach import SIZE, attach, group_size
 
 ROWS_PER_SPLIT = 1_000_000
 
@@ -209,7 +209,7 @@ def _frame(keys: Sequence[str], n: int):
 
 
 def window_days(
-    df: DataFrame, keys: Sequence[str], ts: str, value: str, days: Sequence[int], stats: Sequence[str] = ("mean",)
+    df: DataFrame, keys: Sequence[str], ts: str, value: str, days: Sequence[int], stats: Sequence[str] = ("mean",), sized=False
 ) -> DataFrame:
     """Per active (keys, day): mean, sum, max or count of ``value`` over ``[day-n, day]``.
 
@@ -224,15 +224,15 @@ def window_days(
         "count": lambda w: F.sum("_rows").over(w),
     }
     named = {f"day{n}_{value}_{s}".replace("-", "m"): make[s](_frame(keys, n)) for n in days for s in stats}
-    return d.withColumns(named).select(*keys, "_day", *named)
+    size = [F.col("_rows").alias(SIZE)] if sized else []
+    return d.withColumns(named).select(*keys, "_day", *named, *size)
 
 
 def attach_window_days(df, keys, ts, value, days, stats=("mean",), relative: bool = True) -> DataFrame:
     """Attach ``window_days`` to the rows, with ratio and difference to the row's own value."""
-    feats = window_days(df, keys, ts, value, days, stats)
-    names = feats.columns[len(keys) + 1 :]
-    sizes = df.where(has_all([*keys, ts])).groupBy(*keys, day_number(ts).alias("_day")).agg(group_size())
-    out = attach(df.withColumn("_day", day_number(ts)), feats.join(sizes, [*keys, "_day"]), [*keys, "_day"]).drop("_day")
+    feats = window_days(df, keys, ts, value, days, stats, sized=True)
+    names = feats.columns[len(keys) + 1 : -1]
+    out = attach(df.withColumn("_day", day_number(ts)), feats, [*keys, "_day"]).drop("_day")
     if relative:
         for n in names:
             out = out.withColumns({f"{n}_org_ratio": ratio(n, value, 1), f"{n}_org_diff": F.col(n) - F.col(value)})

@@ -1,0 +1,5 @@
+"""Reserved for stream forms of the operators.
+
+The operators this library covers are all batch operators, so nothing is
+built here.
+"""
