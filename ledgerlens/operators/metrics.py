@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.safe import c, ratio
+from .attach import SIZE, attach, group_size
 from .ordering import ranked, running_totals
 
 
@@ -197,8 +198,9 @@ def daily_prediction_gap(df: DataFrame, date: str, label: str, pred: str) -> Dat
 
 
 def small_entity_auc(df: DataFrame, entity: str, label: str, score: str, at_most: int = 2) -> DataFrame:
-    per = df.groupBy(entity).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= at_most)
-    return auc(df.join(per, entity, "left_semi"), label, score)
+    per = df.groupBy(entity).agg(group_size())
+    per = per.select(entity, SIZE, (F.col(SIZE) <= at_most).alias("_small"))
+    return auc(attach(df, per, [entity]).where("_small"), label, score)
 
 
 def relative(a: str, b: str) -> Column:

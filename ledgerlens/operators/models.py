@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.safe import c, day_number
+from .attach import SIZE, attach, group_size
 from .metrics import auc
 from .ordering import exact_quantiles, running_totals
 from .sampling import hash_unit
@@ -122,8 +123,9 @@ def topic_mixture(docs: DataFrame, id_col: str, tokens: str, k: int = 5, min_df:
 def tokens_without_singletons(docs: DataFrame, id_col: str, text: str, at_least: int = 2) -> DataFrame:
     """Long tokens (id, pos, token) without tokens seen fewer than ``at_least`` times overall."""
     long = docs.select(id_col, F.posexplode(F.split(c(text), r"\s+")).alias("pos", "token")).where("token <> ''")
-    freq = long.groupBy("token").agg(F.count(F.lit(1)).alias("freq")).where(F.col("freq") >= at_least)
-    return long.join(freq.select("token"), "token", "left_semi")
+    freq = long.groupBy("token").agg(group_size())
+    freq = freq.select("token", SIZE, (F.col(SIZE) >= at_least).alias("_keep"))
+    return attach(long, freq, ["token"]).where("_keep").drop("_keep")
 
 
 def token_lists(long: DataFrame, id_col: str, out: str = "tokens") -> DataFrame:

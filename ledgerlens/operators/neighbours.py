@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.safe import c
+from ..session import cut
 from .sampling import hash_int
 
 BLOCK_ROWS = 20_000
@@ -63,7 +64,7 @@ def knn_mean(
     piv = choose_pivots(points, id_col, vec, pivots)
     near = F.array_position(F.col("_d"), F.array_min("_d")).cast("int") - 1
     pts = _to_pivots(points.select(id_col, vec, target), vec, piv)
-    pts = pts.withColumns({"_cell": near, "_r": F.array_min("_d")}).drop("_d")
+    pts = cut(pts.withColumns({"_cell": near, "_r": F.array_min("_d")}).drop("_d"))
     cells = pts.groupBy("_cell").agg(
         F.count(F.lit(1)).alias("n"), F.max("_r").alias("hi"), F.min("_r").alias("lo")
     ).collect()  # one row per pivot
@@ -86,7 +87,7 @@ def knn_mean(
         return pd.Series(out)
 
     q = _to_pivots(queries.select(id_col, vec), vec, piv)
-    q = q.withColumn("_cell", F.explode(reachable("_d"))).drop("_d")
+    q = cut(q.withColumn("_cell", F.explode(reachable("_d"))).drop("_d"))
     # a block is (cell, slice of its points, slice of its queries)
     per_cell = F.try_element_at(F.create_map(*[F.lit(x) for kv in blocks.items() for x in kv]), F.col("_cell"))
     pts = pts.withColumn("_ps", F.pmod(hash_int(id_col, 1), per_cell).cast("int")).drop("_r")

@@ -21,20 +21,18 @@ from ..session import cut
 from .attach import SIZE, attach, group_size
 
 ROWS_PER_BUCKET = 2_000_000
-MAX_BUCKETS = 2_000
+MAX_BUCKETS = 20_000
 
 
 def value_edges(df: DataFrame, value: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> list[float]:
-    """Inner bucket edges (at most ``MAX_BUCKETS``) from one aggregate; none for small inputs."""
-    probs = ",".join(f"{i / MAX_BUCKETS}D" for i in range(1, MAX_BUCKETS))
-    edges = F.expr(f"percentile_approx(CAST(`{value}` AS DOUBLE), array({probs}), 20000)")
-    row = df.agg(F.count(value).alias("n"), edges.alias("q")).first()
-    n = row["n"] or 0
+    """Inner bucket edges, at most ``MAX_BUCKETS``; none for small inputs, which only get counted."""
+    n = df.where(F.col(value).isNotNull()).count()
     m = min(MAX_BUCKETS, -(-n // rows_per_bucket))
     if m <= 1:
         return []
-    step = MAX_BUCKETS / m
-    return sorted({row["q"][round(i * step) - 1] for i in range(1, m)})
+    probs = ",".join(f"{i / m}D" for i in range(1, m))
+    edges = F.expr(f"percentile_approx(CAST(`{value}` AS DOUBLE), array({probs}), {max(10_000, 10 * m)})")
+    return sorted(set(df.agg(edges.alias("q")).first()["q"]))
 
 
 def with_bucket(df: DataFrame, value: str, edges: Sequence[float], out: str = "_bucket") -> DataFrame:

@@ -33,14 +33,14 @@ def folds(df: DataFrame, key: str, k: int, seed: int = 0, out: str = "fold") ->
 def stratified_folds(df: DataFrame, key: str, label: str, k: int, seed: int = 0, out: str = "fold") -> DataFrame:
     """Rows of each label are dealt round robin in hash order, so fold sizes differ by one at most.
 
-    The order number is the place within one of 4096 hash ranges plus the rows
+    The order number is the place within one of 65,536 hash ranges plus the rows
     of the ranges before it; no task sees a whole label.
     """
     h = F.md5(F.concat(text(key), F.lit(f":{seed}")))
-    x = df.withColumns({"_h": h, "_r": F.substring(h, 1, 3)})
+    x = df.withColumns({"_h": h, "_r": F.substring(h, 1, 4)})
     w = Window.partitionBy(label, "_r").orderBy("_h", key)
     x = x.withColumn("_i", F.row_number().over(w))
-    per = df.select(label, F.substring(h, 1, 3).alias("_r")).groupBy(label, "_r").agg(F.count(F.lit(1)).alias("_c"))
+    per = df.select(label, F.substring(h, 1, 4).alias("_r")).groupBy(label, "_r").agg(F.count(F.lit(1)).alias("_c"))
     prior = Window.partitionBy(label).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
     per = per.select(F.col(label).alias("_l"), F.col("_r").alias("_r2"), F.coalesce(F.sum("_c").over(prior), F.lit(0)).alias("_off"))
     x = x.join(per, x[label].eqNullSafe(per["_l"]) & (x["_r"] == per["_r2"]), "left")

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import aggs as ag
+from ..operators.attach import group_size
 from ..session import scratch
 from ..sources import store as st
 from ..sources import warehouse as wh
@@ -60,8 +61,8 @@ def _(t):
 )
 def _(t):
     d = t.txn.select("txn_id", "uid", "amt", "status")
-    m = ag.group_stats(d, ["uid"], {"amt": ["mean"]}).withColumnRenamed("amt_mean", "uid_mean")
-    n = d.where("status = 'F'").groupBy("uid").agg(F.count(F.lit(1)).alias("uid_f"))
+    m = ag.sized_stats(d, ["uid"], {"amt": ["mean"]}).withColumnRenamed("amt_mean", "uid_mean")
+    n = d.groupBy("uid").agg(F.count_if(F.col("status") == "F").alias("uid_f"), group_size())
     x = st.assemble_columns(d.select("txn_id", "uid"), [m, n], "uid")
     return x.select("txn_id", r("uid_mean").alias("uid_mean"), F.coalesce("uid_f", F.lit(0)).alias("uid_f"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.safe import c
+from ..operators.attach import attach
 
 
 def read_csv(spark: SparkSession, path: str, schema: str, limit: int | None = None) -> DataFrame:
@@ -55,8 +56,8 @@ def load_column(spark: SparkSession, path: str, key: str, fmt: str = "parquet",
 
 
 def assemble_columns(spine: DataFrame, tables: Sequence[DataFrame], key: str) -> DataFrame:
-    """Left-join keyed feature tables onto the spine."""
-    return reduce(lambda a, b: a.join(b, key, "left"), tables, spine)
+    """Left-join keyed feature tables onto the spine; tables with group sizes are joined skew-proof."""
+    return reduce(lambda a, b: attach(a, b, [key]), tables, spine)
 
 
 def save_features(df: DataFrame, key: str, prefix: str, path: str, cols: Sequence[str], as_float: bool = True) -> None:

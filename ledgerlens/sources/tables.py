@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.safe import month_index
+from ..operators.attach import attach, group_size
 from ..session import tune
 
 TABLES = (
@@ -57,8 +58,8 @@ class Tables:
     def txn_aged(self) -> DataFrame:
         """Transactions with ``d1``, the days since the customer's first order."""
         t = self.txn
-        first = t.groupBy("uid").agg(F.min("ts").alias("_first"))
-        return t.join(first, "uid").withColumn("d1", F.datediff("ts", "_first")).drop("_first")
+        first = t.groupBy("uid").agg(F.min("ts").alias("_first"), group_size())
+        return attach(t, first, ["uid"]).withColumn("d1", F.datediff("ts", "_first")).drop("_first")
 
     @property
     def ev(self) -> DataFrame:
