@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import encoders as enc
 from ..operators import target as tg
-from ..sources.tables import TXN_SQL, TXN_WIDE_SQL, Tables
+from ..sources.tables import TEST_FROM, TXN_SQL, TXN_WIDE_SQL, Tables
 from .registry import R, query, r, rs
 
 LINE_KEY = ["l_orderkey", "l_linenumber"]
@@ -213,7 +213,17 @@ def _(t):
     return rs(tg.leave_period_out(d, ["bin"], "label", "month", "te").select("txn_id", "bin", "te"), ["te"])
 
 
-@query("t03_attach_profile", "T05 T06", None)
+_PROFILE = ["fraud_all_mean", "no_fraud_sum", "prob_std", "prob_trend", "ratio_weighted_mean"]
+
+
+@query(
+    "t05_attach_profile", "T05 T06",
+    f"""SELECT o_orderkey AS txn_id, {', '.join(f'coalesce(p.{n}, -1)::DOUBLE AS uid_{n}' for n in _PROFILE)}
+      FROM orders LEFT JOIN ({_profile_sql(['uid'], 6)}) p ON o_custkey = p.uid
+        AND p.own = CASE WHEN o_orderdate < TIMESTAMP '{TEST_FROM}' THEN year(o_orderdate) - 1995 ELSE -1 END""",
+)
 def _(t):
     d = t.txn.select("txn_id", "uid", "label", (F.year("ts") - 1995).alias("p"))
-    return tg.attach_period_profile(d, ["uid"], "label", "p", 6, "uid_")
+    x = tg.attach_period_profile(d, ["uid"], "label", "p", 6, "uid_")
+    x = x.withColumns({f"uid_{n}": r(f"uid_{n}") for n in _PROFILE if n != "no_fraud_sum"})
+    return x.select("txn_id", *[F.coalesce(F.col(f"uid_{n}").cast("double"), F.lit(-1.0)).alias(f"uid_{n}") for n in _PROFILE])

@@ -104,7 +104,7 @@ def _(t):
     return en.consecutive_ids(comp, "p_partkey", "component")
 
 
-def _jump_sql(prev):
+def _jump_sql():
     c1, age, gap = "c1", "d1", "d3"
     lad = lambda steps: " ".join(f"WHEN {c1} <= {b} THEN {v}" for b, v in steps)
     same = f"WHEN {c1} IN (1, 2, 3) THEN {c1}"
@@ -123,7 +123,7 @@ def _jump_input(t):
 @query(
     "g06_split_on_jumps_once", "G06 W17",
     f"""WITH {TXN_AGED_SQL}, x AS (SELECT txn_id, uid, ts, d1, txn_id % 9 AS d3, (txn_id % 53 + 1)::DOUBLE AS c1, (txn_id % 17 + 1)::DOUBLE AS c13 FROM txn_aged),
-      y AS (SELECT *, ({_jump_sql('c1')})::DOUBLE AS lim, coalesce(lag(c1) OVER w, c1) AS p1, coalesce(lag(c13) OVER w, c13) AS p13 FROM x WINDOW w AS (PARTITION BY uid ORDER BY ts, txn_id))
+      y AS (SELECT *, ({_jump_sql()})::DOUBLE AS lim, coalesce(lag(c1) OVER w, c1) AS p1, coalesce(lag(c13) OVER w, c13) AS p13 FROM x WINDOW w AS (PARTITION BY uid ORDER BY ts, txn_id))
       SELECT txn_id, {R('lim')} AS lim, uid || '-' || (c1 / p1 > lim)::INT || '-' || (c13 / p13 > lim)::INT AS split_id FROM y""",
 )
 def _(t):
@@ -131,7 +131,24 @@ def _(t):
     return x.select("txn_id", r("limit").alias("lim"), "split_id")
 
 
-@query("g06_split_on_jumps", "G06", None)
+def _rounds_sql(n):
+    """One table per round: each appends its two flags to the id."""
+    parts = []
+    for i in range(n):
+        prev = "CASE WHEN lag({0}) OVER w IS NULL THEN {0} ELSE lag({0}) OVER w END"
+        flags = " || ".join(f"'-' || ({v} / abs({prev.format(v)}) > lim)::INT" for v in ("c1", "c13"))
+        parts.append(
+            f"r{i + 1} AS (SELECT txn_id, ts, c1, c13, lim, split_id || {flags} AS split_id FROM r{i} WINDOW w AS (PARTITION BY split_id ORDER BY ts, txn_id))"
+        )
+    return ", ".join(parts)
+
+
+@query(
+    "g06_split_on_jumps", "G06",
+    f"""WITH {TXN_AGED_SQL}, x AS (SELECT txn_id, uid, ts, d1, txn_id % 9 AS d3, (txn_id % 53 + 1)::DOUBLE AS c1, (txn_id % 17 + 1)::DOUBLE AS c13 FROM txn_aged),
+      r0 AS (SELECT *, ({_jump_sql()})::DOUBLE AS lim, uid::VARCHAR AS split_id FROM x), {_rounds_sql(10)}
+      SELECT txn_id, split_id FROM r10""",
+)
 def _(t):
     x = en.split_on_jumps(_jump_input(t), "uid", ["ts", "txn_id"], ["c1", "c13"], "limit", rounds=10)
     return x.select("txn_id", "split_id")
