@@ -56,7 +56,8 @@ def sliced(df: DataFrame, keys: Sequence[str], order: str, rows_per_split: int =
     out = df.join(hot, list(keys), "left")
     pieces = F.ceil(F.col("_n") / rows_per_split)
     step = (_axis(df, order) - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1)
-    piece = F.when(F.col("_n").isNotNull(), F.floor(step * pieces) + 1).otherwise(0)
+    # rows without a time sort first, so they belong to the first slice
+    piece = F.when(F.col("_n").isNotNull(), F.coalesce(F.floor(step * pieces) + 1, F.lit(1))).otherwise(0)
     return out.withColumn("_slice", piece.cast("long")).drop("_n", "_lo", "_hi"), True
 
 

@@ -212,3 +212,11 @@ def test_attach_few_falls_back_when_the_table_is_long(hot, monkeypatch):
     a = rows(attach(hot, stats, ["key"], few=True), "id", "n")
     monkeypatch.setattr(mod, "FEW", 1)
     assert rows(attach(hot, stats, ["key"], few=True), "id", "n") == a
+
+
+def test_rows_without_a_time_stay_first_in_a_hot_key(spark):
+    data = [(i, 0, None if i % 10 == 0 else i) for i in range(60)]
+    df = spark.createDataFrame(data, "id long, key long, t long")
+    got = windows.ordered(df, ["key"], ["t", "id"], {"p": lambda w: F.lag("id", 1).over(w)}, 1, 0, rows_per_split=7)
+    want = df.withColumn("p", F.lag("id", 1).over(Window.partitionBy("key").orderBy("t", "id")))
+    assert rows(got, "id", "p") == rows(want, "id", "p")
