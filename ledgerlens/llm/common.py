@@ -73,3 +73,11 @@ def unpack(df: DataFrame, columns: list[str], used: dict[str, str], extra: dict[
     lower = {k.lower() for k in extra}
     kept = [(back[c] if c in back else F.col("_rest").getField(c)).alias(c) for c in columns if c.lower() not in lower]
     return df.select(*kept, *((F.col(v) if isinstance(v, str) else v).alias(k) for k, v in extra.items()))
+
+
+def bounded_batches(spark: SparkSession, rows: int = 256) -> SparkSession:
+    """Few rows to an Arrow batch, so that batches of long texts stay small."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+    return spark

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import encode_digests
+from .exact import exact_groups
 from .lines import line_dedup
 from .mixing import mix_documents
+from .pages import extract_pages
+from .token_counts import count_tokens
 
 
 def _table(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -19,12 +24,33 @@ def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return df.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
 
 
+def op3_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return extract_pages(_table(spark, folder, "pages"))
+
+
 def op4_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     df = mix_documents(_table(spark, folder, "documents").select("doc_id", "source", "text"))
     return df.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_groups(_table(spark, folder, "documents"), keep="max")
+
+
+def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return encode_digests(_table(spark, folder, "documents"), str(public_tokenizers.path("word_bpe_49k.json")))
+
+
+def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Every line of every document with its share of the document's tokens."""
+    return count_tokens(_table(spark, folder, "documents"), str(public_tokenizers.path("byte_bpe_50k.tiktoken")))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op3_html_extraction": op3_html_extraction,
     "op4_source_mixing": op4_source_mixing,
+    "op5_exact_dedup": op5_exact_dedup,
+    "op6_bpe": op6_bpe,
+    "op9_token_counts": op9_token_counts,
 }

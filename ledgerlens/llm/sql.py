@@ -48,9 +48,15 @@ def mixing(docs: str, text: str = "text", seed: str = "mix") -> str:
 
 TAKEN = "(size * whole + CASE WHEN h < cut THEN size WHEN h = cut THEN floor(size * rest / at_cut) ELSE 0 END)::BIGINT"
 
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
 SQL = {
     "op1_line_dedup": f"""WITH {line_dedup("documents")}
 SELECT doc_id, nl AS n_lines, nd AS n_dropped, sha256(coalesce(cut_text, '')) AS text_sha256 FROM cleaned""",
     "op4_source_mixing": f"""WITH {mixing("documents")}
 SELECT doc_id, size, source_size, target, {TAKEN} AS taken FROM mixed""",
+    "op5_exact_dedup": f"""WITH d AS (
+  SELECT doc_id, sha256(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}')) AS sha FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY sha) AS keep_id, count(*) OVER (PARTITION BY sha) AS group_size,
+  row_number() OVER (PARTITION BY sha ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha AS text_sha256 FROM d""",
 }
