@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from .common import bounded_batches, name
 
 # Unicode white space as the file's expressions mean it (without the separators U+001C to U+001F).
-SPACE = "\\t-\\r \x85\xa0  -     　"
+SPACE = r"\t-\r \x85\xa0  -     　"
 # Words that a worker remembers; the older half goes when they are more.
 MEMORY = 300_000
 

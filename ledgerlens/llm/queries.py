@@ -11,6 +11,7 @@ from .exact import exact_groups
 from .lines import line_dedup
 from .mixing import mix_documents
 from .pages import extract_pages
+from .spots import edit_report
 from .token_counts import count_tokens
 
 
@@ -46,6 +47,10 @@ def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return count_tokens(_table(spark, folder, "documents"), str(public_tokenizers.path("byte_bpe_50k.tiktoken")))
 
 
+def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return edit_report(_table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op3_html_extraction": op3_html_extraction,
@@ -53,4 +58,5 @@ QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_bpe": op6_bpe,
     "op9_token_counts": op9_token_counts,
+    "op10_fingerprints": op10_fingerprints,
 }

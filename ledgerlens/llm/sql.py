@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from .spots import ANCHORS
+
 TRIM = "' ' || chr(9) || chr(13) || chr(11) || chr(12)"
 
 
@@ -50,6 +52,29 @@ TAKEN = "(size * whole + CASE WHEN h < cut THEN size WHEN h = cut THEN floor(siz
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
+def signatures(text: str) -> str:
+    """The fingerprint set of a text as a list."""
+    anchors = ", ".join(f"'{a}'" for a in ANCHORS)
+    words = rf"trim(regexp_replace(lower({text}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+    found = (
+        f"list_filter(list_transform(ws, lambda x, i: {{'w': x, 'a': CASE WHEN i = 1 THEN '^' WHEN ws[i - 1] IN ({anchors}) THEN ws[i - 1] END}}),"
+        f" lambda x: x.w NOT IN ({anchors}))"
+    )
+    chain = (
+        "list_filter(list_transform(cs, lambda x, i: CASE WHEN x.a IS NOT NULL OR i = 1 THEN "
+        "md5(concat_ws(' ', coalesce(x.a, '^'), x.w, cs[i + 1].w))[1:8] END), lambda x: x IS NOT NULL)"
+    )
+    return (
+        f"(SELECT CASE WHEN wd = '' THEN [] WHEN len(cs) = 0 THEN [md5(wd)[1:8]] ELSE list_sort(list_distinct({chain})) END"
+        f" FROM (SELECT wd, {found} AS cs FROM (SELECT wd, string_split(wd, ' ') AS ws FROM (SELECT {words} AS wd))))"
+    )
+
+
+def likeness(a: str, b: str) -> str:
+    both = f"len(list_intersect({a}, {b}))"
+    return f"CASE WHEN len({a}) = 0 AND len({b}) = 0 THEN 1.0::DOUBLE ELSE {both}::DOUBLE / (len({a}) + len({b}) - {both}) END"
+
+
 SQL = {
     "op1_line_dedup": f"""WITH {line_dedup("documents")}
 SELECT doc_id, nl AS n_lines, nd AS n_dropped, sha256(coalesce(cut_text, '')) AS text_sha256 FROM cleaned""",
@@ -59,4 +84,12 @@ SELECT doc_id, size, source_size, target, {TAKEN} AS taken FROM mixed""",
   SELECT doc_id, sha256(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}')) AS sha FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY sha) AS keep_id, count(*) OVER (PARTITION BY sha) AS group_size,
   row_number() OVER (PARTITION BY sha ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha AS text_sha256 FROM d""",
+    "op10_fingerprints": f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+  n AS (SELECT *, lead(text) OVER w AS nx, first(text) OVER (ORDER BY doc_id DESC NULLS LAST, text) AS fs FROM d
+    WINDOW w AS (ORDER BY doc_id DESC NULLS LAST, text)),
+  e AS (SELECT doc_id, text, coalesce(nx, fs) AS nx, length(text) - length(text) // 3 AS k FROM n),
+  f AS (SELECT doc_id, text, nx, text[1:k] || nx[1:length(text) - k] AS ed FROM e),
+  g AS (SELECT doc_id, text, ed, {signatures("text")} AS s, {signatures("ed")} AS es, {signatures("nx")} AS ns FROM f)
+SELECT doc_id, length(text)::BIGINT AS n_chars, sha256(ed) AS edited_sha256, array_to_string(s, ' ') AS fingerprint,
+  array_to_string(es, ' ') AS edited_fingerprint, {likeness("s", "es")} AS near_edited, {likeness("s", "ns")} AS near_next FROM g""",
 }
