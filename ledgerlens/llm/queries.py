@@ -10,6 +10,7 @@ from .bpe import encode_digests
 from .exact import exact_groups
 from .lines import line_dedup
 from .mixing import mix_documents
+from .near import near_groups
 from .pages import extract_pages
 from .spots import edit_report
 from .token_counts import count_tokens
@@ -42,6 +43,10 @@ def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return encode_digests(_table(spark, folder, "documents"), str(public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op7_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return near_groups(_table(spark, folder, "documents"), width=2, percent=80).drop("key")
+
+
 def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Every line of every document with its share of the document's tokens."""
     return count_tokens(_table(spark, folder, "documents"), str(public_tokenizers.path("byte_bpe_50k.tiktoken")))
@@ -57,6 +62,7 @@ QUERIES = {
     "op4_source_mixing": op4_source_mixing,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_bpe": op6_bpe,
+    "op7_minhash": op7_minhash,
     "op9_token_counts": op9_token_counts,
     "op10_fingerprints": op10_fingerprints,
 }
