@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encode_digests
+from .common import crc_fold
 from .exact import exact_groups
 from .lines import line_dedup
 from .mixing import mix_documents
@@ -14,6 +15,7 @@ from .near import near_groups
 from .pages import extract_pages
 from .spots import edit_report
 from .token_counts import count_tokens
+from .toxicity import Model, fit, score_documents
 
 
 def _table(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -47,6 +49,18 @@ def op7_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_groups(_table(spark, folder, "documents"), width=2, percent=80).drop("key")
 
 
+def toxicity_model(spark: SparkSession, folder: str) -> Model:
+    """Fitted on the labelled documents whose crc32 modulo 5 is not 0."""
+    labels = _table(spark, folder, "labels").where(crc_fold(F.col("doc_id"), 5) != 0).select("doc_id", "toxic")
+    return fit(_table(spark, folder, "documents").select("doc_id", "text").join(labels, "doc_id"))
+
+
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    df = score_documents(_table(spark, folder, "documents"), toxicity_model(spark, folder))
+    held = crc_fold(F.col("doc_id"), 5) == 0
+    return df.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Every line of every document with its share of the document's tokens."""
     return count_tokens(_table(spark, folder, "documents"), str(public_tokenizers.path("byte_bpe_50k.tiktoken")))
@@ -63,6 +77,7 @@ QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_bpe": op6_bpe,
     "op7_minhash": op7_minhash,
+    "op8_toxicity": op8_toxicity,
     "op9_token_counts": op9_token_counts,
     "op10_fingerprints": op10_fingerprints,
 }
