@@ -40,10 +40,11 @@ SAMPLE = {1: 2000, 0: 5000}
 SAMPLE_CHARS = 40_000
 # Words of a window, and the longest word; a longer one is cut into several.
 WINDOW, LONGEST = 8, 64
-# Bytes of the dictionaries.
+# Most bytes of the dictionaries.
 ORDINARY_BYTES, TOXIC_BYTES = 32 << 10, 2 << 10
-# A letter sequence is toxic if at least this many toxic documents hold it, at this many times the ordinary rate.
-GRAM, LEAST, TIMES = 5, 3, 5.0
+# A letter sequence is toxic if at least LEAST toxic documents hold it, TIMES as many as the ordinary
+# rate gives and SIGMA standard deviations more. Each one makes room for GRAM_BYTES of the dictionary.
+GRAM, LEAST, TIMES, SIGMA, GRAM_BYTES = 5, 3, 3.0, 8.0, 12
 # Thresholds of a window's distance, in bytes.
 STEPS = (2, 3, 4, 6)
 EDGE = ".,!?;:"
@@ -142,11 +143,17 @@ def dictionaries(rows: list[Row]) -> tuple[bytes, bytes]:
     for _, t, y in rows:
         n[y] += 1
         counts[y].update(set().union(*map(_grams, set(words(t)))))
-    marks = {g for g, k in counts[1].items() if k >= LEAST and k / n[1] > TIMES * (counts[0][g] + 0.5) / n[0]}
+
+    def marked(gram: str, k: int) -> bool:
+        expected = n[1] * (counts[0][gram] + 0.5) / n[0]
+        return k >= LEAST and k > TIMES * expected and k - expected > SIGMA * expected**0.5
+
+    marks = {g for g, k in counts[1].items() if marked(g, k)}
     own = [[w.strip(EDGE) for w in words(t) if _grams(w) & marks] for _, t, y in rows if y]
     ordinary = sorted({w for _, t, y in rows if not y for w in windows(t)}, key=lambda w: (zlib.crc32(w), w))[:100_000]
     toxic = [" ".join(w).encode("utf-8", "surrogatepass") for w in own if w]
-    return _dictionary(ORDINARY_BYTES, ordinary), _dictionary(TOXIC_BYTES, toxic, k=16, d=8)
+    size = max(256, min(TOXIC_BYTES, GRAM_BYTES * len(marks)))
+    return _dictionary(ORDINARY_BYTES, ordinary), _dictionary(size, toxic, k=16, d=8)
 
 
 def train(rows: Iterable[tuple[int | None, str | None, int]]) -> Model:
