@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .bpe import encode_digests
 from .common import crc_fold
 from .exact import exact_groups
+from .lm import language_model_scores
 from .lines import line_dedup
 from .mixing import mix_documents
 from .near import near_groups
@@ -28,6 +29,12 @@ def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return df.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
 
 
+def op2_pitman_yor(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document scored by the model of the documents whose crc32 modulo 10 is not 0."""
+    df = language_model_scores(_table(spark, folder, "documents"), crc_fold(F.col("doc_id"), 10) != 0)
+    return df.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
 def op3_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return extract_pages(_table(spark, folder, "pages"))
 
@@ -72,6 +79,7 @@ def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_pitman_yor": op2_pitman_yor,
     "op3_html_extraction": op3_html_extraction,
     "op4_source_mixing": op4_source_mixing,
     "op5_exact_dedup": op5_exact_dedup,
