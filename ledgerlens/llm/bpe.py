@@ -29,6 +29,7 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -219,8 +220,10 @@ def _encode(path: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for b in batches:
-            ids = [[int(x) for x in enc.text(t or "")[0].split()] for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, schema.types[1])], schema=schema)
+            ids = [np.fromstring(enc.text(t or "")[0], np.int32, sep=" ") for t in b.column(1).to_pylist()]
+            ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+            flat = pa.array(np.concatenate([np.zeros(0, np.int32), *ids]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), flat)], schema=schema)
 
     return run
 

@@ -148,3 +148,12 @@ def mix_documents(
         "repetitions": (F.col("_whole") + F.coalesce(once.cast("int"), F.lit(0))).cast("int"),
     }
     return unpack(df, docs.columns, used, extra)
+
+
+def repeat_documents(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", **how) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as ``repetitions`` says, columns unchanged."""
+    used = {"id": doc_id, "source": source, "text": text}
+    df = pack(docs, **used)
+    packed = mix_documents(df, "_id", "_source", "_text", **how)
+    packed = packed.withColumn("_n", F.explode(F.array_repeat(F.lit(0), F.col("repetitions"))))
+    return unpack(packed, docs.columns, used, {})

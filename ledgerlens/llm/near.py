@@ -294,3 +294,19 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
         (F.col("uid") == F.col("best.uid")).alias("kept"),
         "key",
     )
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` without all but one document of each component: the one with the smallest id."""
+    rows = near_groups(docs, doc_id, text, width, percent)
+    rows = cut(rows.select(F.col(doc_id).alias("_of"), F.col("key").alias("_key"), "kept"))
+    kept = rows.groupBy("_of", "_key").agg(F.max(F.col("kept").cast("int")).alias("any"), F.count(F.lit(1)).alias("_rows"))
+    kept = sized_broadcast(kept.where("any = 1").select("_of", "_key", "_rows"), F.lit(40))
+    rest = [c for c in docs.columns if c not in (doc_id, text)]
+    df = docs.select(name(doc_id).alias("_id"), name(text).alias("_text"), F.struct(F.lit(0), *map(name, rest)).alias("_rest"))
+    on = F.col("_id").cast("long").eqNullSafe(F.col("_of")) & F.xxhash64("_text").eqNullSafe(F.col("_key"))
+    df = df.join(kept, on)
+    # A row that is there several times stays once.
+    df = df.where("_rows = 1").union(df.where("_rows > 1").dropDuplicates(["_of", "_key"]))
+    back = {doc_id: F.col("_id"), text: F.col("_text")}
+    return df.select(*((back[c] if c in back else F.col("_rest").getField(c)).alias(c) for c in docs.columns))
