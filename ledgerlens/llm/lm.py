@@ -48,7 +48,7 @@ from .near import WordHashes
 
 CONTEXTS = 1 << 16
 # Bytes of text in a chunk, and documents at most.
-CHUNK, CHUNK_DOCS = 16 << 20, 1 << 15
+CHUNK, CHUNK_DOCS = 10 << 20, 1 << 15
 # Bytes of text whose words share a partition.
 PARTITION = 32 << 20
 # Buckets of words per partition.
@@ -363,11 +363,21 @@ def _gibbs(totals: Totals):
     return run
 
 
-SCORES_SPEC = "rid long, score double, base double, known long"
+PACK = np.dtype([("doc", "<u2"), ("known", "<u4"), ("score", "<f8"), ("base", "<f8")])
+SUM_SPEC = "rid long, score double, base double, known long"
+
+
+def _add_up(table: pa.Table) -> pa.Table:
+    """Sums per document of one chunk over the partitions of words."""
+    packs = np.frombuffer(b"".join(table["data"].to_pylist()), PACK)
+    there = np.flatnonzero(np.bincount(packs["doc"], minlength=1))
+    score, base, known = (np.bincount(packs["doc"], packs[f])[there] for f in ("score", "base", "known"))
+    return pa.table({"rid": pa.array(table["base"][0].as_py() + there), "score": score, "base": base, "known": pa.array(known.astype(np.int64))})
 
 
 def _score(totals: Totals):
-    schema = pa.schema([("rid", pa.int64()), ("score", pa.float64()), ("base", pa.float64()), ("known", pa.int64())])
+    """Per chunk, the sums of its documents over the partition's words, packed."""
+    schema = pa.schema([("base", pa.int64()), ("data", pa.binary())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = Partition(batches, totals.frequent)
@@ -385,7 +395,7 @@ def _score(totals: Totals):
         tokens = p.per_word(p.customers)
         tokens[f] = totals.frequent_tokens[at]
         log_base, known = np.log10(tokens + 0.1)[p.w], (tokens > 0).astype(float)[p.w]
-        # A partition's chunks of the same documents give one row per document.
+        # A partition gives one row per chunk of documents.
         ends = np.cumsum([len(e) for e in p.entries])
         for base, blobs in groupby(sorted(range(len(p.base)), key=p.base.__getitem__), key=p.base.__getitem__):
             x, y, z = (np.zeros(CHUNK_DOCS) for _ in range(3))
@@ -398,7 +408,9 @@ def _score(totals: Totals):
                 for out, v in ((x, log_p), (y, log_base), (z, known)):
                     out += np.bincount(doc, n * v[pair], CHUNK_DOCS)
             some = np.flatnonzero(there)
-            yield pa.RecordBatch.from_arrays([pa.array(base + some), pa.array(x[some]), pa.array(y[some]), pa.array(z[some].astype(np.int64))], schema=schema)
+            pack = np.empty(len(some), PACK)
+            pack["doc"], pack["score"], pack["base"], pack["known"] = some, x[some], y[some], z[some]
+            yield pa.RecordBatch.from_arrays([pa.array([base]), pa.array([pack.tobytes()], pa.binary())], schema=schema)
 
     return run
 
@@ -464,15 +476,14 @@ def language_model_scores(docs: DataFrame, train: Column, doc_id: str = "doc_id"
         totals.sample_frequent.append((customers, tables))
         totals.sample_top.append((float(all_customers[0] + customers.sum()), float(all_tables[0] + tables.sum())))
 
-    scored = chunks.mapInArrow(_score(totals), SCORES_SPEC).groupBy("rid")
-    scored = scored.agg(F.sum("score").alias("score"), F.sum("base").alias("base"), F.sum("known").alias("n_known"))
+    scored = chunks.mapInArrow(_score(totals), "base long, data binary").groupBy("base").applyInArrow(_add_up, SUM_SPEC)
     own = made.where("bucket < 0").select(F.col("base").alias("rid"), "doc_id", "train", "n_tokens")
     norm = float(np.log10(totals.tokens + 0.1 * (totals.words + 1)))
     return own.join(scored, "rid").select(
         F.col("doc_id").alias(doc_id),
         "train",
         "n_tokens",
-        "n_known",
+        F.col("known").alias("n_known"),
         F.lit(totals.tokens).cast("long").alias("train_tokens"),
         (F.col("base") - F.col("n_tokens") * F.lit(norm)).alias("base_score"),
         "score",
