@@ -191,7 +191,9 @@ def main_text(html: str | None, sigma: float = 1.0, level: float = 1.0) -> str:
                 size[lines[i][3]] = size.get(lines[i][3], 0) + len(lines[i][0]) * (lines[i][3] > 0)
             chosen = {max(size, key=size.get)}
         return "\n".join(lines[i][0] for i in free if lines[i][3] in chosen)
-    first, last = content[0], content[-1]
+    # Smoothing lifts the neighbours of long lines: a cluster begins and ends with a line that passes by itself.
+    own = [i for i in content if ratio[i] > bound] or content
+    first, last = own[0], own[-1]
     at = free.index(first)
     while at and lines[free[at - 1]][4] in HEADINGS:
         at -= 1

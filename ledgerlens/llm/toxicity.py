@@ -230,4 +230,5 @@ def keep_ordinary(docs: DataFrame, model: Model, text: str = "text", level: floa
         for b in batches:
             yield b.filter(pa.array(model.scores(distance, b.column(at).to_pylist()) < level, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
