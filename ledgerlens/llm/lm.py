@@ -309,6 +309,8 @@ class Partition:
                 yield tables, customers, parent_tables
 
 
+# Sums by kind: keys and two values.
+Sums = dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
 SUMS = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("a", pa.float64()), ("b", pa.float64())])
 SUMS_SPEC = "kind int, key long, a double, b double"
 
@@ -430,7 +432,7 @@ def _discount(once: float, twice: float) -> float:
     return float(np.clip(once / (once + 2 * twice) if once else 0.5, 0.05, 0.95))
 
 
-def _collect(df: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _collect(df: DataFrame) -> Sums:
     """Sums by kind: keys and two values. At most a row per context, sample and frequent word."""
     rows = df.groupBy("kind", "key").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toPandas()
     return {int(kind): tuple(g[c].to_numpy() for c in ("key", "a", "b")) for kind, g in rows.groupby("kind")}
@@ -443,39 +445,45 @@ def _dense(found: tuple[np.ndarray, np.ndarray, np.ndarray] | None, n: int) -> t
     return a, b
 
 
-def language_model_scores(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: ``doc_id, train, n_tokens, n_known, train_tokens, base_score, score, perplexity``.
-
-    ``train`` tells which documents the model learns from (missing: no).
-    """
-    spark = bounded_batches(docs.sparkSession)
-    frequent = frequent_words(docs, text)
-    n = parts(spark, text_bytes(docs, text), PARTITION)
-    rows = docs.select(name(doc_id).cast("long").alias("id"), F.coalesce(train, F.lit(False)).alias("train"), name(text).alias("text"))
-    made = cut(rows.mapInArrow(_chunks(SPREAD * n, frequent), ROW_SPEC).repartition(n, F.coalesce(F.nullif(F.col("bucket"), F.lit(-1)).cast("long"), F.col("base"))))
-    chunks = made.where("bucket >= 0").select("base", "data")
-    k = len(frequent)
-
-    found = _collect(chunks.mapInArrow(_count(frequent), SUMS_SPEC))
+def first_totals(found: Sums, frequent: np.ndarray) -> Totals:
+    """The state before sampling, from the sums of the counting pass."""
     totals = Totals(*_dense(found.get(0), CONTEXTS), frequent=frequent)
-    tokens, shared = _dense(found.get(2), k)
+    tokens, shared = _dense(found.get(2), len(frequent))
     total, second = _dense(found.get(1), 4)
     totals.frequent_tokens, totals.frequent_customers = tokens, shared
     totals.tokens, totals.parent = int(total[0]), int(second[0])
     totals.words = int(total[2]) + int((tokens > 0).sum())
     totals.discount = _discount(total[1], second[1])
     totals.discount_top = _discount(total[3] + (shared == 1).sum(), second[3] + (shared == 2).sum())
+    return totals
+
 
-    found = _collect(chunks.mapInArrow(_gibbs(totals), SUMS_SPEC))
+def add_samples(found: Sums, totals: Totals) -> None:
+    """The normalisers of every sample, from the sums of the Gibbs pass; frequent words are seated here."""
+    k = len(totals.frequent)
     rest = (STRENGTH + totals.discount_top * totals.words) / (totals.words + 1)
     for s in range(SAMPLES):
         totals.sample_tables.append(_dense(found.get(10 + s), CONTEXTS)[0])
         customers = _dense(found.get(30 + s), k)[0]
-        tables = draw_tables(customers, np.full(k, rest), totals.discount_top, _uniform(_mix(frequent * _M), BURN + s))
+        tables = draw_tables(customers, np.full(k, rest), totals.discount_top, _uniform(_mix(totals.frequent * _M), BURN + s))
         all_customers, all_tables = _dense(found.get(20 + s), 1)
         totals.sample_frequent.append((customers, tables))
         totals.sample_top.append((float(all_customers[0] + customers.sum()), float(all_tables[0] + tables.sum())))
 
+
+def language_model_scores(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: ``doc_id, train, n_tokens, n_known, train_tokens, base_score, score, perplexity``.
+
+    ``train`` tells which documents the model learns from (missing: no).
+    """
+    spark = bounded_batches(docs.sparkSession)
+    frequent = frequent_words(docs, text)
+    n = parts(spark, text_bytes(docs, text), PARTITION)
+    rows = docs.select(name(doc_id).cast("long").alias("id"), F.coalesce(train, F.lit(False)).alias("train"), name(text).alias("text"))
+    made = cut(rows.mapInArrow(_chunks(SPREAD * n, frequent), ROW_SPEC).repartition(n, F.coalesce(F.nullif(F.col("bucket"), F.lit(-1)).cast("long"), F.col("base"))))
+    chunks = made.where("bucket >= 0").select("base", "data")
+    totals = first_totals(_collect(chunks.mapInArrow(_count(frequent), SUMS_SPEC)), frequent)
+    add_samples(_collect(chunks.mapInArrow(_gibbs(totals), SUMS_SPEC)), totals)
     scored = chunks.mapInArrow(_score(totals), "base long, data binary").groupBy("base").applyInArrow(_add_up, SUM_SPEC)
     own = made.where("bucket < 0").select(F.col("base").alias("rid"), "doc_id", "train", "n_tokens")
     norm = float(np.log10(totals.tokens + 0.1 * (totals.words + 1)))
