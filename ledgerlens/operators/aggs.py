@@ -228,7 +228,8 @@ def totals_with_all(df: DataFrame, level: str, date: str, aggs: Sequence[Column]
 
 
 def wrapped_day(day: str | Column, length: int = 365) -> Column:
-    return F.when(c(day) > length, c(day) - length).otherwise(c(day))
+    """Days beyond ``length`` start again at 1, as often as it takes."""
+    return F.when(c(day) > length, F.pmod(c(day) - 1, F.lit(length)) + 1).otherwise(c(day))
 
 
 def decayed_mean(value: str | Column, age: str | Column, rate: float) -> Column:

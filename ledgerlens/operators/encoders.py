@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
@@ -40,10 +40,24 @@ def factorize(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df
 
 
-def one_hot(df: DataFrame, cols: Sequence[str], drop: bool = True, limit: int = 1000) -> DataFrame:
-    """0/1 columns ``col_value_dummie``; the values are a bounded list."""
+def one_hot_long(df: DataFrame, id_col: str, cols: Sequence[str]) -> DataFrame:
+    """(id, slot) for every value of every column, slots in order of column and value; any number of values."""
+    long = df.select(id_col, *[c(x).cast("string").alias(x) for x in cols]).unpivot([id_col], list(cols), "feature", "level")
+    long = long.where("level IS NOT NULL")
+    slots = dense_codes(long.groupBy("feature", "level").agg(group_size()), ["feature", "level"], "slot")
+    return attach(long, slots, ["feature", "level"]).select(id_col, "slot")
+
+
+def one_hot(
+    df: DataFrame, cols: Sequence[str], drop: bool = True, limit: int = 1000, levels: Mapping[str, Sequence] | None = None
+) -> DataFrame:
+    """0/1 columns ``col_value_dummie`` for the given ``levels`` or all values of a column.
+
+    A wide table needs a bound on its columns: more than ``limit`` values are an
+    error, and ``one_hot_long`` is the form for them.
+    """
     for x in cols:
-        values = bounded_values(df, x, limit)
+        values = list(levels[x]) if levels and x in levels else bounded_values(df, x, limit)
         df = df.withColumns(
             {f"{x}_{v}_dummie": F.coalesce((c(x) == F.lit(v)).cast("int"), F.lit(0)) for v in values}
         )

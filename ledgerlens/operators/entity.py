@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.safe import c, composite_key, day_number, has_all, text
+from ..functions.safe import c, composite_key, day_number, epoch_micros, has_all, text
 from ..session import cut
 from .aggs import multi_period_entities
 from .attach import SIZE, attach, group_size
@@ -47,13 +47,14 @@ def lagged_gap_links(df: DataFrame, keys: Sequence[str], id_col: str, ts: str, g
     return x.select(id_col, F.coalesce(parent, c(id_col)).alias("parent"))
 
 
-def forest_roots(links: DataFrame, id_col: str, parent: str = "parent", out: str = "root", max_rounds: int = 60) -> DataFrame:
+def forest_roots(links: DataFrame, id_col: str, parent: str = "parent", out: str = "root") -> DataFrame:
     """Root of each row when every row has at most one earlier parent.
 
-    Pointer jumping: each round doubles the distance covered and is checkpointed.
+    Pointer jumping: each round doubles the distance covered and is checkpointed,
+    so the rounds are bounded by the logarithm of the rows; beyond it there is a cycle.
     """
     cur = cut(links.select(id_col, c(parent).alias("_p")))
-    for _ in range(max_rounds):
+    for _ in range(cur.count().bit_length() + 2):
         up = cur.select(c(id_col).alias("_p"), F.col("_p").alias("_pp"))
         nxt = cur.join(up, "_p", "left").select(id_col, F.coalesce("_pp", "_p").alias("_p"), (F.coalesce("_pp", "_p") != F.col("_p")).alias("_moved"))
         nxt = cut(nxt)
@@ -64,7 +65,7 @@ def forest_roots(links: DataFrame, id_col: str, parent: str = "parent", out: str
     raise RuntimeError("links did not settle; is there a cycle?")
 
 
-def components(nodes: DataFrame, edges: DataFrame, id_col: str, a: str = "a", b: str = "b", out: str = "component", max_rounds: int = 100) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame, id_col: str, a: str = "a", b: str = "b", out: str = "component") -> DataFrame:
     """Smallest id of each linked set.
 
     Every round takes the smallest label among neighbours (a partial
@@ -74,7 +75,7 @@ def components(nodes: DataFrame, edges: DataFrame, id_col: str, a: str = "a", b:
     both = edges.select(c(a).alias("_a"), c(b).alias("_b")).where("_a <> _b")
     both = cut(both.unionByName(both.select(F.col("_b").alias("_a"), F.col("_a").alias("_b"))).distinct())
     cur = cut(nodes.select(c(id_col).alias("_a"), c(id_col).alias("_l")))
-    for _ in range(max_rounds):
+    while True:  # labels only fall, so this settles
         near = both.join(cur.select(F.col("_a").alias("_b"), "_l"), "_b").groupBy("_a").agg(F.min("_l").alias("_m"))
         low = cur.join(near, "_a", "left").select("_a", "_l", F.least("_l", F.coalesce("_m", "_l")).alias("_n"))
         jump = cur.select(F.col("_a").alias("_n"), F.col("_l").alias("_j"))
@@ -84,7 +85,6 @@ def components(nodes: DataFrame, edges: DataFrame, id_col: str, a: str = "a", b:
         cur = nxt.drop("_moved")
         if not moved:
             return cur.select(F.col("_a").alias(id_col), F.col("_l").alias(out))
-    raise RuntimeError("components did not settle")
 
 
 def consecutive_ids(sets: DataFrame, id_col: str, component: str, out: str = "entity_id") -> DataFrame:
@@ -104,13 +104,69 @@ def invariant_groups(df: DataFrame, keys: Sequence[Column | str], id_col: str) -
     return attach(x, per, names).select(id_col, "head", "size")
 
 
+HOUR = 3_600_000_000
+
+
+def _hour_spots(df: DataFrame, keys: Sequence[str], id_col: str, ts: str, counter: str) -> DataFrame:
+    """Rows of the same keys, time and counter as one spot, with the hour cell of its time minus counter."""
+    x = df.where(has_all([*keys, ts, counter])).select(id_col, *keys, epoch_micros(ts).alias("_t"), c(counter).cast("long").alias("_k"))
+    spots = x.groupBy(*keys, "_t", "_k").agg(F.count(F.lit(1)).alias("_n"), F.min(id_col).alias("_id"))
+    return spots.withColumn("_cell", F.floor(F.col("_t") / HOUR - F.col("_k")).cast("long"))
+
+
+def _hour_matches(df: DataFrame, keys: Sequence[str], id_col: str, ts: str, counter: str) -> DataFrame:
+    """Pairs of spots whose whole hours apart equal the difference of their counters.
+
+    Whole hours are cut towards zero, so the times minus counters of a pair lie
+    less than an hour apart: a spot meets its own cell and the two beside it.
+    """
+    keys = list(keys)
+    a = _hour_spots(df, keys, id_col, ts, counter)
+    b = a.select(*keys, F.col("_t").alias("_bt"), F.col("_k").alias("_bk"), F.col("_n").alias("_bn"), F.col("_id").alias("_bid"), "_cell")
+    near = F.explode(F.array(*[F.col("_cell") + d for d in (-1, 0, 1)]))
+    pairs = a.withColumn("_cell", near).join(b, [*keys, "_cell"])
+    return pairs.where(f"(_bt - _t) div {HOUR} = _bk - _k")
+
+
+def hour_counter_partners(df: DataFrame, keys: Sequence[str], id_col: str, ts: str, counter: str) -> DataFrame:
+    """(id, head, size): the smallest matching row (itself included) and the number of matches."""
+    keys = list(keys)
+    found = _hour_matches(df, keys, id_col, ts, counter).groupBy(*keys, "_t", "_k").agg(
+        F.min("_bid").alias("head"), F.sum("_bn").alias("size"), F.max("_n").alias(SIZE)
+    )
+    rows = df.where(has_all([*keys, ts, counter])).select(id_col, *keys, epoch_micros(ts).alias("_t"), c(counter).cast("long").alias("_k"))
+    return attach(rows, found, [*keys, "_t", "_k"]).select(id_col, "head", "size")
+
+
+def hour_counter_edges(df: DataFrame, keys: Sequence[str], id_col: str, ts: str, counter: str) -> DataFrame:
+    """(a, b) edges that connect exactly the rows the matches connect: spots by their smallest rows, and rows to their spot."""
+    keys = list(keys)
+    spots = _hour_matches(df, keys, id_col, ts, counter).select(F.col("_id").alias("a"), F.col("_bid").alias("b")).where("a < b")
+    rows = df.where(has_all([*keys, ts, counter])).select(id_col, *keys, epoch_micros(ts).alias("_t"), c(counter).cast("long").alias("_k"))
+    own = rows.groupBy(*keys, "_t", "_k").agg(F.min(id_col).alias("b"), group_size())
+    own = attach(rows, own, [*keys, "_t", "_k"]).select(F.col(id_col).alias("a"), "b").where("a <> b")
+    return spots.unionByName(own)
+
+
+def progress_edges(df: DataFrame, id_col: str, keys: Sequence[str], position: str, step: str) -> DataFrame:
+    """(a, b) edges of ``progress_links``: the row and every candidate of its place, through the place's smallest row."""
+    keys = list(keys)
+    asked = progress_links(df, id_col, keys, position, step)
+    asks = asked.select(F.col(id_col).alias("a"), F.col("partner").alias("b")).where("a <> b")
+    places = df.where(has_all([*keys, position, step]) & (c(step) != 0)).select(id_col, *keys, c(position).alias("_at"))
+    wanted = df.where(has_all([*keys, position, step])).select(*keys, (c(position) - c(step)).alias("_at")).distinct()
+    head = places.join(wanted, [*keys, "_at"], "left_semi").groupBy(*keys, "_at").agg(F.min(id_col).alias("b"), group_size())
+    members = attach(places, head, [*keys, "_at"]).where("b IS NOT NULL").select(F.col(id_col).alias("a"), "b").where("a <> b")
+    return asks.unionByName(members)
+
+
 def progress_links(df: DataFrame, id_col: str, keys: Sequence[str], position: str, step: str) -> DataFrame:
-    """(id, matches, partner): rows of the same keys standing at ``position - step``.
+    """(id, matches, partner): rows of the same keys standing at ``position - step``, own step not 0.
 
     Candidates are added up per (keys, position) first, so a row meets one row
     per place, not every candidate.
     """
-    places = df.where(has_all([*keys, position])).groupBy(*keys, c(position).alias("_at")).agg(
+    places = df.where(has_all([*keys, position, step]) & (c(step) != 0)).groupBy(*keys, c(position).alias("_at")).agg(
         F.count(F.lit(1)).alias("matches"), F.min(id_col).alias("partner")
     )
     asks = df.where(has_all([*keys, position, step])).select(id_col, *keys, (c(position) - c(step)).alias("_at"))

@@ -86,10 +86,9 @@ def value_counts(df: DataFrame, col: str, n: int | None = None) -> DataFrame:
 
 def both_split_counts(df: DataFrame, col: str, split: str) -> DataFrame:
     """Value counts of train and test side by side."""
-    tr = df.where(c(split) == "train").groupBy(col).agg(F.count(F.lit(1)).alias("n_train"))
-    te = df.where(c(split) == "test").groupBy(col).agg(F.count(F.lit(1)).alias("n_test"))
-    out = tr.where(has_all([col])).join(te.where(has_all([col])), col, "outer")
-    return out.na.fill(0, ["n_train", "n_test"])
+    count = {f"n_{s}": F.count_if(c(split) == s) for s in ("train", "test")}
+    out = df.where(has_all([col])).groupBy(col).agg(*[v.alias(k) for k, v in count.items()])
+    return out.where("n_train + n_test > 0")
 
 
 def best_per(df: DataFrame, keys: Sequence[str], score: str | Column, cols: Sequence[str]) -> DataFrame:

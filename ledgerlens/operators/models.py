@@ -111,8 +111,10 @@ def first_component(df: DataFrame, id_col: str, cols: Sequence[str], out: str, f
     return m.transform(x).select(id_col, (vector_to_array("_p")[0] * sign).alias(out))
 
 
-def topic_mixture(docs: DataFrame, id_col: str, tokens: str, k: int = 5, min_df: float = 2, vocab: int = 50_000, iterations: int = 10, seed: int = 71) -> DataFrame:
-    """One column per topic with the document's share."""
+def topic_mixture(docs: DataFrame, id_col: str, tokens: str, k: int = 5, min_df: float = 1, vocab: int | None = None, iterations: int = 10, seed: int = 71) -> DataFrame:
+    """One column per topic with the document's share. Without ``vocab`` every token has its place."""
+    if vocab is None:
+        vocab = max(1, docs.select(F.explode(c(tokens)).alias("t")).distinct().count())
     cv = CountVectorizer(inputCol=tokens, outputCol="_tf", minDF=min_df, vocabSize=vocab).fit(docs)
     tf = cv.transform(docs).select(id_col, "_tf")
     m = LDA(k=k, maxIter=iterations, seed=seed, featuresCol="_tf", optimizer="online").fit(tf)
@@ -205,16 +207,12 @@ def plotting_quantiles(df: DataFrame, col: str, probs: Sequence[float], a: float
     return q.select(F.col("quantile").alias("value"))
 
 
-def partial_dependence(model, df: DataFrame, cols: Sequence[str], target: str, points: Sequence[float], key: str, n_sample: int | None = 400_000) -> DataFrame:
-    """Mean prediction with ``target`` fixed at each of a short list of points.
+def partial_dependence(model, df: DataFrame, cols: Sequence[str], target: str, points: Sequence[float], key: str, share: float | None = None) -> DataFrame:
+    """Mean prediction with ``target`` fixed at each of a short list of points, over all rows.
 
-    The sample size is the operator's own setting, as in the original method.
+    ``share`` scores a hashed part of the rows instead.
     """
-    base = df
-    if n_sample is not None:
-        n = df.count()
-        if n > n_sample:
-            base = df.where(hash_unit(key, 3) < n_sample / n)
+    base = df if share is None else df.where(hash_unit(key, 3) < share)
     arr = F.array(*[F.lit(float(p)) for p in points])
     x = base.withColumn(target, F.explode(arr))
     return score(model, x, cols).groupBy(F.col(target).alias("value")).agg(F.avg("pred").alias("xray"), F.count(F.lit(1)).alias("n_rows"))

@@ -82,11 +82,22 @@ def correlated_to_drop(df: DataFrame, cols: Sequence[str], threshold: float = 0.
     return [x for x in cols if x in {h[0] for h in hits}]
 
 
+def covered_columns(df: DataFrame, cols: Sequence[str], limit: float) -> list[str]:
+    """Columns that a kept earlier column covers: from left to right, a column that still stands
+    drops its correlated partners, and a dropped column drops nobody."""
+    hits = {(r["col_a"], r["col_b"]) for r in correlation_pairs(df, cols).where(F.abs("corr") >= limit).collect()}
+    gone: set[str] = set()
+    for i, a in enumerate(cols):
+        if a not in gone:
+            gone |= {b for b in cols[i + 1 :] if (a, b) in hits}
+    return [x for x in cols if x in gone]
+
+
 def remove_columns(df: DataFrame, cols: Sequence[str], var_limit=0.0, corr_limit=1.0, only_var=True) -> DataFrame:
-    """Low variance first, then the later columns of highly correlated pairs."""
+    """Low variance first, then the columns a kept one is highly correlated with."""
     low = low_variance(df, cols, var_limit)
     out, left = df.drop(*low), [x for x in cols if x not in low]
-    return out if only_var else out.drop(*correlated_to_drop(out, left, corr_limit, absolute=True))
+    return out if only_var else out.drop(*covered_columns(out, left, corr_limit))
 
 
 def ranked_partners(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.safe import c, text
-from .ordering import exact_quantiles
+from ..session import cut
+from .attach import FEW, SIZE, attach
+from .ordering import dense_codes, exact_quantiles
 
 
 def hash_unit(key: str | Column, seed: int = 0) -> Column:
@@ -47,27 +49,48 @@ def stratified_folds(df: DataFrame, key: str, label: str, k: int, seed: int = 0,
     return x.withColumn(out, F.pmod(F.col("_off") + F.col("_i") - 1, F.lit(k)).cast("int")).drop("_h", "_r", "_i", "_l", "_r2", "_off")
 
 
-def group_folds(df: DataFrame, group: str, k: int, out: str = "fold", limit: int = 10_000) -> DataFrame:
+def group_folds(df: DataFrame, group: str, k: int, out: str = "fold") -> DataFrame:
     """Whole groups per fold, balanced: the next largest group joins the lightest fold.
 
-    Meant for few groups such as months; more than ``limit`` is an error, use
-    ``folds`` on the group column then.
+    Groups are numbered from the largest to the smallest, equal sizes in key order.
+    Only the distinct sizes are balanced one by one: groups of one size are dealt in
+    turns, and a turn is written down with the range of numbers it serves.
     """
-    rows = df.where(c(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("n")).limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} groups; hash the group instead")
-    load, chosen = [0] * k, {}
-    for r in sorted(rows, key=lambda r: (-r["n"], str(r[group]))):
-        f = load.index(min(load))
-        load[f] += r["n"]
-        chosen[r[group]] = f
-    kind = df.schema[group].dataType
-    from pyspark.sql import types as T
-
-    table = df.sparkSession.createDataFrame(
-        list(chosen.items()), T.StructType([T.StructField(group, kind), T.StructField(out, T.IntegerType())])
-    )
-    return df.join(F.broadcast(table), group, "left")  # at most ``limit`` rows
+    sizes = df.where(c(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias(SIZE))
+    order = sizes.select((-F.col(SIZE)).alias("_rank"), text(group).alias("_text"), group, SIZE)
+    numbered = cut(dense_codes(order, ["_rank", "_text"], "_no").select(group, SIZE, "_no"))
+    classes = numbered.groupBy(SIZE).agg(F.count(F.lit(1)).alias("m"), F.min("_no").alias("first")).collect()
+    turns = _deal([(r[SIZE], r["m"], r["first"]) for r in classes], k)
+    table = df.sparkSession.createDataFrame(turns, "_n long, _from long, _to long, _cycle array<int>")
+    same = (F.col(SIZE) == F.col("_n")) & (F.col("_no") >= F.col("_from")) & (F.col("_no") < F.col("_to"))
+    # A few rows per distinct size.
+    dealt = numbered.join(F.broadcast(table) if len(turns) <= FEW else table, same)
+    fold = F.get("_cycle", F.pmod(F.col("_no") - F.col("_from"), F.size("_cycle")).cast("int"))
+    return attach(df, dealt.select(group, SIZE, fold.alias(out)), [group])
+
+
+def _deal(classes: list[tuple[int, int, int]], k: int) -> list[tuple[int, int, int, list[int]]]:
+    """(size, first number, number after the last, folds in turn) for classes of (size, groups, first number)."""
+    load, out = [0] * k, []
+    for n, m, first in sorted(classes, reverse=True):
+        at, end = first, first + m
+        while at < end:
+            turn = sorted(range(k), key=lambda f: (load[f], f))
+            # The folds that take their turns before any other is as light as they are.
+            lead = [f for f in turn if load[f] < load[turn[0]] + n]
+            rest = [load[f] for f in turn if f not in lead]
+            room = (min(rest) - max(load[f] for f in lead)) // n if rest else (end - at) // len(lead)
+            rounds = min(max(0, room), (end - at) // len(lead))
+            if rounds:
+                out.append((n, at, at + rounds * len(lead), lead))
+                at += rounds * len(lead)
+                for f in lead:
+                    load[f] += rounds * n
+            else:
+                out.append((n, at, at + 1, [turn[0]]))
+                load[turn[0]] += n
+                at += 1
+    return out
 
 
 def month_fold(ts: str | Column, merge: dict[str, str] | None = None) -> Column:
@@ -91,5 +114,5 @@ def merged_folds(parts: Sequence[DataFrame], key: str, k: int, seed: int = 0) ->
 
 def time_holdout(df: DataFrame, seconds: str, share: float = 0.8, out: str = "part") -> DataFrame:
     """First ``share`` of the time axis by quantile is ``train``, the rest ``valid``."""
-    cut = exact_quantiles(df, seconds, [share]).select("quantile").scalar()
-    return df.withColumn("_c", cut).withColumn(out, F.when(c(seconds) <= F.col("_c"), "train").otherwise("valid")).drop("_c")
+    border = exact_quantiles(df, seconds, [share]).select("quantile").scalar()
+    return df.withColumn("_c", border).withColumn(out, F.when(c(seconds) <= F.col("_c"), "train").otherwise("valid")).drop("_c")

@@ -265,12 +265,12 @@ def _(t):
 
 @query(
     "a21_wrapped_day_counts", "A21",
-    """WITH x AS (SELECT CASE WHEN d > 365 THEN d - 365 ELSE d END AS day, o_orderkey, o_orderpriority FROM
-        (SELECT date_diff('day', DATE '2000-01-01', o_orderdate::DATE) AS d, * FROM orders WHERE o_orderdate >= TIMESTAMP '2000-01-01'))
+    """WITH x AS (SELECT CASE WHEN d > 365 THEN (d - 1) % 365 + 1 ELSE d END AS day, o_orderkey, o_orderpriority FROM
+        (SELECT date_diff('day', DATE '1970-01-01', o_orderdate::DATE) AS d, * FROM orders))
       SELECT day::INT AS day, count(DISTINCT o_orderkey) AS ids, count(DISTINCT o_orderpriority) AS products FROM x GROUP BY 1""",
 )
 def _(t):
-    d = t.orders.where("o_orderdate >= TIMESTAMP_NTZ '2000-01-01'").withColumn("d", F.datediff("o_orderdate", F.lit("2000-01-01").cast("date")))
+    d = t.orders.withColumn("d", F.datediff("o_orderdate", F.lit("1970-01-01").cast("date")))
     return d.groupBy(ag.wrapped_day("d").alias("day")).agg(
         F.count_distinct("o_orderkey").alias("ids"), F.count_distinct("o_orderpriority").alias("products")
     )

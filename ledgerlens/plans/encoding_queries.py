@@ -37,6 +37,16 @@ def _(t):
     return enc.one_hot(t.orders.select("o_orderkey", "o_orderstatus"), ["o_orderstatus"])
 
 
+@query(
+    "e03_one_hot_long", "E03",
+    """WITH l AS (SELECT o_orderkey, 'o_custkey' AS feature, o_custkey::VARCHAR AS level FROM orders UNION ALL SELECT o_orderkey, 'o_orderpriority', o_orderpriority FROM orders),
+      k AS (SELECT feature, level, row_number() OVER (ORDER BY feature, level) - 1 AS slot FROM (SELECT DISTINCT feature, level FROM l))
+      SELECT o_orderkey, slot FROM l JOIN k USING (feature, level)""",
+)
+def _(t):
+    return enc.one_hot_long(t.orders, "o_orderkey", ["o_custkey", "o_orderpriority"])
+
+
 @query(
     "e04_encode_by_cardinality", "E04",
     """SELECT p_partkey, count(*) OVER (PARTITION BY p_brand) AS cnt__p_brand, dense_rank() OVER (ORDER BY p_brand) - 1 AS label__p_brand,

@@ -72,23 +72,23 @@ def _(t):
     return ch.greedy_chains(_chain_input(t), ["uid"], "txn_id", "ts", state)
 
 
-_HOUR_STEP = "floor(epoch_us(ts) / 3600000000.0)::BIGINT - k"
-
-
 @query(
     "g04_progress_components", "G04 G05",
-    f"""WITH RECURSIVE {EV_SQL}, n AS (SELECT event_id, min(event_id) OVER (PARTITION BY event_type, {_HOUR_STEP}) AS a,
-          min(event_id) OVER (PARTITION BY user_id, ts::DATE, k) AS b FROM ev),
-      e AS (SELECT event_id AS x, a AS y FROM n UNION SELECT a, event_id FROM n UNION SELECT event_id, b FROM n UNION SELECT b, event_id FROM n),
-      cc AS (SELECT event_id AS id, event_id AS label FROM ev UNION SELECT e.y, cc.label FROM cc JOIN e ON e.x = cc.id)
-      SELECT id AS event_id, min(label) AS component FROM cc GROUP BY 1""",
+    f"""WITH RECURSIVE {TXN_AGED_SQL}, x AS (SELECT txn_id, product, epoch_us(ts) AS t, ts::DATE - d1::INT AS reg, d1, (txn_id % 90)::INT AS d3, txn_id % 240 AS d8 FROM txn_aged),
+      p AS (SELECT a.txn_id AS x, b.txn_id AS y FROM x a JOIN x b ON a.product = b.product AND trunc((b.t - a.t) / 3600000000.0) = b.d8 - a.d8
+        UNION SELECT b.txn_id, a.txn_id FROM x b JOIN x a ON a.product = b.product AND a.reg = b.reg AND a.d1 = b.d1 - b.d3 AND a.d3 <> 0),
+      e AS (SELECT x, y FROM p UNION SELECT y, x FROM p),
+      cc AS (SELECT txn_id AS id, txn_id AS label FROM x UNION SELECT e.y, cc.label FROM cc JOIN e ON e.x = cc.id)
+      SELECT id AS txn_id, min(label) AS component FROM cc GROUP BY 1""",
 )
 def _(t):
-    d = t.ev
-    h = F.floor(wi.epoch_micros("ts") / 3_600_000_000)
-    a = en.invariant_groups(d, ["event_type", h - F.col("k")], "event_id").select(F.col("event_id").alias("a"), F.col("head").alias("b"))
-    b = en.invariant_groups(d, ["user_id", F.col("ts").cast("date"), "k"], "event_id").select(F.col("event_id").alias("a"), F.col("head").alias("b"))
-    return en.components(d.select("event_id"), a.unionByName(b), "event_id")
+    d = t.txn_aged.select(
+        "txn_id", "product", "ts", F.date_sub(F.col("ts").cast("date"), F.col("d1")).alias("reg"), "d1",
+        (F.col("txn_id") % 90).cast("int").alias("d3"), (F.col("txn_id") % 240).alias("d8"),
+    )
+    a = en.hour_counter_edges(d, ["product"], "txn_id", "ts", "d8")
+    b = en.progress_edges(d, "txn_id", ["product", "reg"], "d1", "d3")
+    return en.components(d.select("txn_id"), a.unionByName(b), "txn_id")
 
 
 @query(
@@ -156,12 +156,13 @@ def _(t):
 
 @query(
     "g07_label_consistency", "G07",
-    f"""WITH {TXN_SQL} SELECT txn_id, max(label) OVER w AS max_label, (label <> max(label) OVER w)::INT AS disagrees FROM txn
-        WHERE label IS NOT NULL WINDOW w AS (PARTITION BY uid)""",
+    f"""WITH {TXN_SQL} SELECT txn_id, (max(label) OVER w)::DOUBLE AS max_label, coalesce((label <> max(label) OVER w)::INT, 0) AS disagrees FROM txn
+        WINDOW w AS (PARTITION BY uid)""",
 )
 def _(t):
-    d = t.txn.where("label IS NOT NULL").select("txn_id", "uid", "label")
-    return en.label_consistency(d, "uid", "label").select("txn_id", "max_label", "disagrees")
+    d = t.txn.select("txn_id", "uid", "label")
+    x = en.label_consistency(d, "uid", "label")
+    return x.select("txn_id", F.col("max_label").cast("double").alias("max_label"), "disagrees")
 
 
 @query(

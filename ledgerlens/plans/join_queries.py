@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.safe import epoch_micros
 from ..operators import aggs as ag
 from ..operators import entity as en
 from ..operators import filters as fl
@@ -28,10 +27,10 @@ def _(t: Tables):
 
 @query(
     "j02_inner_join", "J02",
-    "SELECT l_orderkey, l_linenumber, o_custkey, o_totalprice FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 40",
+    "SELECT l_orderkey, l_linenumber, o_custkey, o_totalprice FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
 )
 def _(t):
-    line = t.lineitem.where("l_quantity > 40").select("l_orderkey", "l_linenumber")
+    line = t.lineitem.select("l_orderkey", "l_linenumber")
     o = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_totalprice")
     return line.join(o, "l_orderkey")
 
@@ -42,6 +41,17 @@ def _(t):
       b AS (SELECT uid, count(*) AS n_test FROM txn WHERE split = 'test' GROUP BY uid)
       SELECT uid, coalesce(n_train, 0) AS n_train, coalesce(n_test, 0) AS n_test FROM a FULL JOIN b USING (uid)""",
 )
+def _(t):
+    d = t.txn.select("uid", "split")
+    one = d.where("split = 'train'").groupBy("uid").agg(F.count(F.lit(1)).alias("n_train"))
+    two = d.where("split = 'test'").groupBy("uid").agg(F.count(F.lit(1)).alias("n_test"))
+    return one.join(two, "uid", "outer").na.fill(0, ["n_train", "n_test"])
+
+
+@query(
+    "d09_both_split_counts", "D09",
+    f"""WITH {TXN_SQL} SELECT uid, count(*) FILTER (split = 'train') AS n_train, count(*) FILTER (split = 'test') AS n_test FROM txn GROUP BY uid""",
+)
 def _(t):
     return fl.both_split_counts(t.txn.select("uid", "split"), "uid", "split")
 
@@ -81,14 +91,14 @@ def _(t):
 @query(
     "j07_calendar_join", "J07",
     f"""WITH d AS (SELECT o_orderdate AS dt, count(*) AS cnt, sum(o_totalprice) AS total FROM orders GROUP BY 1),
-      s AS (SELECT l_shipdate AS dt, count(*) AS shipped FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
+      s AS (SELECT l_shipdate AS dt, count(*) AS shipped FROM lineitem GROUP BY 1)
       SELECT strftime(dt, '%Y-%m-%d') AS day, cnt, {R('total', 2)} AS total, coalesce(shipped, 0) AS shipped FROM d LEFT JOIN s USING (dt)""",
 )
 def _(t):
     d = t.orders.groupBy(F.col("o_orderdate").cast("date").alias("dt")).agg(
         F.count(F.lit(1)).alias("cnt"), F.sum("o_totalprice").alias("total")
     )
-    s = t.lineitem.where("l_returnflag = 'R'").groupBy(F.col("l_shipdate").cast("date").alias("dt")).agg(
+    s = t.lineitem.groupBy(F.col("l_shipdate").cast("date").alias("dt")).agg(
         F.count(F.lit(1)).alias("shipped")
     )
     j = d.join(s, "dt", "left")
@@ -97,20 +107,19 @@ def _(t):
 
 @query(
     "j09_hour_counter_partners", "J09 G04",
-    f"""WITH {EV_SQL}, x AS (SELECT event_id, event_type, floor(epoch_us(ts) / 3600000000.0)::BIGINT AS h, k FROM ev)
+    f"""WITH {EV_SQL}, x AS (SELECT event_id, event_type, epoch_us(ts) AS t, k FROM ev)
       SELECT a.event_id, min(b.event_id) AS head, count(*) AS size FROM x a JOIN x b
-      ON a.event_type = b.event_type AND b.h - a.h = b.k - a.k GROUP BY a.event_id""",
+      ON a.event_type = b.event_type AND trunc((b.t - a.t) / 3600000000.0) = b.k - a.k GROUP BY a.event_id""",
 )
 def _(t):
-    h = F.floor(epoch_micros("ts") / 3_600_000_000)
-    return en.invariant_groups(t.ev, ["event_type", h - F.col("k")], "event_id")
+    return en.hour_counter_partners(t.ev, ["event_type"], "event_id", "ts", "k")
 
 
 @query(
     "j10_day_counter_links", "J10",
     f"""WITH {TXN_AGED_SQL}, x AS (SELECT txn_id, product, ts::DATE - d1::INT AS reg, d1, (txn_id % 90)::INT AS d3 FROM txn_aged)
       SELECT b.txn_id, count(*) AS matches, min(a.txn_id) AS partner FROM x b JOIN x a
-      ON a.product = b.product AND a.reg = b.reg AND a.d1 = b.d1 - b.d3 GROUP BY b.txn_id""",
+      ON a.product = b.product AND a.reg = b.reg AND a.d1 = b.d1 - b.d3 AND a.d3 <> 0 GROUP BY b.txn_id""",
 )
 def _(t):
     d = t.txn_aged.select(

@@ -75,6 +75,18 @@ def _(t):
     return sa.group_folds(t.txn.select("txn_id", "status"), "status", 2)
 
 
+@query(
+    "m02_group_folds_by_user", "M02",
+    f"""WITH RECURSIVE {TXN_SQL}, g AS (SELECT uid, row_number() OVER (ORDER BY count(*) DESC, uid::VARCHAR) AS i, count(*) AS n FROM txn GROUP BY uid),
+      s AS (SELECT 0::BIGINT AS i, [0, 0, 0]::BIGINT[] AS load, NULL::BIGINT AS uid, NULL::INT AS fold
+        UNION ALL SELECT g.i, CASE list_position(load, list_min(load)) WHEN 1 THEN [load[1] + n, load[2], load[3]] WHEN 2 THEN [load[1], load[2] + n, load[3]] ELSE [load[1], load[2], load[3] + n] END,
+          g.uid, (list_position(load, list_min(load)) - 1)::INT FROM s JOIN g ON g.i = s.i + 1)
+      SELECT txn_id, txn.uid, fold FROM txn JOIN s ON txn.uid = s.uid""",
+)
+def _(t):
+    return sa.group_folds(t.txn.select("txn_id", "uid"), "uid", 3)
+
+
 @query(
     "m03_month_folds", "M03",
     f"""WITH x AS (SELECT o_orderkey, year(o_orderdate) || '-' || month(o_orderdate) AS m FROM orders) SELECT o_orderkey, CASE WHEN m = '2001-8' THEN '2001-7' ELSE m END AS fold_group FROM x""",

@@ -73,6 +73,17 @@ def _(t):
     return ml.topic_mixture(toks, "doc_id", "tokens", k=5, iterations=5)
 
 
+@query(
+    "l05_topic_shares", "L05",
+    r"""WITH x AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\s+')) AS token FROM documents), k AS (SELECT token FROM x WHERE token <> '' GROUP BY 1 HAVING count(*) >= 2)
+      SELECT doc_id, 1.0::DOUBLE AS total FROM x WHERE token IN (SELECT token FROM k) GROUP BY 1""",
+)
+def _(t):
+    toks = ml.token_lists(ml.tokens_without_singletons(t.documents.select("doc_id", F.lower("text").alias("text")), "doc_id", "text"), "doc_id")
+    x = ml.topic_mixture(toks, "doc_id", "tokens", k=3, iterations=2)
+    return x.select("doc_id", r(F.col("topic_0") + F.col("topic_1") + F.col("topic_2"), 4).alias("total"))
+
+
 @query(
     "l06_tokens_without_singletons", "L06",
     r"""WITH x AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\s+')) AS token FROM documents), k AS (SELECT token FROM x WHERE token <> '' GROUP BY 1 HAVING count(*) >= 2)

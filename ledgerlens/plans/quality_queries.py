@@ -72,6 +72,22 @@ def _(t):
     return rs(p, ["corr"])
 
 
+@query(
+    "d04_kept_columns", "D04",
+    f"""WITH RECURSIVE {_CORR_SQL}, p AS ("""
+    + " UNION ALL ".join(f"SELECT {i} AS a, {j} AS b, abs(corr({x}, {y})) >= 0.9 AS hit FROM c" for (i, x), (j, y) in combinations(list(enumerate(_CORR)), 2))
+    + f"""), s AS (SELECT -1 AS i, []::INT[] AS gone UNION ALL
+        SELECT i + 1, CASE WHEN list_contains(gone, i + 1) THEN gone ELSE list_concat(gone, coalesce((SELECT list(b) FROM p WHERE a = i + 1 AND hit), [])) END
+        FROM s WHERE i + 1 < {len(_CORR)})
+      SELECT f AS feature, NOT list_contains((SELECT gone FROM s ORDER BY i DESC LIMIT 1), n - 1) AS kept
+      FROM (SELECT unnest({_CORR!r}) AS f, unnest(range(1, {len(_CORR) + 1})) AS n)""",
+)
+def _(t):
+    d = _corr_frame(t)
+    gone = qu.covered_columns(d, _CORR, 0.9)
+    return t.spark.createDataFrame([(x, x not in gone) for x in _CORR], "feature string, kept boolean")
+
+
 @query("d04_remove_columns", "D04 D03 D02", f"WITH {_CORR_SQL} SELECT l_quantity, l_extendedprice, l_discount, l_tax FROM c")
 def _(t):
     d = _corr_frame(t).withColumn("flat", F.lit(3.0))

@@ -297,10 +297,10 @@ def _(t):
 # -- filters ---------------------------------------------------------------------
 
 
-@query("f01_split_by_label", "F01", f"WITH {TXN_SQL} SELECT txn_id, amt, label FROM txn WHERE label IS NOT NULL")
+@query("f01_split_by_label", "F01", f"WITH {TXN_SQL} SELECT txn_id, amt, label::DOUBLE AS label, CASE WHEN label IS NULL THEN 'test' ELSE 'train' END AS part FROM txn")
 def _(t):
-    train, _ = fl.split_by_label(t.txn, "label")
-    return train.select("txn_id", "amt", "label")
+    train, test = fl.split_by_label(t.txn.select("txn_id", "amt", F.col("label").cast("double").alias("label")), "label")
+    return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
 
 
 @query(
@@ -641,11 +641,11 @@ def _(t):
 
 @query(
     "c18_sigmoid", "C18",
-    f"SELECT event_id, {R('1 / (1 + exp(-value / 100))')} AS p, {R('ln(((value + 1) / 2000) / (1 - (value + 1) / 2000))')} AS odds FROM events WHERE value BETWEEN 0 AND 1500",
+    f"SELECT event_id, {R('1 / (1 + exp(-value / 100))')} AS p, CASE WHEN value > -1 AND value < 1999 THEN {R('ln(((value + 1) / 2000) / (1 - (value + 1) / 2000))')} END AS odds FROM events",
 )
 def _(t):
-    d = t.events.where("value BETWEEN 0 AND 1500")
-    return d.select("event_id", r(sc.sigmoid(F.col("value") / 100)).alias("p"), r(sc.log_odds((F.col("value") + 1) / 2000)).alias("odds"))
+    odds = F.when((F.col("value") > -1) & (F.col("value") < 1999), r(sc.log_odds((F.col("value") + 1) / 2000)))
+    return t.events.select("event_id", r(sc.sigmoid(F.col("value") / 100)).alias("p"), odds.alias("odds"))
 
 
 @query(

@@ -197,9 +197,42 @@ def test_one_hot_refuses_unbounded_columns(spark):
         encoders.one_hot(spark.range(50).selectExpr("cast(id as string) v"), ["v"], limit=10)
 
 
-def test_group_folds_refuse_too_many_groups(spark):
-    with pytest.raises(ValueError):
-        sampling.group_folds(spark.range(50), "id", 3, limit=10)
+@pytest.mark.parametrize("sizes", [[1] * 50, [30, 1, 1, 1, 1, 1, 1, 1, 1, 1], [9, 7, 7, 7, 4, 4, 3, 3, 3, 3, 2, 1, 1], [5], [100, 60, 2, 2, 2, 2]])
+def test_group_folds_join_the_lightest_fold(spark, sizes):
+    rows = [(f"g{i:03d}",) for i, n in enumerate(sizes) for _ in range(n)] + [(None,)]
+    got = {r["g"]: r["fold"] for r in sampling.group_folds(spark.createDataFrame(rows, "g string"), "g", 3).distinct().collect()}
+    load, want = [0, 0, 0], {None: None}
+    for n, i in sorted(((n, i) for i, n in enumerate(sizes)), key=lambda x: (-x[0], x[1])):
+        f = load.index(min(load))
+        load[f] += n
+        want[f"g{i:03d}"] = f
+    assert got == want
+
+
+def test_hour_counter_partners_across_an_hour_edge(spark):
+    """Whole hours apart are cut towards zero, so 00:50 and 02:10 are one hour apart and 01:10 and 00:50 none."""
+    times = ["2024-01-01 00:50:00", "2024-01-01 02:10:00", "2024-01-01 01:10:00", "2024-01-01 00:50:00"]
+    counters = [5, 6, 5, 9]
+    df = spark.createDataFrame([(i, "a", t, k) for i, (t, k) in enumerate(zip(times, counters))], "id int, g string, t string, k int")
+    df = df.withColumn("t", F.col("t").cast("timestamp_ntz"))
+    got = {r["id"]: (r["head"], r["size"]) for r in entity.hour_counter_partners(df, ["g"], "id", "t", "k").collect()}
+    # 0-1: 1 h 20 min and counters 1 apart. 0-2: 20 min and 0 apart. 1-2: -1 h and -1. 3 stands alone.
+    assert got == {0: (0, 3), 1: (0, 3), 2: (0, 3), 3: (3, 1)}
+
+
+def test_progress_links_skip_candidates_without_a_step(spark):
+    df = spark.createDataFrame([(1, "a", 3, 3), (2, "a", 3, 0), (3, "a", 8, 5), (4, "a", 8, 0)], "id int, g string, d1 int, d3 int")
+    got = {r["id"]: (r["matches"], r["partner"]) for r in entity.progress_links(df, "id", ["g"], "d1", "d3").collect()}
+    # Row 2 asks for day 3, where only row 1 has a step; row 4 asks for day 8, where only row 3 has one.
+    assert got == {2: (1, 1), 3: (1, 1), 4: (1, 3)}
+
+
+def test_covered_columns_chain(spark):
+    """Of a chain where only neighbours correlate, the dropped middle drops nobody."""
+    rows = [(float(i), float(i + (i % 3)), float(i + (i % 3) + 3 * (i % 4))) for i in range(40)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    at = sorted(r["corr"] for r in quality.correlation_pairs(df, ["a", "b", "c"]).collect())
+    assert quality.covered_columns(df, ["a", "b", "c"], (at[0] + at[1]) / 2) == ["b"]
 
 
 def test_duplicates_separate_null_from_text(spark):
