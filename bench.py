@@ -22,6 +22,12 @@ HEADLINE = [
     "e01_label_encode",
     "e06_quantile_bins",
     "g01_block_ids",
+    "g03_greedy_chains",
+    "g04_progress_components",
+    "g06_split_on_jumps",
+    "g10_knn_regression",
+    "l03_cross_validation",
+    "m12_blend_search",
     "d07_two_sample_ks",
     "j09_hour_counter_partners",
     "m06_auc",

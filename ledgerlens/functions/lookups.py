@@ -191,3 +191,8 @@ def os_release_date(os: str | Column, version: str | Column) -> Column:
     o, v = c(os), F.replace(F.replace(c(version), F.lit("_"), F.lit(".")), F.lit(" "), F.lit(""))
     hits = [F.try_element_at(table, F.concat(o, F.lit("|"), x)) for x in version_candidates(o, v)]
     return F.coalesce(*hits).cast("date")
+
+
+def os_match(device_os: str | Column, browser_os: str | Column, browser: str | Column) -> Column:
+    """1 where device and browser agree on the system; Chrome on a Mac counts as agreement."""
+    return ((c(device_os) == c(browser_os)) | ((c(device_os) == "mac") & (c(browser) == "chrome"))).cast("int")

@@ -232,6 +232,37 @@ def wrapped_day(day: str | Column, length: int = 365) -> Column:
     return F.when(c(day) > length, F.pmod(c(day) - 1, F.lit(length)) + 1).otherwise(c(day))
 
 
+def dated_window(df: DataFrame, ts: str, day: str, n_days: int) -> DataFrame:
+    """Rows dated before ``day`` and less than ``n_days`` before it, with their ``age`` in days."""
+    x = df.withColumn("age", F.datediff(F.lit(day).cast("date"), c(ts)))
+    return x.where((F.col("age") > 0) & (F.col("age") < n_days))
+
+
+def decayed_means(df: DataFrame, keys: Sequence[str], value: str, age: str, rates: Sequence[float]) -> DataFrame:
+    """Per group and rate ``mean_i`` and ``compound_i``, whose weights multiply up all rates so far."""
+    aggs, rate = [], 1.0
+    w = lambda r: F.pow(F.lit(float(r)), c(age))
+    for i, a in enumerate(rates):
+        rate *= a
+        aggs += [
+            decayed_mean(value, age, a).alias(f"mean_{i}"),
+            F.try_divide(F.sum(c(value) * w(rate)), F.sum(F.when(c(value).isNotNull(), w(a)))).alias(f"compound_{i}"),
+        ]
+    return df.groupBy(*keys).agg(*aggs)
+
+
+def weekday_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """min, mean, median, max, count, std and skew per group; std and skew are 0 where undefined."""
+    v = c(value).cast("double")
+    n, skew = F.count(v), no_nan(F.skewness(v))
+    # Adjusted for the sample size, as undefined below three rows.
+    adjusted = skew * F.sqrt(n * (n - 1).cast("double")) / (n - 2)
+    return df.groupBy(*keys).agg(
+        F.min(v).alias("min"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.max(v).alias("max"), n.alias("count"),
+        F.coalesce(no_nan(F.stddev(v)), F.lit(0.0)).alias("std"), F.coalesce(F.when(n > 2, adjusted), F.lit(0.0)).alias("skew"),
+    )
+
+
 def decayed_mean(value: str | Column, age: str | Column, rate: float) -> Column:
     """``sum(x * rate^age) / sum(rate^age)`` as an aggregate."""
     w = F.when(c(value).isNotNull(), F.pow(F.lit(float(rate)), c(age)))

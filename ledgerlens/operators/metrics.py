@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
-from itertools import product
 from operator import add
 
 from pyspark.sql import Column, DataFrame
@@ -128,9 +127,23 @@ def join_models(preds: Mapping[str, DataFrame], key: str, pred: str) -> DataFram
 
 
 def weight_grid(n: int, step: float) -> list[tuple[float, ...]]:
-    """Weights that sum to one on a grid; equal weights are part of it."""
+    """Weights that sum to one on a grid; equal weights are part of it. Only valid weights are ever made."""
     k = round(1 / step)
-    return [tuple(i / k for i in w) for w in product(range(1, k), repeat=n) if sum(w) == k]
+
+    def parts(left: int, n: int):
+        if n == 1:
+            yield (left,)
+        else:
+            for i in range(1, left - n + 2):
+                for rest in parts(left - i, n - 1):
+                    yield (i, *rest)
+
+    return [tuple(i / k for i in w) for w in parts(k, n)] if k >= n else []
+
+
+def best_blend(scores: DataFrame, models: Sequence[str]) -> DataFrame:
+    """The row of ``blend_search`` with the highest AUC; ties go to the smallest weights in the order of the models."""
+    return scores.orderBy(F.desc("auc"), *[f"w_{m}" for m in models]).limit(1)
 
 
 def blend_search(df: DataFrame, label: str, models: Sequence[str], step: float = 0.1) -> DataFrame:

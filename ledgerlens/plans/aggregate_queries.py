@@ -288,6 +288,39 @@ def _(t):
     return x.groupBy("user_id").agg(*[r(ag.decayed_mean("value", "age", a)).alias(f"decay_{i}") for i, a in enumerate(rates)])
 
 
+_RATES = [0.9, 0.95, 0.97, 0.98, 0.985, 0.99, 0.999, 0.9999]
+_WINDOW_SQL = "ts::DATE < DATE '2024-01-31' AND ts::DATE > DATE '2024-01-31' - 30"
+
+
+@query(
+    "a23_decayed_weekday_means", "A23",
+    f"""WITH x AS (SELECT user_id, isodow(ts) - 1 AS dow, value, date_diff('day', ts::DATE, DATE '2024-01-31') AS age FROM events WHERE {_WINDOW_SQL})
+      SELECT user_id, dow::INT AS dow, """
+    + ", ".join(
+        f"{R(f'sum(value * pow({a}, age)) / sum(pow({a}, age))')} AS mean_{i}, "
+        + R(f"sum(value * {' * '.join(f'pow({b}, age)' for b in _RATES[: i + 1])}) / sum(pow({a}, age))")
+        + f" AS compound_{i}"
+        for i, a in enumerate(_RATES)
+    )
+    + " FROM x GROUP BY ALL",
+)
+def _(t):
+    x = ag.dated_window(t.events, "ts", "2024-01-31", 30).withColumn("dow", F.weekday("ts"))
+    stats = ag.decayed_means(x, ["user_id", "dow"], "value", "age", _RATES)
+    return rs(stats, stats.columns[2:])
+
+
+@query(
+    "a24_weekday_stats", "A24",
+    f"""SELECT user_id, (isodow(ts) - 1)::INT AS dow, min(value) AS min, {R('avg(value)')} AS mean, {R('median(value)')} AS median, max(value) AS max,
+        count(*) AS count, {R('coalesce(stddev_samp(value), 0)')} AS std, {R('CASE WHEN count(*) > 2 AND stddev_samp(value) > 0 THEN skewness(value) ELSE 0 END', 3)} AS skew
+      FROM events WHERE {_WINDOW_SQL} GROUP BY ALL""",
+)
+def _(t):
+    x = ag.dated_window(t.events, "ts", "2024-01-31", 30).withColumn("dow", F.weekday("ts"))
+    return rs(rs(ag.weekday_stats(x, ["user_id", "dow"], "value"), ["mean", "median", "std"]), ["skew"], 3)
+
+
 @query(
     "a24_weekday_profile", "A24",
     "SELECT user_id, "

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import metrics as me
 from ..operators import ordering as od
+from ..operators import quality as qu
 from ..operators import sampling as sa
 from ..sources.tables import TXN_SQL, TXN_WIDE_SQL, Tables
 from .registry import R, query, r, rs
@@ -226,6 +227,19 @@ def _(t):
     return rs(me.blend_search(preds(t), "label", ["pa", "pc"], 0.1), ["auc"], 5)
 
 
+@query(
+    "m12_best_blend", "M12",
+    f"""WITH {PRED_SQL}, w AS (SELECT unnest([{', '.join(str(w[0]) for w in _GRID)}])::DOUBLE AS w_pa, unnest([{', '.join(str(w[1]) for w in _GRID)}])::DOUBLE AS w_pc),
+      x AS (SELECT w_pa, w_pc, label, round(pa * w_pa + pc * w_pc, 9) AS sc FROM pr, w), a AS ({auc_sql('label', 'sc', 'x', 'w_pa, w_pc')})
+      SELECT w_pa, w_pc, {R('auc', 5)} AS auc, (SELECT {R('corr(pa, pc)')} FROM pr) AS corr FROM a ORDER BY a.auc DESC, w_pa, w_pc LIMIT 1""",
+)
+def _(t):
+    d = preds(t)
+    best = me.best_blend(me.blend_search(d, "label", ["pa", "pc"], 0.1), ["pa", "pc"])
+    corr = qu.correlation_pairs(d, ["pa", "pc"]).select("corr").scalar()
+    return rs(rs(best, ["auc"], 5).withColumn("corr", corr), ["corr"])
+
+
 @query(
     "m13_rank_blend", "M13",
     f"""WITH {PRED_SQL}, i AS (SELECT *, CASE WHEN nation < 5 THEN 1 ELSE 0 END AS inside FROM pr)

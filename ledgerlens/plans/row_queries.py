@@ -196,16 +196,18 @@ def _sql_device_name(col):
       SELECT c_custkey, device_name, {_sql_rules(lk.country_rules('device', 'browser'), 'Unk')} AS country,
         {_sql_rules(lk.device_os_rules('device_name', 'browser', 'os'), 'other_device_os')} AS device_os,
         {_sql_rules(lk.browser_name_rules('browser'), 'other_browser_name')} AS browser_name,
-        {_sql_rules(lk.browser_os_rules('device_name', 'browser'), 'other_browser_os')} AS browser_os FROM named""",
+        {_sql_rules(lk.browser_os_rules('device_name', 'browser'), 'other_browser_os')} AS browser_os,
+        (device_os = browser_os OR (device_os = 'mac' AND browser_name = 'chrome'))::INT AS os_match FROM named""",
 )
 def _(t):
     d = _identity(t)
     d = d.withColumns({"device_name": lk.device_name(sc.part("device", "/", 0)), "os": F.lower("os_text")})
-    return d.select(
+    x = d.select(
         "c_custkey", "device_name", lk.device_country("device", "browser").alias("country"),
         lk.device_os("device_name", "browser", "os").alias("device_os"),
         lk.browser_name("browser").alias("browser_name"), lk.browser_os("device_name", "browser").alias("browser_os"),
     )
+    return x.withColumn("os_match", lk.os_match("device_os", "browser_os", "browser_name"))
 
 
 @query(

@@ -194,11 +194,13 @@ def _(t):
 )
 def _(t):
     w = _warehouse(t)
-    w.create("train_log", [(n, k, False) for n, k, _ in wh.LOG_COLUMNS])
+    w.create("train_log", wh.LOG_COLUMNS)
     for seed, (d, col) in enumerate([(t.orders, "o_totalprice"), (t.lineitem, "l_quantity")], start=1208):
         s = d.agg(F.count(F.lit(1)).alias("n"), F.avg(col).alias("m")).first()
-        results = {"datetime": f"run-{seed}", "n_rows": s["n"], "cv_score": s["m"]}
-        w.insert("train_log", wh.log_rows(t.spark, results, {"seed": seed, "model_type": "lgr"}))
+        results = {"datetime": f"run-{seed}", "n_features": 1, "n_rows": s["n"], "cv_score": s["m"]}
+        results |= {f"fold{i}_score": s["m"] for i in range(1, 6)}
+        params = {"seed": seed, "model_type": "lgr", "metric": "mean", "learning_rate": 0.1, "objective": "regression"}
+        w.insert("train_log", wh.log_rows(t.spark, results, params))
     x = w.table("train_log")
     return x.select(F.col("n_rows").cast("double"), r("cv_score").alias("cv_score"), F.col("seed").cast("double"), "model_type")
 

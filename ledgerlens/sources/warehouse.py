@@ -127,8 +127,11 @@ LOG_COLUMNS = [
 
 
 def log_rows(spark: SparkSession, results: Mapping, params: Mapping, columns=LOG_COLUMNS) -> DataFrame:
-    """One log row; columns the results lack come from the parameters."""
+    """One log row; columns the results lack come from the parameters. A required column without a value is an error."""
     row = {n: results.get(n, params.get(n)) for n, _, _ in columns}
+    missing = [n for n, _, required in columns if required and row[n] is None]
+    if missing:
+        raise ValueError(f"the log row lacks {', '.join(missing)}")
     kinds = {"FLOAT": T.DoubleType(), "NUMERIC": T.DoubleType(), "STRING": T.StringType(), "DATE": T.StringType()}
     as_kind = {"FLOAT": float, "NUMERIC": float, "STRING": str, "DATE": str}
     values = tuple(None if row[n] is None else as_kind[t](row[n]) for n, t, _ in columns)
