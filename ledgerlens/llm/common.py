@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 # A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -33,9 +35,11 @@ def word_count(c: Column) -> Column:
 def sized_broadcast(df: DataFrame, row_bytes: Column) -> DataFrame:
     """``df`` marked for broadcast if the bytes of all its rows stay below the bound, else as it is.
 
-    ``row_bytes`` gives the bytes of a row. Without the mark, Spark shuffles both
+    ``row_bytes`` gives the bytes of a row. The table is written once, so that asking
+    for its size does not compute it twice. Without the mark, Spark shuffles both
     sides and splits hot keys while it runs.
     """
+    df = cut(df)
     size = df.agg(F.sum(row_bytes)).first()[0] or 0
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
