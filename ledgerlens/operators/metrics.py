@@ -45,19 +45,24 @@ def feature_auc(df: DataFrame, label: str, cols: Sequence[str]) -> DataFrame:
 
 def regression_errors(df: DataFrame, actual: str, pred: str, by: Sequence[str] = ()) -> DataFrame:
     """RMSE, R2 and MAPE, overall or per pattern."""
+    return df.groupBy(*by).agg(*_errors(actual, pred))
+
+
+def _errors(actual: str, pred: str) -> list[Column]:
     e = c(actual) - c(pred)
     sse, n = F.sum(e * e), F.count(e)
-    return df.groupBy(*by).agg(
+    return [
         F.sqrt(sse / n).alias("rmse"),
         (1 - F.try_divide(sse, F.var_pop(actual) * n)).alias("r2"),
         F.avg(F.abs(F.try_divide(e, c(actual)))).alias("mape"),
-    )
+    ]
 
 
 def errors_with_all(df: DataFrame, actual: str, pred: str, pattern: str) -> DataFrame:
-    """Errors per pattern value and for all rows under ``all``."""
-    per = regression_errors(df, actual, pred, [pattern]).withColumn(pattern, c(pattern).cast("string"))
-    return per.unionByName(regression_errors(df, actual, pred).withColumn(pattern, F.lit("all")))
+    """Errors per pattern value and for all rows under ``all``, in one pass."""
+    x = df.withColumn("_pattern", c(pattern).cast("string"))
+    per = x.groupingSets([["_pattern"], []], "_pattern").agg(*_errors(actual, pred), F.grouping("_pattern").alias("_total"))
+    return per.select(F.when(F.col("_total") == 1, "all").otherwise(F.col("_pattern")).alias(pattern), "rmse", "r2", "mape")
 
 
 def subgroup_aucs(df: DataFrame, label: str, score: str, subgroups: Sequence[str]) -> DataFrame:

@@ -38,10 +38,16 @@ def smoothed_label_mean(
     j = attach(df, per, [key]).withColumn("_prior", labelled.agg(F.avg(label)).scalar())
     enc = F.coalesce(F.col("_prior") * (1 - weight) + F.col("_m") * weight, F.col("_prior"))
     if noise:
-        enc = enc * (1 + noise * F.randn(seed))
+        enc = enc * (1 + noise * _normal(df.columns, seed))
     return j.withColumn(out, enc).drop("_m", "_n", "_prior")
 
 
+def _normal(columns: Sequence[str], seed: int) -> Column:
+    """A standard normal number per row from hashes of its columns, so that retries and partitions agree."""
+    unit = lambda k: (F.xxhash64(*columns, F.lit(seed), F.lit(k)).bitwiseAND(F.lit((1 << 52) - 1)) + 0.5) / float(1 << 52)
+    return F.sqrt(-2 * F.log(unit(0))) * F.cos(2 * F.pi() * unit(1))
+
+
 def period_cells(df: DataFrame, keys: Sequence[str], label: str, period: str) -> DataFrame:
     """Label sum and count per (keys, period) over labelled rows."""
     return (
