@@ -95,7 +95,7 @@ def greedy_chains(
     keys = list(keys)
     cols = [c(state[s]).cast("double").alias(s) for s in STATE]
     x = df.where(has_all([*keys, ts])).select(*keys, c(id_col).cast("long").alias("_id"), c(ts).alias("_ts"), *cols)
-    x, any_hot = sliced(x, keys, "_ts", rows_per_split)
+    x, any_hot = sliced(x, keys, ["_ts", "_id"], rows_per_split)
     x = x.withColumn("_us", epoch_micros("_ts")).drop("_ts")
     kinds = dict(x.dtypes)
     key_schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys)

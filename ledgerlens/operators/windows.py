@@ -1,7 +1,7 @@
 """Ordered windows per entity that survive a hot entity.
 
 A window over an entity sends all its rows to one task. Entities above
-``rows_per_split`` rows are therefore cut into time slices; every slice also
+``rows_per_split`` rows are therefore cut into slices by rows; every slice also
 gets copies of the few rows before and after it that lags and leads reach for
 (the halo), and the copies are dropped afterwards. Entities below the limit are
 one slice. Whether any entity is above it is asked once, when the plan is
@@ -23,42 +23,39 @@ from .attach import SIZE, attach, group_size
 ROWS_PER_SPLIT = 1_000_000
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], order: str, rows_per_split: int) -> DataFrame:
-    """Keys above the limit with their size and order range (microseconds for times)."""
-    return (
-        df.where(has_all([*keys, order]))
-        .groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min(_axis(df, order)).alias("_lo"), F.max(_axis(df, order)).alias("_hi"))
-        .where(F.col("_n") > rows_per_split)
-    )
-
-
-def _axis(df: DataFrame, order: str) -> Column:
-    kind = dict(df.dtypes)[order]
-    return epoch_micros(order) if kind.startswith("timestamp") else (
-        day_number(order).cast("long") if kind == "date" else c(order).cast("long")
-    )
+def hot_keys(df: DataFrame, keys: Sequence[str], rows_per_split: int) -> DataFrame:
+    """Keys above the limit with their size."""
+    return df.where(has_all(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows_per_split)
 
 
-def hot_table(df: DataFrame, keys: Sequence[str], order: str, rows_per_split: int) -> DataFrame | None:
+def hot_table(df: DataFrame, keys: Sequence[str], rows_per_split: int) -> DataFrame | None:
     """The hot keys as a checkpointed table, or None. Fewer rows than the limit need no look at the keys."""
     if df.count() <= rows_per_split:
         return None
-    hot = cut(hot_keys(df, keys, order, rows_per_split))
+    hot = cut(hot_keys(df, keys, rows_per_split))
     return None if hot.isEmpty() else hot
 
 
-def sliced(df: DataFrame, keys: Sequence[str], order: str, rows_per_split: int = ROWS_PER_SPLIT) -> tuple[DataFrame, bool]:
-    """Add ``_slice``: 0 for ordinary keys, equal order ranges from 1 up for hot ones; and tell whether there are any."""
-    hot = hot_table(df, keys, order, rows_per_split)
+def sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_split: int = ROWS_PER_SPLIT) -> tuple[DataFrame, bool]:
+    """Add ``_slice``: 0 for ordinary keys, ranges of about equal numbers of rows from 1 up for hot ones; and tell whether there are any.
+
+    The rows of hot keys are dealt by ranges of (keys, order) and written once, so
+    that a burst at one time, or many rows without a time, is cut like any other.
+    """
+    keys = list(keys)
+    hot = hot_table(df, keys, rows_per_split)
     if hot is None:
         return df.withColumn("_slice", F.lit(0).cast("long")), False
-    out = df.join(hot, list(keys), "left")
-    pieces = F.ceil(F.col("_n") / rows_per_split)
-    step = (_axis(df, order) - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1)
-    # rows without a time sort first, so they belong to the first slice
-    piece = F.when(F.col("_n").isNotNull(), F.coalesce(F.floor(step * pieces) + 1, F.lit(1))).otherwise(0)
-    return out.withColumn("_slice", piece.cast("long")).drop("_n", "_lo", "_hi"), True
+    pieces = max(2, -(-2 * hot.agg(F.sum("_n")).first()[0] // rows_per_split))
+    names = hot.select(*keys)
+    rows = df.join(names, keys, "left_semi").repartitionByRange(pieces, *keys, *order)
+    rows = cut(rows.withColumn("_p", F.spark_partition_id()))
+    # one row per key and range
+    number = rows.select(*keys, "_p").distinct()
+    number = number.withColumn("_slice", F.row_number().over(Window.partitionBy(*keys).orderBy("_p")).cast("long"))
+    rows = rows.join(number, [*keys, "_p"]).select(*df.columns, "_slice")
+    rest = df.join(names, keys, "left_anti").withColumn("_slice", F.lit(0).cast("long"))
+    return rest.select(*df.columns, "_slice").unionByName(rows), True
 
 
 def with_halo(df: DataFrame, keys: Sequence[str], order: Sequence[str], before: int, after: int) -> DataFrame:
@@ -117,7 +114,7 @@ def ordered(
     no entity: they stay, with NULL in the new columns.
     """
     full = df.where(has_all(keys))
-    parts, any_hot = sliced(full, keys, order[0], rows_per_split)
+    parts, any_hot = sliced(full, keys, order, rows_per_split)
     if any_hot:
         parts = with_halo(parts, keys, order, before, after)
         w = Window.partitionBy(*keys, "_slice").orderBy(*order)
@@ -133,7 +130,7 @@ def row_numbers(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "row_no", rows_per_split: int = ROWS_PER_SPLIT
 ) -> DataFrame:
     """Row number per key in an explicit order; slice offsets make it exact for hot keys."""
-    s, any_hot = sliced(df.where(has_all(keys)), keys, order[0], rows_per_split)
+    s, any_hot = sliced(df.where(has_all(keys)), keys, order, rows_per_split)
     w = Window.partitionBy(*keys, "_slice").orderBy(*order)
     if not any_hot:
         return s.withColumn(out, F.row_number().over(w)).drop("_slice")

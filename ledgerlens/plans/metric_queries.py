@@ -9,7 +9,7 @@ from ..operators import ordering as od
 from ..operators import quality as qu
 from ..operators import sampling as sa
 from ..sources.tables import TXN_SQL, TXN_WIDE_SQL, Tables
-from .registry import R, query, r, rs
+from .registry import QUERIES, R, query, r, rs
 
 # Stand-in predictions: rational functions of columns, equal in every engine.
 A, B, C = "amt / (amt + 200000)", "(txn_id * 37 % 101) / 101.0", "(uid * 13 + txn_id) % 997 / 997.0"
@@ -121,6 +121,12 @@ def _(t):
     return rs(me.auc(preds(t), "label", "pa"), ["auc"], 6)
 
 
+@query("m06_auc_in_buckets", "M06", QUERIES["m06_auc"].sql)
+def _(t):
+    """The same with the score axis cut into many buckets."""
+    return rs(me.auc(preds(t), "label", "pa", rows_per_bucket=200), ["auc"], 6)
+
+
 @query("m06_auc_with_ties", "M06", f"WITH {PRED_SQL}, a AS ({auc_sql('label', 'pb', 'pr')}) SELECT n_pos::BIGINT AS n_pos, n_neg::BIGINT AS n_neg, {R('auc', 6)} AS auc FROM a")
 def _(t):
     return rs(me.auc(preds(t), "label", "pb"), ["auc"], 6)

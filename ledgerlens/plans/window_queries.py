@@ -9,7 +9,7 @@ from ..operators import ordering as od
 from ..operators import windows as wi
 from ..operators.attach import group_size
 from ..sources.tables import TXN_AGED_SQL, TXN_SQL, Tables
-from .registry import R, query, r, rs
+from .registry import QUERIES, R, query, r, rs
 
 
 @query(
@@ -21,6 +21,14 @@ def _(t: Tables):
     return wi.row_numbers(d, ["user_id"], ["ts", "event_id"]).select("event_id", F.col("row_no").cast("int"))
 
 
+@query("w01_row_number_split", "W01", QUERIES["w01_row_number"].sql)
+def _(t):
+    """The same with the larger users cut into slices of rows."""
+    d = t.events.select("event_id", "user_id", "ts")
+    x = wi.row_numbers(d, ["user_id"], ["ts", "event_id"], rows_per_split=5 + d.count() // 200)
+    return x.select("event_id", F.col("row_no").cast("int"))
+
+
 def _gap(a, b):
     return f"coalesce(floor((epoch_us({a}) - epoch_us({b})) / 86400000000.0), -999)::BIGINT"
 
@@ -41,6 +49,14 @@ def _(t):
     return x.select("event_id", *[F.coalesce(n, F.lit(-999).cast("long")).alias(n) for n in x.columns if n != "event_id"])
 
 
+@query("w02_day_gaps_split", "W02", QUERIES["w02_day_gaps"].sql)
+def _(t):
+    """The same with the larger groups cut into slices of rows."""
+    d = t.events.select("event_id", "user_id", "event_type", "ts")
+    x = wi.day_gaps(d, ["user_id", "event_type"], "ts", "event_id", 5, rows_per_split=5 + d.count() // 1000).drop("user_id", "event_type", "ts")
+    return x.select("event_id", *[F.coalesce(n, F.lit(-999).cast("long")).alias(n) for n in x.columns if n != "event_id"])
+
+
 _DAYS = [3, 5, 7, 14]
 
 
@@ -210,6 +226,14 @@ def _(t):
     return od.ranked(d, "l_quantity", {"rank_min": "min", "rank_avg": "average"}).drop("l_quantity")
 
 
+@query("w14_ranks_in_buckets", "W14", QUERIES["w14_ranks"].sql)
+def _(t):
+    """The same with the value axis cut into many buckets."""
+    d = t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity")
+    x = od.ranked(d, "l_quantity", {"rank_min": "min", "rank_avg": "average"}, rows_per_bucket=1000)
+    return x.drop("l_quantity")
+
+
 @query(
     "w15_next_month_ratio", "W15",
     f"""WITH {TXN_SQL}, c AS (SELECT uid, month, count(*) AS n FROM txn GROUP BY ALL)

@@ -39,6 +39,19 @@ def test_sliced_lags_equal_plain_window(hot, limit):
     assert got.count() == hot.count()
 
 
+def test_slices_hold_rows_however_close_their_times(spark):
+    """A burst within one second, rows without a time and one late row."""
+    df = spark.range(6000).select(
+        "id", F.lit(1).alias("key"),
+        F.when(F.col("id") >= 1000, F.when(F.col("id") == 5999, F.lit("2030-01-01")).otherwise("2024-01-01")).cast("timestamp_ntz").alias("ts"),
+    )
+    parts, any_hot = windows.sliced(df, ["key"], ["ts", "id"], 500)
+    sizes = [r["count"] for r in parts.groupBy("_slice").count().collect()]
+    assert any_hot and sum(sizes) == 6000 and len(sizes) > 12 and max(sizes) <= 1000
+    edges = parts.groupBy("_slice").agg(F.min(F.struct("ts", "id")).alias("lo"), F.max(F.struct("ts", "id")).alias("hi")).orderBy("_slice").collect()
+    assert all(a.hi.id < b.lo.id for a, b in zip(edges, edges[1:]))
+
+
 @pytest.mark.parametrize("limit", [7, 10**6])
 def test_sliced_row_numbers(hot, limit):
     got = windows.row_numbers(hot, ["key"], ["ts", "id"], rows_per_split=limit)
