@@ -9,8 +9,7 @@ from ..functions.scalars import registration_date
 from ..operators import chains as ch
 from ..operators import entity as en
 from ..operators import neighbours as nb
-from ..operators import windows as wi
-from ..sources.tables import EV_SQL, TXN_AGED_SQL, TXN_SQL, TXN_WIDE_SQL, Tables
+from ..sources.tables import TXN_AGED_SQL, TXN_SQL, TXN_WIDE_SQL, Tables
 from .registry import R, query, r, rs
 
 _KEYSETS = {
