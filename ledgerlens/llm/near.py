@@ -32,6 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.attach import attach, group_size
 from ..session import cut
 from .common import bounded_batches, lower_words, name, sized_broadcast
 from .components import components
@@ -220,11 +221,11 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     found = cut(rows.mapInArrow(_features(width), spec).withColumn("uid", F.monotonically_increasing_id()))
 
     # Classes of equal sets, each under the smallest row number of its members.
-    classes = found.where("n > 0").groupBy("set_key").agg(F.min("uid").alias("rep"))
+    classes = found.where("n > 0").groupBy("set_key").agg(F.min("uid").alias("rep"), group_size())
     reps = found.select("uid", "key", "n", "sig", "cells").join(classes.select(F.col("rep").alias("uid")), "uid")
     entries = reps.select("uid", F.explode(_band_keys("sig")).alias("bucket"))
     crowded = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    entries = cut(entries.join(crowded, "bucket"))
+    entries = cut(entries.join(sized_broadcast(crowded, F.lit(24)), "bucket"))
     degree = entries.groupBy("uid").agg(F.sum("m").alias("degree"))
 
     # Full sets of the classes that share a bucket with another one; their texts are found by digest.
@@ -232,27 +233,27 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     wanted = sized_broadcast(near.select("key").distinct(), F.lit(16))
     texts = rows.where("text IS NOT NULL").join(wanted, "key", "left_semi").select("text")
     sets = texts.mapInArrow(_sets(width), "set_key binary, shingles binary")
-    named = classes.join(near.select(F.col("uid").alias("rep")), "rep")
+    named = classes.select("set_key", "rep").join(near.select(F.col("uid").alias("rep")), "rep")
     # Copies of a wanted text give the same set again; the first is enough.
     sets = cut(sets.join(named, "set_key").groupBy("rep").agg(F.min("shingles").alias("shingles")))
 
-    def attach(pairs: DataFrame, table: DataFrame, key: str, value: str) -> DataFrame:
+    def with_both(pairs: DataFrame, table: DataFrame, key: str, value: str) -> DataFrame:
         one = table.select(F.col(key).alias("a"), F.col(value).alias("x"))
         two = table.select(F.col(key).alias("b"), F.col(value).alias("y"))
         return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        return attach(pairs, sets, "rep", "shingles").mapInArrow(_confirm(percent), "a long, b long")
+        return with_both(pairs, sets, "rep", "shingles").mapInArrow(_confirm(percent), "a long, b long")
 
     ranked = entries.join(degree, "uid")
     pivots = ranked.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("uid")).alias("u"))).alias("best")).select("bucket", (-F.col("best.u")).alias("pivot"))
     stars = (
-        entries.join(pivots, "bucket")
+        entries.join(sized_broadcast(pivots, F.lit(24)), "bucket")
         .where("uid <> pivot")
         .select(F.least("uid", "pivot").alias("a"), F.greatest("uid", "pivot").alias("b"))
         .distinct()
     )
-    stars = attach(stars, near, "uid", "sig").mapInArrow(_agree(percent), "a long, b long")
+    stars = with_both(stars, near, "uid", "sig").mapInArrow(_agree(percent), "a long, b long")
     links = cut(confirmed(stars))
     roots = cut(components(links))
 
@@ -262,7 +263,7 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     sizes = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("k"))
     mixed = sizes.groupBy("bucket").agg(F.max(F.struct("k", "root")).alias("top"), F.count(F.lit(1)).alias("kinds"))
     mixed = mixed.where("kinds > 1").select("bucket", F.col("top.root").alias("main"))
-    placed = placed.join(mixed, "bucket").withColumn("outside", F.col("root") != F.col("main"))
+    placed = placed.join(sized_broadcast(mixed, F.lit(24)), "bucket").withColumn("outside", F.col("root") != F.col("main"))
     # A block task holds a slice of the members outside (left) and a slice of all members (right).
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     mine = F.pmod(F.hash("uid"), blocks)
@@ -282,11 +283,12 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     roots = cut(components(links.union(more)))
 
     # Row -> class -> component; the smallest document id names a component.
-    df = found.select("uid", "id", "key", "n", "set_key").join(classes, "set_key", "left").withColumn("rep", F.coalesce("rep", "uid"))
+    # Classes and components can be large, so both meet their rows by the skew-proof join.
+    df = attach(found.select("uid", "id", "key", "n", "set_key"), classes, ["set_key"]).withColumn("rep", F.coalesce("rep", "uid"))
     df = df.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     df = cut(df.select("uid", "id", "key", "n", "root"))
-    best = df.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "uid")).alias("best"))
-    df = df.join(best, "root")
+    best = df.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "uid")).alias("best"), group_size())
+    df = attach(df, best, ["root"])
     return df.select(
         F.col("id").alias(doc_id),
         F.col("n").alias("n_shingles"),
