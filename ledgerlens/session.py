@@ -27,6 +27,7 @@ def build_session(app: str = "ledgerlens", cores: str = "*", **conf: str) -> Spa
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for k, v in {**RUNTIME, **conf}.items():
         b = b.config(k, v)
@@ -64,6 +65,12 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a folder that ``scratch`` named."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` with a reliable checkpoint and forget its lineage."""
     spark = df.sparkSession
