@@ -17,7 +17,7 @@ from ledgerlens.llm.lines import line_dedup
 from ledgerlens.llm.mixing import repeat_documents
 from ledgerlens.llm.near import keep_one
 from ledgerlens.llm.toxicity import fit, keep_ordinary
-from ledgerlens.session import scratch, tune
+from ledgerlens.session import discard, scratch, tune
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -64,10 +64,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what each returns is written to the shared folder."""
-    docs = tune(spark).read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    """All stages over ``documents``; what each returns is written to the shared folder and goes when the next has read it."""
+    docs, before = tune(spark).read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet"), None
     for label, stage in STAGES[:-1]:
         path = scratch(spark, label.replace(" ", "-"))
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            discard(spark, before)
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
