@@ -37,9 +37,10 @@ from pyspark.sql import DataFrame
 from .common import bounded_batches, name
 
 # Unicode white space as the file's expressions mean it (without the separators U+001C to U+001F).
-SPACE = r"\t-\r \x85\xa0  -     　"
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 # Words that a worker remembers; the older half goes when they are more.
-MEMORY = 300_000
+MEMORY = 400_000
+PAIRS = 600_000
 
 
 def byte_letters() -> list[str]:
@@ -64,7 +65,6 @@ class Bpe:
         self.special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
         self.special_ids = special
         self.tokens = {i: t for t, i in (self.ids | special).items()}
-        self.space = regex.compile(f"[{SPACE}]+")
         # The word pattern, with its white space spelled out.
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.words = regex.compile(pattern.replace(r"[^\s", f"[^{SPACE}"), regex.V0)
@@ -83,7 +83,8 @@ class Bpe:
             if t not in self.formed:
                 self.formed[t], self.left[t], self.right[t] = r, self.ids[a], self.ids[b]
         self.automaton = ahocorasick.Automaton()
-        self.fits: dict[tuple[int, int], bool] = {}
+        # Pairs of tokens (before << 20 | token) and whether they are compatible; forgotten beyond PAIRS.
+        self.fits: dict[int, bool] = {}
         for token, i in self.ids.items():
             if len(token) == 1 or token[:-len(end)] in byte_of and token.endswith(end):
                 self.formed.setdefault(i, -1)
@@ -129,11 +130,12 @@ class Bpe:
                 before = last[j]
                 if before < 0:
                     continue
-                ok = fits.get((before, token))
+                pair = before << 20 | token
+                ok = fits.get(pair)
                 if ok is None:
-                    if len(fits) > 2_000_000:
+                    if len(fits) > PAIRS:
                         fits.clear()
-                    ok = fits[(before, token)] = rank_ok(before, token)
+                    ok = fits[pair] = rank_ok(before, token)
                 if not ok:
                     continue
             last[i], back[i] = token, j
@@ -144,8 +146,9 @@ class Bpe:
         return out[::-1]
 
     def normal(self, text: str) -> str:
-        # Lower case letter by letter: a sigma does not look at its place in the word.
-        return self.space.sub(" ", unicodedata.normalize("NFC", text)).replace("Σ", "σ").lower()
+        # Lower case letter by letter: a sigma does not look at its place in the word. White space
+        # needs no folding, as no word holds any.
+        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
     def pieces(self, text: str) -> Iterator[tuple[bool, str]]:
         """(special?, word) in text order."""
