@@ -21,6 +21,7 @@ from ..session import cut
 from .attach import SIZE, attach, group_size
 
 ROWS_PER_SPLIT = 1_000_000
+HOUR = 3_600_000_000
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], rows_per_split: int) -> DataFrame:
@@ -244,40 +245,38 @@ def window_hours(
 
     The last event is taken per ``anchor_keys`` (the keys themselves by default,
     ``[]`` for the last event of anyone). Whole hours are summed from hourly
-    totals; only the one hour cut by the window's far end is counted row by row,
-    against the offset of its anchor.
+    totals; the one hour cut by the window's far end is counted against the offset
+    of its anchor. The offsets of all anchors an hour is asked for stand beside it
+    as columns, so that every row is read once and all counts of an hour are
+    conditional sums, added up before the shuffle.
     """
     keys = list(keys)
     anchor_keys = keys if anchor_keys is None else list(anchor_keys)
     src = df.where(has_all([*keys, ts])).select(*keys, epoch_micros(ts).alias("_us"))
-    src = src.withColumn("_h", F.floor(F.col("_us") / 3_600_000_000))
-    src = src.withColumn("_o", F.col("_us") - F.col("_h") * 3_600_000_000)
-    anchor = src.groupBy(*anchor_keys, "_h").agg(F.max("_o").alias("_a"))
-    hourly = src.groupBy(*keys, "_h").agg(F.count(F.lit(1)).alias("_n")).join(anchor, [*anchor_keys, "_h"])
-    # rows of hour g on the near side of the offset of the anchor n hours later (earlier)
-    shift = F.explode(F.array(*[F.lit(n) for n in hours])).alias("_k")
-    asks = hourly.select(*keys, (F.col("_h")).alias("_to"), "_a", shift)
-    asks = asks.withColumn("_h", F.col("_to") - F.col("_k"))
-    packed = asks.groupBy(*keys, "_h").agg(F.collect_list(F.struct("_k", "_a")).alias("_ask"))
-    edge = src.join(packed, [*keys, "_h"])  # the list holds one entry per n
-    edge = edge.select(*keys, "_h", "_o", F.inline("_ask"))
-    near = F.when(F.col("_k") > 0, F.col("_o") >= F.col("_a")).otherwise(F.col("_o") <= F.col("_a"))
-    edge = edge.where(near).groupBy(*keys, (F.col("_h") + F.col("_k")).alias("_h")).pivot("_k", list(hours)).count()
+    src = src.withColumn("_h", F.floor(F.col("_us") / HOUR))
+    src = src.withColumn("_o", F.col("_us") - F.col("_h") * HOUR).drop("_us")
+    anchor = src.groupBy(*anchor_keys, "_h").agg(F.max("_o").alias("_a"), group_size())
+    steps = [0, *hours]
+    asks = anchor.select(*anchor_keys, "_h", "_a", F.explode(F.array(*map(F.lit, steps))).alias("_k"))
+    asks = asks.withColumn("_h", F.col("_h") - F.col("_k")).groupBy(*anchor_keys, "_h").pivot("_k", steps).agg(F.first("_a"))
+    asks = asks.withColumnsRenamed({str(k): f"_a{i}" for i, k in enumerate(steps)})
+    rows = attach(src, anchor.select(*anchor_keys, "_h", SIZE).join(asks, [*anchor_keys, "_h"]), [*anchor_keys, "_h"])
+
+    def near(i: int, k: int) -> Column:
+        """Rows on the near side of the offset of the anchor k hours later (earlier)."""
+        return F.count_if(F.col("_o") >= F.col(f"_a{i}") if k >= 0 else F.col("_o") <= F.col(f"_a{i}")).alias(f"_c{i}")
+
+    out = rows.groupBy(*keys, "_h").agg(F.count(F.lit(1)).alias("_n"), *[near(i, k) for i, k in enumerate(steps)])
     w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_h")
-    # the anchor's own hour: all of it backwards, the last instant forwards
-    tied = src.join(anchor, [*anchor_keys, "_h"]).where(F.col("_o") >= F.col("_a"))
-    tied = tied.groupBy(*keys, "_h").agg(F.count(F.lit(1)).alias("_tied"))
-    out = hourly.join(edge, [*keys, "_h"], "left").join(tied, [*keys, "_h"], "left")
-    for n in hours:
-        if n > 0:
-            whole = F.sum("_n").over(w.rangeBetween(-(n - 1), 0))
-        else:
-            whole = F.coalesce(F.col("_tied"), F.lit(0))
+    counts = {}
+    for i, n in enumerate(hours, start=1):
+        # the anchor's own hour: all of it backwards, the last instant forwards
+        whole = F.sum("_n").over(w.rangeBetween(-(n - 1), 0)) if n > 0 else F.col("_c0")
         if n < -1:
             whole = whole + F.coalesce(F.sum("_n").over(w.rangeBetween(1, -n - 1)), F.lit(0))
-        out = out.withColumn(f"hour{n}_count".replace("-", "m"), whole + F.coalesce(F.col(f"`{n}`"), F.lit(0)))
-    names = [f"hour{n}_count".replace("-", "m") for n in hours]
-    return out.select(*keys, (F.col("_h")).alias("hour_no"), *names)
+        edge = F.coalesce(F.sum(f"_c{i}").over(w.rangeBetween(-n, -n)), F.lit(0))
+        counts[f"hour{n}_count".replace("-", "m")] = whole + edge
+    return out.withColumns(counts).select(*keys, F.col("_h").alias("hour_no"), *counts)
 
 
 def next_period_ratio(df: DataFrame, keys: Sequence[str], period: str, out: str) -> DataFrame:
