@@ -208,16 +208,30 @@ def plotting_quantiles(df: DataFrame, col: str, probs: Sequence[float], a: float
 
 
 def partial_dependence(model, df: DataFrame, cols: Sequence[str], target: str, points: Sequence[float], key: str, share: float | None = None) -> DataFrame:
-    """Mean prediction with ``target`` fixed at each of a short list of points, over all rows.
+    """Mean prediction with ``target`` fixed at each of a short list of points (None: missing), over all rows.
 
     ``share`` scores a hashed part of the rows instead.
     """
     base = df if share is None else df.where(hash_unit(key, 3) < share)
-    arr = F.array(*[F.lit(float(p)) for p in points])
+    arr = F.array(*[F.lit(None if p is None else float(p)).cast("double") for p in points])
     x = base.withColumn(target, F.explode(arr))
     return score(model, x, cols).groupBy(F.col(target).alias("value")).agg(F.avg("pred").alias("xray"), F.count(F.lit(1)).alias("n_rows"))
 
 
+def dependence_profile(model, df: DataFrame, cols: Sequence[str], target: str, key: str, max_point: int = 20, rounding: int | None = None) -> DataFrame:
+    """Partial dependence of a column at its own data points: (value, n, xray, n_rows).
+
+    ``n`` counts the rows a point stands for (NULL for percentiles); the point of
+    missing values is scored like any other. There are at most ``max_point`` points and that one.
+    """
+    points = dependence_points(df, target, max_point, rounding).collect()
+    schema = "point double, n long"
+    counts = df.sparkSession.createDataFrame([(r["value"], r["n"]) for r in points], schema)
+    x = partial_dependence(model, df, cols, target, sorted({r["value"] for r in points}, key=lambda v: (v is None, v)), key)
+    same = F.col("value").eqNullSafe(F.col("point"))
+    return x.join(F.broadcast(counts), same).select("value", "n", "xray", "n_rows")
+
+
 # -- calendar forecast ---------------------------------------------------------------------
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import models as ml
 from ..operators import sampling as sa
 from ..operators import udf
-from ..sources.tables import TXN_SQL, Tables
+from ..sources.tables import EV_SQL, Tables
 from .registry import R, query, r, rs
 
 FEATS = ["k", "value", "hr"]
@@ -170,6 +170,18 @@ def _(t):
     return rs(x, ["xray"])
 
 
+@query(
+    "l10_dependence_profile", "L10",
+    f"""WITH {EV_SQL}, x AS (SELECT CASE WHEN hour(ts) > 3 THEN hour(ts)::DOUBLE END AS hr FROM ev)
+      SELECT hr AS value, count(*) AS n, (SELECT count(*) FROM x) AS n_rows, true AS is_share FROM x GROUP BY 1""",
+)
+def _(t):
+    d = _ml_frame(t).withColumn("hr", F.when(F.col("hr") > 3, F.col("hr").cast("double")))
+    m = ml.fit_classifier(d, "y", FEATS, "lgr")
+    x = ml.dependence_profile(m, d.select("event_id", *FEATS), FEATS, "hr", "event_id", max_point=30)
+    return x.select("value", "n", "n_rows", F.col("xray").between(0.0, 1.0).alias("is_share"))
+
+
 @query("l11_predict_feature_from_others", "L11", None)
 def _(t):
     d = _ml_frame(t)
