@@ -47,7 +47,9 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of every row: ``doc_id, n_tokens, ids``."""
-    df = encode_documents(docs.select("doc_id", "text"), str(public_tokenizers.path("word_bpe_49k.json")))
+    # Workers that ran the stages before still hold their memory, so words get little of it here.
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    df = encode_documents(docs.select("doc_id", "text"), path, words=60_000)
     return df.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 

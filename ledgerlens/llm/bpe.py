@@ -190,15 +190,15 @@ class Memory(dict):
 class Encoder:
     """Whole texts to (ids as text, decoded text, number of tokens), with a bounded memory of words."""
 
-    def __init__(self, bpe: Bpe):
-        self.bpe, self.memory = bpe, Memory(bpe, {})
+    def __init__(self, bpe: Bpe, words: int | None = None):
+        self.bpe, self.memory, self.words = bpe, Memory(bpe, {}), words or MEMORY
 
     def text(self, text: str) -> tuple[str, str, int]:
         bpe, memory = self.bpe, self.memory
         if bpe.special and bpe.special.search(text):
             ids = bpe.encode(text)
             return " ".join(map(str, ids)), bpe.decode(ids), len(ids)
-        if len(memory) > MEMORY // 2:
+        if len(memory) > self.words // 2:
             memory = self.memory = Memory(bpe, dict(memory))
         found = [memory[w] for w in bpe.words.findall(bpe.normal(text))]
         if not found:
@@ -207,21 +207,22 @@ class Encoder:
         return ids, " ".join([x[1] for x in found]), ids.count(" ") + 1
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int | None], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, words: int | None = None) -> Encoder:
     """One per worker process."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(load(path))
-    return _encoders[path]
+    if (path, words) not in _encoders:
+        _encoders.clear()
+        _encoders[path, words] = Encoder(load(path), words)
+    return _encoders[path, words]
 
 
-def _encode(path: str):
+def _encode(path: str, words: int | None):
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(path, words)
         for b in batches:
             ids = [np.fromstring(enc.text(t or "")[0], np.int32, sep=" ") for t in b.column(1).to_pylist()]
             ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
@@ -255,9 +256,9 @@ def _input(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(name(doc_id).cast("long").alias("doc_id"), name(text).alias("text"))
 
 
-def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, ids``: the token ids of every whole text."""
-    return _input(docs, doc_id, text).mapInArrow(_encode(path), "doc_id long, ids array<int>")
+def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", words: int | None = None) -> DataFrame:
+    """``doc_id, ids``: the token ids of every whole text. ``words`` sets how many words a worker remembers (memory against time)."""
+    return _input(docs, doc_id, text).mapInArrow(_encode(path, words), "doc_id long, ids array<int>")
 
 
 def _decode(path: str):

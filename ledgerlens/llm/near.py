@@ -52,10 +52,10 @@ _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
 class WordHashes(dict):
-    """Word to 64-bit hash; forgotten when it grows beyond half a million words."""
+    """Word to 64-bit hash; forgotten when it grows beyond 100,000 words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
