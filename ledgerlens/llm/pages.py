@@ -3,7 +3,10 @@
 A standard-library parser streams a page's events into lines: one per block
 element, with its text and the number of tags it took. Lines inside menus,
 headers, footers, asides, forms, adverts, notices, comment lists and hidden
-elements are structure and count with a ratio of 0. The ratio of text to tags is
+elements are structure and count with a ratio of 0. A class or id makes an element
+structure only as a whole ("sidebar", not "has-sidebar"), and not if the element
+holds a main, an article that is no comment, or most of the text of a page that
+marks no article elsewhere. The ratio of text to tags is
 smoothed along the page by a Gaussian; lines above a threshold cluster into
 content regions. A region stands for the whole article that holds it (the
 outermost ``article``, ``main`` or article body), and outside of any article for
@@ -48,6 +51,8 @@ NAMES = frozenset(
     "navigation menu menus breadcrumb breadcrumbs pagination pager footer masthead topbar toolbar comment comments commentlist "
     "respond reply replies disqus discussion login search copyright outbrain taboola teaser teasers".split()
 )
+# Words that may stand beside them in the same class or id.
+BESIDE = frozenset("area bar block bottom box button buttons container inner item items left link links list main post posts primary right secondary section site top wrap wrapper".split())
 HEADER_NAMES = frozenset(("header",))
 COMMENT_NAMES = frozenset("comment comments commentlist respond reply replies disqus discussion".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -57,33 +62,46 @@ SCOPES = frozenset("article aside blockquote body div dl footer form header main
 _WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+(?![a-z])")
 
 
-def _named(attrs: dict[str, str | None]) -> set[str]:
-    return {w.lower() for w in _WORDS.findall(f"{attrs.get('class') or ''} {attrs.get('id') or ''}")}
+def _named(attrs: dict[str, str | None], names: frozenset[str]) -> bool:
+    """Whether a class or the id as a whole says one of ``names``: "cookie-notice" and "related-posts", not "has-sidebar"."""
+    for token in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".split():
+        words = [w.lower() for w in _WORDS.findall(token)]
+        if not names.isdisjoint(words) and all(w in names or w in BESIDE for w in words):
+            return True
+    return False
+
+
+class Element:
+    """An open or closed element: what its markup says, before it is known what it holds."""
+
+    __slots__ = ("tag", "parent", "silent", "around", "named", "comments", "header", "article", "real", "breaks", "size", "holds", "structure", "number")
+
+    def __init__(self, tag: str, parent: Element | None):
+        self.tag, self.parent = tag, parent
+        self.silent = self.around = self.named = self.comments = self.header = self.article = self.real = self.breaks = False
+        # Characters inside; number of articles and mains inside.
+        self.size = 0
+        self.holds = [0, 0]
+        self.structure, self.number = False, 0
 
 
 class Lines(HTMLParser):
-    """Collects ``lines``: [text pieces, tags, structure?, article number or 0, element]."""
+    """Collects ``lines``: [text pieces, tags, element that holds it, element that begins it]."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        # Open elements: tag, silent, structure, article number.
-        self.open: list[tuple[str, bool, bool, int]] = []
+        self.elements = [Element("", None)]
+        self.open = [self.elements[0]]
         self.lines: list[list] = []
-        self.articles = 0
         self._start("")
 
-    def _state(self) -> tuple[bool, bool, int]:
-        return self.open[-1][1:] if self.open else (False, False, 0)
-
     def _start(self, tag: str) -> None:
-        _, structure, article = self._state()
-        self.lines.append([[], 0, structure, article, tag])
+        self.lines.append([[], 0, self.open[-1], tag])
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in CLOSES:
             self._close_implied(CLOSES[tag])
-        silent, structure, article = self._state()
-        if not silent:
+        if not self.open[-1].silent:
             self.lines[-1][1] += 1
             if tag in ("br", "td", "th", "img"):
                 self.lines[-1][0].append(" ")
@@ -92,26 +110,28 @@ class Lines(HTMLParser):
                 self._start(tag)
             return
         a = dict(attrs)
-        named = _named(a) if "class" in a or "id" in a else set()
+        e = Element(tag, self.open[-1])
+        e.silent = e.parent.silent or tag in SILENT
         role = (a.get("role") or "").lower()
-        silent = silent or tag in SILENT
+        marked = "class" in a or "id" in a
+        e.comments = marked and _named(a, COMMENT_NAMES)
         if tag == "article" or role == "article":
-            around = bool(named & COMMENT_NAMES)
-        elif tag in NEVER:
-            around = False
-        else:
-            around = tag in STRUCTURE or role in ROLES or bool(named & NAMES)
-            if not article:
-                around = around or tag == "header" or bool(named & HEADER_NAMES)
+            e.around, e.real = e.comments, not (marked and _named(a, NAMES))
+        elif tag not in NEVER:
+            inside = any(x.article and not x.around for x in self.open)
+            e.around = tag in STRUCTURE or role in ROLES or tag == "header" and not inside
+            e.named = marked and _named(a, NAMES)
+            e.header = marked and not inside and _named(a, HEADER_NAMES)
         hidden = "hidden" in a or (a.get("aria-hidden") or "").lower() == "true" or "display:none" in (a.get("style") or "").replace(" ", "").lower()
-        structure = structure or around or hidden
-        body = tag in ARTICLE or role in ("main", "article") or (a.get("itemprop") or "").lower() == "articlebody"
-        if body and not article and not structure:
-            self.articles += 1
-            article = self.articles
-        changed = (structure, article) != self._state()[1:]
-        self.open.append((tag, silent, structure, article))
-        if tag in BLOCK or changed:
+        e.around = e.around or hidden
+        e.article = tag in ARTICLE or role in ("main", "article") or (a.get("itemprop") or "").lower() == "articlebody"
+        e.breaks = tag in BLOCK or e.around or e.named or e.header or e.article
+        self.elements.append(e)
+        self.open.append(e)
+        if e.article and (e.real or tag != "article" and role != "article") and not any(x.around for x in self.open):
+            for x in self.open:
+                x.holds[not e.real] += 1
+        if e.breaks:
             self._start(tag)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -120,44 +140,69 @@ class Lines(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        if not self._state()[0]:
+        if not self.open[-1].silent:
             self.lines[-1][1] += 1
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
+        for i in range(len(self.open) - 1, 0, -1):
+            if self.open[i].tag == tag:
                 self._pop(i)
                 return
 
     def _close_implied(self, tags: set[str]) -> None:
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] in tags:
+        for i in range(len(self.open) - 1, 0, -1):
+            if self.open[i].tag in tags:
                 self._pop(i)
                 return
-            if self.open[i][0] in SCOPES:
+            if self.open[i].tag in SCOPES:
                 return
 
     def _pop(self, i: int) -> None:
-        before = self._state()
-        block = any(t[0] in BLOCK for t in self.open[i:])
+        changed = any(e.breaks for e in self.open[i:])
         del self.open[i:]
-        if block or self._state()[1:] != before[1:]:
+        if changed:
             self._start("")
 
     def handle_data(self, data: str) -> None:
-        if not self._state()[0]:
+        if not self.open[-1].silent:
             self.lines[-1][0].append(data)
 
+    def resolve(self) -> None:
+        """Which elements are structure, and the number of the article they lie in or 0."""
+        for pieces, _, e, _ in self.lines:
+            n = len("".join(pieces).strip())
+            if n:
+                while e is not None:
+                    if e.around:
+                        n = 0
+                    e.size += n
+                    e = e.parent
+        top, articles = self.elements[0], 0
+        for e in self.elements[1:]:
+            up = e.parent
+            around = e.around
+            if e.named or e.header:
+                # A class alone removes no main, no article that is no comment, and not most of the text, unless the page marks an article elsewhere.
+                holds = e.holds[1] or e.holds[0] and not e.comments
+                most = e.size > top.size / 2 and (e.holds == top.holds or up.number and not e.comments)
+                around = around or not (holds or most)
+            e.structure = up.structure or around
+            e.number = up.number
+            if e.article and not e.number and not e.structure:
+                articles += 1
+                e.number = articles
+
 
 def page_lines(html: str) -> list[tuple[str, int, bool, int, str]]:
     """The non-empty lines of a page: text, tags, structure, article, element."""
     p = Lines()
     p.feed(html)
     p.close()
+    p.resolve()
     out = []
     carried = 0  # tags of empty lines count for the next line
-    for pieces, tags, structure, article, tag in p.lines:
+    for pieces, tags, element, tag in p.lines:
         text = " ".join("".join(pieces).split())
         if text:
-            out.append((text, tags + carried, structure, article, tag))
+            out.append((text, tags + carried, element.structure, element.number, tag))
             carried = 0
         else:
             carried += tags

@@ -143,6 +143,20 @@ def test_pages_without_an_article_use_the_ratio():
     assert pages.main_text(html).split("\n") == ["Head", long.strip(), "short", long.strip()]
 
 
+@pytest.mark.parametrize("wrapper", ["div class='content has-sidebar'", "div class='no-sidebar'", "section id='search-page'", "div class='sidebar'", "div class='header'"])
+@pytest.mark.parametrize("body", ["<article>{}</article>", "<main>{}</main>", "{}"])
+def test_pages_keep_their_text_in_named_wrappers(wrapper, body):
+    long = "word " * 60
+    html = f"<body><div class='site-nav'><a>Home</a></div><{wrapper}>{body.format(f'<p>{long}</p>')}</{wrapper.split()[0]}><div class='related-posts'><p>More of it</p></div></body>"
+    assert pages.main_text(html) == long.strip()
+
+
+def test_pages_leave_comments_out():
+    long = "word " * 30
+    html = f"<body><article><p>{long}</p></article><div class='comments'><article><p>{'reply ' * 90}</p></article></div></body>"
+    assert pages.main_text(html) == long.strip()
+
+
 def test_pages_of_the_table(spark):
     """Against a plain reading of the tables' one page layout."""
     import html as h
