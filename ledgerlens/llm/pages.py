@@ -7,11 +7,14 @@ elements are structure and count with a ratio of 0. A class or id makes an eleme
 structure only as a whole ("sidebar", not "has-sidebar"), and not if the element
 holds a main, an article that is no comment, or most of the text of a page that
 marks no article elsewhere. The ratio of text to tags is
-smoothed along the page by a Gaussian; lines above a threshold cluster into
-content regions. A region stands for the whole article that holds it (the
-outermost ``article``, ``main`` or article body), and outside of any article for
-every line from the first to the last of the cluster, with the heading above. All
-lines of it that are not structure are the main text, short ones included.
+smoothed along the page by a Gaussian; lines above a threshold select regions, on
+pages with an article too. Lines of an article weigh double against the threshold.
+The outermost ``article``, ``main`` or article body that holds a selected line is a
+region as a whole, because clusters alone cut its short blocks off. Between and
+outside of articles a region is every line from the first to the last of a cluster,
+with the heading above. All lines of a region that are not structure are the main
+text, short ones included; where no article has a selected line, the longest is kept
+beside the regions outside.
 
 Cases: a missing or empty page gives an empty text; broken and cut off markup is
 read as far as it goes; pages without an article use the ratio alone. Work is per
@@ -23,6 +26,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +63,8 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # A start tag closes these open elements of its own kind.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("article aside blockquote body div dl footer form header main nav ol section table td th ul".split())
+# What a line of an article counts against one outside when lines are held against the threshold.
+MARKED = 2.0
 _WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+(?![a-z])")
 
 
@@ -226,23 +232,32 @@ def main_text(html: str | None, sigma: float = 1.0, level: float = 1.0) -> str:
     ratio = np.array([0.0 if s else len(t) / max(1, n) for t, n, s, _, _ in lines])
     soft = smooth(ratio, sigma)
     bound = level * soft.std()
-    content = [i for i in free if soft[i] > bound and ratio[i] > 0] or [max(free, key=lambda i: soft[i])]
-    chosen = {lines[i][3] for i in content} - {0}
-    if any(lines[i][3] for i in free):
-        # The page marks its article: its regions, or its longest article if they all lie outside.
-        if not chosen:
-            size: dict[int, int] = {}
-            for i in free:
-                size[lines[i][3]] = size.get(lines[i][3], 0) + len(lines[i][0]) * (lines[i][3] > 0)
-            chosen = {max(size, key=size.get)}
-        return "\n".join(lines[i][0] for i in free if lines[i][3] in chosen)
-    # Smoothing lifts the neighbours of long lines: a cluster begins and ends with a line that passes by itself.
-    own = [i for i in content if ratio[i] > bound] or content
-    first, last = own[0], own[-1]
-    at = free.index(first)
-    while at and lines[free[at - 1]][4] in HEADINGS:
-        at -= 1
-    return "\n".join(lines[i][0] for i in free[at:] if i <= last)
+    # A line of an article counts MARKED times.
+    weighed = soft * np.array([MARKED if x[3] else 1.0 for x in lines])
+    content = {i for i in free if weighed[i] > bound and ratio[i] > 0} or {max(free, key=lambda i: weighed[i])}
+    out: list[int] = []
+    # Parts of the page: an article, or what lies between two articles.
+    for article, group in groupby(free, key=lambda i: lines[i][3]):
+        part = list(group)
+        if article:
+            out += part
+            continue
+        # Smoothing lifts the neighbours of long lines: a cluster begins and ends with a line that passes by itself.
+        found = [k for k, i in enumerate(part) if i in content]
+        own = [k for k in found if ratio[part[k]] > bound] or (found if len(content) == len(found) else [])
+        if own:
+            at = own[0]
+            while at and lines[part[at - 1]][4] in HEADINGS:
+                at -= 1
+            out += part[at : own[-1] + 1]
+    chosen = {lines[i][3] for i in content}
+    if not chosen - {0}:
+        # No article has a line above the bound: the longest one is kept with the regions outside.
+        size: dict[int, int] = {}
+        for i in free:
+            size[lines[i][3]] = size.get(lines[i][3], 0) + len(lines[i][0]) * (lines[i][3] > 0)
+        chosen.add(max(size, key=size.get))
+    return "\n".join(lines[i][0] for i in out if not lines[i][3] or lines[i][3] in chosen)
 
 
 def _extract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -151,6 +151,14 @@ def test_pages_keep_their_text_in_named_wrappers(wrapper, body):
     assert pages.main_text(html) == long.strip()
 
 
+def test_pages_with_an_article_use_the_ratio_too():
+    """Regions outside the article are found, what has a low ratio is not, and a short article between them is whole."""
+    long, more = "word " * 60, "more " * 50
+    links = "".join(f"<a href='{k}'>x</a>" for k in range(9))
+    html = f"<body><div>{links}</div><article><h1>A</h1><p>{long}</p><p>ok</p></article><div><h2>On</h2><p>{more}</p><p>tiny</p><p>{more}</p></div><article><h2>B</h2><p>A few words of B.</p></article><div>{links}</div></body>"
+    assert pages.main_text(html).split("\n") == ["A", long.strip(), "ok", "On", more.strip(), "tiny", more.strip(), "B", "A few words of B."]
+
+
 def test_pages_leave_comments_out():
     long = "word " * 30
     html = f"<body><article><p>{long}</p></article><div class='comments'><article><p>{'reply ' * 90}</p></article></div></body>"
