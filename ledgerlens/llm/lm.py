@@ -15,12 +15,14 @@ How it runs: tasks turn their documents into chunks of (word, context, document)
 counts, combined per chunk and packed as bytes, which are shuffled once by word
 and written to the shared folder. All customers of a word lie in one partition;
 words found frequent in a sample of texts are spread over all partitions by
-context as well (this affects the layout only, and the base probability that
-seating uses for them). Three passes over the written chunks follow: counts, Gibbs
-sums, scores. Between passes only vectors of fixed size go through the driver:
-customers and tables per context, totals, and the rows of frequent words. Draws are
-hashes of word, context and sweep, so that a pass repeats what the one before drew,
-on any executor, and the third one has the exact normalisers of the samples.
+context as well (this affects the layout only). A pass over the written chunks counts
+and writes the seated pairs; one pass over these per Gibbs sweep follows, and a last
+one over the chunks scores. All dishes of a sweep are drawn at once, given the tables
+of contexts and parent that the sweep before drew. Between passes only vectors of
+fixed size go through the driver: customers and tables per context, totals, and the
+rows of frequent words. Draws are hashes of word, context and sweep, so that a pass
+repeats what the ones before drew, on any executor, and the last one has the exact
+normalisers of the samples.
 
 Cases: a missing or empty text is one end token; documents with a missing id count
 as held out; repeated rows are rows of their own; without training documents
@@ -196,15 +198,26 @@ class Totals:
     frequent: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # sorted
     frequent_tokens: np.ndarray = field(default_factory=lambda: np.zeros(0))
     frequent_customers: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    # Per sample: tables per context, (customers, tables) of the parent, and of its frequent words.
-    sample_tables: list[np.ndarray] = field(default_factory=list)
-    sample_top: list[tuple[float, float]] = field(default_factory=list)
-    sample_frequent: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
+    # Per sweep: tables per context, (customers, tables) of the parent, and of its frequent words.
+    sweeps: list[tuple[np.ndarray, tuple[float, float], tuple[np.ndarray, np.ndarray]]] = field(default_factory=list)
+
+    def kept(self) -> range:
+        """The sweeps whose probabilities are averaged."""
+        return range(min(BURN, len(self.sweeps) - 1), len(self.sweeps))
+
+    def before(self, sweep: int) -> tuple[np.ndarray, tuple[float, float], tuple[np.ndarray, np.ndarray]]:
+        """What a sweep starts from: what the one before drew, or a table per dish."""
+        if sweep:
+            return self.sweeps[sweep - 1]
+        return self.tables, (self.parent, self.words), (self.frequent_customers, np.minimum(self.frequent_customers, 1))
+
+    def rest(self, all_tables: float) -> float:
+        """The parent's weight of a new table of a dish."""
+        return (STRENGTH + self.discount_top * all_tables) / (self.words + 1)
 
     def base(self, customers: np.ndarray, tables: np.ndarray, all_customers: float, all_tables: float) -> np.ndarray:
         """The parent's probability of a dish."""
-        rest = (STRENGTH + self.discount_top * all_tables) / (self.words + 1)
-        return (customers - self.discount_top * tables + rest) / (STRENGTH + all_customers)
+        return (customers - self.discount_top * tables + self.rest(all_tables)) / (STRENGTH + all_customers)
 
 
 _stirling: dict[float, np.ndarray] = {}
@@ -255,7 +268,59 @@ def draw_tables(customers: np.ndarray, new: np.ndarray, discount: float, u: np.n
     return out
 
 
-class Partition:
+class Seated:
+    """Words, pairs (word, context) and their customers."""
+
+    words: np.ndarray
+    w: np.ndarray
+    k: np.ndarray
+    customers: np.ndarray
+
+    def _keys(self, frequent: np.ndarray) -> None:
+        at = np.searchsorted(frequent, self.words)
+        at = np.minimum(at, max(0, len(frequent) - 1))
+        self.is_frequent = frequent[at] == self.words if len(frequent) else np.zeros(len(self.words), bool)
+        self.frequent_at = at
+        self.word_key = _mix(self.words * _M)
+        self.pair_key = _mix(self.words[self.w] * _M2 + self.k.astype(np.uint64))
+
+    def per_word(self, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self.w, x, len(self.words))
+
+    def sweeps(self, totals: Totals, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Per sweep: tables of the pairs, and customers and tables of the words in the parent (in part only for frequent words).
+
+        All dishes of a sweep are drawn given the tables of the sweep before, in the contexts and in the parent.
+        """
+        d, top = totals.discount, totals.discount_top
+        f = self.frequent_at[self.is_frequent]
+        customers = self.per_word((self.customers > 0).astype(float))
+        parent_tables = np.minimum(customers, 1)
+        for sweep in range(n):
+            in_context, (all_customers, all_tables), (shared, shared_tables) = totals.before(sweep)
+            customers[self.is_frequent], parent_tables[self.is_frequent] = shared[f], shared_tables[f]
+            p = totals.base(customers, parent_tables, all_customers, all_tables)
+            tables = draw_tables(self.customers, (STRENGTH + d * in_context[self.k]) * p[self.w], d, _uniform(self.pair_key, sweep))
+            customers = self.per_word(tables)
+            parent_tables = draw_tables(customers, np.full(len(customers), totals.rest(all_tables)), top, _uniform(self.word_key, sweep))
+            yield tables, customers, parent_tables
+
+
+class Seats(Seated):
+    """What ``Partition.seated`` packed."""
+
+    def __init__(self, data: bytes, frequent: np.ndarray):
+        body = zstandard.decompress(data)
+        n_words, n = (int(x) for x in np.frombuffer(body, np.int64, 2))
+        self.words = np.frombuffer(body, np.uint64, n_words, 16)
+        at = 16 + 8 * n_words
+        self.w = np.repeat(np.arange(n_words), np.frombuffer(body, np.uint32, n_words, at))
+        self.customers = np.frombuffer(body, np.uint32, n, at + 4 * n_words).astype(np.int64)
+        self.k = np.frombuffer(body, np.uint16, n, at + 4 * n_words + 4 * n).astype(np.int64)
+        self._keys(frequent)
+
+
+class Partition(Seated):
     """All chunks of a partition, merged: words, pairs (word, context) and their customers."""
 
     def __init__(self, batches: Iterable[pa.RecordBatch], frequent: np.ndarray):
@@ -278,41 +343,24 @@ class Partition:
         train = np.concatenate([(d >> 15) * t.astype(np.int64) for d, t in zip(docs, times)])
         each = np.add.reduceat(train, np.cumsum(n) - n)
         self.customers = np.bincount(self.pair_of, each, len(pair)).astype(np.int64)
-        at = np.searchsorted(frequent, self.words)
-        at = np.minimum(at, max(0, len(frequent) - 1))
-        self.is_frequent = frequent[at] == self.words if len(frequent) else np.zeros(len(self.words), bool)
-        self.frequent_at = at
-        self.word_key = _mix(self.words * _M)
-        self.pair_key = _mix(self.words[self.w] * _M2 + self.k.astype(np.uint64))
-
-    def per_word(self, x: np.ndarray) -> np.ndarray:
-        return np.bincount(self.w, x, len(self.words))
+        self._keys(frequent)
 
-    def samples(self, totals: Totals) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Per kept sweep: tables of the pairs, and customers and tables of the words in the parent (void for frequent words)."""
-        d, top = totals.discount, totals.discount_top
-        seen = self.customers > 0
-        tables = seen.astype(float)
-        customers = self.per_word(tables)
-        parent_tables = np.minimum(customers, 1)
-        weight = STRENGTH + d * totals.tables[self.k]
-        rest = (STRENGTH + top * totals.words) / (totals.words + 1)
-        for sweep in range(BURN + SAMPLES):
-            p = totals.base(customers, parent_tables, totals.parent, totals.words)
-            if self.is_frequent.any():
-                f = self.frequent_at[self.is_frequent]
-                p[self.is_frequent] = totals.base(totals.frequent_customers[f], np.ones(len(f)), totals.parent, totals.words)
-            tables = draw_tables(self.customers, weight * p[self.w], d, _uniform(self.pair_key, sweep))
-            customers = self.per_word(tables)
-            parent_tables = draw_tables(customers, np.full(len(customers), rest), top, _uniform(self.word_key, sweep))
-            if sweep >= BURN:
-                yield tables, customers, parent_tables
+    def seated(self) -> bytes:
+        """Words and pairs with customers, packed for ``Seats``."""
+        some = np.flatnonzero(self.customers)
+        there, pairs = np.unique(self.w[some], return_counts=True)
+        sizes = np.array([len(there), len(some)], np.int64)
+        body = b"".join(
+            (sizes.tobytes(), self.words[there].tobytes(), pairs.astype(np.uint32).tobytes(), self.customers[some].astype(np.uint32).tobytes(), self.k[some].astype(np.uint16).tobytes())
+        )
+        return zstandard.compress(body, 1)
 
 
 # Sums by kind: keys and two values.
 Sums = dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
 SUMS = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("a", pa.float64()), ("b", pa.float64())])
 SUMS_SPEC = "kind int, key long, a double, b double"
+FIRST = SUMS.append(pa.field("data", pa.binary()))
 
 
 def _sums(kind: int, key: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -325,42 +373,75 @@ def _per_context(kind: int, k: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.R
     return _sums(kind, some, x[some], y[some])
 
 
-def _count(frequent: np.ndarray):
+def _counts(p: Seated) -> Iterator[pa.RecordBatch]:
     """Kind 0: customers and dishes per context; 1: totals; 2: tokens and contexts of frequent words."""
+    seen = (p.customers > 0).astype(float)
+    yield _per_context(0, p.k, p.customers.astype(float), seen)
+    tokens, contexts = p.per_word(p.customers), p.per_word(seen)
+    own = ~p.is_frequent
+    total = [
+        (p.customers.sum(), seen.sum()),
+        ((p.customers == 1).sum(), (p.customers == 2).sum()),
+        ((tokens[own] > 0).sum(), 0),
+        ((contexts[own] == 1).sum(), (contexts[own] == 2).sum()),
+    ]
+    yield _sums(1, np.arange(len(total)), np.array([x for x, _ in total], float), np.array([y for _, y in total], float))
+    f = np.flatnonzero(p.is_frequent)
+    yield _sums(2, p.frequent_at[f], tokens[f], contexts[f])
+
+
+def _count(frequent: np.ndarray):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = Partition(batches, frequent)
+        if not p.empty:
+            yield from _counts(p)
+
+    return run
+
+
+def _first(frequent: np.ndarray):
+    """The sums of ``_count``, and the partition's words and pairs for the sweeps (kind -1)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = Partition(batches, frequent)
         if p.empty:
             return
-        seen = (p.customers > 0).astype(float)
-        yield _per_context(0, p.k, p.customers.astype(float), seen)
-        tokens, contexts = p.per_word(p.customers), p.per_word(seen)
-        own = ~p.is_frequent
-        total = [
-            (p.customers.sum(), seen.sum()),
-            ((p.customers == 1).sum(), (p.customers == 2).sum()),
-            ((tokens[own] > 0).sum(), 0),
-            ((contexts[own] == 1).sum(), (contexts[own] == 2).sum()),
-        ]
-        yield _sums(1, np.arange(len(total)), np.array([x for x, _ in total], float), np.array([y for _, y in total], float))
-        f = np.flatnonzero(p.is_frequent)
-        yield _sums(2, p.frequent_at[f], tokens[f], contexts[f])
+        for b in _counts(p):
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.nulls(b.num_rows, pa.binary())], schema=FIRST)
+        one = pa.array([-1], pa.int32()), pa.array([0]), pa.array([0.0]), pa.array([0.0]), pa.array([p.seated()], pa.binary())
+        yield pa.RecordBatch.from_arrays(list(one), schema=FIRST)
 
     return run
 
 
+def _swept(p: Seated, totals: Totals) -> Iterator[pa.RecordBatch]:
+    """The next sweep. Kind 10: tables per context; 20: customers and tables of the parent; 30: customers of frequent words."""
+    for tables, customers, parent_tables in p.sweeps(totals, len(totals.sweeps) + 1):
+        pass
+    own, f = ~p.is_frequent, np.flatnonzero(p.is_frequent)
+    yield _per_context(10, p.k, tables, np.zeros(len(tables)))
+    yield _sums(20, np.zeros(1), np.array([customers[own].sum()]), np.array([parent_tables[own].sum()]))
+    yield _sums(30, p.frequent_at[f], customers[f], np.zeros(len(f)))
+
+
 def _gibbs(totals: Totals):
-    """Kind 10 + s: tables per context in sample s; 20 + s: customers and tables of the parent; 30 + s: customers of frequent words."""
+    """The next sweep over chunks."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = Partition(batches, totals.frequent)
-        if p.empty:
-            return
-        own, f = ~p.is_frequent, np.flatnonzero(p.is_frequent)
-        for s, (tables, customers, parent_tables) in enumerate(p.samples(totals)):
-            yield _per_context(10 + s, p.k, tables, np.zeros(len(tables)))
-            yield _sums(20 + s, np.zeros(1), np.array([customers[own].sum()]), np.array([parent_tables[own].sum()]))
-            yield _sums(30 + s, p.frequent_at[f], customers[f], np.zeros(len(f)))
+        if not p.empty:
+            yield from _swept(p, totals)
+
+    return run
+
+
+def _sweep(totals: Totals):
+    """The next sweep over what ``_first`` packed."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for data in b.column(0).to_pylist():
+                yield from _swept(Seats(data, totals.frequent), totals)
 
     return run
 
@@ -388,12 +469,15 @@ def _score(totals: Totals):
         f, at = np.flatnonzero(p.is_frequent), p.frequent_at[p.is_frequent]
         probability = np.zeros(len(p.k))
         d = totals.discount
-        for s, (tables, customers, parent_tables) in enumerate(p.samples(totals)):
-            customers[f], parent_tables[f] = totals.sample_frequent[s][0][at], totals.sample_frequent[s][1][at]
-            top = totals.base(customers, parent_tables, *totals.sample_top[s])
-            weight = STRENGTH + d * totals.sample_tables[s][p.k]
-            probability += (p.customers - d * tables + weight * top[p.w]) / (STRENGTH + totals.customers[p.k])
-        log_p = np.log10(probability / SAMPLES)
+        for s, (tables, customers, parent_tables) in enumerate(p.sweeps(totals, len(totals.sweeps))):
+            if s not in totals.kept():
+                continue
+            in_context, of_parent, (shared, shared_tables) = totals.sweeps[s]
+            customers, parent_tables = customers.copy(), parent_tables.copy()
+            customers[f], parent_tables[f] = shared[at], shared_tables[at]
+            top = totals.base(customers, parent_tables, *of_parent)
+            probability += (p.customers - d * tables + (STRENGTH + d * in_context[p.k]) * top[p.w]) / (STRENGTH + totals.customers[p.k])
+        log_p = np.log10(probability / len(totals.kept()))
         tokens = p.per_word(p.customers)
         tokens[f] = totals.frequent_tokens[at]
         log_base, known = np.log10(tokens + 0.1)[p.w], (tokens > 0).astype(float)[p.w]
@@ -459,16 +543,14 @@ def first_totals(found: Sums, frequent: np.ndarray) -> Totals:
 
 
 def add_samples(found: Sums, totals: Totals) -> None:
-    """The normalisers of every sample, from the sums of the Gibbs pass; frequent words are seated here."""
-    k = len(totals.frequent)
-    rest = (STRENGTH + totals.discount_top * totals.words) / (totals.words + 1)
-    for s in range(SAMPLES):
-        totals.sample_tables.append(_dense(found.get(10 + s), CONTEXTS)[0])
-        customers = _dense(found.get(30 + s), k)[0]
-        tables = draw_tables(customers, np.full(k, rest), totals.discount_top, _uniform(_mix(totals.frequent * _M), BURN + s))
-        all_customers, all_tables = _dense(found.get(20 + s), 1)
-        totals.sample_frequent.append((customers, tables))
-        totals.sample_top.append((float(all_customers[0] + customers.sum()), float(all_tables[0] + tables.sum())))
+    """The totals that a sweep drew, from its sums; frequent words get their tables in the parent here, by the same rule and draw as the others."""
+    sweep = len(totals.sweeps)
+    _, (_, all_tables), _ = totals.before(sweep)
+    customers = _dense(found.get(30), len(totals.frequent))[0]
+    tables = draw_tables(customers, np.full(len(customers), totals.rest(all_tables)), totals.discount_top, _uniform(_mix(totals.frequent * _M), sweep))
+    own_customers, own_tables = _dense(found.get(20), 1)
+    top = float(own_customers[0] + customers.sum()), float(own_tables[0] + tables.sum())
+    totals.sweeps.append((_dense(found.get(10), CONTEXTS)[0], top, (customers, tables)))
 
 
 def language_model_scores(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -482,8 +564,10 @@ def language_model_scores(docs: DataFrame, train: Column, doc_id: str = "doc_id"
     rows = docs.select(name(doc_id).cast("long").alias("id"), F.coalesce(train, F.lit(False)).alias("train"), name(text).alias("text"))
     made = cut(rows.mapInArrow(_chunks(SPREAD * n, frequent), ROW_SPEC).repartition(n, F.coalesce(F.nullif(F.col("bucket"), F.lit(-1)).cast("long"), F.col("base"))))
     chunks = made.where("bucket >= 0").select("base", "data")
-    totals = first_totals(_collect(chunks.mapInArrow(_count(frequent), SUMS_SPEC)), frequent)
-    add_samples(_collect(chunks.mapInArrow(_gibbs(totals), SUMS_SPEC)), totals)
+    first = cut(chunks.mapInArrow(_first(frequent), f"{SUMS_SPEC}, data binary"))
+    totals = first_totals(_collect(first.where("kind >= 0")), frequent)
+    for _ in range(BURN + SAMPLES):
+        add_samples(_collect(first.where("kind < 0").select("data").mapInArrow(_sweep(totals), SUMS_SPEC)), totals)
     scored = chunks.mapInArrow(_score(totals), "base long, data binary").groupBy("base").applyInArrow(_add_up, SUM_SPEC)
     own = made.where("bucket < 0").select(F.col("base").alias("rid"), "doc_id", "train", "n_tokens")
     norm = float(np.log10(totals.tokens + 0.1 * (totals.words + 1)))

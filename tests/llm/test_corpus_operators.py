@@ -318,6 +318,60 @@ def test_probabilities_sum_to_one(spread, buckets):
     assert (10 ** (double - single[:, None])).sum(axis=1) == pytest.approx([1.0] * 3, abs=1e-9)
 
 
+def lm_scores(tokens: list, train: list[bool], buckets: int, frequent: np.ndarray, sweeps: int) -> tuple[np.ndarray, lm.Totals]:
+    """Scores of token lists, and the totals after so many sweeps."""
+    import pyarrow as pa
+
+    parts = [pa.record_batch({"base": [0], "data": [d]}) for _, d in lm.chunk(tokens, train, buckets, frequent)]
+
+    def sums(step) -> lm.Sums:
+        rows = [r for part in parts for b in step([part]) for r in b.to_pylist()]
+        out: dict = defaultdict(lambda: defaultdict(lambda: [0.0, 0.0]))
+        for r in rows:
+            at = out[r["kind"]][r["key"]]
+            at[0] += r["a"]
+            at[1] += r["b"]
+        return {k: tuple(np.array(c) for c in zip(*((key, x, y) for key, (x, y) in v.items()))) for k, v in out.items()}
+
+    totals = lm.first_totals(sums(lm._count(frequent)), frequent)
+    for _ in range(sweeps):
+        lm.add_samples(sums(lm._gibbs(totals)), totals)
+    score = np.zeros(len(tokens))
+    for part in parts:
+        for b in lm._score(totals)([part]):
+            pack = np.frombuffer(b.column(1)[0].as_py(), lm.PACK)
+            np.add.at(score, pack["doc"], pack["score"])
+    return score, totals
+
+
+def some_tokens(n: int) -> list[np.ndarray]:
+    rng = np.random.default_rng(8)
+    vocabulary = rng.integers(1, 1 << 63, 20, dtype=np.uint64)
+    share = 2.0 ** -(np.arange(20) / 2)
+    return [rng.choice(vocabulary, 60, p=share / share.sum()) for _ in range(n)]
+
+
+def test_scores_do_not_depend_on_the_layout():
+    """Frequent words are seated like the others."""
+    tokens = some_tokens(60)
+    words, count = np.unique(np.concatenate(tokens), return_counts=True)
+    train = [i % 5 > 0 for i in range(60)]
+    want, _ = lm_scores(tokens, train, 1, np.zeros(0, np.uint64), 5)
+    for top in (3, len(words)):
+        got, _ = lm_scores(tokens, train, 3, np.sort(words[np.argsort(-count)[:top]]), 5)
+        assert got == pytest.approx(want, abs=1e-9)
+
+
+def test_sweeps_see_the_tables_drawn_before():
+    """The weights of a sweep come from the tables of the one before, in the contexts and in the parent."""
+    tokens = some_tokens(200)
+    _, totals = lm_scores(tokens, [True] * 200, 2, np.zeros(0, np.uint64), 5)
+    seen = [totals.before(s) for s in range(6)]
+    for s in range(1, 6):
+        assert seen[s][0] is totals.sweeps[s - 1][0] and seen[s][1] == totals.sweeps[s - 1][1]
+        assert seen[s][0].sum() == seen[s][1][0] > totals.tables.sum()  # tables of contexts are customers of the parent
+
+
 def test_table_draws_follow_their_distribution():
     """Exact draws against seating customers one by one with the same weights, by their means."""
     rng = np.random.default_rng(1)
