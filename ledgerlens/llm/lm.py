@@ -14,7 +14,7 @@ from the counts of dishes that occur once and twice.
 How it runs: tasks turn their documents into chunks of (word, context, document)
 counts, combined per chunk and packed as bytes, which are shuffled once by word
 and written to the shared folder. All customers of a word lie in one partition;
-words found frequent in a sample of texts are spread over all partitions by
+words that hold a good share of all tokens are spread over all partitions by
 context as well (this affects the layout only). A pass over the written chunks counts
 and writes the seated pairs; one pass over these per Gibbs sweep follows, and a last
 one over the chunks scores. All dishes of a sweep are drawn at once, given the tables
@@ -58,8 +58,8 @@ SPREAD = 4
 BURN, SAMPLES = 2, 3
 STRENGTH = 1.0
 EXACT = 256
-# The sample that finds frequent words: texts, characters of each, least share of a frequent word.
-SAMPLE_TEXTS, SAMPLE_CHARS, FREQUENT = 2000, 20_000, 1 / 2000
+# Least share of a frequent word in all tokens, and words a task counts before it passes them on.
+FREQUENT, COUNTED = 1 / 2000, 1 << 18
 
 END = xxhash.xxh3_64_intdigest(b"\n")
 BEGIN = xxhash.xxh3_64_intdigest(b"\t")
@@ -501,15 +501,35 @@ def _score(totals: Totals):
     return run
 
 
-def frequent_words(docs: DataFrame, text: str) -> np.ndarray:
-    """Sorted hashes of words that hold a good share of a sample of texts. Decides where words lie, not what they score."""
-    sample = docs.where(F.pmod(F.xxhash64(name(text)), F.lit(16)) == 0).select(F.substring(name(text), 1, SAMPLE_CHARS))
+def _word_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words and how often the task's texts hold them; the word NULL stands for all."""
     count: Counter[bytes] = Counter()
-    for (t,) in sample.limit(SAMPLE_TEXTS).collect():
-        count.update(lower_words(t))
-    count[b"\n"] = max(1, len(count))  # the end of a text is in every document
-    total = sum(count.values())
-    return np.unique(np.array([xxhash.xxh3_64_intdigest(w) for w, n in count.items() if w == b"\n" or n >= FREQUENT * total], np.uint64))
+
+    def flush() -> pa.RecordBatch:
+        words = np.array([xxhash.xxh3_64_intdigest(w) for w in count], np.uint64).view(np.int64)
+        n = pa.array([*count.values(), sum(count.values())], pa.int64())
+        count.clear()
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(words, pa.int64()), pa.nulls(1, pa.int64())]), n], names=["word", "n"])
+
+    for b in batches:
+        for text in b.column(0).to_pylist():
+            count.update(lower_words(text))
+            count[b"\n"] += 1  # the end of a text
+            if len(count) > COUNTED:
+                yield flush()
+    yield flush()
+
+
+def frequent_words(docs: DataFrame, text: str) -> np.ndarray:
+    """Sorted hashes of the words that hold a good share of all tokens. Decides where words lie, not what they score.
+
+    Held-out texts count as well, because their tokens lie where the word lies.
+    """
+    count = docs.select(name(text)).mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    # At most 1 / FREQUENT words can hold that share, and the sum of all stands above them.
+    top = count.orderBy(F.desc("n"), F.col("word").asc_nulls_first()).limit(round(1 / FREQUENT) + 1).collect()
+    total = next((r.n for r in top if r.word is None), 0)
+    return np.sort(np.array([r.word for r in top if r.word is not None and r.n >= FREQUENT * total], np.int64).view(np.uint64))
 
 
 def _discount(once: float, twice: float) -> float:

@@ -372,6 +372,16 @@ def test_sweeps_see_the_tables_drawn_before():
         assert seen[s][0].sum() == seen[s][1][0] > totals.tables.sum()  # tables of contexts are customers of the parent
 
 
+def test_frequent_words_of_late_texts(spark):
+    """A word past the first texts and deep in a long one, in any order of the rows."""
+    rows = [(i, "a b c " * 10) for i in range(3000)] + [(3000, " ".join(f"x{k}" for k in range(8000)) + " late" * 2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(lm.WordHashes()[w] for w in (b"a", b"b", b"c", b"late", b"\n"))
+    assert lm.frequent_words(df, "text").tolist() == want
+    assert lm.frequent_words(df.orderBy(F.desc("doc_id")).repartition(7), "text").tolist() == want
+    assert len(lm.frequent_words(df.limit(0), "text")) == 0
+
+
 def test_table_draws_follow_their_distribution():
     """Exact draws against seating customers one by one with the same weights, by their means."""
     rng = np.random.default_rng(1)
