@@ -14,6 +14,7 @@ from .lines import line_dedup
 from .mixing import mix_documents
 from .near import near_groups
 from .pages import extract_pages
+from .pieces import encode_digests as piece_digests
 from .spots import edit_report
 from .token_counts import count_tokens
 from .toxicity import Model, fit, score_documents
@@ -77,6 +78,10 @@ def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return edit_report(_table(spark, folder, "documents"))
 
 
+def op13_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return piece_digests(_table(spark, folder, "documents"), str(public_tokenizers.path("piece_bpe_32k.model")))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_pitman_yor": op2_pitman_yor,
@@ -88,4 +93,5 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_token_counts": op9_token_counts,
     "op10_fingerprints": op10_fingerprints,
+    "op13_sentencepiece": op13_sentencepiece,
 }
