@@ -11,6 +11,7 @@ from .common import crc_fold
 from .exact import exact_groups
 from .lm import language_model_scores
 from .lines import line_dedup
+from .merkle import manifest, proof_digest
 from .mixing import mix_documents
 from .near import near_groups
 from .pages import extract_pages
@@ -78,6 +79,13 @@ def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return edit_report(_table(spark, folder, "documents"))
 
 
+def op12_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document as a leaf; where 7 divides the id's crc32, a version adds one to n_chars."""
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    df = manifest(_table(spark, folder, "documents"), hit)
+    return df.select("doc_id", "leaf", "subroot", "root", proof_digest().alias("proof_sha256"), "folded_root", "verified")
+
+
 def op13_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return piece_digests(_table(spark, folder, "documents"), str(public_tokenizers.path("piece_bpe_32k.model")))
 
@@ -93,5 +101,6 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_token_counts": op9_token_counts,
     "op10_fingerprints": op10_fingerprints,
+    "op12_merkle": op12_merkle,
     "op13_sentencepiece": op13_sentencepiece,
 }

@@ -75,6 +75,46 @@ def likeness(a: str, b: str) -> str:
     return f"CASE WHEN len({a}) = 0 AND len({b}) = 0 THEN 1.0::DOUBLE ELSE {both}::DOUBLE / (len({a}) + len({b}) - {both}) END"
 
 
+def crc32(text: str) -> str:
+    """Unsigned crc32 of an ASCII text: its bytes come in, eight shifts after each; 3988292384 is the fixed polynomial."""
+    steps = f"flatten(list_transform(string_split({text}, ''), lambda x: [ord(x)::BIGINT] || list_transform(range(8), lambda y: -1::BIGINT)))"
+    shift = "xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END)"
+    return f"xor(list_reduce([4294967295::BIGINT] || {steps}, lambda x, y: CASE WHEN y >= 0 THEN xor(x, y) ELSE {shift} END), 4294967295::BIGINT)"
+
+
+def merkle(docs: str) -> str:
+    """CTEs that end in ``folded``: the leaves with proof and folded root. Level by level, once per group and once over the groups."""
+
+    def net(c: str) -> str:
+        return f"coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || CAST({c} AS VARCHAR), '-')"
+
+    head, tail = " || ".join(map(net, ("doc_id", "source", "lang"))), net("text")
+
+    def levels(out: str, rows: str) -> str:
+        return f"""{out} AS (SELECT 0 AS lvl, grp, pos, n, h FROM {rows} UNION ALL
+      SELECT lvl + 1, grp, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM {out} WHERE n > 1 GROUP BY lvl, grp, pos // 2, n)"""
+
+    def step(out: str, start: str, nodes: str, keep: str) -> str:
+        near = f"LEFT JOIN {nodes} s ON s.lvl = f.lvl AND s.grp = f.grp AND s.pos = xor(f.pos, 1)"
+        return f"""{out} AS ({start} UNION ALL
+      SELECT f.lvl + 1, f.rid, {keep}, f.grp, f.pos // 2, (f.n + 1) // 2, f.proof || coalesce(s.h, ''),
+        sha256(CASE WHEN f.pos % 2 = 1 THEN s.h || f.now ELSE f.now || coalesce(s.h, '') END)
+      FROM {out} f {near} WHERE f.n > 1)"""
+
+    return f"""
+  _leaf AS (SELECT doc_id, row_number() OVER () AS rid, coalesce('=' || lang, '') AS grp, sha256({head} || {net("n_chars")} || {tail}) AS h,
+      CASE WHEN {crc32("CAST(doc_id AS VARCHAR)")} % 7 = 0 THEN sha256({head} || {net("(n_chars + 1)")} || {tail}) END AS changed FROM {docs}),
+  _num AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, h) - 1 AS pos, count(*) OVER (PARTITION BY grp) AS n FROM _leaf),
+  {levels("_tree", "_num")},
+  _subs AS (SELECT grp AS name, h FROM _tree WHERE n = 1),
+  _subn AS (SELECT '' AS grp, name, row_number() OVER (ORDER BY name) - 1 AS pos, count(*) OVER () AS n, h FROM _subs),
+  {levels("_upper", "_subn")},
+  {step("_fold", "SELECT 0 AS lvl, rid, grp AS name, grp, pos, n, '' AS proof, coalesce(changed, h) AS now FROM _num", "_tree", "f.name")},
+  {step("_fold2", "SELECT 0 AS lvl, f.rid, f.name, s.grp, s.pos, s.n, f.proof, f.now FROM _fold f JOIN _subn s ON s.name = f.name WHERE f.n = 1", "_upper", "f.name")},
+  folded AS (SELECT l.doc_id, l.h AS leaf, s.h AS subroot, r.h AS root, sha256(f.proof) AS proof_sha256, f.now AS folded_root
+    FROM _leaf l JOIN _fold2 f ON f.rid = l.rid AND f.n = 1 JOIN _subs s ON s.name = l.grp CROSS JOIN (SELECT h FROM _upper WHERE n = 1) r)"""
+
+
 SQL = {
     "op1_line_dedup": f"""WITH {line_dedup("documents")}
 SELECT doc_id, nl AS n_lines, nd AS n_dropped, sha256(coalesce(cut_text, '')) AS text_sha256 FROM cleaned""",
@@ -92,4 +132,6 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY sha) AS keep_id, count(*) OVER (PA
   g AS (SELECT doc_id, text, ed, {signatures("text")} AS s, {signatures("ed")} AS es, {signatures("nx")} AS ns FROM f)
 SELECT doc_id, length(text)::BIGINT AS n_chars, sha256(ed) AS edited_sha256, array_to_string(s, ' ') AS fingerprint,
   array_to_string(es, ' ') AS edited_fingerprint, {likeness("s", "es")} AS near_edited, {likeness("s", "ns")} AS near_next FROM g""",
+    "op12_merkle": f"""WITH RECURSIVE {merkle("documents")}
+SELECT *, folded_root = root AS verified FROM folded""",
 }
