@@ -19,6 +19,7 @@ from .pieces import encode_digests as piece_digests
 from .spots import edit_report
 from .token_counts import count_tokens
 from .toxicity import Model, fit, score_documents
+from .turns import repair_report
 
 
 def _table(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -79,6 +80,11 @@ def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return edit_report(_table(spark, folder, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation after the stated damage: its faults, the cheapest repair and the digest of what it gives."""
+    return repair_report(_table(spark, folder, "conversations"))
+
+
 def op12_merkle(spark: SparkSession, folder: str) -> DataFrame:
     """Every document as a leaf; where 7 divides the id's crc32, a version adds one to n_chars."""
     hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
@@ -101,6 +107,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_token_counts": op9_token_counts,
     "op10_fingerprints": op10_fingerprints,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_merkle": op12_merkle,
     "op13_sentencepiece": op13_sentencepiece,
 }

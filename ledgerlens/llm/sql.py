@@ -115,6 +115,54 @@ def merkle(docs: str) -> str:
     FROM _leaf l JOIN _fold2 f ON f.rid = l.rid AND f.n = 1 JOIN _subs s ON s.name = l.grp CROSS JOIN (SELECT h FROM _upper WHERE n = 1) r)"""
 
 
+# Places in the grammar, what insertions write there, and where they lead.
+INSERTS = """(VALUES ('-', '', []::VARCHAR[], '-'), ('-', 'I', ['user:'], 'u'), ('-', 'II', ['user:', 'assistant:'], 'a'), ('s', '', [], 's'),
+  ('s', 'I', ['user:'], 'u'), ('s', 'II', ['user:', 'assistant:'], 'a'), ('u', '', [], 'u'), ('u', 'I', ['assistant:'], 'a'),
+  ('u', 'II', ['assistant:', 'user:'], 'u'), ('a', '', [], 'a'), ('a', 'I', ['user:'], 'u'), ('a', 'II', ['user:', 'assistant:'], 'a')) v(p, ins, added, q)"""
+
+
+def repair(rows: str) -> str:
+    """CTEs that end in ``repaired``: turn by turn the cheapest way to each place of the grammar."""
+    space = "[\\x20\\x09-\\x0D]"
+    key = "coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')"
+    expected = "CASE WHEN q = 'u' THEN 'a' ELSE 'u' END"
+    new_role = "CASE WHEN q = 'u' THEN 'assistant:' ELSE 'user:' END"
+    return f"""
+  _key AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc32(key)} % 20 AS k FROM {rows}),
+  _hit AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+      CASE WHEN k = 1 THEN '' WHEN k = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+      unnest(CASE WHEN k = 3 THEN [0, 1] ELSE [0] END) AS copy FROM _key WHERE k <> 0),
+  _at AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM _hit),
+  _seen AS (SELECT *, role[1:1] AS ini, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth,
+      lag(role[1:1]) OVER (PARTITION BY conv_id ORDER BY i) AS prev, count(*) OVER (PARTITION BY conv_id) AS n,
+      regexp_extract(text, '([^\\x20\\x09-\\x0D]){space}*$', 1) AS fin FROM _at),
+  _turn AS (SELECT *, CASE WHEN fin = '' THEN 'b' WHEN nth > 1 THEN 'd' WHEN fin IN ('.', '!', '?') THEN '' ELSE 't' END AS f FROM _seen),
+  _step AS (
+    SELECT DISTINCT conv_id, 0::BIGINT AS i, '-' AS p, {{'c': 0::BIGINT, 'a': '', 't': []::VARCHAR[]}} AS best FROM _turn
+    UNION ALL
+    SELECT conv_id, i + 1, r, min({{'c': c, 'a': a, 't': t}}) FROM (
+      SELECT s.conv_id, s.i, unnest([
+          {{'r': q, 'c': s.best.c + 5 * len(ins) + 2, 'a': s.best.a || ins || 'D', 't': s.best.t || added}},
+          CASE WHEN f IN ('', 't') AND (ini = {expected} OR (q = '-' AND ini = 's')) THEN
+            {{'r': ini, 'c': s.best.c + 5 * len(ins) + 5 * len(f), 'a': s.best.a || ins || 'K', 't': s.best.t || added || [role || ':' || text]}} END,
+          CASE WHEN f IN ('', 't') THEN
+            {{'r': {expected}, 'c': s.best.c + 5 * len(ins) + 5 * len(f) + 1, 'a': s.best.a || ins || 'R', 't': s.best.t || added || [{new_role} || text]}} END
+        ], recursive := true)
+      FROM _step s JOIN {INSERTS} ON v.p = s.p JOIN _turn x ON x.conv_id IS NOT DISTINCT FROM s.conv_id AND x.i = s.i + 1)
+    WHERE r IS NOT NULL GROUP BY conv_id, i, r),
+  _end AS (SELECT conv_id, min({{'c': s.best.c + 5 * len(ins), 'a': s.best.a || ins, 't': s.best.t || added}}) AS best
+    FROM _step s JOIN {INSERTS} ON v.p = s.p JOIN (SELECT conv_id AS cid, max(n) AS n FROM _turn GROUP BY ALL) m
+      ON m.cid IS NOT DISTINCT FROM s.conv_id AND m.n = s.i WHERE q IN ('-', 'a') GROUP BY conv_id),
+  _tally AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (f = 'b') AS blank,
+      count(*) FILTER (f = 'd') AS duplicate, count(*) FILTER (f = 't') AS truncated,
+      count(*) FILTER (prev IS NOT NULL AND prev || ini NOT IN ('su', 'ua', 'au')) AS illegal FROM _turn GROUP BY conv_id),
+  _ids AS (SELECT DISTINCT conv_id FROM {rows}),
+  repaired AS (SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+      coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.c, 0) AS cost, coalesce(best.a, '') AS audit,
+      sha256(coalesce(array_to_string(best.t, chr(10)), '')) AS repaired_sha256
+    FROM _ids i LEFT JOIN _tally t ON t.conv_id IS NOT DISTINCT FROM i.conv_id LEFT JOIN _end e ON e.conv_id IS NOT DISTINCT FROM i.conv_id)"""
+
+
 SQL = {
     "op1_line_dedup": f"""WITH {line_dedup("documents")}
 SELECT doc_id, nl AS n_lines, nd AS n_dropped, sha256(coalesce(cut_text, '')) AS text_sha256 FROM cleaned""",
@@ -132,6 +180,8 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY sha) AS keep_id, count(*) OVER (PA
   g AS (SELECT doc_id, text, ed, {signatures("text")} AS s, {signatures("ed")} AS es, {signatures("nx")} AS ns FROM f)
 SELECT doc_id, length(text)::BIGINT AS n_chars, sha256(ed) AS edited_sha256, array_to_string(s, ' ') AS fingerprint,
   array_to_string(es, ' ') AS edited_fingerprint, {likeness("s", "es")} AS near_edited, {likeness("s", "ns")} AS near_next FROM g""",
+    "op11_conversation_repair": f"""WITH RECURSIVE {repair("conversations")}
+SELECT * FROM repaired""",
     "op12_merkle": f"""WITH RECURSIVE {merkle("documents")}
 SELECT *, folded_root = root AS verified FROM folded""",
 }
