@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.safe import c, composite_key, day_number, epoch_micros, has_all, text
 from ..session import cut
 from .aggs import multi_period_entities
 from .attach import SIZE, attach, group_size
+from .dominance import dominance_totals
 from .ordering import dense_codes
-from .windows import jump_flags, ordered
+from .windows import ROWS_PER_SPLIT, jump_flags, ordered, sliced
 
 
 def block_ids(df: DataFrame, id_col: str, keysets: dict[str, Sequence[str]]) -> DataFrame:
@@ -65,26 +66,51 @@ def forest_roots(links: DataFrame, id_col: str, parent: str = "parent", out: str
     raise RuntimeError("links did not settle; is there a cycle?")
 
 
-def components(nodes: DataFrame, edges: DataFrame, id_col: str, a: str = "a", b: str = "b", out: str = "component") -> DataFrame:
+def _least_around(edges: DataFrame, around: DataFrame, hubs: bool) -> DataFrame:
+    """``edges`` with ``_m``, the smallest ``b`` of their ``a`` in ``around``; a hub's edges are dealt out by ``attach``."""
+    least = around.groupBy("a").agg(F.min("b").alias("_m"), group_size())
+    return attach(edges, least, ["a"]) if hubs else edges.join(least.drop(SIZE), "a")
+
+
+def _large_star(edges: DataFrame, hubs: bool) -> DataFrame:
+    """Every node links its larger neighbours to the smallest node around it."""
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    x = _least_around(both.where("b > a"), both, hubs)
+    return x.select(F.col("b").alias("a"), F.least("a", "_m").alias("b")).distinct()
+
+
+def _small_star(edges: DataFrame, hubs: bool) -> DataFrame:
+    """Every node links itself and its smaller neighbours to the smallest of them; edges are (larger, smaller)."""
+    x = _least_around(edges, edges, hubs)
+    return x.select(F.when(F.col("b") == F.col("_m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("_m").alias("b")).distinct()
+
+
+def components(
+    nodes: DataFrame, edges: DataFrame, id_col: str, a: str = "a", b: str = "b", out: str = "component", rows_per_split: int = ROWS_PER_SPLIT
+) -> DataFrame:
     """Smallest id of each linked set.
 
-    Every round takes the smallest label among neighbours (a partial
-    aggregation, so a hub is added up before the shuffle), then lets labels
-    follow their own label. Rounds are checkpointed.
+    Large-star and small-star steps take turns until the edges stay as they are;
+    every node then has one edge, to the smallest of its set. Only nodes with an
+    edge take part, the others are their own set. The edges of a hub are added up
+    before the shuffle for its minimum, and spread over all tasks when they ask for
+    it, once there are more edges than a task can read. Each round is checkpointed.
     """
-    both = edges.select(c(a).alias("_a"), c(b).alias("_b")).where("_a <> _b")
-    both = cut(both.unionByName(both.select(F.col("_b").alias("_a"), F.col("_a").alias("_b"))).distinct())
-    cur = cut(nodes.select(c(id_col).alias("_a"), c(id_col).alias("_l")))
-    while True:  # labels only fall, so this settles
-        near = both.join(cur.select(F.col("_a").alias("_b"), "_l"), "_b").groupBy("_a").agg(F.min("_l").alias("_m"))
-        low = cur.join(near, "_a", "left").select("_a", "_l", F.least("_l", F.coalesce("_m", "_l")).alias("_n"))
-        jump = cur.select(F.col("_a").alias("_n"), F.col("_l").alias("_j"))
-        nxt = low.join(jump, "_n", "left").select("_a", F.least("_n", F.coalesce("_j", "_n")).alias("_l"), (F.least("_n", F.coalesce("_j", "_n")) != F.col("_l")).alias("_moved"))
-        nxt = cut(nxt)
-        moved = not nxt.where("_moved").isEmpty()
-        cur = nxt.drop("_moved")
-        if not moved:
-            return cur.select(F.col("_a").alias(id_col), F.col("_l").alias(out))
+    ends = edges.select(c(a).alias("_x"), c(b).alias("_y")).where("_x <> _y")
+    now = cut(ends.select(F.greatest("_x", "_y").alias("a"), F.least("_x", "_y").alias("b")).distinct())
+    state, before = _edge_state(now), None
+    while state != before and state[0]:
+        hubs = state[0] > rows_per_split
+        now = cut(_small_star(_large_star(now, hubs), hubs))
+        state, before = _edge_state(now), state
+    roots = now.select(F.col("a").alias("_a"), F.col("b").alias("_root"))
+    ids = nodes.select(c(id_col).alias("_a"))
+    return ids.join(roots, "_a", "left").select(F.col("_a").alias(id_col), F.coalesce("_root", "_a").alias(out))
+
+
+def _edge_state(edges: DataFrame) -> tuple:
+    """Number of edges and a sum of their hashes."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
 def consecutive_ids(sets: DataFrame, id_col: str, component: str, out: str = "entity_id") -> DataFrame:
@@ -111,68 +137,134 @@ def _hour_spots(df: DataFrame, keys: Sequence[str], id_col: str, ts: str, counte
     """Rows of the same keys, time and counter as one spot, with the hour cell of its time minus counter."""
     x = df.where(has_all([*keys, ts, counter])).select(id_col, *keys, epoch_micros(ts).alias("_t"), c(counter).cast("long").alias("_k"))
     spots = x.groupBy(*keys, "_t", "_k").agg(F.count(F.lit(1)).alias("_n"), F.min(id_col).alias("_id"))
-    return spots.withColumn("_cell", F.floor(F.col("_t") / HOUR - F.col("_k")).cast("long"))
+    hour = F.floor(F.col("_t") / HOUR).cast("long")
+    spots = spots.withColumns({"_hour": hour, "_cell": hour - F.col("_k"), "_off": F.col("_t") - hour * HOUR})
+    return cut(spots.withColumn("_spot", F.monotonically_increasing_id()))
 
 
-def _hour_matches(df: DataFrame, keys: Sequence[str], id_col: str, ts: str, counter: str) -> DataFrame:
-    """Pairs of spots whose whole hours apart equal the difference of their counters.
+def _hour_groups(spots: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Every spot in the three groups that hold its matches, as a point whose order in x and y decides on a match.
 
-    Whole hours are cut towards zero, so the times minus counters of a pair lie
-    less than an hour apart: a spot meets its own cell and the two beside it.
+    Two spots match if the hours between them, cut towards zero, are the difference
+    of their counters. Hours of the clock and offsets within the hour say the same:
+    spots of one cell match if the later one's offset is not smaller (kind 0), and a
+    spot matches one of the next cell if it is not later but has the larger offset
+    (kinds 1 and 2).
     """
-    keys = list(keys)
-    a = _hour_spots(df, keys, id_col, ts, counter)
-    b = a.select(*keys, F.col("_t").alias("_bt"), F.col("_k").alias("_bk"), F.col("_n").alias("_bn"), F.col("_id").alias("_bid"), "_cell")
-    near = F.explode(F.array(*[F.col("_cell") + d for d in (-1, 0, 1)]))
-    pairs = a.withColumn("_cell", near).join(b, [*keys, "_cell"])
-    return pairs.where(f"(_bt - _t) div {HOUR} = _bk - _k")
+    cell, one = F.col("_cell"), lambda g, kind: F.struct(g.alias("cell"), F.lit(kind).alias("kind"))
+    x = spots.withColumn("_in", F.explode(F.array(one(cell, 0), one(cell, 1), one(cell - 1, 2))))
+    kind, none = F.col("_in.kind"), F.lit(0).cast("long")
+    # Equal offsets of one cell match, so there the hour decides between them.
+    y = F.when(kind == 0, F.col("_off") * (1 << 31) + F.col("_hour") + (1 << 30)).otherwise(-F.col("_off"))
+    low, high = F.when(kind == 2, none).otherwise(F.col("_n")), F.when(kind == 1, none).otherwise(F.col("_n"))
+    point = F.col("_spot") * 3 + kind
+    return x.select(*keys, F.col("_in.cell").alias("_cell"), (kind > 0).alias("_pair"), point.alias("point"), "_id", F.col("_t").alias("x"), y.alias("y"), low.alias("low"), high.alias("high"))
+
 
+def hour_counter_partners(df: DataFrame, keys: Sequence[str], id_col: str, ts: str, counter: str, **kw) -> DataFrame:
+    """(id, head, size): the smallest matching row (itself included) and the number of matches, by totals instead of pairs.
 
-def hour_counter_partners(df: DataFrame, keys: Sequence[str], id_col: str, ts: str, counter: str) -> DataFrame:
-    """(id, head, size): the smallest matching row (itself included) and the number of matches."""
+    Ids are whole numbers.
+    """
     keys = list(keys)
-    found = _hour_matches(df, keys, id_col, ts, counter).groupBy(*keys, "_t", "_k").agg(
-        F.min("_bid").alias("head"), F.sum("_bn").alias("size"), F.max("_n").alias(SIZE)
+    spots = _hour_spots(df, keys, id_col, ts, counter)
+    points = cut(_hour_groups(spots, keys).withColumn("id", c("_id").cast("long")).drop("_id"))
+    found = dominance_totals(points, [*keys, "_cell", "_pair"], **kw)
+    # A spot asks both ways in its own cell, upwards in the pair with the next cell, downwards in the one before.
+    kind = F.col("point") % 3
+    up, down = F.when(kind == 2, 0).otherwise(F.col("above_n")), F.when(kind == 1, 0).otherwise(F.col("below_n"))
+    least = F.least(F.when(up > 0, F.col("above_id")), F.when(down > 0, F.col("below_id")))
+    per = found.groupBy(F.floor(F.col("point") / 3).cast("long").alias("_spot")).agg(F.sum(up + down).alias("_more"), F.min(least).alias("_least"))
+    per = spots.join(per, "_spot").select(
+        *keys, "_t", "_k", F.least(c("_id"), c("_least").cast(dict(spots.dtypes)["_id"])).alias("head"), (F.col("_n") + F.col("_more")).alias("size"), F.col("_n").alias(SIZE)
     )
     rows = df.where(has_all([*keys, ts, counter])).select(id_col, *keys, epoch_micros(ts).alias("_t"), c(counter).cast("long").alias("_k"))
-    return attach(rows, found, [*keys, "_t", "_k"]).select(id_col, "head", "size")
+    return attach(rows, per, [*keys, "_t", "_k"]).select(id_col, "head", "size")
 
 
-def hour_counter_edges(df: DataFrame, keys: Sequence[str], id_col: str, ts: str, counter: str) -> DataFrame:
-    """(a, b) edges that connect exactly the rows the matches connect: spots by their smallest rows, and rows to their spot."""
+def hour_counter_edges(df: DataFrame, keys: Sequence[str], id_col: str, ts: str, counter: str, **kw) -> DataFrame:
+    """(a, b) edges that connect exactly the rows the matches connect: at most three per spot, and rows to their spot."""
     keys = list(keys)
-    spots = _hour_matches(df, keys, id_col, ts, counter).select(F.col("_id").alias("a"), F.col("_bid").alias("b")).where("a < b")
+    spots = _hour_spots(df, keys, id_col, ts, counter)
+    points = _hour_groups(spots, keys).select(*keys, "_cell", "_pair", "_id", "x", F.when(c("low") > 0, c("y")).alias("low"), F.when(c("high") > 0, c("y")).alias("high"))
+    links = rising_links(points, [*keys, "_cell", "_pair"], "_id", "x", "low", "high", **kw)
     rows = df.where(has_all([*keys, ts, counter])).select(id_col, *keys, epoch_micros(ts).alias("_t"), c(counter).cast("long").alias("_k"))
-    own = rows.groupBy(*keys, "_t", "_k").agg(F.min(id_col).alias("b"), group_size())
+    own = spots.select(*keys, "_t", "_k", F.col("_id").alias("b"), F.col("_n").alias(SIZE))
     own = attach(rows, own, [*keys, "_t", "_k"]).select(F.col(id_col).alias("a"), "b").where("a <> b")
-    return spots.unionByName(own)
+    return links.unionByName(own)
+
+
+def rising_links(points: DataFrame, group: Sequence[str], id_col: str, x: str, low: str, high: str, **kw) -> DataFrame:
+    """(a, b) edges that connect what "earlier and lower" connects: an earlier point's ``low`` below a later one's ``high``.
+
+    In order of ``x`` the linked sets of a group are stretches, once points that are
+    linked to none are left out: two neighbours are in one set if anything up to the
+    first is linked to anything from the second on, which the least ``low`` so far
+    and the largest ``high`` to come tell. So every point has one edge, to the point
+    before it. Points of one ``x`` must not be linked. Large groups are cut into
+    slices by ``x``, which hand on their extremes and their last linked point.
+    """
+    group = list(group)
+    points, hot = sliced(points, group, [x, id_col], **kw)
+    part, order = [*group, "_slice"], [x, id_col]
+    up = Window.partitionBy(*part).orderBy(*order)
+    before, onward = up.rowsBetween(Window.unboundedPreceding, -1), up.rowsBetween(0, Window.unboundedFollowing)
+    later = up.rowsBetween(1, Window.unboundedFollowing)
+    points = points.withColumns({"_least": F.min(low).over(before), "_most": F.max(high).over(onward), "_after": F.max(high).over(later)})
+    if hot:
+        points = cut(points)
+        per = points.where("_slice > 0").groupBy(*part).agg(F.min(low).alias("_low"), F.max(high).alias("_high"))
+        w = Window.partitionBy(*group).orderBy("_slice")
+        per = per.select(
+            *part, F.min("_low").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_low"), F.max("_high").over(w.rowsBetween(1, Window.unboundedFollowing)).alias("_high")
+        )
+        points = points.join(per, part, "left")
+        points = points.withColumns({"_least": F.least("_least", "_low"), "_most": F.greatest("_most", "_high"), "_after": F.greatest("_after", "_high")}).drop("_low", "_high")
+    linked = F.coalesce(c(low) < F.col("_after"), F.lit(False)) | F.coalesce(c(high) > F.col("_least"), F.lit(False))
+    points = points.where(linked).withColumn("_before", F.lag(id_col).over(up))
+    if hot:
+        points = cut(points)
+        ends = points.where("_slice > 0").groupBy(*part).agg(F.max_by(id_col, F.struct(*order)).alias("_end"))
+        # of slices that hold a linked point, the one before
+        ends = ends.select(*part, F.lag("_end").over(Window.partitionBy(*group).orderBy("_slice")).alias("_end"))
+        points = points.join(ends, part, "left").withColumn("_before", F.coalesce("_before", "_end"))
+    joined = points.where(F.col("_before").isNotNull() & (F.col("_least") < F.col("_most")))
+    return joined.select(c(id_col).alias("a"), F.col("_before").alias("b")).where("a <> b")
+
+
+def _progress(df: DataFrame, id_col: str, keys: Sequence[str], position: str, step: str) -> tuple[DataFrame, DataFrame]:
+    """Rows that are candidates (step not 0) by place, and every row with the place it asks for."""
+    known = df.where(has_all([*keys, position, step]))
+    places = known.where(c(step) != 0).select(id_col, *keys, c(position).alias("_at"))
+    asks = known.select(id_col, *keys, (c(position) - c(step)).alias("_at"), (c(step) != 0).alias("_own"))
+    return places, asks
 
 
 def progress_edges(df: DataFrame, id_col: str, keys: Sequence[str], position: str, step: str) -> DataFrame:
-    """(a, b) edges of ``progress_links``: the row and every candidate of its place, through the place's smallest row."""
+    """(a, b) edges of the sets of ``progress_links``: the row and every candidate of its place, through the place's smallest row."""
     keys = list(keys)
+    places, asks = _progress(df, id_col, keys, position, step)
     asked = progress_links(df, id_col, keys, position, step)
-    asks = asked.select(F.col(id_col).alias("a"), F.col("partner").alias("b")).where("a <> b")
-    places = df.where(has_all([*keys, position, step]) & (c(step) != 0)).select(id_col, *keys, c(position).alias("_at"))
-    wanted = df.where(has_all([*keys, position, step])).select(*keys, (c(position) - c(step)).alias("_at")).distinct()
-    head = places.join(wanted, [*keys, "_at"], "left_semi").groupBy(*keys, "_at").agg(F.min(id_col).alias("b"), group_size())
-    members = attach(places, head, [*keys, "_at"]).where("b IS NOT NULL").select(F.col(id_col).alias("a"), "b").where("a <> b")
-    return asks.unionByName(members)
+    own = asked.where("set_size > matches").select(F.col(id_col).alias("a"), F.col("partner").alias("b")).where("a <> b")
+    head = places.groupBy(*keys, "_at").agg(F.min(id_col).alias("b"), group_size())
+    wanted = asks.select(*keys, "_at").distinct()
+    members = attach(places, head.join(wanted, [*keys, "_at"], "left_semi"), [*keys, "_at"]).where("b IS NOT NULL").select(F.col(id_col).alias("a"), "b").where("a <> b")
+    return own.unionByName(members)
 
 
 def progress_links(df: DataFrame, id_col: str, keys: Sequence[str], position: str, step: str) -> DataFrame:
-    """(id, matches, partner): rows of the same keys standing at ``position - step``, own step not 0.
+    """(id, matches, partner, set_size): rows of the same keys that stand at ``position - step`` and have a step themselves.
 
-    Candidates are added up per (keys, position) first, so a row meets one row
-    per place, not every candidate.
+    A row with a step belongs to its own set, one without is not a candidate, not
+    even its own. A set needs two members. Candidates are added up per (keys,
+    position) first, so a row meets one row per place, not every candidate.
     """
-    places = df.where(has_all([*keys, position, step]) & (c(step) != 0)).groupBy(*keys, c(position).alias("_at")).agg(
-        F.count(F.lit(1)).alias("matches"), F.min(id_col).alias("partner")
-    )
-    asks = df.where(has_all([*keys, position, step])).select(id_col, *keys, (c(position) - c(step)).alias("_at"))
+    keys = list(keys)
+    places, asks = _progress(df, id_col, keys, position, step)
+    found = places.groupBy(*keys, "_at").agg(F.count(F.lit(1)).alias("matches"), F.min(id_col).alias("partner"))
     sizes = asks.groupBy(*keys, "_at").agg(group_size())
-    hits = attach(asks, places.join(sizes, [*keys, "_at"]), [*keys, "_at"]).where("matches IS NOT NULL")
-    return hits.select(id_col, "matches", "partner")
+    hits = attach(asks, found.join(sizes, [*keys, "_at"]), [*keys, "_at"]).withColumn("set_size", F.col("matches") + F.col("_own").cast("int"))
+    return hits.where("set_size > 1").select(id_col, "matches", "partner", "set_size")
 
 
 def grouping_id(parts: Sequence[str | Column], digits: int = 3) -> Column:

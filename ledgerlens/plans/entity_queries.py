@@ -75,7 +75,8 @@ def _(t):
     "g04_progress_components", "G04 G05",
     f"""WITH RECURSIVE {TXN_AGED_SQL}, x AS (SELECT txn_id, product, epoch_us(ts) AS t, ts::DATE - d1::INT AS reg, d1, (txn_id % 90)::INT AS d3, txn_id % 240 AS d8 FROM txn_aged),
       p AS (SELECT a.txn_id AS x, b.txn_id AS y FROM x a JOIN x b ON a.product = b.product AND trunc((b.t - a.t) / 3600000000.0) = b.d8 - a.d8
-        UNION SELECT b.txn_id, a.txn_id FROM x b JOIN x a ON a.product = b.product AND a.reg = b.reg AND a.d1 = b.d1 - b.d3 AND a.d3 <> 0),
+        UNION SELECT min(a.txn_id) OVER (PARTITION BY b.txn_id), a.txn_id
+          FROM x b JOIN x a ON a.product = b.product AND a.reg = b.reg AND (a.d1 = b.d1 - b.d3 OR a.txn_id = b.txn_id) AND a.d3 <> 0),
       e AS (SELECT x, y FROM p UNION SELECT y, x FROM p),
       cc AS (SELECT txn_id AS id, txn_id AS label FROM x UNION SELECT e.y, cc.label FROM cc JOIN e ON e.x = cc.id)
       SELECT id AS txn_id, min(label) AS component FROM cc GROUP BY 1""",

@@ -118,8 +118,9 @@ def _(t):
 @query(
     "j10_day_counter_links", "J10",
     f"""WITH {TXN_AGED_SQL}, x AS (SELECT txn_id, product, ts::DATE - d1::INT AS reg, d1, (txn_id % 90)::INT AS d3 FROM txn_aged)
-      SELECT b.txn_id, count(*) AS matches, min(a.txn_id) AS partner FROM x b JOIN x a
-      ON a.product = b.product AND a.reg = b.reg AND a.d1 = b.d1 - b.d3 AND a.d3 <> 0 GROUP BY b.txn_id""",
+      SELECT b.txn_id, count(*) - max(b.d3 <> 0)::INT AS matches, min(a.txn_id) FILTER (a.txn_id <> b.txn_id OR b.d3 = 0) AS partner, count(*) AS set_size
+      FROM x b JOIN x a ON a.product = b.product AND a.reg = b.reg AND (a.d1 = b.d1 - b.d3 OR a.txn_id = b.txn_id) AND a.d3 <> 0
+      GROUP BY b.txn_id HAVING count(*) > 1""",
 )
 def _(t):
     d = t.txn_aged.select(

@@ -221,10 +221,15 @@ def test_hour_counter_partners_across_an_hour_edge(spark):
 
 
 def test_progress_links_skip_candidates_without_a_step(spark):
-    df = spark.createDataFrame([(1, "a", 3, 3), (2, "a", 3, 0), (3, "a", 8, 5), (4, "a", 8, 0)], "id int, g string, d1 int, d3 int")
-    got = {r["id"]: (r["matches"], r["partner"]) for r in entity.progress_links(df, "id", ["g"], "d1", "d3").collect()}
-    # Row 2 asks for day 3, where only row 1 has a step; row 4 asks for day 8, where only row 3 has one.
-    assert got == {2: (1, 1), 3: (1, 1), 4: (1, 3)}
+    rows = [(1, "a", 3, 3), (2, "a", 3, 0), (3, "a", 8, 5), (4, "a", 8, 0), (5, "a", 8, 0), (6, "a", 8, 2), (7, "b", 8, 0), (8, "b", 8, 1)]
+    df = spark.createDataFrame(rows, "id int, g string, d1 int, d3 int")
+    got = {r["id"]: (r["matches"], r["partner"], r["set_size"]) for r in entity.progress_links(df, "id", ["g"], "d1", "d3").collect()}
+    # Row 3 asks for day 3, where row 1 has a step. Row 2 asks for day 3 as well, but has no step: row 1 alone is no set.
+    # Rows 4 and 5 ask for day 8, where rows 3 and 6 have steps; row 7 finds row 8 alone.
+    assert got == {3: (1, 1, 2), 4: (2, 3, 2), 5: (2, 3, 2)}
+    edges = entity.progress_edges(df, "id", ["g"], "d1", "d3")
+    sets = {r["id"]: r["component"] for r in entity.components(df.select("id"), edges, "id").collect()}
+    assert sets == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5, 6: 1, 7: 7, 8: 8}
 
 
 def test_covered_columns_chain(spark):
