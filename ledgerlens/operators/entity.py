@@ -168,7 +168,7 @@ def hour_counter_partners(df: DataFrame, keys: Sequence[str], id_col: str, ts: s
     """
     keys = list(keys)
     spots = _hour_spots(df, keys, id_col, ts, counter)
-    points = cut(_hour_groups(spots, keys).withColumn("id", c("_id").cast("long")).drop("_id"))
+    points = _hour_groups(spots, keys).withColumn("id", c("_id").cast("long")).drop("_id")
     found = dominance_totals(points, [*keys, "_cell", "_pair"], **kw)
     # A spot asks both ways in its own cell, upwards in the pair with the next cell, downwards in the one before.
     kind = F.col("point") % 3
