@@ -101,7 +101,7 @@ def cells(s: np.ndarray) -> np.ndarray:
     return np.minimum(n, 65535).astype(np.uint16)
 
 
-FEATURES = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("set_key", pa.binary()), ("sig", pa.binary()), ("cells", pa.binary())])
+FEATURES = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("set_key", pa.binary()), ("sig", pa.binary())])
 
 
 def _features(width: int):
@@ -113,9 +113,8 @@ def _features(width: int):
             sig = iter(minima(full)) if full else iter(())
             set_key = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
             sigs = [next(sig).tobytes() if len(s) else None for s in sets]
-            cell = [cells(s).tobytes() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(set_key, pa.binary()), pa.array(sigs, pa.binary()), pa.array(cell, pa.binary())],
+                [b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(set_key, pa.binary()), pa.array(sigs, pa.binary())],
                 schema=FEATURES,
             )
 
@@ -143,6 +142,14 @@ def _sets(width: int):
     return run
 
 
+def _cells(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The cell counts of full sets."""
+    schema = pa.schema([("uid", pa.int64()), ("cells", pa.binary())])
+    for b in batches:
+        counts = [cells(np.frombuffer(s, np.uint64)).tobytes() for s in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.binary())], schema=schema)
+
+
 def _agree(percent: int):
     """(a, b) of those pairs whose minima agree well enough."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -217,12 +224,12 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     """
     spark = bounded_batches(docs.sparkSession)
     rows = docs.select(name(doc_id).cast("long").alias("id"), F.xxhash64(name(text)).alias("key"), name(text).alias("text"))
-    spec = "id long, key long, n long, set_key binary, sig binary, cells binary"
+    spec = "id long, key long, n long, set_key binary, sig binary"
     found = cut(rows.mapInArrow(_features(width), spec).withColumn("uid", F.monotonically_increasing_id()))
 
     # Classes of equal sets, each under the smallest row number of its members.
     classes = found.where("n > 0").groupBy("set_key").agg(F.min("uid").alias("rep"), group_size())
-    reps = found.select("uid", "key", "n", "sig", "cells").join(classes.select(F.col("rep").alias("uid")), "uid")
+    reps = found.select("uid", "key", "n", "sig").join(classes.select(F.col("rep").alias("uid")), "uid")
     entries = reps.select("uid", F.explode(_band_keys("sig")).alias("bucket"))
     crowded = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     entries = cut(entries.join(sized_broadcast(crowded, F.lit(24)), "bucket"))
@@ -277,7 +284,10 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
         .groupBy("bucket", "i", "j", "uid", "root", "outside")
         .agg((F.max("l") > 0).alias("left"), (F.max("r") > 0).alias("right"))
     )
-    payload = tasks.join(near.select("uid", "n", "sig", "cells"), "uid")
+    # Only members of such buckets need their cells.
+    counted = sets.join(placed.select(F.col("uid").alias("rep")).distinct(), "rep").select("rep", "shingles")
+    counted = counted.mapInArrow(_cells, "uid long, cells binary")
+    payload = tasks.join(near.select("uid", "n", "sig").join(counted, "uid"), "uid")
     cross = payload.groupBy("bucket", "i", "j").applyInArrow(_cross(percent), "a long, b long").distinct()
     more = cut(confirmed(cross))
     roots = cut(components(links.union(more)))
