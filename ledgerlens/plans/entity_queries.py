@@ -56,19 +56,52 @@ def _(t):
     return en.forest_roots(_gap_links(t), "event_id")
 
 
+# The time between the parts, as the chain linker takes it.
+QUIET = ("1999-10-01", "2000-06-01")
+
+
 def _chain_input(t):
     return t.txn_aged.select(
-        "txn_id", "uid", "product", "ts", "d1",
+        "txn_id", "uid", "product", "ts", "d1", "split",
         F.when(F.col("txn_id") % 4 > 0, (F.col("txn_id") % 40) * 30).alias("d3"),
         (F.col("txn_id") % 5 + 1).alias("c1"), (F.col("txn_id") % 7 + 1).alias("c13"),
         (F.col("txn_id") % 3).alias("v221"), (F.col("txn_id") % 2).alias("v285"),
+        F.date_add(registration_date("ts", "d1"), (F.col("txn_id") % 3 + F.col("txn_id") % 10 % 4).cast("int")).alias("registered"),
     )
 
 
-@query("g03_greedy_chains", "G03", None)
+def _chain_sql():
+    tol = ch.Tolerance()
+    near = f"abs(x.n1 - c.n1) <= {tol.counter} AND abs(x.n2 - c.n2) <= {tol.counter}"
+    large = f"c.n1 >= {tol.large} AND x.n1 >= {tol.large} AND abs(x.n1 / c.n1) BETWEEN {tol.ratio_low} AND {tol.ratio_high}"
+    same = lambda v: f"(abs(x.{v} - c.{v}) <= {tol.value} OR abs(x.{v} - c.{v}) > {tol.value_missing})"
+    jump = lambda v: f"abs(x.{v} - c.{v}) BETWEEN {tol.value_gap_low} AND {tol.value_gap_high}"
+    border = f"(x.part <> c.part AND c.ts - to_days(x.gap::INT) BETWEEN TIMESTAMP '{QUIET[0]}' AND TIMESTAMP '{QUIET[1]}')"
+    match = f"""abs(x.reg - c.reg) <= {tol.registration_days} AND CASE WHEN c.gap IS NULL OR x.gap IS NULL
+        THEN (({near}) OR ({large})) AND {same('v1')} AND {same('v2')}
+        ELSE (abs(x.age - c.age - x.gap) <= {tol.gap_days} OR {border}) AND abs(x.n1 - c.n1) <= {tol.counter_limit} AND abs(x.n2 - c.n2) <= {tol.counter_limit}
+          AND NOT {jump('v1')} AND NOT {jump('v2')}
+          AND (({near} AND (abs(x.v1 - c.v1) <= {tol.value} OR abs(x.v2 - c.v2) <= {tol.value}) AND x.age >= c.age) OR ({large} AND x.age <> c.age)) END"""
+    latest = ", ".join(f"'{k}': x.{k}" for k in ("ts", *ch.STATE))
+    opened = f"{{'name': x.txn_id, 'reg': x.reg, 'part': x.part, {latest}}}"
+    moved = f"{{'name': c.name, 'reg': c.reg, 'part': c.part, {latest}}}"
+    return f"""WITH RECURSIVE {TXN_AGED_SQL}, x AS (SELECT txn_id, uid, ts, split AS part, row_number() OVER (PARTITION BY uid ORDER BY ts, txn_id) AS i,
+        date_diff('day', DATE '1970-01-01', ts::DATE) - d1 + txn_id % 3 + txn_id % 10 % 4 AS reg, d1::DOUBLE AS age,
+        (CASE WHEN txn_id % 4 > 0 THEN (txn_id % 40) * 30 END)::DOUBLE AS gap, (txn_id % 5 + 1)::DOUBLE AS n1, (txn_id % 7 + 1)::DOUBLE AS n2,
+        (txn_id % 3)::DOUBLE AS v1, (txn_id % 2)::DOUBLE AS v2 FROM txn_aged),
+      st AS (SELECT uid, i, txn_id, txn_id AS chain, [{opened}] AS open FROM x WHERE i = 1
+        UNION ALL
+        SELECT uid, i, txn_id, CASE WHEN hit > 0 THEN open[hit].name ELSE txn_id END,
+          CASE WHEN hit > 0 THEN list_transform(open, lambda c, k: CASE WHEN k = hit THEN {moved} ELSE c END) ELSE list_append(open, {opened}) END
+        FROM (SELECT x.*, st.open, coalesce(list_position(list_transform(st.open, lambda c: coalesce({match}, false)), true), 0) AS hit
+          FROM st JOIN x ON x.uid = st.uid AND x.i = st.i + 1) x)
+      SELECT txn_id, chain FROM st"""
+
+
+@query("g03_greedy_chains", "G03", _chain_sql())
 def _(t):
     state = dict(zip(ch.STATE, ["d1", "d3", "c1", "c13", "v221", "v285"]))
-    return ch.greedy_chains(_chain_input(t), ["uid"], "txn_id", "ts", state)
+    return ch.greedy_chains(_chain_input(t), ["uid"], "txn_id", "ts", state, registered="registered", part="split", quiet=QUIET)
 
 
 @query(

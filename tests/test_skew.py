@@ -113,40 +113,82 @@ def test_hour_counts_with_ties(spark):
         assert r["hourm1_count"] == sum(top <= s <= top + 3600 for s in mine)
 
 
-def _literal_greedy(block, tol):
+def _may_follow(first, last, row, quiet):
+    """The rules for one chain and one row, spelled out; rows are dicts, ``first`` opened the chain, ``last`` is its latest row."""
+    if first["reg"] is not None and row["reg"] is not None and abs(first["reg"] - row["reg"]) > 1:
+        return False
+    steps = {k: abs(row[k] - last[k]) for k in ("n1", "n2", "v1", "v2")}
+    little = steps["n1"] <= 1 and steps["n2"] <= 1
+    big = last["n1"] >= 3 and row["n1"] >= 3 and 0.8 <= row["n1"] / last["n1"] <= 1.2
+    if last["gap"] is None or row["gap"] is None:
+        return (little or big) and all(steps[v] <= 1 or steps[v] > 90000 for v in ("v1", "v2"))
+    older = row["age"] - last["age"]
+    if abs(older - row["gap"]) > 1:
+        said = last["s"] - row["gap"] * 86400
+        if first["part"] == row["part"] or quiet is None or not quiet[0] <= said <= quiet[1]:
+            return False
+    if steps["n1"] > 1000 or steps["n2"] > 1000 or any(10 <= steps[v] <= 100 for v in ("v1", "v2")):
+        return False
+    return little and min(steps["v1"], steps["v2"]) <= 1 and older >= 0 or big and older != 0
+
+
+def _literal_greedy(block, quiet):
     """Two nested passes: a base scans forward, moves to every match; what is left starts over."""
-    block = sorted(block, key=lambda r: (r[1], r[0]))
+    block = sorted(block, key=lambda r: (r["s"], r["id"]))
     chain = {}
     while len(chain) < len(block):
-        left = [r for r in block if r[0] not in chain]
-        base = left[0]
-        name = base[0]
-        chain[name] = name
+        left = [r for r in block if r["id"] not in chain]
+        first = last = left[0]
+        chain[first["id"]] = first["id"]
         for row in left[1:]:
-            if chains.matches(np.array([base[2]], dtype=float), np.array(row[2], dtype=float), tol)[0]:
-                chain[row[0]] = name
-                base = row
+            if _may_follow(first, last, row, quiet):
+                chain[row["id"]] = first["id"]
+                last = row
     return chain
 
 
 @pytest.mark.parametrize("limit", [10**6, 12])
-def test_greedy_chains_equal_literal_definition(spark, limit):
+@pytest.mark.parametrize("n", [160, 700])
+def test_greedy_chains_equal_literal_definition(spark, limit, n):
+    """``limit`` cuts blocks into slices; with 700 rows, blocks are longer than those that advance together."""
     rnd = random.Random(9)
-    data, blocks = [], {}
-    for i in range(160):
-        key, age = rnd.choice([0, 0, 0, 1, 2]), rnd.randint(0, 60)
-        gap = rnd.choice([None, 0, 1, 2, 5, 10])
-        st = [age, gap, rnd.randint(1, 6), rnd.randint(1, 4), rnd.randint(0, 2), rnd.choice([0, 1, 99999])]
-        data.append((i, key, age * 86400 + rnd.randint(0, 9), *st))
-        blocks.setdefault(key, []).append((i, data[-1][2], [np.nan if x is None else x for x in st]))
-    schema = "id long, key long, s long, age long, gap long, n1 long, n2 long, v1 long, v2 long"
-    df = spark.createDataFrame(data, schema).withColumn("ts", F.timestamp_seconds("s"))
-    got = chains.greedy_chains(df, ["key"], "id", "ts", {s: s for s in chains.STATE}, rows_per_split=limit)
-    want = {}
+    rows, blocks = [], {}
+    quiet = (30 * 86400, 32 * 86400)
+    for i in range(n):
+        age = rnd.randint(0, 60)
+        r = {"id": i, "key": rnd.choice([0, 0, 0, 1, 2, 3]), "s": age * 86400 + rnd.randint(0, 9), "age": age, "gap": rnd.choice([None, 0, 1, 2, 5, 10])}
+        r |= {"n1": rnd.randint(1, 6), "n2": rnd.randint(1, 4), "v1": rnd.choice([0, 1, 2, 30]), "v2": rnd.choice([0, 1, 99999]), "part": "a" if age < 31 else "b"}
+        r["reg"] = rnd.choice([7, 7, 8, 9, 15, 16, 40]) if r["key"] != 2 or rnd.random() < 0.7 else None
+        rows.append(r)
+        blocks.setdefault(r["key"], []).append(r)
+    schema = "id long, key long, s long, age long, gap long, n1 long, n2 long, v1 long, v2 long, part string, reg int"
+    df = spark.createDataFrame([tuple(r[k] for k in ("id", "key", "s", "age", "gap", "n1", "n2", "v1", "v2", "part", "reg")) for r in rows], schema)
+    df = df.withColumns({"ts": F.timestamp_seconds("s"), "day": F.date_from_unix_date("reg")})
+    named = dict(registered="day", part="part", quiet=("1970-01-31", "1970-02-02"))
+    got = chains.greedy_chains(df, ["key"], "id", "ts", {s: s for s in chains.STATE}, rows_per_split=limit, **named)
+    want, without, no_border = {}, {}, {}
     for b in blocks.values():
-        want |= _literal_greedy(b, chains.Tolerance())
+        want |= _literal_greedy(b, quiet)
+        no_border |= _literal_greedy(b, None)
+        without |= _literal_greedy([r | {"reg": None} for r in b], None)
     assert {r["id"]: r["chain"] for r in got.collect()} == want
-    assert len(set(want.values())) < len(want)
+    assert len(set(want.values())) < len(want) and want != no_border and no_border != without
+    if limit > n:
+        plain = chains.greedy_chains(df, ["key"], "id", "ts", {s: s for s in chains.STATE})
+        assert {r["id"]: r["chain"] for r in plain.collect()} == without
+
+
+def test_open_chains_are_looked_up(monkeypatch):
+    """A row of a long block meets chains of its registration days and of the age it asks for, not all open ones."""
+    seen = []
+    plain = chains.matches
+    monkeypatch.setattr(chains, "matches", lambda tails, *rest: seen.append(len(tails)) or plain(tails, *rest))
+    rnd = random.Random(3)
+    open_ = chains.OpenChains(np.zeros(0, "int64"), np.zeros((0, 7)), np.zeros((0, 2)), chains.Tolerance(), None)
+    for i in range(2000):
+        row = [i // 10, rnd.randint(100, 150), rnd.randint(1, 9), 1, 50 * rnd.randint(0, 9), 0, i]
+        open_.add(i, np.array(row, dtype=float), np.array([rnd.randint(0, 60), 0], dtype=float))
+    assert open_.n > 1500 and np.mean(seen) < open_.n / 50
 
 
 def test_components_of_known_shapes(spark):
