@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from itertools import combinations
+from collections.abc import Iterable, Iterator, Sequence
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,23 +56,56 @@ def low_variance(df: DataFrame, cols: Sequence[str], limit: float = 0.0, **kw) -
     return sorted(r["feature"] for r in variances(df, cols, **kw).where(F.col("variance") <= limit).collect())
 
 
-def correlation_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(col_a, col_b, corr) of the upper triangle over pairwise complete rows, one aggregate."""
-    items = [
-        F.struct(
-            F.lit(a).alias("col_a"),
-            F.lit(b).alias("col_b"),
-            no_nan(F.corr(c(a).cast("double"), c(b).cast("double"))).alias("corr"),
-        )
-        for a, b in combinations(cols, 2)
-    ]
-    return df.agg(F.array(*items).alias("a")).select(F.inline("a"))
+# Columns of a tile of the product matrices.
+TILE = 64
 
 
-def correlation_matrix(df: DataFrame, cols: Sequence[str], fill: float = 0.0):
-    """Dense matrix for many columns through one vector pass; missing values filled."""
-    vec = VectorAssembler(inputCols=list(cols), outputCol="_v").transform(df.select(*cols).na.fill(fill))
-    return Correlation.corr(vec, "_v").first()[0].toArray()
+def correlation_pairs(df: DataFrame, cols: Sequence[str], tile: int = TILE) -> DataFrame:
+    """(col_a, col_b, corr) of the upper triangle over pairwise complete rows; NULL where a column does not vary.
+
+    A task turns its rows into a matrix of values and a mask of what is present; the
+    products of the two give, for all pairs of columns at once, the number of common
+    rows and their sums, squares and products. A task holds 32 bytes per pair of
+    columns and sends its sums in tiles, one shuffled row for each pair of tiles.
+    """
+    cols = list(cols)
+    frame = df.select(*[no_nan(c(x).cast("double")).alias(f"_{i}") for i, x in enumerate(cols)])
+    # Values count from their mean, so that sums of squares keep their digits.
+    means = frame.agg(*[F.avg(f"_{i}") for i in range(len(cols))]).first()
+    origin = np.array([m or 0.0 for m in means])
+    edges = [(k, min(k + tile, len(cols))) for k in range(0, len(cols), tile)]
+
+    def sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4, len(cols), len(cols)))
+        for batch in batches:
+            v = np.column_stack([x.to_numpy(zero_copy_only=False).astype("float64") for x in batch.columns]) - origin
+            there = (~np.isnan(v)).astype("float64")
+            v = np.where(there > 0, v, 0.0)
+            for k, (left, right) in enumerate(((there, there), (v, there), (v * v, there), (v, v))):
+                total[k] += left.T @ right
+        tiles = [(i, j) for i in range(len(edges)) for j in range(i, len(edges))] if total[0].any() else []
+        for i, j in tiles:
+            at, to = slice(*edges[i]), slice(*edges[j])
+            both = np.stack([total[0, at, to], total[1, at, to], total[1, to, at].T, total[2, at, to], total[2, to, at].T, total[3, at, to]])
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([j], pa.int32()), pa.array([both.tobytes()], pa.binary())], names=["i", "j", "sums"])
+
+    def finish(rows: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
+        n, x, y, xx, yy, xy = sum(np.frombuffer(s).reshape(6, edges[i][1] - edges[i][0], -1) for s in rows["sums"])
+        spread_x, spread_y = n * xx - x * x, n * yy - y * y
+        # What is left by rounding is no spread.
+        varies = (spread_x > 1e-12 * n * xx) & (spread_y > 1e-12 * n * yy)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            r = np.where(varies, (n * xy - x * y) / np.sqrt(spread_x * spread_y), np.nan)
+        a, b = np.meshgrid(np.arange(*edges[i]), np.arange(*edges[j]), indexing="ij")
+        keep = a < b
+        names = np.array(cols, dtype=object)
+        return pd.DataFrame({"col_a": names[a[keep]], "col_b": names[b[keep]], "corr": np.clip(r[keep], -1, 1)})
+
+    # One task per core: what a task sends does not depend on its rows.
+    parts = frame.coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism)).mapInArrow(sums, "i int, j int, sums binary")
+    pairs = parts.groupBy("i", "j").applyInPandas(finish, "col_a string, col_b string, corr double")
+    return pairs.withColumn("corr", no_nan("corr"))
 
 
 def correlated_to_drop(df: DataFrame, cols: Sequence[str], threshold: float = 0.999, absolute: bool = False) -> list[str]:
@@ -227,7 +260,3 @@ def narrowest_types(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def downcast(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     target = {r["feature"]: r["target"] for r in narrowest_types(df, cols).collect()}
     return df.withColumns({x: c(x).cast(t) for x, t in target.items()})
-
-
-def conditional_mean(col: str | Column, cond: Column) -> Column:
-    return F.avg(F.when(cond, c(col)))

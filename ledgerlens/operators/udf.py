@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def map_arguments(spark: SparkSession, func: Callable, args: DataFrame, schema: str) -> DataFrame:
     """Call ``func(**row)`` for each row of an argument table and return its dict as a row."""
@@ -48,21 +50,41 @@ def grouped_aggregate(
     """Custom group aggregate with a combiner, so that no task holds a whole group.
 
     ``lift`` turns the rows of one key within a batch into a few partial rows,
-    ``merge`` combines partial rows of one key into fewer, ``finish`` turns the
-    last partials into the result. All of them get and return the key columns.
+    ``merge`` combines partial rows of one key into fewer (one, in the end), ``finish``
+    turns the last partials into the result. All of them get and return the key
+    columns. The partials of a key are numbered and merged ``fan_in`` at a time, round
+    by round, until no key has more than that many; each round is checkpointed.
     """
     keys = list(keys)
 
     def combine(batches):
         for b in batches:
-            parts = [lift(g) for _, g in b.groupby(keys, sort=False)]
+            parts = [lift(g) for _, g in b.groupby(keys, sort=False, dropna=False)]
             if parts:
                 yield pd.concat(parts)
 
-    first = df.mapInPandas(combine, partial_schema)
-    salted = first.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(fan_in)))
-    second = salted.groupBy(*keys, "_salt").applyInPandas(lambda g: merge(g.drop(columns="_salt")), partial_schema)
-    return second.groupBy(*keys).applyInPandas(lambda g: finish(merge(g)), schema)
+    parts, before = cut(df.mapInPandas(combine, partial_schema)), None
+    while True:
+        most = parts.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+        if most <= fan_in or most == before:
+            return parts.groupBy(*keys).applyInPandas(lambda g: finish(merge(g)), schema)
+        numbered = _numbered(parts, keys).withColumn("_turn", F.floor(F.col("_no") / fan_in)).drop("_no")
+        parts = cut(numbered.groupBy(*keys, "_turn").applyInPandas(lambda g: merge(g.drop(columns="_turn")), partial_schema))
+        before = most
+
+
+def _numbered(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``_no`` from 0 up within each key: the place among the key's rows of a partition, behind those of the partitions before."""
+    keys = list(keys)
+    rows = df.withColumns({"_p": F.spark_partition_id(), "_i": F.monotonically_increasing_id()})
+    rows = rows.withColumn("_in", F.row_number().over(Window.partitionBy(*keys, "_p").orderBy("_i")) - 1)
+    per = df.groupBy(*keys, F.spark_partition_id().alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_p").alias("_part"), F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
+    same = F.col("_p") == F.col("_part")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return rows.join(per, same).select(*df.columns, (F.col("_in") + F.col("_before")).alias("_no"))
 
 
 def row_function(func: Callable[..., pd.Series], returns: str):

@@ -110,11 +110,41 @@ def _(t):
     + " UNION ALL ".join(f"SELECT '{a}' AS col_a, '{b}' AS col_b, {R(f'corr({a}, {b})')} AS corr FROM c" for a, b in combinations(_CORR, 2)),
 )
 def _(t):
-    # one Gramian over all columns: the form for thousands of columns
-    d = _corr_frame(t)
-    m = qu.correlation_matrix(d, _CORR)
-    rows = [(a, b, float(m[_CORR.index(a)][_CORR.index(b)])) for a, b in combinations(_CORR, 2)]
-    return rs(t.spark.createDataFrame(rows, "col_a string, col_b string, corr double"), ["corr"])
+    # tiles of two columns, so that pairs within a tile and across tiles are both there
+    return rs(qu.correlation_pairs(_corr_frame(t), _CORR, tile=2), ["corr"])
+
+
+_GAPS = ["quantity", "price", "discount", "tax", "line", "same"]
+_GAPS_SQL = """c AS (SELECT l_quantity AS quantity, CASE WHEN l_linenumber <> 3 THEN l_extendedprice END AS price, CASE WHEN l_quantity < 40 THEN l_discount END AS discount,
+      CASE WHEN l_linenumber > 2 THEN l_tax END AS tax, l_linenumber AS line, CASE WHEN l_linenumber < 3 THEN 7.5 END AS same FROM lineitem)"""
+
+
+def _gaps_frame(t):
+    line = F.col("l_linenumber")
+    return t.lineitem.select(
+        F.col("l_quantity").alias("quantity"), F.when(line != 3, F.col("l_extendedprice")).alias("price"), F.when(F.col("l_quantity") < 40, F.col("l_discount")).alias("discount"),
+        F.when(line > 2, F.col("l_tax")).alias("tax"), line.alias("line"), F.when(line < 3, 7.5).alias("same"),
+    )
+
+
+def _gaps_pairs(pairs):
+    return " UNION ALL ".join(
+        f"SELECT '{a}' AS col_a, '{b}' AS col_b, (SELECT CASE WHEN isnan(r) THEN NULL ELSE r END FROM (SELECT corr({a}, {b}) AS r FROM c)) AS corr" for a, b in pairs
+    )
+
+
+@query("d03_pairs_with_gaps", "D03", f"WITH {_GAPS_SQL}, p AS ({_gaps_pairs(combinations(_GAPS, 2))}) SELECT col_a, col_b, {R('corr')} AS corr FROM p")
+def _(t):
+    return rs(qu.correlation_pairs(_gaps_frame(t), _GAPS, tile=4), ["corr"])
+
+
+@query(
+    "d05_partners_with_gaps", "D05",
+    f"""WITH {_GAPS_SQL}, p AS ({_gaps_pairs([(a, b) for a in _GAPS for b in _GAPS if a != b])})
+      SELECT col_a, col_b, {R('corr')} AS corr, (row_number() OVER (PARTITION BY col_a ORDER BY abs(round(corr, 9)) DESC NULLS LAST, col_b))::INT AS rank FROM p""",
+)
+def _(t):
+    return rs(qu.ranked_partners(_gaps_frame(t), _GAPS), ["corr"])
 
 
 @query(

@@ -178,13 +178,31 @@ def _(t):
     return w.table("orders")
 
 
+@query(
+    "s14_delete_by_table", "S14",
+    """SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O')""",
+)
+def _(t):
+    w = _warehouse(t)
+    w.create_as("lines", t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity"))
+    w.delete("lines", "l_orderkey", t.orders.where("o_orderstatus = 'O'").select("o_orderkey"))
+    return w.table("lines")
+
+
 @query(
     "s15_warehouse_types", "S15",
-    """SELECT column_name AS name, CASE WHEN column_type IN ('DOUBLE', 'FLOAT') THEN 'FLOAT' WHEN column_type IN ('BIGINT', 'INTEGER') THEN 'NUMERIC'
-       WHEN column_type LIKE 'TIMESTAMP%' THEN 'DATE' ELSE 'STRING' END AS kind FROM (DESCRIBE SELECT * FROM lineitem)""",
+    """SELECT name, CASE WHEN kind IN ('DOUBLE', 'FLOAT') THEN 'FLOAT' WHEN kind IN ('BIGINT', 'INTEGER') THEN 'NUMERIC'
+       WHEN kind LIKE 'TIMESTAMP%' THEN 'DATE' ELSE 'STRING' END AS kind, n_values FROM
+       (SELECT column_name AS name, column_type AS kind FROM (DESCRIBE SELECT * FROM lineitem)) JOIN
+       (UNPIVOT (SELECT count(COLUMNS(*)) FROM lineitem) ON * INTO NAME name VALUE n_values) USING (name)""",
 )
 def _(t):
-    return t.spark.createDataFrame(wh.inferred_types(t.lineitem), "name string, kind string")
+    """The table is made with the inferred types and loaded; every column keeps its values."""
+    w, kinds = _warehouse(t), wh.inferred_types(t.lineitem)
+    w.create("typed", [(n, kind, False) for n, kind in kinds])
+    w.insert("typed", t.lineitem)
+    counts = w.table("typed").agg(*[F.count(n).alias(n) for n, _ in kinds]).unpivot([], [n for n, _ in kinds], "name", "n_values")
+    return counts.join(F.broadcast(t.spark.createDataFrame(kinds, "name string, kind string")), "name").select("name", "kind", "n_values")
 
 
 @query(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.safe import c
+from ..session import discard
 
 
 def warehouse_type(t: T.DataType) -> str:
@@ -82,18 +84,43 @@ class Warehouse:
     def create_as(self, table: str, df: DataFrame) -> None:
         df.write.mode("overwrite").format("parquet").saveAsTable(f"{self.name}.{table}")
 
-    def delete(self, table: str, col: str, values: Sequence) -> None:
-        """Rows whose ``col`` is in the list go; the rest moves to a new file set first."""
-        rest = without_values(self.table(table), col, values)
-        tmp = f"{self.name}.{table}__rest"
-        rest.write.mode("overwrite").format("parquet").saveAsTable(tmp)
-        self.spark.table(tmp).write.mode("overwrite").format("parquet").saveAsTable(f"{self.name}.{table}")
-        self.spark.sql(f"DROP TABLE {tmp}")
-
-
-def without_values(df: DataFrame, col: str, values: Sequence) -> DataFrame:
-    """``DELETE ... WHERE col IN (...)`` as a filter; rows with a missing value stay."""
-    return df.where(~F.coalesce(c(col).isin(*values), F.lit(False)))
+    def place(self, table: str) -> str:
+        """The folder that holds the table's current version."""
+        rows = self.spark.sql(f"DESCRIBE TABLE EXTENDED {self.name}.{table}").where("col_name = 'Location'")
+        return rows.first()["data_type"]
+
+    def replace(self, table: str, df: DataFrame) -> None:
+        """The table's rows become ``df``, which may read the table.
+
+        The new version is written once, to a folder of its own. Until it is complete
+        the table shows the old files; then its location changes in one step of the
+        catalog, and the old files go. Whatever fails before leaves the table as it was.
+        """
+        old, new = self.place(table), f"{self.location}/{table}__{uuid.uuid4().hex}"
+        try:
+            df.write.parquet(new)
+            self._switch(table, new)
+        except BaseException:
+            discard(self.spark, new)
+            raise
+        discard(self.spark, old)
+
+    def _switch(self, table: str, path: str) -> None:
+        self.spark.sql(f"ALTER TABLE {self.name}.{table} SET LOCATION '{path}'")
+        self.spark.catalog.refreshTable(f"{self.name}.{table}")
+
+    def delete(self, table: str, col: str, values: Sequence | DataFrame) -> None:
+        """Rows whose ``col`` is in the list, or in the first column of a table, go."""
+        self.replace(table, without_values(self.table(table), col, values))
+
+
+def without_values(df: DataFrame, col: str, values: Sequence | DataFrame) -> DataFrame:
+    """``DELETE ... WHERE col IN (...)`` as an anti join with the list; rows with a missing value stay."""
+    kind = df.select(c(col)).schema[0].dataType
+    if not isinstance(values, DataFrame):
+        values = df.sparkSession.createDataFrame([(v,) for v in values], T.StructType([T.StructField("_listed", kind)]))
+    listed = values.select(values[values.columns[0]].cast(kind).alias("_listed")).distinct()
+    return df.join(listed, c(col) == F.col("_listed"), "left_anti")
 
 
 # The columns of the experiment log (name, type, required).
