@@ -2,11 +2,13 @@
 
 import datetime as dt
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import lookups, rowwise, safe, scalars
-from ledgerlens.operators import aggs, encoders, entity, filters, metrics, models, quality, sampling, target, windows
+from ledgerlens.operators import aggs, encoders, entity, filters, metrics, models, quality, sampling, target, udf, windows
 from ledgerlens.session import scratch
 from ledgerlens.sources import store, warehouse
 
@@ -267,3 +269,67 @@ def test_feature_table_is_written_once(spark):
 def test_delete_keeps_missing_values(spark):
     df = spark.createDataFrame([("a",), ("b",), (None,)], "v string")
     assert {r["v"] for r in warehouse.without_values(df, "v", ["a"]).collect()} == {"b", None}
+
+
+def test_correlations_of_500_columns_with_gaps(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 500)) + 1e6
+    x[:, 100:200] = x[:, :100] + rng.normal(scale=0.1, size=(300, 100))
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[:, 7] = 3.25
+    x[:, 8] = np.nan
+    names = [f"c{i}" for i in range(500)]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=names))
+    got = quality.correlation_pairs(df, names).toPandas()
+    assert len(got) == 500 * 499 // 2 and not got.duplicated(["col_a", "col_b"]).any()
+    want = pd.DataFrame(x, columns=names).corr().to_numpy()
+    a, b = (got[k].str[1:].astype(int).to_numpy() for k in ("col_a", "col_b"))
+    assert (a < b).all()
+    r = got["corr"].to_numpy(dtype=float)
+    assert np.isnan(r[(a == 7) | (b == 7) | (a == 8) | (b == 8)]).all()
+    assert np.nanmax(np.abs(r - want[a, b])) < 1e-6
+    few = quality.correlation_pairs(df.limit(0), names[:3])
+    assert few.count() == 0 or few.where("corr IS NOT NULL").count() == 0
+
+
+def test_a_delete_that_fails_leaves_the_table(spark, monkeypatch):
+    place = scratch(spark, "versions")
+    w = warehouse.Warehouse(spark, "lens_versions", place)
+    try:
+        w.create_as("t", spark.range(10).withColumn("v", F.when(F.col("id") > 2, F.col("id") % 3)))
+        old = w.place("t")
+
+        def stop(self, table, path):
+            raise RuntimeError("lost between write and switch")
+
+        with monkeypatch.context() as m:
+            m.setattr(warehouse.Warehouse, "_switch", stop)
+            with pytest.raises(RuntimeError):
+                w.delete("t", "v", [1])
+        assert w.place("t") == old and w.table("t").count() == 10
+        w.delete("t", "v", [1, 1, 99])
+        assert w.place("t") != old and sorted(r["id"] for r in w.table("t").collect()) == [0, 1, 2, 3, 5, 6, 8, 9]
+        w.insert("t", spark.range(20, 22))
+        w.delete("t", "id", spark.createDataFrame([(0,), (20,), (None,)], "id long"))
+        assert sorted(r["id"] for r in w.table("t").collect()) == [1, 2, 3, 5, 6, 8, 9, 21]
+        w.delete("t", "id", [])
+        assert w.table("t").count() == 8
+    finally:
+        w.drop()
+
+
+def test_group_aggregate_merges_no_more_than_the_fan_in(spark):
+    """One key in 10,000 partial rows, and one that is missing."""
+    df = spark.range(0, 10_000, 1, 16).select(F.when(F.col("id") < 9_990, F.lit(1)).alias("k"), "id")
+
+    def lift(g):
+        return pd.DataFrame({"k": g["k"].array, "n": 1, "s": g["id"].array, "most": 0})
+
+    def merge(g):
+        most = max(len(g) if len(g) > 1 else 0, int(g["most"].max()))
+        return pd.DataFrame({"k": g["k"].array[:1], "n": [g["n"].sum()], "s": [g["s"].sum()], "most": [most]})
+
+    schema = "k int, n long, s long, most long"
+    got = {r.k: r for r in udf.grouped_aggregate(df, ["k"], lift, merge, lambda g: g, schema, schema, fan_in=50).collect()}
+    assert got[1].n == 9_990 and got[1].s == sum(range(9_990)) and got[1].most <= 50
+    assert got[None].n == 10 and got[None].s == sum(range(9_990, 10_000))
