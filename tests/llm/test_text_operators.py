@@ -295,3 +295,27 @@ def test_near_pairs_by_brute_force(spark):
     items = sorted((i, s) for s, i in sets.items())
     want = {(i, j) for x, (i, a) in enumerate(items) for j, b in items[x + 1 :] if len(a & b) >= 0.8 * len(a | b)}
     assert got == want and want
+
+
+@pytest.mark.parametrize("text", [" " * 5_000_000 + "a", "a" + "\n" * 5_000_000 + "b c", " " * 5_000_000, "a" * 5_000_000], ids=["blanks", "lines", "end", "letters"])
+def test_token_counts_of_long_runs(text):
+    enc, length = token_counts.load(RANKS, token_counts.PATTERN)
+    parts = token_counts.calm_parts(text)
+    assert "".join(parts) == text
+    ids = [i for p in parts for i in enc.encode_ordinary(p)]
+    assert length[ids].sum() == len(text)
+
+
+def test_cuts_in_long_runs_change_no_token():
+    enc, _ = token_counts.load(RANKS, token_counts.PATTERN)
+    rng = random.Random(4)
+    for _ in range(60):
+        space = rng.choice([" ", "\n", " \n", "\u3000 ", "\t"])
+        text = "".join(rng.choice(["a", "the end", "12", "!", "\x1c", "", "é"]) + space * rng.choice([0, 1, 2, 700, 1500]) for _ in range(6))
+        assert [i for p in token_counts.calm_parts(text) for i in enc.encode_ordinary(p)] == enc.encode_ordinary(text)
+
+
+def test_token_counts_of_a_table_with_a_long_run(spark):
+    df = spark.createDataFrame([(1, " " * 1_500_000 + "a\nb"), (2, None)], "doc_id long, text string")
+    got = {(r.doc_id, r.section): r for r in token_counts.count_tokens(df, RANKS).collect()}
+    assert got[1, 0].n_chars == 1_500_002 and got[1, 1].n_chars == 1 and got[2, 0].n_tokens == 0
