@@ -18,7 +18,8 @@ beside the regions outside.
 
 Cases: a missing or empty page gives an empty text; broken and cut off markup is
 read as far as it goes; pages without an article use the ratio alone. Work is per
-page, so that repeated rows, ties and other columns do not matter.
+page and linear in its length, however deep its elements lie, so that repeated rows,
+ties and other columns do not matter; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -80,11 +81,13 @@ def _named(attrs: dict[str, str | None], names: frozenset[str]) -> bool:
 class Element:
     """An open or closed element: what its markup says, before it is known what it holds."""
 
-    __slots__ = ("tag", "parent", "silent", "around", "named", "comments", "header", "article", "real", "breaks", "size", "holds", "structure", "number")
+    __slots__ = ("tag", "parent", "silent", "around", "named", "comments", "header", "article", "real", "breaks", "within", "beneath", "size", "holds", "structure", "number")
 
     def __init__(self, tag: str, parent: Element | None):
         self.tag, self.parent = tag, parent
         self.silent = self.around = self.named = self.comments = self.header = self.article = self.real = self.breaks = False
+        # Inside of an article; at or below an element that is around the text.
+        self.within = self.beneath = False
         # Characters inside; number of articles and mains inside.
         self.size = 0
         self.holds = [0, 0]
@@ -98,6 +101,8 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.elements = [Element("", None)]
         self.open = [self.elements[0]]
+        # Places of the open elements by tag.
+        self.at: dict[str, list[int]] = {}
         self.lines: list[list] = []
         self._start("")
 
@@ -117,14 +122,15 @@ class Lines(HTMLParser):
             return
         a = dict(attrs)
         e = Element(tag, self.open[-1])
-        e.silent = e.parent.silent or tag in SILENT
+        up = e.parent
+        e.silent = up.silent or tag in SILENT
+        inside = e.within = up.within or up.article and not up.around
         role = (a.get("role") or "").lower()
         marked = "class" in a or "id" in a
         e.comments = marked and _named(a, COMMENT_NAMES)
         if tag == "article" or role == "article":
             e.around, e.real = e.comments, not (marked and _named(a, NAMES))
         elif tag not in NEVER:
-            inside = any(x.article and not x.around for x in self.open)
             e.around = tag in STRUCTURE or role in ROLES or tag == "header" and not inside
             e.named = marked and _named(a, NAMES)
             e.header = marked and not inside and _named(a, HEADER_NAMES)
@@ -132,11 +138,12 @@ class Lines(HTMLParser):
         e.around = e.around or hidden
         e.article = tag in ARTICLE or role in ("main", "article") or (a.get("itemprop") or "").lower() == "articlebody"
         e.breaks = tag in BLOCK or e.around or e.named or e.header or e.article
+        e.beneath = up.beneath or e.around
         self.elements.append(e)
+        self.at.setdefault(tag, []).append(len(self.open))
         self.open.append(e)
-        if e.article and (e.real or tag != "article" and role != "article") and not any(x.around for x in self.open):
-            for x in self.open:
-                x.holds[not e.real] += 1
+        if e.article and (e.real or tag != "article" and role != "article") and not e.beneath:
+            e.holds[not e.real] += 1
         if e.breaks:
             self._start(tag)
 
@@ -148,21 +155,22 @@ class Lines(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if not self.open[-1].silent:
             self.lines[-1][1] += 1
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag == tag:
-                self._pop(i)
-                return
+        if self.at.get(tag):
+            self._pop(self.at[tag][-1])
+
+    def _last(self, tags: Iterable[str]) -> int:
+        """The place of the innermost open element of these tags, 0 if there is none."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
 
     def _close_implied(self, tags: set[str]) -> None:
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag in tags:
-                self._pop(i)
-                return
-            if self.open[i].tag in SCOPES:
-                return
+        place = self._last(tags)
+        if place and place >= self._last(SCOPES):
+            self._pop(place)
 
     def _pop(self, i: int) -> None:
         changed = any(e.breaks for e in self.open[i:])
+        for e in reversed(self.open[i:]):
+            self.at[e.tag].pop()
         del self.open[i:]
         if changed:
             self._start("")
@@ -174,13 +182,14 @@ class Lines(HTMLParser):
     def resolve(self) -> None:
         """Which elements are structure, and the number of the article they lie in or 0."""
         for pieces, _, e, _ in self.lines:
-            n = len("".join(pieces).strip())
-            if n:
-                while e is not None:
-                    if e.around:
-                        n = 0
-                    e.size += n
-                    e = e.parent
+            e.size += len("".join(pieces).strip())
+        # An element comes after its parent, so that backwards every element is complete when it is added to its parent.
+        for e in reversed(self.elements[1:]):
+            if e.around:
+                e.size = 0
+            e.parent.size += e.size
+            e.parent.holds[0] += e.holds[0]
+            e.parent.holds[1] += e.holds[1]
         top, articles = self.elements[0], 0
         for e in self.elements[1:]:
             up = e.parent

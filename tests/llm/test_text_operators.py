@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -319,3 +320,22 @@ def test_token_counts_of_a_table_with_a_long_run(spark):
     df = spark.createDataFrame([(1, " " * 1_500_000 + "a\nb"), (2, None)], "doc_id long, text string")
     got = {(r.doc_id, r.section): r for r in token_counts.count_tokens(df, RANKS).collect()}
     assert got[1, 0].n_chars == 1_500_002 and got[1, 1].n_chars == 1 and got[2, 0].n_tokens == 0
+
+
+@pytest.mark.parametrize(
+    "html",
+    ["<div>word " * 100_000, "<div><header>" * 50_000 + "text", "<i>" * 100_000 + "<li>a</li>" * 50_000, "<b>" * 100_000 + "</x>" * 100_000 + "end", "<article>" * 60_000 + "<p>one<p>two", "<section id=ad>" * 60_000 + "t" * 100],
+    ids=["open", "headers", "implied", "stray", "articles", "named"],
+)
+def test_deep_pages_take_linear_time(html):
+    start = time.process_time()
+    text = pages.main_text(html)
+    assert time.process_time() - start < 20
+    assert text or "header" in html
+
+
+def test_pages_of_a_table_with_a_deep_and_a_missing_one(spark):
+    rows = [(1, "u", "<div>" * 20_000 + "<article><p>Some words of a text, and more of it.</p></article>"), (2, None, None), (3, "v", "")]
+    got = {r.page_id: r.text for r in pages.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "Some words of a text, and more of it.", 2: "", 3: ""}
+    assert pages.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
