@@ -1,4 +1,9 @@
-"""Model-shaped jobs on Spark ML."""
+"""Model-shaped jobs: linear and logistic models by normal equations, the others by Spark ML.
+
+``lgb`` and ``cat`` are gradient-boosted trees, ``rmf`` random forests; parameters
+are those of the Spark estimators. ``lgr`` and ``linear`` without parameters have no
+penalty and are fitted exactly.
+"""
 
 from __future__ import annotations
 
@@ -13,8 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.safe import c, day_number
+from ..session import cut
+from . import newton
 from .attach import SIZE, attach, group_size
-from .metrics import auc
+from .metrics import auc, collect_predictions
+from .newton import Linear
 from .ordering import exact_quantiles, running_totals
 from .sampling import hash_unit
 
@@ -41,6 +49,8 @@ def assemble(df: DataFrame, cols: Sequence[str], fill: float = -1.0) -> DataFram
 
 
 def fit_classifier(train: DataFrame, label: str, cols: Sequence[str], model: str = "lgr", params: dict | None = None, weight: str | None = None):
+    if model == "lgr" and not params:
+        return newton.fit_one(train, label, cols, weight=weight)
     p = dict(params or {})
     if weight:
         p["weightCol"] = weight
@@ -49,18 +59,24 @@ def fit_classifier(train: DataFrame, label: str, cols: Sequence[str], model: str
 
 
 def fit_regressor(train: DataFrame, label: str, cols: Sequence[str], model: str = "linear", params: dict | None = None):
+    if model == "linear" and not params:
+        return newton.fit_one(train, label, cols, logistic=False)
     est = REGRESSORS[model](dict(params or {})).setLabelCol("_y").setFeaturesCol("_x")
     return est.fit(assemble(train.where(c(label).isNotNull()).withColumn("_y", c(label).cast("double")), cols))
 
 
 def score(model, df: DataFrame, cols: Sequence[str], out: str = "pred") -> DataFrame:
     """Attach the probability of class 1 (the prediction for regressors)."""
+    if isinstance(model, Linear):
+        return df.withColumn(out, model.score())
     s = model.transform(assemble(df, cols))
     p = vector_to_array("probability")[1] if "probability" in s.columns else F.col("prediction")
     return s.select(*df.columns, p.alias(out))
 
 
 def importance(model, cols: Sequence[str]) -> list[tuple[str, float]]:
+    if isinstance(model, Linear):
+        return [(n, abs(b)) for n, b in zip(cols, model.coefficients)]
     v = model.featureImportances if hasattr(model, "featureImportances") else model.coefficients
     return [(n, abs(float(x))) for n, x in zip(cols, v.toArray())]
 
@@ -78,21 +94,33 @@ def average_importance(df: DataFrame, folds: Sequence[str]) -> DataFrame:
     return df.withColumn("imp_avg", sum(c(f) for f in folds) / len(folds))
 
 
+def _fold_models(df: DataFrame, label: str, designs: Sequence[Sequence[str]], fold: str, fold_values: Sequence, model: str, params: dict | None, regression: bool) -> list[list]:
+    """Per column list the models without each fold, on a frame that is prepared and written once."""
+    if model == ("linear" if regression else "lgr") and not params:
+        return newton.fit_many(df, label, designs, not regression, fold, fold_values)
+    fit = fit_regressor if regression else fit_classifier
+    names = dict.fromkeys([label, fold, *(x for d in designs for x in d)])
+    frame = cut(df.where(c(label).isNotNull()).select(*map(c, names)))
+    return [[fit(frame.where(c(fold) != F.lit(v)), label, d, model, params) for v in fold_values] for d in designs]
+
+
 def cross_validate(
     df: DataFrame, key: str, label: str, cols: Sequence[str], fold: str, fold_values: Sequence, model: str = "lgr", params: dict | None = None, regression: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """Out-of-fold predictions plus fold-mean test predictions, and the importance table."""
+    models = _fold_models(df, label, [cols], fold, fold_values, model, params, regression)[0]
+    importances = importance_table(df.sparkSession, [importance(m, cols) for m in models])
+    if all(isinstance(m, Linear) for m in models):
+        # One projection: a labelled row takes the model without its fold, an unlabelled one the mean.
+        own = F.lit(None).cast("double")
+        for v, m in zip(fold_values, models):
+            own = F.when(c(fold) == F.lit(v), m.score()).otherwise(own)
+        mean = sum(m.score() for m in models) / len(models)
+        pred = df.select(key, c(fold).isin(*fold_values).alias("_in"), c(label).isNull().alias("_test"), F.when(c(label).isNull(), mean).otherwise(own).alias("pred"))
+        return pred.where("_test OR _in").select(key, "pred"), importances
     train, test = df.where(c(label).isNotNull()), df.where(c(label).isNull())
-    fit = fit_regressor if regression else fit_classifier
-    oof, tst, imps = [], [], []
-    for v in fold_values:
-        m = fit(train.where(c(fold) != F.lit(v)), label, cols, model, params)
-        oof.append(score(m, train.where(c(fold) == F.lit(v)), cols).select(key, "pred"))
-        tst.append(score(m, test, cols).select(key, "pred"))
-        imps.append(importance(m, cols))
-    from .metrics import collect_predictions
-
-    return collect_predictions(oof, tst, key, "pred"), importance_table(df.sparkSession, imps)
+    oof = [score(m, train.where(c(fold) == F.lit(v)), cols).select(key, "pred") for v, m in zip(fold_values, models)]
+    return collect_predictions(oof, [score(m, test, cols).select(key, "pred") for m in models], key, "pred"), importances
 
 
 def adversarial_auc(df: DataFrame, split: str, cols: Sequence[str], key: str, model: str = "lgr") -> DataFrame:
@@ -143,21 +171,33 @@ def candidate_scores(
 ) -> DataFrame:
     """(feature, fold, score): AUC of base and of base plus one candidate per held-out fold.
 
-    The base is listed as ``base``. Candidates run in seeded random order; each
-    fit is a Spark job, only AUCs come back.
+    The base is listed as ``base``. Candidates are listed in seeded random order. All
+    models of the linear kind share every pass over one written frame; then one pass
+    scores each row by the models without its fold, and all AUCs are one aggregate.
     """
     import random
 
     order = list(candidates)
     random.Random(seed).shuffle(order)
-    rows = []
-    for name in ["base", *order]:
-        cols = [*base] if name == "base" else [*base, name]
-        for v in fold_values:
-            m = fit_classifier(df.where(c(fold) != F.lit(v)), label, cols, model)
-            a = auc(score(m, df.where(c(fold) == F.lit(v)), cols), label, "pred").first()["auc"]
-            rows.append((name, str(v), a))
-    return df.sparkSession.createDataFrame(rows, "feature string, fold string, score double")
+    names = ["base", *order]
+    designs = [[*base] if n == "base" else [*base, n] for n in names]
+    models = _fold_models(df, label, designs, fold, fold_values, model, None, False)
+    rows = df.where(c(label).isNotNull() & c(fold).isin(*fold_values))
+    if all(isinstance(m, Linear) for ms in models for m in ms):
+        scored = []
+        for n, ms in zip(names, models):
+            own = F.lit(None).cast("double")
+            for v, m in zip(fold_values, ms):
+                own = F.when(c(fold) == F.lit(v), m.score()).otherwise(own)
+            scored.append(F.struct(F.lit(n).alias("feature"), own.alias("pred")))
+        long = rows.select(c(fold).cast("string").alias("fold"), c(label).alias("_y"), F.explode(F.array(*scored)).alias("_s"))
+        return auc(long.select("_s.feature", "fold", "_y", "_s.pred"), "_y", "pred", ["feature", "fold"]).select("feature", "fold", F.col("auc").alias("score"))
+    rows = cut(rows.select(*map(c, dict.fromkeys([label, fold, *base, *order]))))
+    out = []
+    for n, d, ms in zip(names, designs, models):
+        for v, m in zip(fold_values, ms):
+            out.append((n, str(v), auc(score(m, rows.where(c(fold) == F.lit(v)), d), label, "pred").first()["auc"]))
+    return df.sparkSession.createDataFrame(out, "feature string, fold string, score double")
 
 
 def improving_features(scores: DataFrame) -> DataFrame:

@@ -9,11 +9,45 @@ from ..operators import models as ml
 from ..operators import sampling as sa
 from ..operators import udf
 from ..sources.tables import EV_SQL, Tables
+from .metric_queries import auc_sql, hash_sql
 from .registry import R, query, r, rs
 
 FEATS = ["k", "value", "hr"]
 
 
+def logit_sql(d: int) -> str:
+    return "1 / (1 + exp(-(" + " + ".join(["b0", *(f"b{i} * x{i}" for i in range(1, d + 1))]) + ")))"
+
+
+def newton_sql(d: int, models: str, logistic: bool = True, steps: int = 10) -> str:
+    """CTEs that end in ``fit`` (m, held, b0..bd): models of ``nd`` (y, fold, x1..xd) by Newton steps, without the rows of fold ``held``.
+
+    ``models`` lists (name, held, and 1 or 0 for each column that takes part). Every
+    step adds up the products and solves the system column by column.
+    """
+    n, b = d + 1, [f"b{i}" for i in range(d + 1)]
+    use = ["1", *(f"u{i}" for i in range(1, n))]
+    x = ["1.0", *(f"x{i} * u{i}" for i in range(1, n))]
+    eta = " + ".join(f"{b[i]} * {x[i]}" for i in range(n))
+    p = f"1 / (1 + exp(-({eta})))"
+    bend, slope = ("p * (1 - p)", "y - p") if logistic else ("1.0", "y")
+    sums = [f"sum({bend} * z{i} * z{j})" + (f" + (1 - max({use[i]}))" if i == j else "") + f" AS a{i}{j}" for i in range(n) for j in range(n)]
+    sums += [f"sum(({slope}) * z{i}) AS a{i}{n}" for i in range(n)]
+    keep = ", ".join(["m", "held", "i", *use[1:], *b])
+    inner = f"SELECT {keep}, y, {p if logistic else '0.0'} AS p, " + ", ".join(f"{x[i]} AS z{i}" for i in range(n))
+    q = f"SELECT {keep}, {', '.join(sums)} FROM ({inner} FROM st JOIN nd ON nd.y IS NOT NULL AND nd.fold <> st.held WHERE i < {steps if logistic else 1}) GROUP BY {keep}"
+    for k in range(n):
+        cells = ", ".join(f"a{i}{j} - a{i}{k} * a{k}{j} / a{k}{k} AS a{i}{j}" if i != k else f"a{i}{j}" for i in range(n) for j in range(k + 1, n + 1))
+        own = ", ".join(f"a{i}{i}" for i in range(k + 1))
+        q = f"SELECT {keep}, {own}, {cells} FROM ({q})" if k < n - 1 else f"SELECT {keep}, {own}, {cells} FROM ({q})"
+    moved = ", ".join(f"b{i} + a{i}{n} / a{i}{i}" for i in range(n))
+    names = ", ".join(["m", "held", *use[1:]])
+    return f"""md({names}) AS (VALUES {models}),
+      st AS (SELECT {names}, 0 AS i, {", ".join(f"0.0::DOUBLE AS {c}" for c in b)} FROM md
+        UNION ALL SELECT m, held, {", ".join(use[1:])}, i + 1, {moved} FROM ({q})),
+      fit AS (SELECT * FROM st WHERE i = {steps if logistic else 1})"""
+
+
 def _ml_frame(t: Tables):
     """Events as labelled rows; the last week is the unlabelled test side."""
     d = t.ev.withColumn("hr", F.hour("ts"))
@@ -22,7 +56,11 @@ def _ml_frame(t: Tables):
     return sa.folds(d.select("event_id", "value", "k", "hr", y.alias("y")), "event_id", 3, 11)
 
 
-@query("l01_classifier_logistic", "L01", None)
+ML_SQL = f"""{EV_SQL}, nd AS (SELECT event_id AS id, CASE WHEN ts < TIMESTAMP '2024-01-24' THEN (value > 20 AND k > 30)::INT END::DOUBLE AS y,
+        ({hash_sql('event_id', 11)} % 3)::INT AS fold, coalesce(k, -1)::DOUBLE AS x1, coalesce(value, -1)::DOUBLE AS x2, hour(ts)::DOUBLE AS x3 FROM ev)"""
+
+
+@query("l01_classifier_logistic", "L01", f"""WITH RECURSIVE {ML_SQL}, {newton_sql(3, "('all', -1, 1, 1, 1)")} SELECT id AS event_id, {R(logit_sql(3))} AS pred FROM nd, fit WHERE y IS NULL""")
 def _(t):
     d = _ml_frame(t)
     m = ml.fit_classifier(d, "y", FEATS, "lgr")
@@ -47,21 +85,46 @@ def _(t):
     return ml.score(m, d, ["k"]).select("event_id", r("pred", 3).alias("pred"))
 
 
-@query("l02_regressor_lasso", "L02", None)
+@query(
+    "l02_regressor_lasso", "L02",
+    f"""WITH x AS (SELECT event_id, value, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events),
+      f AS (SELECT sign(c) * greatest(abs(c) / s - 0.1, 0) / s AS b, mk, my FROM (SELECT covar_samp(value, k) AS c, stddev_samp(k) AS s, avg(k) AS mk, avg(value) AS my FROM x))
+      SELECT event_id, {R('my + b * (k - mk)', 3)} AS pred FROM x, f""",
+)
 def _(t):
     d = t.ev.select("event_id", "value", "k")
     m = ml.fit_regressor(d, "value", ["k"], "lasso", {"regParam": 0.1})
     return ml.score(m, d, ["k"]).select("event_id", r("pred", 3).alias("pred"))
 
 
-@query("l03_cross_validation", "L03 M10", None)
+_FOLDS = ", ".join(f"('f{v}', {v}, 1, 1, 1)" for v in range(3))
+
+
+@query(
+    "l03_cross_validation", "L03 M10",
+    f"""WITH RECURSIVE {ML_SQL}, {newton_sql(3, _FOLDS)}
+      SELECT id AS event_id, {R(f"avg({logit_sql(3)})")} AS pred FROM nd, fit WHERE y IS NULL OR fold = held GROUP BY id""",
+)
 def _(t):
     d = _ml_frame(t)
     pred, _ = ml.cross_validate(d, "event_id", "y", FEATS, "fold", [0, 1, 2], "lgr")
     return rs(pred, ["pred"])
 
 
-@query("l04_first_component", "L04", None)
+_SPREAD = ", ".join(f"covar_samp({a}, {b}) AS c{i}{j}" for i, a in enumerate("qdt") for j, b in enumerate("qdt"))
+_TURN = ", ".join("(" + " + ".join(f"c{i}{j} * v{j}" for j in range(3)) + f") AS w{i}" for i in range(3))
+_UNIT = "sqrt(w0 * w0 + w1 * w1 + w2 * w2)"
+
+
+@query(
+    "l04_first_component", "L04",
+    f"""WITH RECURSIVE x AS (SELECT l_orderkey || '-' || l_linenumber AS id, l_quantity::DOUBLE AS q, l_discount::DOUBLE AS d, l_tax::DOUBLE AS t FROM lineitem),
+      c AS (SELECT {_SPREAD} FROM x),
+      p AS (SELECT 0 AS i, 1.0::DOUBLE AS v0, 1.0::DOUBLE AS v1, 1.0::DOUBLE AS v2
+        UNION ALL SELECT i + 1, w0 / {_UNIT}, w1 / {_UNIT}, w2 / {_UNIT} FROM (SELECT i, {_TURN} FROM p, c WHERE i < 60)),
+      f AS (SELECT v0, v1, v2, CASE WHEN abs(v0) >= abs(v1) AND abs(v0) >= abs(v2) THEN sign(v0) WHEN abs(v1) >= abs(v2) THEN sign(v1) ELSE sign(v2) END AS s FROM p WHERE i = 60)
+      SELECT id, {R('s * (v0 * q + v1 * d + v2 * t)')} AS pc1 FROM x, f""",
+)
 def _(t):
     d = t.lineitem.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), "l_quantity", "l_discount", "l_tax")
     return rs(ml.first_component(d, "id", ["l_quantity", "l_discount", "l_tax"], "pc1"), ["pc1"])
@@ -105,7 +168,15 @@ def _(t):
     return toks.groupBy("token").agg(F.count(F.lit(1)).alias("freq"))
 
 
-@query("l08_incremental_feature_test", "L08", None)
+_CANDIDATES = ", ".join(f"('{n}', {v}, {a}, {b}, 1)" for n, a, b in (("base", 0, 0), ("k", 1, 0), ("value", 0, 1)) for v in range(3))
+
+
+@query(
+    "l08_incremental_feature_test", "L08",
+    f"""WITH RECURSIVE {ML_SQL}, {newton_sql(3, _CANDIDATES)},
+      p AS (SELECT m AS feature, held::VARCHAR AS fold, y, {logit_sql(3)} AS s FROM nd, fit WHERE y IS NOT NULL AND fold = held)
+      SELECT feature, fold, {R('auc')} AS score FROM ({auc_sql('y', 's', 'p', 'feature, fold')})""",
+)
 def _(t):
     d = _ml_frame(t).where("y IS NOT NULL")
     return rs(ml.candidate_scores(d, "y", ["hr"], ["k", "value"], "fold", [0, 1, 2], "lgr", seed=3), ["score"])
@@ -132,7 +203,12 @@ def _(t):
     return rs(ml.average_importance(i, ["imp_fold1", "imp_fold2"]), ["imp_fold1", "imp_fold2", "imp_avg"])
 
 
-@query("l09_fold_importances", "L09", None)
+@query(
+    "l09_fold_importances", "L09",
+    f"""WITH RECURSIVE {ML_SQL}, {newton_sql(3, "('f0', 0, 1, 1, 1), ('f1', 1, 1, 1, 1)")},
+      i AS (SELECT held, unnest(['k', 'value', 'hr']) AS feature, unnest([abs(b1), abs(b2), abs(b3)]) AS imp FROM fit)
+      SELECT feature, {R('max(imp) FILTER (held = 0)')} AS imp_fold1, {R('max(imp) FILTER (held = 1)')} AS imp_fold2, {R('avg(imp)')} AS imp_avg FROM i GROUP BY feature""",
+)
 def _(t):
     _, imp = ml.cross_validate(_ml_frame(t), "event_id", "y", FEATS, "fold", [0, 1], "lgr")
     return rs(imp, imp.columns[1:])
@@ -161,7 +237,11 @@ def _(t):
     return x.select(r("value", 3).alias("value"), F.coalesce(F.col("n").cast("double"), F.lit(-1.0)).alias("n"))
 
 
-@query("l10_partial_dependence", "L10", None)
+@query(
+    "l10_partial_dependence", "L10",
+    f"""WITH RECURSIVE {ML_SQL}, {newton_sql(3, "('all', -1, 1, 1, 1)")}, pts AS (SELECT v, x2, x3 FROM nd, (SELECT unnest([0, 25, 50, 75, 99])::DOUBLE AS v))
+      SELECT v AS value, {R(f"avg({logit_sql(3).replace('x1', 'v')})")} AS xray, count(*) AS n_rows FROM pts, fit GROUP BY v""",
+)
 def _(t):
     d = _ml_frame(t)
     m = ml.fit_classifier(d, "y", FEATS, "lgr")
@@ -182,7 +262,14 @@ def _(t):
     return x.select("value", "n", "n_rows", F.col("xray").between(0.0, 1.0).alias("is_share"))
 
 
-@query("l11_predict_feature_from_others", "L11", None)
+_OTHERS_SQL = f"""{EV_SQL}, nd AS (SELECT event_id AS id, value AS y, ({hash_sql('event_id', 11)} % 3)::INT AS fold, coalesce(k, -1)::DOUBLE AS x1, hour(ts)::DOUBLE AS x2 FROM ev)"""
+
+
+@query(
+    "l11_predict_feature_from_others", "L11",
+    f"""WITH RECURSIVE {_OTHERS_SQL}, {newton_sql(2, ", ".join(f"('f{v}', {v}, 1, 1)" for v in range(3)), logistic=False)}
+      SELECT id AS event_id, {R("avg(b0 + b1 * x1 + b2 * x2)")} AS pred FROM nd, fit WHERE y IS NULL OR fold = held GROUP BY id""",
+)
 def _(t):
     d = _ml_frame(t)
     pred, _ = ml.cross_validate(d.withColumn("_t", F.col("value")), "event_id", "_t", ["k", "hr"], "fold", [0, 1, 2], "linear", regression=True)

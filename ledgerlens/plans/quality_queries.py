@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from ..operators import models as ml
 from ..operators import quality as qu
 from ..sources.tables import EV_SQL, TXN_SQL, Tables
+from .metric_queries import auc_sql, hash_sql
+from .model_queries import logit_sql, newton_sql
 from .registry import R, query, r, rs
 
 NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -192,10 +194,16 @@ def _(t):
     return x.withColumns({"ks": r("ks", 6), "p_value": r("p_value")})
 
 
-@query("d08_adversarial_validation", "D08", None)
+@query(
+    "d08_adversarial_validation", "D08",
+    f"""WITH RECURSIVE {TXN_SQL}, half AS (SELECT (split = 'test')::INT::DOUBLE AS side, {hash_sql('txn_id', 5)} / 4294967296.0 < 0.5 AS seen, amt, month(ts) AS mon, uid FROM txn),
+      nd AS (SELECT CASE WHEN seen THEN side END AS y, side, 0 AS fold, amt::DOUBLE AS x1, mon::DOUBLE AS x2, uid::DOUBLE AS x3 FROM half), {newton_sql(3, "('all', -1, 1, 1, 1)")},
+      p AS (SELECT side, {logit_sql(3)} AS s FROM nd, fit WHERE y IS NULL)
+      SELECT {R('auc')} AS auc, n_pos::BIGINT AS n_pos, n_neg::BIGINT AS n_neg FROM ({auc_sql('side', 's', 'p')})""",
+)
 def _(t):
     d = t.txn.select("txn_id", "split", "amt", F.month("ts").alias("mon"), "uid")
-    return ml.adversarial_auc(d, "split", ["amt", "mon", "uid"], "txn_id")
+    return rs(ml.adversarial_auc(d, "split", ["amt", "mon", "uid"], "txn_id"), ["auc"])
 
 
 @query(

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import lookups, rowwise, safe, scalars
-from ledgerlens.operators import aggs, encoders, entity, filters, metrics, models, quality, sampling, target, udf, windows
+from ledgerlens.operators import aggs, encoders, entity, filters, metrics, models, newton, quality, sampling, target, udf, windows
 from ledgerlens.session import scratch
 from ledgerlens.sources import store, warehouse
 
@@ -333,3 +333,53 @@ def test_group_aggregate_merges_no_more_than_the_fan_in(spark):
     got = {r.k: r for r in udf.grouped_aggregate(df, ["k"], lift, merge, lambda g: g, schema, schema, fan_in=50).collect()}
     assert got[1].n == 9_990 and got[1].s == sum(range(9_990)) and got[1].most <= 50
     assert got[None].n == 10 and got[None].s == sum(range(9_990, 10_000))
+
+
+def _toy(spark, n=400):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(n, 2)) * [3.0, 200.0] + [10.0, -5000.0]
+    y = (x[:, 0] + x[:, 1] / 100 + rng.normal(scale=3, size=n) > -40).astype(float)
+    rows = [(i, float(a), float(b) if i % 7 else None, float(t) if i % 10 else None, i % 3) for i, ((a, b), t) in enumerate(zip(x, y))]
+    return spark.createDataFrame(rows, "id long, a double, b double, y double, fold int")
+
+
+def test_newton_fits_meet_the_gradient_condition(spark):
+    """At the fitted coefficients the weighted slopes of all rows but the held-out fold add up to nothing."""
+    df = _toy(spark).withColumn("w", 1.0 + F.col("id") % 2)
+    p = df.where("y IS NOT NULL").na.fill({"b": -1.0}).toPandas()
+    got = newton.fit_many(df, "y", [["a"], ["a", "b"], []], fold="fold", held=[0, 2], weight="w")
+    for cols, models in zip((["a"], ["a", "b"], []), got):
+        for held, m in zip((0, 2), models):
+            q = p[p["fold"] != held]
+            z = m.intercept + q[cols].to_numpy() @ np.array(m.coefficients)
+            slope = (q["y"] - 1 / (1 + np.exp(-z))) * q["w"]
+            assert abs(slope.sum()) < 1e-6
+            assert all(abs((slope * (q[c] - q[c].mean())).sum()) < 1e-4 for c in cols)
+    line = newton.fit_many(df, "a", [["b"]], logistic=False)[0][0]
+    full = _toy(spark).na.fill({"b": -1.0}).toPandas()
+    slope, intercept = np.polyfit(full["b"], full["a"], 1)
+    assert line.coefficients[0] == pytest.approx(slope) and line.intercept == pytest.approx(intercept)
+
+
+def test_newton_steps_survive_separated_and_constant_columns(spark):
+    df = spark.createDataFrame([(float(i), 1.0, float(i > 5)) for i in range(12)], "x double, one double, y double")
+    m = newton.fit_one(df, "y", ["x", "one"])
+    scores = [r["p"] for r in df.select("y", m.score().alias("p")).orderBy("x").collect()]
+    assert scores == sorted(scores) and scores[5] < 0.5 < scores[6] and all(0 <= s <= 1 for s in scores)
+    assert newton.fit_one(df.limit(0), "y", ["x"]).coefficients == (0.0,)
+
+
+def test_cross_validation_reads_the_rows_once_a_step(spark):
+    df = _toy(spark)
+    pred, imp = models.cross_validate(df, "id", "y", ["a", "b"], "fold", [0, 1])
+    got = {r["id"]: r["pred"] for r in pred.collect()}
+    fits = newton.fit_many(df, "y", [["a", "b"]], fold="fold", held=[0, 1])[0]
+    both = df.select("id", "y", "fold", fits[0].score().alias("p0"), fits[1].score().alias("p1")).collect()
+    for r in both:
+        want = (r.p0 + r.p1) / 2 if r.y is None else {0: r.p0, 1: r.p1}.get(r.fold)
+        assert got.get(r.id) == (pytest.approx(want) if want is not None else None)
+    assert [r["feature"] for r in imp.collect()] == ["a", "b"]
+    trees, _ = models.cross_validate(df, "id", "y", ["a", "b"], "fold", [0, 1], "lgb", {"maxIter": 2})
+    assert trees.count() == len(got)
+    table = {(r["feature"], r["fold"]): r["score"] for r in models.candidate_scores(df, "y", ["a"], ["b"], "fold", [0, 1]).collect()}
+    assert set(table) == {(f, v) for f in ("base", "b") for v in "01"} and all(0.5 < s <= 1 for s in table.values())
