@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.safe import c, has_all, no_nan, ratio
 from .attach import FEW, SIZE, attach, group_size
+from .ordering import exact_quantiles
 
 
 def skew(x: str | Column) -> Column:
@@ -125,13 +126,12 @@ def period_share(df: DataFrame, value: str, period: str, out: str) -> DataFrame:
 
 
 def period_profile(df: DataFrame, value: str, period: str, periods: Sequence, prefix: str = "p") -> DataFrame:
-    """One row per value: its count in each period and that count over its total."""
-    cell = df.where(has_all([value, period])).groupBy(value).pivot(period, list(periods)).count()
-    cols = [F.coalesce(F.col(f"`{p}`"), F.lit(0)) for p in periods]
-    total = df.where(has_all([value])).groupBy(value).agg(F.count(F.lit(1)).alias("_t"))
-    named = [x.alias(f"{prefix}_{p}_cnt") for x, p in zip(cols, periods)]
-    shares = [ratio(x, F.col("_t")).alias(f"{prefix}_{p}_ratio") for x, p in zip(cols, periods)]
-    return total.join(cell, value, "left").select(value, *named, *shares)
+    """One row per value: its count in each period and that count over its total, from one aggregate."""
+    hits = [F.count_if(c(period) == F.lit(p)) for p in periods]
+    named = [x.alias(f"{prefix}_{p}_cnt") for x, p in zip(hits, periods)]
+    per = df.where(has_all([value])).groupBy(value).agg(F.count(F.lit(1)).alias("_t"), *named)
+    shares = [ratio(F.col(f"{prefix}_{p}_cnt"), F.col("_t")).alias(f"{prefix}_{p}_ratio") for p in periods]
+    return per.select(value, *[f"{prefix}_{p}_cnt" for p in periods], *shares)
 
 
 def category_share(df: DataFrame, keys: Sequence[str], cat: str, out: str = "share") -> DataFrame:
@@ -251,16 +251,22 @@ def decayed_means(df: DataFrame, keys: Sequence[str], value: str, age: str, rate
     return df.groupBy(*keys).agg(*aggs)
 
 
-def weekday_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """min, mean, median, max, count, std and skew per group; std and skew are 0 where undefined."""
-    v = c(value).cast("double")
+def weekday_stats(df: DataFrame, keys: Sequence[str], value: str, **kw) -> DataFrame:
+    """min, mean, median, max, count, std and skew per group; std and skew are 0 where undefined.
+
+    The median goes by buckets of values, so that no task holds the values of a group.
+    """
+    x = df.withColumns({"_v": c(value).cast("double"), "_k": F.to_json(F.struct(*keys))})
+    v = F.col("_v")
     n, skew = F.count(v), no_nan(F.skewness(v))
     # Adjusted for the sample size, as undefined below three rows.
     adjusted = skew * F.sqrt(n * (n - 1).cast("double")) / (n - 2)
-    return df.groupBy(*keys).agg(
-        F.min(v).alias("min"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.max(v).alias("max"), n.alias("count"),
+    stats = x.groupBy("_k", *keys).agg(
+        F.min(v).alias("min"), F.avg(v).alias("mean"), F.max(v).alias("max"), n.alias("count"),
         F.coalesce(no_nan(F.stddev(v)), F.lit(0.0)).alias("std"), F.coalesce(F.when(n > 2, adjusted), F.lit(0.0)).alias("skew"),
     )
+    middle = exact_quantiles(x.select("_k", "_v"), "_v", [0.5], ["_k"], **kw).select("_k", F.col("quantile").alias("median"))
+    return stats.join(middle, "_k", "left").select(*keys, "min", "mean", "median", "max", "count", "std", "skew")
 
 
 def decayed_mean(value: str | Column, age: str | Column, rate: float) -> Column:

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from functools import reduce
+from itertools import islice
 from operator import add
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.safe import c, ratio
+from ..functions.safe import c, has_all, ratio
+from ..session import cut
 from .attach import SIZE, attach, group_size
 from .ordering import ranked, running_totals
 
@@ -132,7 +137,11 @@ def join_models(preds: Mapping[str, DataFrame], key: str, pred: str) -> DataFram
 
 
 def weight_grid(n: int, step: float) -> list[tuple[float, ...]]:
-    """Weights that sum to one on a grid; equal weights are part of it. Only valid weights are ever made."""
+    return list(weight_vectors(n, step))
+
+
+def weight_vectors(n: int, step: float) -> Iterator[tuple[float, ...]]:
+    """Weights that sum to one on a grid, one by one; equal weights are part of it. Only valid weights are ever made."""
     k = round(1 / step)
 
     def parts(left: int, n: int):
@@ -143,7 +152,8 @@ def weight_grid(n: int, step: float) -> list[tuple[float, ...]]:
                 for rest in parts(left - i, n - 1):
                     yield (i, *rest)
 
-    return [tuple(i / k for i in w) for w in parts(k, n)] if k >= n else []
+    if k >= n:
+        yield from (tuple(i / k for i in w) for w in parts(k, n))
 
 
 def best_blend(scores: DataFrame, models: Sequence[str]) -> DataFrame:
@@ -151,13 +161,81 @@ def best_blend(scores: DataFrame, models: Sequence[str]) -> DataFrame:
     return scores.orderBy(F.desc("auc"), *[f"w_{m}" for m in models]).limit(1)
 
 
+def _score_cells(df: DataFrame, label: str, models: Sequence[str]) -> DataFrame:
+    """Rows with equal scores and label, added up."""
+    return df.where(c(label).isNotNull()).groupBy(label, *models).agg(F.count(F.lit(1)).alias("_n"))
+
+
 def blend_search(df: DataFrame, label: str, models: Sequence[str], step: float = 0.1) -> DataFrame:
-    """AUC for each weight vector of the grid (a bounded literal list).
+    """AUC for each weight vector of a coarse grid. ``find_best_blend`` is for fine ones."""
+    return _exact_aucs(_score_cells(df, label, models), label, models, weight_grid(len(models), step))
+
+
+# Weight vectors that share a pass, and cells of score and weight that a task counts.
+VECTORS, COUNTED = 4096, 1 << 22
+FEW_VECTORS = 32
+
+
+def find_best_blend(df: DataFrame, label: str, models: Sequence[str], step: float = 0.01, buckets: int = 512) -> DataFrame:
+    """The row that ``best_blend`` picks from the AUCs of the whole grid, without the exact AUC of every vector.
 
-    Rows with equal scores and label are added up before they meet the grid.
+    Counts of both classes in buckets of the blended score bound a vector's AUC: pairs
+    in different buckets are decided, those in one bucket are not. Only vectors whose
+    upper bound reaches the best lower bound go on, to finer buckets, and the last few
+    to the exact AUC. Every pass takes a bounded number of vectors.
     """
-    cells = df.where(c(label).isNotNull()).groupBy(label, *models).agg(F.count(F.lit(1)).alias("_n"))
-    grid = weight_grid(len(models), step)
+    models = list(models)
+    cells = cut(_score_cells(df, label, models))
+    ends = cells.agg(F.min(F.least(*models, models[0])), F.max(F.greatest(*models, models[0]))).first()
+    low, high = (float(x or 0.0) for x in ends)
+    left = weight_vectors(len(models), step)
+    while True:
+        held: list[tuple[float, tuple[float, ...]]] = []
+        best = -1.0
+        while chunk := list(islice(left, max(1, min(VECTORS, COUNTED // buckets)))):
+            bounds = _auc_bounds(cells, label, models, chunk, low, high, buckets)
+            best = max([best, *(b[0] for b in bounds)])
+            held = [x for x in held + [(b[1], w) for b, w in zip(bounds, chunk)] if x[0] >= best - 1e-9]
+        if len(held) <= FEW_VECTORS or buckets >= 1 << 16:
+            break
+        left, buckets = iter([w for _, w in held]), buckets * 8
+    rows = []
+    for k in range(0, len(held), FEW_VECTORS):
+        found = best_blend(_exact_aucs(cells, label, models, [w for _, w in held[k : k + FEW_VECTORS]]), models)
+        rows += found.collect()
+    schema = _exact_aucs(cells, label, models, [tuple(1.0 for _ in models)]).schema
+    return best_blend(df.sparkSession.createDataFrame(rows, schema), models)
+
+
+def _auc_bounds(cells: DataFrame, label: str, models: Sequence[str], weights: list[tuple[float, ...]], low: float, high: float, buckets: int) -> list[tuple[float, float]]:
+    """(lower, upper) AUC of every weight vector from counts by class and bucket of the blended score."""
+    w, span = np.array(weights), (high - low) or 1.0
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, len(w), buckets))
+        for b in batches:
+            y, n, *scores = (x.to_numpy(zero_copy_only=False).astype("float64") for x in b.columns)
+            blend = np.round(np.column_stack(scores) @ w.T, 9)
+            at = np.clip(((blend - low) / span * buckets).astype(np.int64), 0, buckets - 1) + np.arange(len(w)) * buckets
+            for side in (0, 1):
+                mine = y == side
+                total[side] += np.bincount(at[mine].ravel(), np.repeat(n[mine], len(w)), w.shape[0] * buckets).reshape(len(w), buckets)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(w)), pa.int32()), pa.array([total[:, k].tobytes() for k in range(len(w))], pa.binary())], names=["k", "counts"])
+
+    def bound(rows: pd.DataFrame) -> pd.DataFrame:
+        neg, pos = sum(np.frombuffer(x).reshape(2, buckets) for x in rows["counts"])
+        pairs = pos.sum() * neg.sum()
+        lower = pos @ (np.cumsum(neg) - neg)
+        return pd.DataFrame({"k": rows["k"].iloc[:1], "lower": [lower / pairs if pairs else np.nan], "upper": [(lower + pos @ neg) / pairs if pairs else np.nan]})
+
+    rows = cells.select(c(label), "_n", *models).where(c(label).isin(0, 1) & has_all(list(models)))
+    parts = rows.coalesce(max(1, cells.sparkSession.sparkContext.defaultParallelism)).mapInArrow(count, "k int, counts binary")
+    found = {r["k"]: (r["lower"], r["upper"]) for r in parts.groupBy("k").applyInPandas(bound, "k int, lower double, upper double").collect()}
+    return [found[k] for k in range(len(weights))]
+
+
+def _exact_aucs(cells: DataFrame, label: str, models: Sequence[str], grid: Sequence[tuple[float, ...]]) -> DataFrame:
+    """AUC for each weight vector of a short list."""
     lits = F.array(
         *[F.struct(*[F.lit(w).alias(f"w_{m}") for m, w in zip(models, ws)]) for ws in grid]
     )

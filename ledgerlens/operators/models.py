@@ -10,8 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import PCA, CountVectorizer, VectorAssembler
-from pyspark.ml.clustering import LDA
+from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.safe import c, day_number
 from ..session import cut
-from . import newton
+from . import newton, topics
 from .attach import SIZE, attach, group_size
 from .metrics import auc, collect_predictions
 from .newton import Linear
@@ -139,15 +138,9 @@ def first_component(df: DataFrame, id_col: str, cols: Sequence[str], out: str, f
     return m.transform(x).select(id_col, (vector_to_array("_p")[0] * sign).alias(out))
 
 
-def topic_mixture(docs: DataFrame, id_col: str, tokens: str, k: int = 5, min_df: float = 1, vocab: int | None = None, iterations: int = 10, seed: int = 71) -> DataFrame:
-    """One column per topic with the document's share. Without ``vocab`` every token has its place."""
-    if vocab is None:
-        vocab = max(1, docs.select(F.explode(c(tokens)).alias("t")).distinct().count())
-    cv = CountVectorizer(inputCol=tokens, outputCol="_tf", minDF=min_df, vocabSize=vocab).fit(docs)
-    tf = cv.transform(docs).select(id_col, "_tf")
-    m = LDA(k=k, maxIter=iterations, seed=seed, featuresCol="_tf", optimizer="online").fit(tf)
-    t = m.transform(tf).withColumn("_t", vector_to_array("topicDistribution"))
-    return t.select(id_col, *[F.get("_t", F.lit(i)).alias(f"topic_{i}") for i in range(k)])
+def topic_mixture(docs: DataFrame, id_col: str, tokens: str, k: int = 5, iterations: int = 10, seed: int = 71) -> DataFrame:
+    """One column per topic with the document's share; every token takes part."""
+    return topics.topic_shares(topics.token_counts(docs, id_col, tokens), id_col, k, iterations, seed)
 
 
 def tokens_without_singletons(docs: DataFrame, id_col: str, text: str, at_least: int = 2) -> DataFrame:

@@ -246,6 +246,19 @@ def _(t):
     return rs(rs(best, ["auc"], 5).withColumn("corr", corr), ["corr"])
 
 
+@query(
+    "m12_best_blend_fine", "M12",
+    f"""WITH {PRED_SQL}, g AS (SELECT unnest(range(1, 49)) AS i), w AS (SELECT a.i / 50.0::DOUBLE AS w_pa, b.i / 50.0::DOUBLE AS w_pb, (50 - a.i - b.i) / 50.0::DOUBLE AS w_pc FROM g a JOIN g b ON a.i + b.i < 50),
+      x AS (SELECT w_pa, w_pb, w_pc, label, round(pa * w_pa + pb * w_pb + pc * w_pc, 9) AS sc FROM pr, w WHERE label IS NOT NULL),
+      n AS (SELECT w_pa, w_pb, w_pc, sc, sum(label) AS p, sum(1 - label) AS q FROM x GROUP BY ALL),
+      a AS (SELECT w_pa, w_pb, w_pc, sum(p * (b + q / 2.0)) / (sum(p) * sum(q)) AS auc
+        FROM (SELECT *, sum(q) OVER (PARTITION BY w_pa, w_pb, w_pc ORDER BY sc) - q AS b FROM n) GROUP BY ALL)
+      SELECT w_pa, w_pb, w_pc, {R('auc', 5)} AS auc FROM a ORDER BY a.auc DESC, w_pa, w_pb, w_pc LIMIT 1""",
+)
+def _(t):
+    return rs(me.find_best_blend(preds(t), "label", ["pa", "pb", "pc"], 0.02), ["auc"], 5)
+
+
 @query(
     "m13_rank_blend", "M13",
     f"""WITH {PRED_SQL}, i AS (SELECT *, CASE WHEN nation < 5 THEN 1 ELSE 0 END AS inside FROM pr)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import models as ml
 from ..operators import sampling as sa
+from ..operators import topics as tp
 from ..operators import udf
 from ..sources.tables import EV_SQL, Tables
 from .metric_queries import auc_sql, hash_sql
@@ -130,10 +131,36 @@ def _(t):
     return rs(ml.first_component(d, "id", ["l_quantity", "l_discount", "l_tax"], "pc1"), ["pc1"])
 
 
-@query("l05_topic_mixture", "L05", None)
+def topic_sql(counts: str, k: int, iterations: int, weight: str) -> str:
+    """CTEs that end in ``shares`` for a table of (id, token, n); ``weight`` is the start weight with ``{j}`` for the topic."""
+    each = lambda f, sep=", ": sep.join(f.replace("{j}", str(j)) for j in range(k))
+    out = [f"w0 AS MATERIALIZED (SELECT token, {each(weight + ' AS p{j}')} FROM (SELECT DISTINCT token FROM {counts}))"]
+    out.append(f"s0 AS MATERIALIZED (SELECT DISTINCT id, {each(f'(1.0::DOUBLE / {k}) AS s{{j}}')} FROM {counts})")
+    for i in range(iterations):
+        scaled = each(f"(p{{j}} + {tp.TOKEN_PRIOR}) / (sum(p{{j}}) OVER () + {tp.TOKEN_PRIOR} * count(*) OVER ()) AS p{{j}}")
+        out.append(f"f{i} AS MATERIALIZED (SELECT token, {scaled} FROM w{i})")
+        fit = each("s{j} * p{j}", " + ")
+        out.append(f"r{i} AS MATERIALIZED (SELECT id, token, {each(f'n * s{{j}} * p{{j}} / ({fit}) AS p{{j}}')} FROM {counts} JOIN f{i} USING (token) JOIN s{i} USING (id))")
+        out.append(f"w{i + 1} AS MATERIALIZED (SELECT token, {each('sum(p{j}) AS p{j}')} FROM r{i} GROUP BY token)")
+        total = each("sum(p{j})", " + ")
+        out.append(f"s{i + 1} AS MATERIALIZED (SELECT id, {each(f'(sum(p{{j}}) + {tp.DOC_PRIOR}) / ({total} + {tp.DOC_PRIOR * k}) AS s{{j}}')} FROM r{i} GROUP BY id)")
+    return ", ".join(out) + f", shares AS (SELECT id, {each('s{j} AS topic_{j}')} FROM s{iterations})"
+
+
+_TOPIC_SEED = 71
+
+
+@query(
+    "l05_topic_mixture", "L05",
+    r"""WITH x AS (SELECT doc_id AS id, unnest(regexp_split_to_array(lower(text), '\s+')) AS token FROM documents),
+      kept AS (SELECT token FROM x WHERE token <> '' GROUP BY 1 HAVING count(*) >= 2),
+      n AS MATERIALIZED (SELECT id, token, count(*) AS n FROM x WHERE token IN (SELECT token FROM kept) GROUP BY ALL), """
+    + topic_sql("n", 5, 5, f"0.5 + {hash_sql("(token || ':{j}')", _TOPIC_SEED)} / 4294967296.0")
+    + f" SELECT id AS doc_id, {', '.join(f'{R(f"topic_{j}")} AS topic_{j}' for j in range(5))} FROM shares",
+)
 def _(t):
     toks = ml.token_lists(ml.tokens_without_singletons(t.documents.select("doc_id", F.lower("text").alias("text")), "doc_id", "text"), "doc_id")
-    return ml.topic_mixture(toks, "doc_id", "tokens", k=5, iterations=5)
+    return rs(ml.topic_mixture(toks, "doc_id", "tokens", k=5, iterations=5, seed=_TOPIC_SEED), [f"topic_{j}" for j in range(5)])
 
 
 @query(

@@ -383,3 +383,38 @@ def test_cross_validation_reads_the_rows_once_a_step(spark):
     assert trees.count() == len(got)
     table = {(r["feature"], r["fold"]): r["score"] for r in models.candidate_scores(df, "y", ["a"], ["b"], "fold", [0, 1]).collect()}
     assert set(table) == {(f, v) for f in ("base", "b") for v in "01"} and all(0.5 < s <= 1 for s in table.values())
+
+
+@pytest.mark.parametrize("few", [3, 1000])
+def test_best_blend_by_bounds_equals_all_vectors(spark, monkeypatch, few):
+    monkeypatch.setattr(metrics, "FEW_VECTORS", few)
+    monkeypatch.setattr(metrics, "VECTORS", 20)
+    rng = np.random.default_rng(6)
+    y = rng.integers(0, 2, 300)
+    rows = [(float(t), *map(float, np.round(rng.random(3) * 0.7 + t * 0.1 * np.arange(3), 3))) for t in y]
+    df = spark.createDataFrame(rows + [(None, 0.1, 0.2, 0.3)], "y double, a double, b double, c double")
+    want = metrics.best_blend(metrics.blend_search(df, "y", ["a", "b", "c"], 0.1), ["a", "b", "c"]).first()
+    got = metrics.find_best_blend(df, "y", ["a", "b", "c"], 0.1, buckets=16).first()
+    assert tuple(got)[:3] == tuple(want)[:3] and got["auc"] == pytest.approx(want["auc"])
+    exact = {tuple(r)[:3]: r["auc"] for r in metrics.blend_search(df, "y", ["a", "b", "c"], 0.1).collect()}
+    cells = metrics._score_cells(df, "y", ["a", "b", "c"])
+    bounds = metrics._auc_bounds(cells, "y", ["a", "b", "c"], list(exact), 0.0, 1.0, 32)
+    assert all(low - 1e-9 <= exact[w] <= high + 1e-9 for w, (low, high) in zip(exact, bounds))
+
+
+def test_weekday_median_by_buckets(spark):
+    rows = [("a", float(i % 13)) for i in range(60)] + [("b", 2.0), (None, 5.0), (None, 8.0), ("c", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    for kw in ({}, {"rows_per_bucket": 3}):
+        got = {r["k"]: r["median"] for r in aggs.weekday_stats(df, ["k"], "v", **kw).collect()}
+        assert got == {"a": 5.5, "b": 2.0, None: 6.5, "c": None}
+
+
+def test_topics_of_two_vocabularies(spark):
+    rows = [(i, ["apple", "pear", "plum", "the"] * 3 if i % 2 else ["iron", "zinc", "lead", "the"] * 3) for i in range(20)] + [(98, []), (99, None)]
+    df = spark.createDataFrame(rows, "id long, tokens array<string>")
+    got = {r["id"]: r for r in models.topic_mixture(df, "id", "tokens", k=2, iterations=25).collect()}
+    assert set(got) == set(range(20)) and all(abs(r["topic_0"] + r["topic_1"] - 1) < 1e-9 for r in got.values())
+    side = {i % 2: r["topic_0"] > 0.5 for i, r in got.items()}
+    assert side[0] != side[1] and all((r["topic_0"] > 0.5) == side[i % 2] for i, r in got.items())
+    assert models.topic_mixture(df.limit(0), "id", "tokens", k=2).count() == 0
