@@ -413,7 +413,7 @@ def test_weekday_median_by_buckets(spark):
 def test_topics_of_two_vocabularies(spark):
     rows = [(i, ["apple", "pear", "plum", "the"] * 3 if i % 2 else ["iron", "zinc", "lead", "the"] * 3) for i in range(20)] + [(98, []), (99, None)]
     df = spark.createDataFrame(rows, "id long, tokens array<string>")
-    got = {r["id"]: r for r in models.topic_mixture(df, "id", "tokens", k=2, iterations=25).collect()}
+    got = {r["id"]: r for r in models.topic_mixture(df, "id", "tokens", k=2, iterations=6).collect()}
     assert set(got) == set(range(20)) and all(abs(r["topic_0"] + r["topic_1"] - 1) < 1e-9 for r in got.values())
     side = {i % 2: r["topic_0"] > 0.5 for i, r in got.items()}
     assert side[0] != side[1] and all((r["topic_0"] > 0.5) == side[i % 2] for i, r in got.items())
