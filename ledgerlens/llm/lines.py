@@ -13,7 +13,8 @@ whatever its number of pages, and a page meets the list of its host in one join.
 Texts are never shuffled for the counts.
 
 Cases: a missing text stays missing; a missing host is a host of its own; blank
-lines are never counted nor dropped; repeated rows are treated alike; other
+lines are never counted nor dropped; repeated rows are treated alike, and lines
+right at the ratio stay; texts of any length are cut whole, in arrays of their row; other
 columns pass through whatever their names, one named like a result column is
 replaced; an empty table stays empty.
 """

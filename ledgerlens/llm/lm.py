@@ -26,7 +26,9 @@ normalisers of the samples.
 
 Cases: a missing or empty text is one end token; documents with a missing id count
 as held out; repeated rows are rows of their own; without training documents
-all words are unknown; an empty table gives an empty result. Only id and text are read.
+all words are unknown; texts of any length are scored whole, with a row for each
+word, context and document; ties do not occur, as draws are hashes; an empty table
+gives an empty result. Only id and text are read, whatever other columns are named.
 """
 
 from __future__ import annotations

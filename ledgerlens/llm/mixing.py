@@ -9,7 +9,8 @@ documents meet it in one join and are never shuffled by source.
 
 Cases: a missing text has size 0; a missing source is a source of its own and
 stands last; a source without words has target 0; repeated rows and rows with
-equal ids share a hash and are taken alike; an empty table gives an empty plan.
+equal ids share a hash and are taken alike; texts of any length are counted whole;
+an empty table gives an empty plan.
 Other columns pass through
 whatever their names; one named like a result column is replaced.
 """

@@ -18,8 +18,9 @@ step writes the pairs of a group.
 
 Cases: documents without words link with nothing; fewer words than a shingle make
 one shingle of all; a component's id is its smallest document id, missing ids
-aside (missing if all are); of repeated rows with that id one is kept; an empty
-table gives an empty result. Only id and text are read.
+aside (missing if all are); of repeated rows with that id one is kept; texts of any
+length have their whole set, with minima in blocks of bounded memory; an empty
+table gives an empty result. Only id and text are read, whatever other columns are named.
 """
 
 from __future__ import annotations

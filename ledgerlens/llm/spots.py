@@ -9,8 +9,8 @@ fingerprints is the Jaccard index of their sets; two empty ones are alike (1).
 
 Cases: a missing text counts as empty and has an empty fingerprint; equal texts
 have equal fingerprints; missing ids stand below all others, in the order of
-their texts' hashes; equal ids stand in the order of their texts' hashes; an
-empty table gives an empty result. Only id and text are read. Everything is
+their texts' hashes; equal ids stand in the order of their texts' hashes; texts of
+any length are read whole, in one row; an empty table gives an empty result. Only id and text are read. Everything is
 DataFrame code: no Python runs on the executors.
 """
 
