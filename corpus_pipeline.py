@@ -3,6 +3,11 @@
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and works on
 all that its predecessor kept, written as Parquet and read again. All but the last
 return the columns of ``documents``.
+
+Cases: a stage reads the five columns of ``documents`` and drops any other, so that no
+name can clash; missing values, empty and very long texts, ties and repeated rows go
+through each stage as its operator states; of a document that stands several times
+with one id and text, near-dedup keeps one row; an empty table gives an empty result.
 """
 
 from __future__ import annotations
