@@ -13,7 +13,7 @@ from .aggs import multi_period_entities
 from .attach import SIZE, attach, group_size
 from .dominance import dominance_totals
 from .ordering import dense_codes
-from .windows import ROWS_PER_SPLIT, jump_flags, ordered, sliced
+from .windows import ROWS_PER_SPLIT, hot_table, jump_flags, ordered, sliced
 
 
 def block_ids(df: DataFrame, id_col: str, keysets: dict[str, Sequence[str]]) -> DataFrame:
@@ -308,18 +308,23 @@ def jump_threshold(counter: str, age: str, gap: str) -> Column:
     )
 
 
-def split_on_jumps(df: DataFrame, entity: str, order: Sequence[str], values: Sequence[str], threshold: str, rounds: int = 10, **kw) -> DataFrame:
+def split_on_jumps(
+    df: DataFrame, entity: str, order: Sequence[str], values: Sequence[str], threshold: str, rounds: int = 10, rows_per_split: int = ROWS_PER_SPLIT
+) -> DataFrame:
     """Split entities where a value grows by more than the row's threshold, repeatedly.
 
     Each round flags the jumps of every value within the current entity and
-    appends the flags to its id; between rounds the table is checkpointed.
+    appends the flags to its id. Entities only get smaller, so whether any is too
+    large for one task is asked once, unless one is; then every round asks, and
+    every round is checkpointed. Otherwise a checkpoint every few rounds will do.
     """
     x = df.withColumn("split_id", c(entity).cast("string"))
+    limit = rows_per_split if hot_table(x, ["split_id"], rows_per_split) is not None else None
     for i in range(rounds):
-        x = jump_flags(x, ["split_id"], order, {f"_f_{v}": v for v in values}, threshold, **kw)
+        x = jump_flags(x, ["split_id"], order, {f"_f_{v}": v for v in values}, threshold, rows_per_split=limit)
         x = x.withColumn("split_id", F.concat_ws("-", "split_id", *[F.col(f"_f_{v}").cast("string") for v in values]))
         x = x.drop(*[f"_f_{v}" for v in values])
-        if i < rounds - 1:
+        if i < rounds - 1 and (limit is not None or i % 4 == 3):
             x = cut(x)
     return x
 

@@ -29,15 +29,15 @@ def hot_keys(df: DataFrame, keys: Sequence[str], rows_per_split: int) -> DataFra
     return df.where(has_all(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows_per_split)
 
 
-def hot_table(df: DataFrame, keys: Sequence[str], rows_per_split: int) -> DataFrame | None:
-    """The hot keys as a checkpointed table, or None. Fewer rows than the limit need no look at the keys."""
-    if df.count() <= rows_per_split:
+def hot_table(df: DataFrame, keys: Sequence[str], rows_per_split: int | None) -> DataFrame | None:
+    """The hot keys as a checkpointed table, or None. Fewer rows than the limit need no look at the keys, no limit (None) not even at the rows."""
+    if rows_per_split is None or df.count() <= rows_per_split:
         return None
     hot = cut(hot_keys(df, keys, rows_per_split))
     return None if hot.isEmpty() else hot
 
 
-def sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_split: int = ROWS_PER_SPLIT) -> tuple[DataFrame, bool]:
+def sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_split: int | None = ROWS_PER_SPLIT) -> tuple[DataFrame, bool]:
     """Add ``_slice``: 0 for ordinary keys, ranges of about equal numbers of rows from 1 up for hot ones; and tell whether there are any.
 
     The rows of hot keys are dealt by ranges of (keys, order) and written once, so

@@ -7,8 +7,8 @@ from ledgerlens.plans.registry import load
 
 FOLDER = "/root/testdata/sf0.001"
 QUERIES = load()
-# Queries whose feature is a Python function or whose distance step is one.
-PYTHON_STEP = {n for n, q in QUERIES.items() if q.ids.startswith(("X", "G10", "G03"))}
+# Queries whose feature is a Python function, and those with a step of array products or array totals.
+PYTHON_STEP = {n for n, q in QUERIES.items() if q.ids.startswith(("X", "G10", "G03", "J09", "D03", "D05", "M12"))}
 
 
 @pytest.fixture(scope="module")
