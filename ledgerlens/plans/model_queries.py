@@ -89,7 +89,7 @@ def _(t):
 @query(
     "l02_regressor_lasso", "L02",
     f"""WITH x AS (SELECT event_id, value, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events),
-      f AS (SELECT sign(c) * greatest(abs(c) / s - 0.1, 0) / s AS b, mk, my FROM (SELECT covar_samp(value, k) AS c, stddev_samp(k) AS s, avg(k) AS mk, avg(value) AS my FROM x))
+      f AS (SELECT sign(c) * greatest(abs(c) / s - 0.1, 0) / s AS b, mk, my FROM (SELECT covar_pop(value, k) AS c, stddev_pop(k) AS s, avg(k) AS mk, avg(value) AS my FROM x))
       SELECT event_id, {R('my + b * (k - mk)', 3)} AS pred FROM x, f""",
 )
 def _(t):
