@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +46,12 @@ def sized_broadcast(df: DataFrame, row_bytes: Column) -> DataFrame:
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of steps that nothing refers to any more; it does so when the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def text_bytes(docs: DataFrame, text: str) -> int:
     """Bytes of all texts; sets the number of partitions of the heavy shuffles."""
     return docs.agg(F.sum(F.octet_length(text))).first()[0] or 0

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from ..operators.attach import attach, group_size
 from ..session import cut
-from .common import bounded_batches, lower_words, name, sized_broadcast
+from .common import bounded_batches, lower_words, name, release, sized_broadcast
 from .components import components
 
 BANDS, ROWS = 32, 4
@@ -263,7 +263,10 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     )
     stars = with_both(stars, near, "uid", "sig").mapInArrow(_agree(percent), "a long, b long")
     links = cut(confirmed(stars))
+    del stars
+    release(spark)
     roots = cut(components(links))
+    release(spark)
 
     # Buckets that still hold several components, and whose members were not all compared with the pivot.
     placed = entries.where("m > 2").join(roots, F.col("uid") == F.col("node"), "left")
@@ -290,8 +293,12 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     counted = counted.mapInArrow(_cells, "uid long, cells binary")
     payload = tasks.join(near.select("uid", "n", "sig").join(counted, "uid"), "uid")
     cross = payload.groupBy("bucket", "i", "j").applyInArrow(_cross(percent), "a long, b long").distinct()
+    cross = cut(cross)
+    release(spark)
     more = cut(confirmed(cross))
+    release(spark)
     roots = cut(components(links.union(more)))
+    release(spark)
 
     # Row -> class -> component; the smallest document id names a component.
     # Classes and components can be large, so both meet their rows by the skew-proof join.
