@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .common import release
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -32,13 +33,14 @@ def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node with an edge; the root is the smallest node of its component.
 
     ``edges`` has two long columns ``a, b``; loops, repeats and both directions are
-    allowed. Each round is written to the shared folder, and the rounds end when the
-    edges no longer change, after a number of rounds in the order of the squared logarithm of the nodes.
+    allowed. Each round is written to the shared folder and lets the shuffle files of
+    the one before go; the rounds end when the edges no longer change, after a number of rounds in the order of the squared logarithm of the nodes.
     """
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = _state(now)
     while state[0]:
         now = cut(small_star(large_star(now)))
+        release(edges.sparkSession)
         before, state = state, _state(now)
         if state == before:
             break
