@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import aggs as ag
 from ..operators import ordering as od
+from ..operators import streams as st
 from ..operators import windows as wi
 from ..operators.attach import group_size
 from ..sources.tables import TXN_AGED_SQL, TXN_SQL, Tables
@@ -122,6 +123,30 @@ def _(t):
     return x.select("product", F.col("_day").alias("day"), *[F.col(f"day{n}_v_count").alias(f"day{n}_count") for n in days])
 
 
+@query(
+    "w06_trailing_counts_stream", "W06",
+    "WITH d AS (SELECT o_orderpriority AS product, date_diff('day', DATE '1970-01-01', o_orderdate::DATE) AS day, count(*) AS c FROM orders GROUP BY ALL "
+    "UNION ALL SELECT 'all', date_diff('day', DATE '1970-01-01', o_orderdate::DATE), count(*) FROM orders GROUP BY ALL), w AS (SELECT product, day::INT AS day, "
+    + ", ".join(f"(sum(c) OVER (PARTITION BY product ORDER BY day {_frame_sql(n)}))::BIGINT AS day{n}_count" for n in (1, 3, 7, 14, 31))
+    + " FROM d WHERE product IS NOT NULL) SELECT * FROM w WHERE (day + 2) * 86400000000 <= (SELECT epoch_us(max(o_orderdate)) FROM orders)",
+)
+def _(t):
+    product = F.explode(F.array("o_orderpriority", F.lit("all"))).alias("product")
+    x = st.trailing_counts(t.stream("orders").select("o_orderdate", product), ["product"], "o_orderdate", [1, 3, 7, 14, 31], "day", "1 day")
+    return st.drain(x, "w06").withColumnRenamed("_slot", "day")
+
+
+@query(
+    "w07_hour_counts_stream", "W07",
+    "WITH h AS (SELECT event_type, (epoch_us(ts) // 3600000000)::INT AS hour_no, count(*) AS c FROM events WHERE event_type IS NOT NULL GROUP BY ALL), w AS (SELECT event_type, hour_no, "
+    + ", ".join(f"(sum(c) OVER (PARTITION BY event_type ORDER BY hour_no {_frame_sql(n)}))::BIGINT AS hour{n}_count" for n in (1, 3, 6, 12, 18, 24))
+    + " FROM h) SELECT * FROM w WHERE (hour_no + 3) * 3600000000 <= (SELECT epoch_us(max(ts)) FROM events)",
+)
+def _(t):
+    x = st.trailing_counts(t.stream("events").select("ts", "event_type"), ["event_type"], "ts", [1, 3, 6, 12, 18, 24], "hour", "2 hours")
+    return st.drain(x, "w07").withColumnRenamed("_slot", "hour_no")
+
+
 _HOURS = [1, 3, 6, 12, 18, 24, -1, -3, -6, -12, -18, -24]
 
 

@@ -29,6 +29,12 @@ class Tables:
             return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         raise AttributeError(name)
 
+    def stream(self, name: str, **options: str) -> DataFrame:
+        """A table as a stream of its files; ``options`` go to the file source (``maxFilesPerTrigger``, say)."""
+        # A pattern that only the table's name fits: the source takes a plain path for a folder, and a table can be one file.
+        path = f"{self.folder}/{name}.parquet"
+        return self.spark.readStream.schema(self.spark.read.parquet(path).schema).options(**options).parquet(f"{self.folder}/{name}.[p]arquet")
+
     @property
     def txn(self) -> DataFrame:
         """Transactions: one row per order with split and label (NULL in test)."""
