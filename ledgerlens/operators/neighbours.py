@@ -2,14 +2,21 @@
 
 Points are assigned to their nearest pivot. Cell sizes and radii, one row per
 pivot, bound each query's k-th distance, and the triangle inequality then names
-the cells that can hold a neighbour. Queries meet points only there, in blocks
-of bounded size; every block keeps its k best and the blocks are merged.
+the cells that can hold a neighbour. Queries go to blocks of bounded size by their
+own cell; a block holds its queries and their k best so far and reads the points
+of its cells batch by batch. Matrix products rule out the points beyond a query's
+k-th distance, with a margin for rounding; the others are measured coordinate by
+coordinate. So a block leaves k rows a query, however many points it has read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,8 +24,9 @@ from ..functions.safe import c
 from ..session import cut
 from .sampling import hash_int
 
-BLOCK_ROWS = 20_000
-MERGE = 16
+BLOCK_ROWS = 16_384
+# Neighbours that a block holds, and distances that it works out at a time.
+HELD, AT_ONCE = 3_000_000, 1 << 22
 
 
 def _dist(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -47,6 +55,148 @@ def _to_pivots(df: DataFrame, vec: str, pivots: np.ndarray) -> DataFrame:
     return df.withColumn("_d", dists(c(vec).cast("array<double>")))
 
 
+def _vectors(batch: pa.RecordBatch) -> np.ndarray:
+    v = batch.column("_v")
+    return v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)
+
+
+class _Block:
+    """Queries of a block with their k best points so far."""
+
+    def __init__(self, ids: pa.Array, vectors: np.ndarray, k: int, exclude_self: bool):
+        self.ids, self.v, self.k, self.exclude_self = ids, vectors, k, exclude_self
+        self.plain = ids.to_numpy(zero_copy_only=False)
+        self.square = (vectors * vectors).sum(1)
+        self.bound = np.full(len(ids), np.inf)  # no point beyond it is among the k best
+        self.held = self._empty()
+        self.new: list[tuple] = []
+        self.n_new = 0
+
+    def _empty(self) -> tuple:
+        return np.zeros(0, np.int32), np.zeros(0), self.ids.slice(0, 0), np.zeros(0), np.zeros(0, bool)
+
+    def meet(self, ids: pa.Array, vectors: np.ndarray, y: pa.Array) -> None:
+        plain, square = ids.to_numpy(zero_copy_only=False), (vectors * vectors).sum(1)
+        target, known = y.fill_null(0.0).to_numpy(zero_copy_only=False), ~y.is_null().to_numpy(zero_copy_only=False)
+        # as many of a row's nearest can be the row itself
+        own = pc.max(pc.value_counts(ids).field("counts")).as_py() if self.exclude_self else 0
+        with np.errstate(invalid="ignore", over="ignore"):
+            # a squared distance is the query's square plus the product of these
+            sides = np.vstack([-2.0 * vectors.T, square])
+            # what rounding can add to it, in either way of adding it up
+            slack = 4e-16 * (vectors.shape[1] + 8) * (np.sqrt(self.square) + np.sqrt(square.max())) ** 2
+            step = max(1, AT_ONCE // len(plain))
+            for at in range(0, len(self.plain), step):
+                part = slice(at, at + step)
+                rough = np.column_stack([self.v[part], np.ones(len(self.v[part]))]) @ sides
+                limit = self.bound[part] ** 2 * (1 + 1e-12) - self.square[part] + slack[part]
+                last = self.k - 1 + own
+                if np.isinf(limit).any() and last < len(plain):
+                    # without a bound yet: what the batch itself tells
+                    limit = np.minimum(limit, np.partition(rough, last, axis=1)[:, last] + 2 * slack[part])
+                at_flat = np.flatnonzero(~(rough > limit[:, None]))
+                self._measure(at_flat // len(plain) + at, at_flat % len(plain), ids, plain, vectors, target, known)
+        if self.n_new > max(1 << 18, len(self.held[0])) or np.isinf(self.bound).any():
+            self.settle()
+
+    def _measure(self, i, j, ids, plain, vectors, target, known) -> None:
+        """The distances of pairs of query and point, in the order of the coordinates."""
+        for at in range(0, len(i), 1 << 15):
+            a, b = i[at : at + (1 << 15)], j[at : at + (1 << 15)]
+            if self.exclude_self:
+                other = self.plain[a] != plain[b]
+                a, b = a[other], b[other]
+            d = self.v[a] - vectors[b]
+            d *= d
+            total = np.zeros(len(a))
+            for x in range(d.shape[1]):
+                total += d[:, x]
+            dist = np.sqrt(total)
+            keep = np.isfinite(dist) & (dist <= self.bound[a])
+            a, b = a[keep], b[keep]
+            self.new.append((a.astype(np.int32), dist[keep], ids.take(pa.array(b)), target[b], known[b]))
+            self.n_new += len(a)
+
+    def settle(self) -> None:
+        """Keep the k best of each query; equal distances prefer the smaller id."""
+        if not self.n_new:
+            return
+        of, dist, ids, target, known = zip(self.held, *self.new)
+        of, dist, target, known = (np.concatenate(x) for x in (of, dist, target, known))
+        ids = pa.concat_arrays(ids)
+        order = np.argsort(dist, kind="stable")
+        order = order[np.argsort(of[order], kind="stable")]
+        o, d = of[order], dist[order]
+        if ((o[1:] == o[:-1]) & (d[1:] == d[:-1])).any():
+            place = np.empty(len(ids), np.int64)
+            place[pc.sort_indices(ids, null_placement="at_start").to_numpy()] = np.arange(len(ids))
+            order = np.lexsort((place, dist, of))
+            o = of[order]
+        first = np.searchsorted(o, np.arange(len(self.plain) + 1))
+        order = order[np.arange(len(o)) - first[o] < self.k]
+        self.held = of[order], dist[order], ids.take(pa.array(order)), target[order], known[order]
+        self.new, self.n_new = [], 0
+        n = np.bincount(self.held[0], minlength=len(self.plain))
+        full = n == self.k
+        self.bound[full] = self.held[1][np.cumsum(n)[full] - 1]
+
+    def result(self, schema: pa.Schema, rows: int = 1024) -> Iterator[pa.RecordBatch]:
+        self.settle()
+        of, dist, ids, target, known = self.held
+        ends = np.searchsorted(of, np.arange(len(self.plain) + 1))
+        kind = schema.field("_b").type.value_type
+        for at in range(0, len(self.plain), rows):
+            to = min(at + rows, len(self.plain))
+            lo, hi = ends[at], ends[to]
+            near = pa.StructArray.from_arrays(
+                [pa.array(dist[lo:hi]), ids.slice(lo, hi - lo), pa.array(target[lo:hi], mask=~known[lo:hi])], fields=list(kind)
+            )
+            lists = pa.ListArray.from_arrays(pa.array(ends[at : to + 1] - lo, pa.int32()), near, type=schema.field("_b").type)
+            out = pa.RecordBatch.from_arrays([self.ids.slice(at, to - at), lists], schema=schema)
+            yield out.filter(pa.array(np.diff(ends[at : to + 1]) > 0))
+
+
+def _nearest(k: int, exclude_self: bool):
+    """Over rows sorted by block, queries first: each query with its k nearest points."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, name, waiting, schema = None, None, [], None
+        for whole in batches:
+            if schema is None:
+                id_type = whole.schema.field("_id").type
+                near = pa.struct([("dist", pa.float64()), ("near_id", id_type), ("target", pa.float64())])
+                schema = pa.schema([("_id", id_type), ("_b", pa.list_(near))])
+            for batch in _stretches(whole):
+                here, kind = batch.column("_block")[0].as_py(), batch.column("_kind")[0].as_py()
+                if here != name:
+                    if block:
+                        yield from block.result(schema)
+                    block, name, waiting = None, here, []
+                if kind == 0:
+                    waiting.append((batch.column("_id"), _vectors(batch)))
+                    continue
+                if block is None:
+                    if not waiting:
+                        continue
+                    ids, v = zip(*waiting)
+                    block, waiting = _Block(pa.concat_arrays(ids), np.concatenate(v), k, exclude_self), []
+                block.meet(batch.column("_id"), _vectors(batch), batch.column("_y"))
+        if block:
+            yield from block.result(schema)
+
+    return run
+
+
+def _stretches(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The runs of one block and kind in a batch."""
+    if not len(batch):
+        return
+    name, kind = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("_block", "_kind"))
+    cuts = np.flatnonzero((name[1:] != name[:-1]) | (kind[1:] != kind[:-1])) + 1
+    for lo, hi in zip([0, *cuts], [*cuts, len(batch)]):
+        yield batch.slice(lo, hi - lo)
+
+
 def knn_mean(
     points: DataFrame,
     queries: DataFrame,
@@ -71,7 +221,6 @@ def knn_mean(
     info = np.array([[r["_cell"], r["n"], r["hi"], r["lo"]] for r in cells], dtype="float64").reshape(-1, 4)
     ids, size, hi, lo = info[:, 0].astype(int), info[:, 1], info[:, 2], info[:, 3]
     need = k + (1 if exclude_self else 0)
-    blocks = {int(i): int(-(-n // block_rows)) for i, n in zip(ids, size)}
 
     @F.pandas_udf("array<int>")
     def reachable(s: pd.Series) -> pd.Series:
@@ -86,57 +235,27 @@ def knn_mean(
             out.append([int(x) for x in ids[low <= bound * (1 + 1e-9) + 1e-12]])
         return pd.Series(out)
 
+    # a block is a slice of the queries of one cell, and reads the cells that any of them reaches
     q = _to_pivots(queries.select(id_col, vec), vec, piv)
-    q = cut(q.withColumn("_cell", F.explode(reachable("_d"))).drop("_d"))
-    # a block is (cell, slice of its points, slice of its queries)
-    per_cell = F.try_element_at(F.create_map(*[F.lit(x) for kv in blocks.items() for x in kv]), F.col("_cell"))
-    pts = pts.withColumn("_ps", F.pmod(hash_int(id_col, 1), per_cell).cast("int")).drop("_r")
-    # queries per cell, one row per pivot, decide into how many slices they go
-    per_query = {
-        int(r["_cell"]): int(-(-r["n"] // block_rows))
-        for r in q.groupBy("_cell").agg(F.count(F.lit(1)).alias("n")).collect()
-    }
-    q_slices = F.try_element_at(F.create_map(*[F.lit(x) for kv in per_query.items() for x in kv]), F.col("_cell"))
-    q = q.withColumn("_qs", F.pmod(hash_int(id_col, 2), q_slices).cast("int"))
-    q = q.withColumn("_ps", F.explode(F.sequence(F.lit(0), per_cell - 1)))
-    pts = pts.where(q_slices.isNotNull()).withColumn("_qs", F.explode(F.sequence(F.lit(0), q_slices - 1)))
-    keys = ["_cell", "_ps", "_qs"]
+    q = cut(q.withColumns({"_own": near, "_cells": reachable("_d")}).drop("_d"))
+    rows = max(1, min(block_rows, HELD // k))
+    slices = q.groupBy("_own").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("_n"))  # one row per pivot
+    own = F.pmod(F.xxhash64(id_col, F.monotonically_increasing_id()), F.col("_n")).cast("int")
+    q = cut(q.join(F.broadcast(slices), "_own").select(id_col, vec, "_cells", F.concat_ws("_", "_own", own).alias("_block")))
+    reach = q.select("_block", F.explode("_cells").alias("_cell")).distinct()
+    blocks = q.select("_block").distinct().count()
+    as_query = q.select("_block", F.lit(0).alias("_kind"), c(id_col).alias("_id"), c(vec).cast("array<double>").alias("_v"), F.lit(None).cast("double").alias("_y"))
+    as_point = pts.join(F.broadcast(reach), "_cell").select(
+        "_block", F.lit(1).alias("_kind"), c(id_col).alias("_id"), c(vec).cast("array<double>").alias("_v"), c(target).cast("double").alias("_y")
+    )
+    met = as_query.unionByName(as_point)
+    # several partitions a block, so that few of them hold two
+    met = met.repartition(max(1, 4 * blocks), "_block").sortWithinPartitions("_block", "_kind")
     id_type = dict(queries.dtypes)[id_col]
-    schema = f"{id_col} {id_type}, near_id {id_type}, dist double, target double, part long"
-
-    def block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({id_col: [], "near_id": [], "dist": [], "target": [], "part": []})
-        right = right.sort_values(id_col)
-        b, rid, y = _matrix(right[vec]), right[id_col].to_numpy(), right[target].to_numpy(dtype="float64")
-        parts = []
-        for at in range(0, len(left), 1024):
-            chunk = left.iloc[at : at + 1024]
-            d = _dist(_matrix(chunk[vec]), b)
-            lid = chunk[id_col].to_numpy()
-            if exclude_self:
-                d[lid[:, None] == rid[None, :]] = np.inf
-            best = np.argsort(d, axis=1, kind="stable")[:, :k]
-            dd = np.take_along_axis(d, best, 1)
-            keep = np.isfinite(dd)
-            parts.append(
-                pd.DataFrame(
-                    {
-                        id_col: np.repeat(lid, keep.sum(1)),
-                        "near_id": rid[best][keep],
-                        "dist": dd[keep],
-                        "target": y[best][keep],
-                        "part": right["_cell"].iloc[0] // MERGE * 1_000_000 + right["_ps"].iloc[0] // MERGE,
-                    }
-                )
-            )
-        return pd.concat(parts)
-
-    hits = q.groupBy(*keys).cogroup(pts.groupBy(*keys)).applyInPandas(block, schema)
-    # k rows per block; MERGE x MERGE neighbouring cells and slices are merged first, then the rest
-    best = F.slice(F.sort_array(F.collect_list(F.struct("dist", "near_id", "target"))), 1, k)
-    hits = hits.groupBy(id_col, "part").agg(best.alias("_b")).select(id_col, F.inline("_b"))
-    return hits.groupBy(id_col).agg(best.alias("_b")).select(
+    hits = met.mapInArrow(_nearest(k, exclude_self), f"_id {id_type}, _b array<struct<dist:double,near_id:{id_type},target:double>>")
+    # rows of one id can lie in several blocks
+    best = F.slice(F.sort_array(F.flatten(F.collect_list("_b"))), 1, k)
+    return hits.groupBy(c("_id").alias(id_col)).agg(best.alias("_b")).select(
         id_col,
         F.size("_b").alias("n_near"),
         (F.aggregate("_b", F.lit(0.0), lambda a, e: a + e["target"]) / F.size("_b")).alias("knn_mean"),

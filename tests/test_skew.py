@@ -235,6 +235,30 @@ def test_knn_blocks_equal_brute_force(spark):
         assert got[i] == (9, pytest.approx(np.mean([data[j][2] for j in near])))
 
 
+@pytest.mark.parametrize("batch", [7, 10000])
+def test_knn_blocks_read_points_batch_by_batch(spark, monkeypatch, batch):
+    # whole numbers, so that many distances are equal; no cell can be left out, and a row has no target
+    rng = np.random.default_rng(8)
+    pts = rng.integers(0, 3, (240, 12)).astype(float)
+    pts[200:] = pts[:40]
+    data = [(i, [float(x) for x in v], None if i == 5 else float(i % 7)) for i, v in enumerate(pts)]
+    df = spark.createDataFrame(data, "id long, vec array<double>, y double")
+    monkeypatch.setattr(neighbours, "AT_ONCE", 100)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        out = neighbours.knn_mean(df, df, "id", "vec", "y", k=9, pivots=4, exclude_self=True, block_rows=25)
+        assert "CoGroups" not in out._jdf.queryExecution().toString()
+        got = {r["id"]: (r["n_near"], r["knn_mean"]) for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    d = np.sqrt(((pts[:, None] - pts) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    for i in range(len(pts)):
+        near = np.lexsort((np.arange(len(pts)), d[i]))[:9]
+        assert got[i] == (9, None if 5 in near else pytest.approx(np.mean([data[j][2] for j in near])))
+
+
 def test_stratified_folds_are_balanced(spark):
     df = spark.range(1000).withColumn("y", (F.col("id") % 10 == 0).cast("int"))
     n = sampling.stratified_folds(df, "id", "y", 4).groupBy("y", "fold").count().collect()
