@@ -174,6 +174,8 @@ def blend_search(df: DataFrame, label: str, models: Sequence[str], step: float =
 # Weight vectors that share a pass, and cells of score and weight that a task counts.
 VECTORS, COUNTED = 4096, 1 << 22
 FEW_VECTORS = 32
+# Rows of score and vector that the exact AUCs rank at most, as long as finer buckets can still rule vectors out.
+RANKED = 4_000_000
 
 
 def find_best_blend(df: DataFrame, label: str, models: Sequence[str], step: float = 0.01, buckets: int = 512) -> DataFrame:
@@ -186,8 +188,8 @@ def find_best_blend(df: DataFrame, label: str, models: Sequence[str], step: floa
     """
     models = list(models)
     cells = cut(_score_cells(df, label, models))
-    ends = cells.agg(F.min(F.least(*models, models[0])), F.max(F.greatest(*models, models[0]))).first()
-    low, high = (float(x or 0.0) for x in ends)
+    ends = cells.agg(F.min(F.least(*models, models[0])), F.max(F.greatest(*models, models[0])), F.count(F.lit(1))).first()
+    low, high, n_cells = (float(x or 0.0) for x in ends)
     left = weight_vectors(len(models), step)
     while True:
         held: list[tuple[float, tuple[float, ...]]] = []
@@ -196,7 +198,8 @@ def find_best_blend(df: DataFrame, label: str, models: Sequence[str], step: floa
             bounds = _auc_bounds(cells, label, models, chunk, low, high, buckets)
             best = max([best, *(b[0] for b in bounds)])
             held = [x for x in held + [(b[1], w) for b, w in zip(bounds, chunk)] if x[0] >= best - 1e-9]
-        if len(held) <= FEW_VECTORS or buckets >= 1 << 16:
+        few = len(held) <= FEW_VECTORS and len(held) * n_cells <= RANKED
+        if few or len(held) <= 1 or buckets >= 1 << 16:
             break
         left, buckets = iter([w for _, w in held]), buckets * 8
     rows = []
@@ -212,15 +215,23 @@ def _auc_bounds(cells: DataFrame, label: str, models: Sequence[str], weights: li
     w, span = np.array(weights), (high - low) or 1.0
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, len(w), buckets))
+        total = np.zeros((len(w), 2 * buckets))
         for b in batches:
             y, n, *scores = (x.to_numpy(zero_copy_only=False).astype("float64") for x in b.columns)
-            blend = np.round(np.column_stack(scores) @ w.T, 9)
-            at = np.clip(((blend - low) / span * buckets).astype(np.int64), 0, buckets - 1) + np.arange(len(w)) * buckets
-            for side in (0, 1):
-                mine = y == side
-                total[side] += np.bincount(at[mine].ravel(), np.repeat(n[mine], len(w)), w.shape[0] * buckets).reshape(len(w), buckets)
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(w)), pa.int32()), pa.array([total[:, k].tobytes() for k in range(len(w))], pa.binary())], names=["k", "counts"])
+            scores, side = np.column_stack(scores), (y == 1) * buckets
+            # vector by vector, so that what is worked on stays small; scores as whole numbers of the ninth digit
+            for k, v in enumerate(w):
+                place = np.rint(scores @ v * 1e9)
+                place -= low * 1e9
+                place *= buckets / (span * 1e9)
+                np.fmin(np.fmax(place, 0, out=place), buckets - 1, out=place)
+                at = place.astype(np.int64)
+                at += side
+                if len(at) > buckets // 8:
+                    total[k] += np.bincount(at, n, 2 * buckets)
+                else:
+                    np.add.at(total[k], at, n)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(w)), pa.int32()), pa.array([x.tobytes() for x in total], pa.binary())], names=["k", "counts"])
 
     def bound(rows: pd.DataFrame) -> pd.DataFrame:
         neg, pos = sum(np.frombuffer(x).reshape(2, buckets) for x in rows["counts"])

@@ -402,6 +402,29 @@ def test_best_blend_by_bounds_equals_all_vectors(spark, monkeypatch, few):
     assert all(low - 1e-9 <= exact[w] <= high + 1e-9 for w, (low, high) in zip(exact, bounds))
 
 
+def test_best_blend_ranks_few_rows(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    y = rng.integers(0, 2, 400)
+    rows = [(float(t), *map(float, rng.random(3) + t * 0.2 * np.arange(3))) for t in y]
+    df = spark.createDataFrame(rows, "y double, a double, b double, c double")
+    want = metrics.best_blend(metrics.blend_search(df, "y", ["a", "b", "c"], 0.1), ["a", "b", "c"]).first()
+    ranked, exact = [], metrics._exact_aucs
+    monkeypatch.setattr(metrics, "_exact_aucs", lambda d, label, models, grid: (ranked.append(len(grid)), exact(d, label, models, grid))[1])
+    monkeypatch.setattr(metrics, "RANKED", 400, raising=False)
+    got = metrics.find_best_blend(df, "y", ["a", "b", "c"], 0.1, buckets=16).first()
+    assert tuple(got)[:3] == tuple(want)[:3] and got["auc"] == pytest.approx(want["auc"])
+    # the first 16 buckets leave several of the 36 vectors, finer ones the best
+    assert ranked[:-1] == [1]
+
+
+def test_sharded_table_has_no_task_larger_than_the_scan(spark):
+    path = scratch(spark, "shards")
+    store.write_shards(spark.range(0, 1000, 1, 12), path, 3)
+    got = store.read_shards(spark, f"{path}/part-*.parquet")
+    per = got.groupBy(F.input_file_name()).count().collect()
+    assert got.count() == 1000 and len(per) == 12 and max(r["count"] for r in per) < 200
+
+
 def test_weekday_median_by_buckets(spark):
     rows = [("a", float(i % 13)) for i in range(60)] + [("b", 2.0), (None, 5.0), (None, 8.0), ("c", None)]
     df = spark.createDataFrame(rows, "k string, v double")
