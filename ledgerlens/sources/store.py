@@ -28,7 +28,8 @@ def snapshot(df: DataFrame, path: str) -> DataFrame:
 
 
 def write_shards(df: DataFrame, path: str, n: int) -> None:
-    df.repartition(n).write.mode("overwrite").parquet(path)
+    """``n`` files, or as many as the table is read in if that is more, so that no task writes more than a scan's."""
+    df.repartition(max(n, df.rdd.getNumPartitions())).write.mode("overwrite").parquet(path)
 
 
 def read_shards(spark: SparkSession, pattern: str, cols: Sequence[str] | None = None) -> DataFrame:
