@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.safe import c
 from ..session import cut
 
 
@@ -37,6 +40,10 @@ def map_columns(df: DataFrame, keys: Sequence[str], cols: Sequence[str], func: C
     return df.select(*keys, *[f(F.col(x).cast("double")).alias(x) for x in cols])
 
 
+# Rows of one key that go to a task together.
+SLICE_ROWS = 100_000
+
+
 def grouped_aggregate(
     df: DataFrame,
     keys: Sequence[str],
@@ -46,9 +53,12 @@ def grouped_aggregate(
     partial_schema: str,
     schema: str,
     fan_in: int = 64,
+    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """Custom group aggregate with a combiner, so that no task holds a whole group.
 
+    Rows are dealt out and sorted by key first, those of keys with more than
+    ``slice_rows`` rows in slices, so that a key is lifted about once a slice.
     ``lift`` turns the rows of one key within a batch into a few partial rows,
     ``merge`` combines partial rows of one key into fewer (one, in the end), ``finish``
     turns the last partials into the result. All of them get and return the key
@@ -63,7 +73,7 @@ def grouped_aggregate(
             if parts:
                 yield pd.concat(parts)
 
-    parts, before = cut(df.mapInPandas(combine, partial_schema)), None
+    parts, before = cut(_by_key(df, keys, slice_rows).mapInPandas(combine, partial_schema)), None
     while True:
         most = parts.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
         if most <= fan_in or most == before:
@@ -73,6 +83,17 @@ def grouped_aggregate(
         before = most
 
 
+def _by_key(df: DataFrame, keys: Sequence[str], slice_rows: int) -> DataFrame:
+    """The rows with those of a key side by side; only keys of many rows are counted out to every task, one row each."""
+    names = [f"_k{i}" for i in range(len(keys))]
+    large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > slice_rows)
+    large = large.select(*[c(k).alias(n) for k, n in zip(keys, names)], F.ceil(F.col("_n") / slice_rows).alias("_slices"))
+    same = reduce(and_, [c(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)])
+    row = df.withColumn("_row", F.monotonically_increasing_id()).join(F.broadcast(large), same, "left")
+    row = row.withColumn("_slice", F.pmod(F.xxhash64("_row"), F.coalesce("_slices", F.lit(1))))
+    return row.repartition(*keys, "_slice").sortWithinPartitions(*keys).select(*df.columns)
+
+
 def _numbered(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``_no`` from 0 up within each key: the place among the key's rows of a partition, behind those of the partitions before."""
     keys = list(keys)

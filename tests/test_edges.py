@@ -402,6 +402,25 @@ def test_best_blend_by_bounds_equals_all_vectors(spark, monkeypatch, few):
     assert all(low - 1e-9 <= exact[w] <= high + 1e-9 for w, (low, high) in zip(exact, bounds))
 
 
+def test_grouped_aggregate_lifts_a_key_once_a_slice(spark, tmp_path):
+    rows = [(i % 60, float(i % 5)) for i in range(3000)] + [(None, 1.0)] * 40 + [(7, 2.0)] * 1000
+    df = spark.createDataFrame(rows, "k long, v double").repartition(8, "v", F.rand(1))
+    seen = str(tmp_path)
+
+    def lift(g):
+        with open(f"{seen}/lifts", "a") as f:
+            f.write("x")
+        return pd.DataFrame({"k": [g["k"].iloc[0]], "n": [len(g)]})
+
+    def merge(g):
+        return pd.DataFrame({"k": [g["k"].iloc[0]], "n": [g["n"].sum()]})
+
+    out = udf.grouped_aggregate(df, ["k"], lift, merge, lambda g: g, "k long, n long", "k long, n long", **({"slice_rows": 300} if hasattr(udf, "SLICE_ROWS") else {}))
+    assert {r.k: r.n for r in out.collect()} == {k: 50 for k in range(60) if k != 7} | {None: 40, 7: 1050}
+    # 59 keys, the missing one and 4 slices; each of the 8 partitions' keys before
+    assert (tmp_path / "lifts").stat().st_size <= 70
+
+
 def test_best_blend_ranks_few_rows(spark, monkeypatch):
     rng = np.random.default_rng(9)
     y = rng.integers(0, 2, 400)
