@@ -1,6 +1,8 @@
 """Hand-made frames: missing keys, zero divisors, one-row groups, empty and odd values."""
 
 import datetime as dt
+import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -460,3 +462,22 @@ def test_topics_of_two_vocabularies(spark):
     side = {i % 2: r["topic_0"] > 0.5 for i, r in got.items()}
     assert side[0] != side[1] and all((r["topic_0"] > 0.5) == side[i % 2] for i, r in got.items())
     assert models.topic_mixture(df.limit(0), "id", "tokens", k=2).count() == 0
+
+
+@pytest.mark.parametrize("at_least, rows_per_id", [(2, 64), (2, 1), (3, 64)])
+def test_tokens_seen_once_are_left_out_by_their_place(spark, at_least, rows_per_id):
+    """Rows of one id, rows without id or text, tokens at the same place of two rows, white space at both ends."""
+    data = [(1, " a b  once "), (1, "b a twin"), (1, "x a"), (2, "twin a"), (2, None), (3, ""), (3, "only"), (None, "a lone b"), (None, "b q q"), (4, "b once-more b")]
+    long = [(i, p, t) for i, x in data if x is not None for p, t in enumerate(re.split(r"\s+", x)) if t]
+    n = Counter(t for _, _, t in long)
+    got = models.tokens_without_singletons(spark.createDataFrame(data, "id long, text string"), "id", "text", at_least, rows_per_id)
+    assert got.columns == ["id", "pos", "token"]
+    assert Counter(map(tuple, got.collect())) == Counter(r for r in long if n[r[2]] >= at_least)
+
+
+def test_tokens_seen_once_need_no_exchange_of_tokens(spark):
+    docs = spark.range(50).select("id", F.concat_ws(" ", F.lit("a"), "id", F.lit("b")).alias("text"))
+    long = models.tokens_without_singletons(docs, "id", "text")
+    per = long.groupBy("id").agg(F.count_distinct("token").alias("n"))
+    plan = per._jdf.queryExecution().sparkPlan().toString()
+    assert "_salt" not in plan and {r["n"] for r in per.collect()} == {2}
