@@ -1,6 +1,8 @@
 """Hand-made frames: missing keys, zero divisors, one-row groups, empty and odd values."""
 
 import datetime as dt
+import hashlib
+import random
 import re
 from collections import Counter
 
@@ -10,8 +12,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import lookups, rowwise, safe, scalars
-from ledgerlens.operators import aggs, encoders, entity, filters, metrics, models, newton, quality, sampling, target, udf, windows
-from ledgerlens.session import scratch
+from ledgerlens.operators import aggs, encoders, entity, filters, metrics, models, newton, quality, sampling, target, topics, udf, windows
+from ledgerlens.session import cut, scratch
 from ledgerlens.sources import store, warehouse
 
 
@@ -481,3 +483,42 @@ def test_tokens_seen_once_need_no_exchange_of_tokens(spark):
     per = long.groupBy("id").agg(F.count_distinct("token").alias("n"))
     plan = per._jdf.queryExecution().sparkPlan().toString()
     assert "_salt" not in plan and {r["n"] for r in per.collect()} == {2}
+
+
+def plain_topic_shares(docs, k, iterations, seed):
+    """The rounds over all (id, token) pairs at once."""
+    n = Counter((i, t) for i, x in docs if i is not None for t in x or () if t is not None)
+    start = lambda t, j: 0.5 + int(hashlib.md5(f"{t}:{j}:{seed}".encode()).hexdigest()[:8], 16) / 4294967296
+    w = {t: np.array([start(t, j) for j in range(k)]) for _, t in n}
+    s = {i: np.full(k, 1 / k) for i, _ in n}
+    for _ in range(iterations):
+        scale = sum(w.values()) + topics.TOKEN_PRIOR * len(w)
+        fit = {(i, t): s[i] * (w[t] + topics.TOKEN_PRIOR) / scale for i, t in n}
+        fit = {p: n[p] * x / x.sum() for p, x in fit.items()}
+        w, total = {t: np.zeros(k) for t in w}, {i: np.zeros(k) for i in s}
+        for (i, t), x in fit.items():
+            w[t] += x
+            total[i] += x
+        s = {i: (x + topics.DOC_PRIOR) / (x.sum() + topics.DOC_PRIOR * k) for i, x in total.items()}
+    return s
+
+
+@pytest.mark.parametrize("k, iterations, block", [(3, 0, 1 << 24), (3, 1, 40), (3, 2, 1 << 24), (2, 5, 40), (1, 3, 40), (4, 4, 1)])
+def test_topic_rounds_over_blocks_equal_plain_rounds(spark, k, iterations, block):
+    """Several blocks to a task, ids in several rows, missing ids, lists and tokens, and a token 300 times in a document."""
+    rnd = random.Random(3)
+    docs = [(i % 37 if i % 9 else None, [rnd.choice(["a", "b", "c", f"w{i % 5}", f"x{rnd.randint(0, 30)}", None]) for _ in range(rnd.randint(0, 12))]) for i in range(80)]
+    docs += [(100, None), (101, []), (102, [None]), (103, ["often"] * 300 + ["a"])]
+    df = spark.createDataFrame(docs, "id long, tokens array<string>").repartition(5)
+    got = {r["id"]: r[1:] for r in topics.topic_shares(df, "id", "tokens", k, iterations, 7, block, 25).collect()}
+    want = plain_topic_shares(docs, k, iterations, 7)
+    assert set(got) == set(want) and all(np.allclose(got[i], want[i], rtol=0, atol=1e-10) for i in want)
+
+
+def test_topic_rounds_shuffle_no_pairs(spark, monkeypatch):
+    """What a round puts back together has one row per token and block, and per document, not one per occurrence."""
+    held = []
+    monkeypatch.setattr(topics, "cut", lambda df: held.append(cut(df)) or held[-1])
+    docs = spark.range(2000).select("id", F.transform(F.sequence(F.lit(0), F.lit(49)), lambda i: (i * 7 % 60).cast("string")).alias("tokens"))
+    topics.topic_shares(docs, "id", "tokens", 2, 3)
+    assert max(x.count() for x in held) == 2050
