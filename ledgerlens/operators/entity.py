@@ -208,9 +208,12 @@ def rising_links(points: DataFrame, group: Sequence[str], id_col: str, x: str, l
     points, hot = sliced(points, group, [x, id_col], **kw)
     part, order = [*group, "_slice"], [x, id_col]
     up = Window.partitionBy(*part).orderBy(*order)
-    before, onward = up.rowsBetween(Window.unboundedPreceding, -1), up.rowsBetween(0, Window.unboundedFollowing)
-    later = up.rowsBetween(1, Window.unboundedFollowing)
-    points = points.withColumns({"_least": F.min(low).over(before), "_most": F.max(high).over(onward), "_after": F.max(high).over(later)})
+    before = up.rowsBetween(Window.unboundedPreceding, -1)
+    points = points.withColumns({"_least": F.min(low).over(before), "_no": F.row_number().over(up)})
+    # What is to come is added up from the end, in the very same order: a frame that ends with the group starts anew for every row.
+    down = Window.partitionBy(*part).orderBy(F.desc("_no"))
+    onward, later = down.rowsBetween(Window.unboundedPreceding, 0), down.rowsBetween(Window.unboundedPreceding, -1)
+    points = points.withColumns({"_most": F.max(high).over(onward), "_after": F.max(high).over(later)}).drop("_no")
     if hot:
         points = cut(points)
         per = points.where("_slice > 0").groupBy(*part).agg(F.min(low).alias("_low"), F.max(high).alias("_high"))

@@ -165,3 +165,29 @@ def test_a_path_of_10000_nodes(spark):
     edges = spark.createDataFrame(list(zip(order, order[1:])), "a long, b long")
     got = entity.components(spark.range(n), edges, "id")
     assert got.where("component = 0").count() == n
+
+
+@pytest.mark.parametrize("limit", [50, 10**6])
+def test_rising_links_add_up_what_is_to_come_once(spark, limit):
+    """No frame that ends with the group, which starts anew for every row: 3,000 points of one group, with repeats, against plain loops."""
+    rnd = random.Random(8)
+    data = [(i // 2, rnd.randint(0, 10**6), rnd.choice([None, rnd.randint(0, 50)]), rnd.choice([None, rnd.randint(0, 50) - i // 60])) for i in range(3000)]
+    data = sorted({(x, i): (1, i, x, lo, hi) for i, x, lo, hi in data}.values(), key=lambda p: (p[2], p[1]))
+    points = spark.createDataFrame(data, "g int, id long, x long, low long, high long")
+    got = entity.rising_links(points, ["g"], "id", "x", "low", "high", rows_per_split=limit)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert limit == 50 or "unboundedfollowing" not in plan.lower()
+    none = float("inf")
+    least, most = [none], [-none]
+    for p in data:
+        least.append(min(least[-1], none if p[3] is None else p[3]))
+    for p in reversed(data):
+        most.append(max(most[-1], -none if p[4] is None else p[4]))
+    most = most[::-1]
+    want, last = [], None
+    for n, (_, i, _, lo, hi) in enumerate(data):
+        if (lo is not None and lo < most[n + 1]) or (hi is not None and hi > least[n]):
+            if last is not None and least[n] < most[n] and last != i:
+                want.append((i, last))
+            last = i
+    assert sorted(map(tuple, got.collect())) == sorted(want)
