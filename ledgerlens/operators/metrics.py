@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Mapping, Sequence
+from decimal import ROUND_HALF_UP, Decimal
 from functools import reduce
 from itertools import islice
 from operator import add
@@ -10,7 +11,7 @@ from operator import add
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.safe import c, has_all, ratio
@@ -168,14 +169,16 @@ def _score_cells(df: DataFrame, label: str, models: Sequence[str]) -> DataFrame:
 
 def blend_search(df: DataFrame, label: str, models: Sequence[str], step: float = 0.1) -> DataFrame:
     """AUC for each weight vector of a coarse grid. ``find_best_blend`` is for fine ones."""
-    return _exact_aucs(_score_cells(df, label, models), label, models, weight_grid(len(models), step))
+    return _window_aucs(_score_cells(df, label, models), label, models, weight_grid(len(models), step))
 
 
 # Weight vectors that share a pass, and cells of score and weight that a task counts.
-VECTORS, COUNTED = 4096, 1 << 22
+VECTORS, COUNTED = 4096, 1 << 23
 FEW_VECTORS = 32
-# Rows of score and vector that the exact AUCs rank at most, as long as finer buckets can still rule vectors out.
-RANKED = 4_000_000
+# Rows of score and vector that the exact AUCs rank at a time; while more are left, finer buckets go on ruling vectors out.
+RANKED, MOST_BUCKETS = 1 << 26, 1 << 19
+# Rows of a pack, those worked on at a time, and rows of a slice that the exact AUCs sort.
+PACK, AT_ONCE, SLICE = 1 << 17, 1 << 14, 1 << 20
 
 
 def find_best_blend(df: DataFrame, label: str, models: Sequence[str], step: float = 0.01, buckets: int = 512) -> DataFrame:
@@ -184,69 +187,216 @@ def find_best_blend(df: DataFrame, label: str, models: Sequence[str], step: floa
     Counts of both classes in buckets of the blended score bound a vector's AUC: pairs
     in different buckets are decided, those in one bucket are not. Only vectors whose
     upper bound reaches the best lower bound go on, to finer buckets, and the last few
-    to the exact AUC. Every pass takes a bounded number of vectors.
+    to the exact AUC, the highest upper bounds first. Chance alone moves an AUC by
+    the inverse root of the rows, so the first buckets are a few times as many as
+    that root. Every pass takes a bounded number of vectors.
     """
     models = list(models)
-    cells = cut(_score_cells(df, label, models))
-    ends = cells.agg(F.min(F.least(*models, models[0])), F.max(F.greatest(*models, models[0])), F.count(F.lit(1))).first()
+    packs = _packed(_score_cells(df, label, models), label, models)
+    ends = packs.agg(F.min("low"), F.max("high"), F.sum(F.col("neg") + F.col("pos"))).first()
     low, high, n_cells = (float(x or 0.0) for x in ends)
     left = weight_vectors(len(models), step)
+    buckets = max(buckets, 1 << max(0, int(8 * n_cells**0.5)).bit_length())
+    buckets = min(buckets, MOST_BUCKETS)
     while True:
         held: list[tuple[float, tuple[float, ...]]] = []
         best = -1.0
         while chunk := list(islice(left, max(1, min(VECTORS, COUNTED // buckets)))):
-            bounds = _auc_bounds(cells, label, models, chunk, low, high, buckets)
+            bounds = _pack_bounds(packs, chunk, low, high, n_cells, buckets)
             best = max([best, *(b[0] for b in bounds)])
             held = [x for x in held + [(b[1], w) for b, w in zip(bounds, chunk)] if x[0] >= best - 1e-9]
         few = len(held) <= FEW_VECTORS and len(held) * n_cells <= RANKED
-        if few or len(held) <= 1 or buckets >= 1 << 16:
+        if few or len(held) <= 1 or buckets >= MOST_BUCKETS:
             break
-        left, buckets = iter([w for _, w in held]), buckets * 8
-    rows = []
-    for k in range(0, len(held), FEW_VECTORS):
-        found = best_blend(_exact_aucs(cells, label, models, [w for _, w in held[k : k + FEW_VECTORS]]), models)
-        rows += found.collect()
-    schema = _exact_aucs(cells, label, models, [tuple(1.0 for _ in models)]).schema
+        left, buckets = iter([w for _, w in held]), min(buckets * 8, MOST_BUCKETS)
+    held.sort(key=lambda x: (-x[0], x[1]))
+    rows, at_once = [], int(max(1, min(FEW_VECTORS, RANKED // max(1, n_cells))))
+    while held:
+        rows += best_blend(_exact_aucs(packs, label, models, [w for _, w in held[:at_once]]), models).collect()
+        best = max([best, *(r["auc"] for r in rows if r["auc"] is not None)])
+        held = [x for x in held[at_once:] if x[0] >= best - 1e-9]
+    schema = _exact_aucs(packs.limit(0), label, models, [tuple(1.0 for _ in models)]).schema
     return best_blend(df.sparkSession.createDataFrame(rows, schema), models)
 
 
-def _auc_bounds(cells: DataFrame, label: str, models: Sequence[str], weights: list[tuple[float, ...]], low: float, high: float, buckets: int) -> list[tuple[float, float]]:
-    """(lower, upper) AUC of every weight vector from counts by class and bucket of the blended score."""
-    w, span = np.array(weights), (high - low) or 1.0
+def _packed(cells: DataFrame, label: str, models: Sequence[str]) -> DataFrame:
+    """Cells as arrays, negatives first, with the least and greatest finite score; a task of the passes to come reads whole packs."""
+    size = max(1, PACK * 3 // max(3, len(models)))
 
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(w), 2 * buckets))
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, held = [], 0
         for b in batches:
-            y, n, *scores = (x.to_numpy(zero_copy_only=False).astype("float64") for x in b.columns)
-            scores, side = np.column_stack(scores), (y == 1) * buckets
-            # vector by vector, so that what is worked on stays small; scores as whole numbers of the ninth digit
-            for k, v in enumerate(w):
-                place = np.rint(scores @ v * 1e9)
-                place -= low * 1e9
-                place *= buckets / (span * 1e9)
-                np.fmin(np.fmax(place, 0, out=place), buckets - 1, out=place)
-                at = place.astype(np.int64)
-                at += side
-                if len(at) > buckets // 8:
-                    total[k] += np.bincount(at, n, 2 * buckets)
-                else:
-                    np.add.at(total[k], at, n)
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(w)), pa.int32()), pa.array([x.tobytes() for x in total], pa.binary())], names=["k", "counts"])
+            waiting.append([x.to_numpy(zero_copy_only=False) for x in b.columns])
+            held += len(b)
+            while held >= size:
+                y, n, *x = (np.concatenate(v) for v in zip(*waiting))
+                yield one(y[:size], n[:size], np.array([v[:size] for v in x]))
+                waiting, held = [[v[size:] for v in (y, n, *x)]], held - size
+        if held:
+            y, n, *x = (np.concatenate(v) for v in zip(*waiting))
+            yield one(y, n, np.array(x))
+
+    def one(y: np.ndarray, n: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(y, kind="stable")
+        x, n, finite = x[:, order], n[order], x[np.isfinite(x)]
+        ends = [float(finite.min()), float(finite.max())] if len(finite) else [None, None]
+        counts = b"" if (n == 1).all() else n.astype("float64").tobytes()
+        row = [int((y == 0).sum()), int((y == 1).sum()), *ends, x.astype("float64").tobytes(), counts]
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names=["neg", "pos", "low", "high", "scores", "counts"])
+
+    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary()]
+    rows = cells.where(c(label).isin(0, 1) & has_all(list(models)))
+    rows = rows.select(c(label).cast("int"), "_n", *[F.col(m).cast("double").alias(m) for m in models])
+    rows = rows.repartition(max(1, cells.sparkSession.sparkContext.defaultParallelism))
+    return cut(rows.mapInArrow(pack, "neg long, pos long, low double, high double, scores binary, counts binary"))
+
+
+def _unpacked(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray | None]]:
+    """The number of negatives, the scores model by model and the counts, if any is not 1, of every pack."""
+    for b in batches:
+        for neg, pos, x, n in zip(*(b.column(v) for v in ("neg", "pos", "scores", "counts"))):
+            n = np.frombuffer(n.as_buffer()) if len(n.as_buffer()) else None
+            yield neg.as_py(), np.frombuffer(x.as_buffer()).reshape(-1, neg.as_py() + pos.as_py()), n
+
+
+def _histograms(packs: DataFrame, weights: list[tuple[float, ...]], low: float, high: float, n_cells: float, buckets: int) -> DataFrame:
+    """Counts by class and bucket of the blended score of every weight vector, a row for each task and vector."""
+    # buckets end between two whole numbers of the ninth digit, so that scores that round to one number share a bucket
+    first = float(np.floor(low * 1e9)) - 2
+    width = max(1.0, float(np.ceil((high * 1e9 + 2 - first) / buckets)))
+    scaled, shift = np.array(weights) * (1e9 / width), (0.5 - first) / width
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(scaled), 2 * buckets))
+        s, t = np.empty(AT_ONCE), np.empty(AT_ONCE)
+        for neg, x, n in _unpacked(batches):
+            at, tame = np.empty(x.shape[1], np.int64), bool(np.isfinite(x).all())
+            cuts = sorted({*range(0, len(at), AT_ONCE), neg, len(at)})
+            parts = [(lo, hi, shift, 0) if lo < neg else (lo, hi, shift + buckets, buckets) for lo, hi in zip(cuts, cuts[1:])]
+            for k, v in enumerate(scaled):
+                # a stretch at a time, so that what is worked on stays in the cache
+                for lo, hi, add_to, side in parts:
+                    a, b = s[: hi - lo], t[: hi - lo]
+                    np.multiply(x[0, lo:hi], v[0], out=a)
+                    for m in range(1, len(v)):
+                        np.multiply(x[m, lo:hi], v[m], out=b)
+                        a += b
+                    a += add_to
+                    if not tame:  # what is not a number comes last
+                        np.fmin(np.fmax(a, side, out=a), side + buckets - 1, out=a, where=~np.isnan(a))
+                        a[np.isnan(a)] = side + buckets - 1
+                    np.copyto(at[lo:hi], a, casting="unsafe")
+                total[k] += np.bincount(at, n, 2 * buckets)
+        for k, v in enumerate(total):
+            v = v.astype(np.min_scalar_type(int(v.max())))
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([v.itemsize], pa.int32()), pa.array([v.tobytes()], pa.binary())], names=["k", "size", "counts"])
+
+    # a task has enough rows that its counts are worth their exchange
+    tasks = max(1, min(packs.sparkSession.sparkContext.defaultParallelism, int(n_cells // PACK)))
+    return packs.coalesce(tasks).mapInArrow(count, "k int, size int, counts binary")
+
+
+def _summed(rows: pd.DataFrame, buckets: int) -> np.ndarray:
+    return sum(np.frombuffer(x, f"u{n}").reshape(2, buckets).astype("float64") for x, n in zip(rows["counts"], rows["size"]))
+
+
+def _pack_bounds(packs: DataFrame, weights: list[tuple[float, ...]], low: float, high: float, n_cells: float, buckets: int) -> list[tuple[float, float]]:
+    """(lower, upper) AUC of every weight vector."""
 
     def bound(rows: pd.DataFrame) -> pd.DataFrame:
-        neg, pos = sum(np.frombuffer(x).reshape(2, buckets) for x in rows["counts"])
+        neg, pos = _summed(rows, buckets)
         pairs = pos.sum() * neg.sum()
         lower = pos @ (np.cumsum(neg) - neg)
         return pd.DataFrame({"k": rows["k"].iloc[:1], "lower": [lower / pairs if pairs else np.nan], "upper": [(lower + pos @ neg) / pairs if pairs else np.nan]})
 
-    rows = cells.select(c(label), "_n", *models).where(c(label).isin(0, 1) & has_all(list(models)))
-    parts = rows.coalesce(max(1, cells.sparkSession.sparkContext.defaultParallelism)).mapInArrow(count, "k int, counts binary")
-    found = {r["k"]: (r["lower"], r["upper"]) for r in parts.groupBy("k").applyInPandas(bound, "k int, lower double, upper double").collect()}
-    return [found[k] for k in range(len(weights))]
+    counts = _histograms(packs, weights, low, high, n_cells, buckets)
+    found = {r["k"]: (r["lower"], r["upper"]) for r in counts.groupBy("k").applyInPandas(bound, "k int, lower double, upper double").collect()}
+    return [found.get(k, (np.nan, np.nan)) for k in range(len(weights))]
+
+
+def _auc_bounds(cells: DataFrame, label: str, models: Sequence[str], weights: list[tuple[float, ...]], low: float, high: float, buckets: int) -> list[tuple[float, float]]:
+    """(lower, upper) AUC of every weight vector from counts by class and bucket of the blended score."""
+    return _pack_bounds(_packed(cells, label, models), weights, low, high, PACK, buckets)
+
+
+def _ninth_digit(s: np.ndarray) -> np.ndarray:
+    """Scores rounded to nine digits as Spark rounds them: by their shortest decimal form, halves away from zero."""
+    with np.errstate(invalid="ignore", over="ignore"):
+        size = np.abs(s) * 1e9
+        whole = np.floor(size + 0.5)
+        out = np.copysign(whole / 1e9, s)
+        out[out == 0] = 0.0
+        large = ~(np.abs(s) < 1 << 23)  # neighbours there are more than a ninth digit apart
+        out[large] = s[large]
+        close = ~large & (np.abs(size - np.floor(size) - 0.5) <= 8 * np.spacing(size))
+    for i in np.flatnonzero(close):
+        out[i] = float(Decimal(repr(float(s[i]))).quantize(Decimal("1e-9"), ROUND_HALF_UP))
+    return out
+
+
+def _exact_aucs(packs: DataFrame, label: str, models: Sequence[str], grid: Sequence[tuple[float, ...]]) -> DataFrame:
+    """AUC for each weight vector of a short list: scores are dealt by slices of their range and sorted there."""
+    ends = packs.agg(F.min("low"), F.max("high"), F.sum(F.col("neg") + F.col("pos"))).first()
+    low, high, n_cells = (float(x or 0.0) for x in ends)
+    n_slices, buckets = int(n_cells // SLICE) + 1, 1 << 14
+    edges = [np.zeros(0) for _ in grid]
+
+    def edge(rows: pd.DataFrame) -> pd.DataFrame:
+        n = np.cumsum(_summed(rows, buckets).sum(0))
+        at = np.searchsorted(n, n[-1] * np.arange(1, n_slices) / n_slices)
+        return pd.DataFrame({"k": rows["k"].iloc[:1], "at": [np.unique(at)]})
+
+    if n_slices > 1:
+        counts = _histograms(packs, list(grid), low, high, n_cells, buckets)
+        for r in counts.groupBy("k").applyInPandas(edge, "k int, at array<long>").collect():
+            edges[r["k"]] = low + (np.array(r["at"]) + 1.0) * ((high - low) / buckets)
+
+    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for neg, x, n in _unpacked(batches):
+            side = np.ones(x.shape[1]) if n is None else n.copy()
+            side[:neg] *= -1  # negatives count below zero
+            for k, v in enumerate(grid):
+                s = x[0] * v[0]
+                for m in range(1, len(v)):
+                    s += x[m] * v[m]
+                s = _ninth_digit(s)
+                order = np.argsort(s)
+                s, of = s[order], side[order]
+                cuts = [0, *np.searchsorted(s, edges[k]), len(s)]
+                parts = [(i, lo, hi) for i, (lo, hi) in enumerate(zip(cuts, cuts[1:])) if hi > lo]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([k] * len(parts), pa.int32()),
+                        pa.array([i for i, _, _ in parts], pa.int32()),
+                        pa.array([s[lo:hi].tobytes() for _, lo, hi in parts], pa.binary()),
+                        pa.array([of[lo:hi].tobytes() for _, lo, hi in parts], pa.binary()),
+                    ],
+                    names=["k", "slice", "scores", "sides"],
+                )
+
+    def rank(rows: pd.DataFrame) -> pd.DataFrame:
+        s, of = (np.concatenate([np.frombuffer(x) for x in rows[v]]) for v in ("scores", "sides"))
+        order = np.argsort(s)
+        s, of = s[order], of[order]
+        first = np.flatnonzero(np.r_[True, (s[1:] != s[:-1]) & ~np.isnan(s[:-1])])
+        pos, neg = np.add.reduceat(np.maximum(of, 0), first), np.add.reduceat(np.maximum(-of, 0), first)
+        won = pos @ (np.cumsum(neg) - neg / 2)
+        return pd.DataFrame({"k": rows["k"].iloc[:1], "slice": rows["slice"].iloc[:1], "won": [won], "pos": [pos.sum()], "neg": [neg.sum()]})
+
+    dealt = packs.mapInArrow(deal, "k int, slice int, scores binary, sides binary")
+    per = dealt.groupBy("k", "slice").applyInPandas(rank, "k int, slice int, won double, pos double, neg double")
+    before = Window.partitionBy("k").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("before", F.coalesce(F.sum("neg").over(before), F.lit(0.0)))  # one row per vector and slice
+    total = per.groupBy("k").agg(F.sum(F.col("won") + F.col("pos") * F.col("before")).alias("won"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    lits = F.array(*[F.array(*[F.lit(float(w)) for w in ws]) for ws in grid])
+    return total.select(
+        *[F.get(F.get(lits, "k"), i).alias(f"w_{m}") for i, m in enumerate(models)],
+        F.try_divide("won", F.col("pos") * F.col("neg")).alias("auc"),
+    )
 
 
-def _exact_aucs(cells: DataFrame, label: str, models: Sequence[str], grid: Sequence[tuple[float, ...]]) -> DataFrame:
-    """AUC for each weight vector of a short list."""
+def _window_aucs(cells: DataFrame, label: str, models: Sequence[str], grid: Sequence[tuple[float, ...]]) -> DataFrame:
+    """AUC for each weight vector of a coarse grid."""
     lits = F.array(
         *[F.struct(*[F.lit(w).alias(f"w_{m}") for m, w in zip(models, ws)]) for ws in grid]
     )

@@ -440,6 +440,52 @@ def test_best_blend_ranks_few_rows(spark, monkeypatch):
     assert ranked[:-1] == [1]
 
 
+def test_exact_blend_aucs_in_slices_equal_windows(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    y = rng.integers(0, 2, 500)
+    # ties, halves of the ninth digit, one value in most rows, missing and infinite scores
+    a = np.where(rng.random(500) < 0.5, 0.25, np.round(rng.random(500), 2)).tolist()
+    b = (rng.integers(0, 40, 500) * 5e-10 + 0.1).tolist()
+    a[3], a[4], b[5], b[6] = None, float("nan"), float("inf"), float("-inf")
+    df = spark.createDataFrame([(float(t), u, v) for t, u, v in zip(y, a, b)] + [(None, 0.5, 0.5)], "y double, a double, b double")
+    cells, grid = metrics._score_cells(df, "y", ["a", "b"]), [(0.3, 0.7), (0.5, 0.5), (0.02, 0.98)]
+    monkeypatch.setattr(metrics, "PACK", 64)
+    monkeypatch.setattr(metrics, "SLICE", 40)
+    got = metrics._exact_aucs(metrics._packed(cells, "y", ["a", "b"]), "y", ["a", "b"], grid).collect()
+    want = metrics._window_aucs(cells, "y", ["a", "b"], grid).collect()
+    assert {tuple(r)[:2]: r["auc"] for r in got} == {tuple(r)[:2]: pytest.approx(r["auc"], abs=1e-14) for r in want} and len(got) == 3
+
+
+def test_best_blend_with_scores_that_are_no_numbers(spark):
+    rng = np.random.default_rng(13)
+    rows = [(float(t), float(rng.random() + t * 0.3), float(rng.random())) for t in rng.integers(0, 2, 300)]
+    rows += [(1.0, float("nan"), 0.1), (0.0, float("inf"), 0.2), (0.0, 0.3, float("nan"))]
+    df = spark.createDataFrame(rows, "y double, a double, b double")
+    want = metrics.best_blend(metrics.blend_search(df, "y", ["a", "b"], 0.05), ["a", "b"]).first()
+    got = metrics.find_best_blend(df, "y", ["a", "b"], 0.05, buckets=16).first()
+    assert tuple(got)[:2] == tuple(want)[:2] and got["auc"] == pytest.approx(want["auc"])
+
+
+def test_best_blend_starts_with_buckets_for_its_rows(spark, monkeypatch):
+    # labels by chance: 512 buckets rule nothing out, and no vector goes on to windows over all rows
+    rng = np.random.default_rng(14)
+    rows = [(float(t), *map(float, rng.random(3))) for t in rng.integers(0, 2, 6000)]
+    df = spark.createDataFrame(rows, "y double, a double, b double, c double")
+    want = metrics.best_blend(metrics.blend_search(df, "y", ["a", "b", "c"], 0.1), ["a", "b", "c"]).first()
+    windows = []
+    monkeypatch.setattr(metrics, "running_totals", lambda *a, f=metrics.running_totals, **kw: (windows.append(1), f(*a, **kw))[1])
+    got = metrics.find_best_blend(df, "y", ["a", "b", "c"], 0.1).first()
+    assert tuple(got)[:3] == tuple(want)[:3] and got["auc"] == pytest.approx(want["auc"], abs=1e-12) and not windows
+
+
+@pytest.mark.parametrize("digits", [8, 9, 10, 17])
+def test_ninth_digit_rounds_like_spark(spark, digits):
+    rng = np.random.default_rng(digits)
+    values = [0.0, 5e-10, -5e-10, 1.5e-9, 4194304.1, 9e6 + 1e-9, 1e300, *np.round(rng.normal(0, 10.0 ** rng.integers(-9, 7, 300)), digits).tolist()]
+    rows = spark.createDataFrame([(float(v),) for v in values], "v double").select("v", F.round("v", 9).alias("r")).collect()
+    assert metrics._ninth_digit(np.array([r.v for r in rows])).tolist() == [r.r for r in rows]
+
+
 def test_sharded_table_has_no_task_larger_than_the_scan(spark):
     path = scratch(spark, "shards")
     store.write_shards(spark.range(0, 1000, 1, 12), path, 3)
