@@ -3,10 +3,12 @@
 Points are assigned to their nearest pivot. Cell sizes and radii, one row per
 pivot, bound each query's k-th distance, and the triangle inequality then names
 the cells that can hold a neighbour. Queries go to blocks of bounded size by their
-own cell; a block holds its queries and their k best so far and reads the points
-of its cells batch by batch. Matrix products rule out the points beyond a query's
-k-th distance, with a margin for rounding; the others are measured coordinate by
-coordinate. So a block leaves k rows a query, however many points it has read.
+own cell; points are packed by cell. Every block meets the packs that hold points of
+its cells in one task, which reads them pack by pack from the checkpoint, so that no
+copies of points are shuffled, and keeps the k best of its queries so far. Matrix
+products rule out the points beyond a query's k-th distance, with a margin for
+rounding; the others are measured coordinate by coordinate. So a block leaves k rows
+a query, however many points it has read.
 """
 
 from __future__ import annotations
@@ -25,8 +27,11 @@ from ..session import cut
 from .sampling import hash_int
 
 BLOCK_ROWS = 16_384
-# Neighbours that a block holds, and distances that it works out at a time.
-HELD, AT_ONCE = 3_000_000, 1 << 22
+# Neighbours that a block holds, distances that it works out at a time, and found neighbours that it sorts at a time.
+HELD, AT_ONCE, SORTED = 3_000_000, 1 << 21, 1 << 20
+# Points of a pack; a pack with a quarter of them ends with its cell. Coordinates that a block meets at a time.
+PACK = 4096
+MET = 1 << 21
 
 
 def _dist(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -57,7 +62,7 @@ def _to_pivots(df: DataFrame, vec: str, pivots: np.ndarray) -> DataFrame:
 
 def _vectors(batch: pa.RecordBatch) -> np.ndarray:
     v = batch.column("_v")
-    return v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)
+    return v.flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(len(v), -1)
 
 
 class _Block:
@@ -68,133 +73,238 @@ class _Block:
         self.plain = ids.to_numpy(zero_copy_only=False)
         self.square = (vectors * vectors).sum(1)
         self.bound = np.full(len(ids), np.inf)  # no point beyond it is among the k best
-        self.held = self._empty()
+        self.dist = np.full((len(ids), k), np.inf)
+        self.at = np.full((len(ids), k), -1, np.int32)  # places in known points
+        self.near, self.target, self.known = ids.slice(0, 0), np.zeros(0), np.zeros(0, bool)
         self.new: list[tuple] = []
         self.n_new = 0
 
-    def _empty(self) -> tuple:
-        return np.zeros(0, np.int32), np.zeros(0), self.ids.slice(0, 0), np.zeros(0), np.zeros(0, bool)
-
     def meet(self, ids: pa.Array, vectors: np.ndarray, y: pa.Array) -> None:
+        if len(self.near) > max(SORTED, self.dist.size):
+            self._forget()
+        first = len(self.near)
+        self.near = pa.concat_arrays([self.near, ids])
+        self.target = np.append(self.target, y.fill_null(0.0).to_numpy(zero_copy_only=False))
+        self.known = np.append(self.known, ~y.is_null().to_numpy(zero_copy_only=False))
         plain, square = ids.to_numpy(zero_copy_only=False), (vectors * vectors).sum(1)
-        target, known = y.fill_null(0.0).to_numpy(zero_copy_only=False), ~y.is_null().to_numpy(zero_copy_only=False)
         # as many of a row's nearest can be the row itself
         own = pc.max(pc.value_counts(ids).field("counts")).as_py() if self.exclude_self else 0
-        with np.errstate(invalid="ignore", over="ignore"):
-            # a squared distance is the query's square plus the product of these
-            sides = np.vstack([-2.0 * vectors.T, square])
-            # what rounding can add to it, in either way of adding it up
-            slack = 4e-16 * (vectors.shape[1] + 8) * (np.sqrt(self.square) + np.sqrt(square.max())) ** 2
+        with np.errstate(invalid="ignore", over="ignore", under="ignore"):
+            kind, share = self._precision(square)
+            # The squared distance is the sum of both squares less twice the product. What rounding takes or adds, in either
+            # way of adding it up, is less than a share of both squares, which is taken off; so this is never too large.
+            sides = np.vstack([-2.0 * vectors.T, square * (1 - share)]).astype(kind)
+            mine = self.square * (1 - share)
             step = max(1, AT_ONCE // len(plain))
             for at in range(0, len(self.plain), step):
                 part = slice(at, at + step)
-                rough = np.column_stack([self.v[part], np.ones(len(self.v[part]))]) @ sides
-                limit = self.bound[part] ** 2 * (1 + 1e-12) - self.square[part] + slack[part]
+                rough = np.column_stack([self.v[part], np.ones(len(self.v[part]))]).astype(kind) @ sides
+                limit = self.bound[part] ** 2 * (1 + 1e-12) - mine[part]
                 last = self.k - 1 + own
                 if np.isinf(limit).any() and last < len(plain):
-                    # without a bound yet: what the batch itself tells
-                    limit = np.minimum(limit, np.partition(rough, last, axis=1)[:, last] + 2 * slack[part])
+                    # without a bound yet: what the batch itself tells, as no point's square exceeds twice the query's and the distance's
+                    within = np.partition(rough, last, axis=1)[:, last] + mine[part]
+                    limit = np.minimum(limit, (within + 8 * share * self.square[part]) * (1 + 10 * share) - mine[part])
+                limit = np.nextafter(limit.astype(kind), kind(np.inf))
                 at_flat = np.flatnonzero(~(rough > limit[:, None]))
-                self._measure(at_flat // len(plain) + at, at_flat % len(plain), ids, plain, vectors, target, known)
-        if self.n_new > max(1 << 18, len(self.held[0])) or np.isinf(self.bound).any():
+                self._measure(at_flat // len(plain) + at, at_flat % len(plain), plain, vectors, first)
+        if self.n_new > self.dist.size // 4 or np.isinf(self.bound).any():
             self.settle()
 
-    def _measure(self, i, j, ids, plain, vectors, target, known) -> None:
+    def _precision(self, square: np.ndarray) -> tuple:
+        """The type to multiply in, and its rounding as a share of the squares: single where that is little of the k-th distances."""
+        size = self.v.shape[1] + 8
+        single, both = 5e-7 * size, np.median(self.square) + np.median(square)
+        if single * both < 2e-3 * np.median(self.bound) ** 2 < np.inf and max(self.square.max(), square.max()) < 1e30:
+            return np.float32, single
+        return np.float64, 1e-15 * size
+
+    def _measure(self, i, j, plain, vectors, first) -> None:
         """The distances of pairs of query and point, in the order of the coordinates."""
-        for at in range(0, len(i), 1 << 15):
-            a, b = i[at : at + (1 << 15)], j[at : at + (1 << 15)]
+        for at in range(0, len(i), 1 << 9):
+            a, b = i[at : at + (1 << 9)], j[at : at + (1 << 9)]
             if self.exclude_self:
                 other = self.plain[a] != plain[b]
                 a, b = a[other], b[other]
             d = self.v[a] - vectors[b]
             d *= d
-            total = np.zeros(len(a))
-            for x in range(d.shape[1]):
-                total += d[:, x]
-            dist = np.sqrt(total)
+            dist = np.sqrt(np.add.reduce(np.ascontiguousarray(d.T), axis=0))
             keep = np.isfinite(dist) & (dist <= self.bound[a])
-            a, b = a[keep], b[keep]
-            self.new.append((a.astype(np.int32), dist[keep], ids.take(pa.array(b)), target[b], known[b]))
-            self.n_new += len(a)
+            self.new.append((a[keep].astype(np.int32), dist[keep], (b[keep] + first).astype(np.int32)))
+            self.n_new += len(self.new[-1][0])
+        if self.n_new > max(SORTED, self.dist.size):
+            self.settle()
+
+    def _forget(self) -> None:
+        """Let go of the points that are among no query's best."""
+        self.settle()
+        used, place = np.unique(self.at, return_inverse=True)
+        place, used = place.reshape(self.at.shape) - (used[0] < 0), used[used >= 0]
+        self.at = place.astype(np.int32)
+        self.near, self.target, self.known = self.near.take(pa.array(used)), self.target[used], self.known[used]
 
     def settle(self) -> None:
         """Keep the k best of each query; equal distances prefer the smaller id."""
         if not self.n_new:
             return
-        of, dist, ids, target, known = zip(self.held, *self.new)
-        of, dist, target, known = (np.concatenate(x) for x in (of, dist, target, known))
-        ids = pa.concat_arrays(ids)
-        order = np.argsort(dist, kind="stable")
-        order = order[np.argsort(of[order], kind="stable")]
-        o, d = of[order], dist[order]
-        if ((o[1:] == o[:-1]) & (d[1:] == d[:-1])).any():
-            place = np.empty(len(ids), np.int64)
-            place[pc.sort_indices(ids, null_placement="at_start").to_numpy()] = np.arange(len(ids))
-            order = np.lexsort((place, dist, of))
-            o = of[order]
-        first = np.searchsorted(o, np.arange(len(self.plain) + 1))
-        order = order[np.arange(len(o)) - first[o] < self.k]
-        self.held = of[order], dist[order], ids.take(pa.array(order)), target[order], known[order]
+        of, dist, at = (np.concatenate(x) for x in zip(*self.new))
         self.new, self.n_new = [], 0
-        n = np.bincount(self.held[0], minlength=len(self.plain))
-        full = n == self.k
-        self.bound[full] = self.held[1][np.cumsum(n)[full] - 1]
+        order = np.argsort(of, kind="stable")
+        of, dist, at = of[order], dist[order], at[order]
+        ends = np.searchsorted(of, np.arange(len(self.plain) + 1))
+        most, lo = np.diff(ends), 0
+        while lo < len(most):
+            hi = lo + 1
+            widest = self.k + most[lo]
+            while hi < len(most) and (hi + 1 - lo) * max(widest, self.k + most[hi]) <= SORTED:
+                widest, hi = max(widest, self.k + most[hi]), hi + 1
+            some = slice(ends[lo], ends[hi])
+            self._best(lo, hi, int(widest), of[some] - lo, np.arange(ends[lo], ends[hi]) - ends[of[some]], dist[some], at[some])
+            lo = hi
+
+    def _best(self, lo: int, hi: int, width: int, row, column, dist, at) -> None:
+        k = self.k
+        d, p = np.full((hi - lo, width), np.inf), np.full((hi - lo, width), -1, np.int32)
+        d[:, :k], p[:, :k] = self.dist[lo:hi], self.at[lo:hi]
+        d[row, column + k], p[row, column + k] = dist, at
+        last = np.partition(d, k - 1, axis=1)[:, k - 1]
+        keep, level = d < last[:, None], (d == last[:, None]) & np.isfinite(last)[:, None]
+        left = k - keep.sum(1)
+        crowded = level.sum(1) > left
+        keep |= level & ~crowded[:, None]
+        if crowded.any():
+            i, j = np.nonzero(level & crowded[:, None])
+            i, j, rank = self._by_id(i, j, p[i, j])
+            first = rank < left[i]
+            keep[i[first], j[first]] = True
+        i, j = np.nonzero(keep)
+        place = np.arange(len(i)) - np.searchsorted(i, i)
+        self.dist[lo:hi], self.at[lo:hi] = np.inf, -1
+        self.dist[lo + i, place], self.at[lo + i, place] = d[i, j], p[i, j]
+        self.bound[lo:hi] = last
+
+    def _by_id(self, i, j, at) -> tuple:
+        """Places (i, j) of the points in the order of i and the id, with their rank in i."""
+        used, inverse = np.unique(at, return_inverse=True)
+        rank = np.empty(len(used), np.int64)
+        rank[pc.sort_indices(self.near.take(pa.array(used)), null_placement="at_start").to_numpy()] = np.arange(len(used))
+        order = np.lexsort((rank[inverse], i))
+        i, j = i[order], j[order]
+        return i, j, np.arange(len(i)) - np.searchsorted(i, i)
 
     def result(self, schema: pa.Schema, rows: int = 1024) -> Iterator[pa.RecordBatch]:
         self.settle()
-        of, dist, ids, target, known = self.held
-        ends = np.searchsorted(of, np.arange(len(self.plain) + 1))
         kind = schema.field("_b").type.value_type
-        for at in range(0, len(self.plain), rows):
-            to = min(at + rows, len(self.plain))
-            lo, hi = ends[at], ends[to]
+        for lo in range(0, len(self.plain), rows):
+            dist, at = self.dist[lo : lo + rows], self.at[lo : lo + rows]
+            order = np.argsort(dist, axis=1, kind="stable")
+            dist, at = np.take_along_axis(dist, order, 1), np.take_along_axis(at, order, 1)
+            n = np.isfinite(dist).sum(1)
+            level = ((dist[:, 1:] == dist[:, :-1]) & np.isfinite(dist[:, 1:])).any(1)
+            if level.any():
+                # equal distances: by id within the rows that have some
+                i, j = np.nonzero(np.isfinite(dist) & level[:, None])
+                i, j, rank = self._by_id(i, j, at[i, j])
+                d, p = dist[i, j], at[i, j]
+                order = np.lexsort((rank, d, i))
+                place = np.arange(len(i)) - np.searchsorted(i, i)
+                dist[i, place], at[i, place] = d[order], p[order]
+            full = np.isfinite(dist)
+            at, ends = at[full], np.append(0, np.cumsum(n))
             near = pa.StructArray.from_arrays(
-                [pa.array(dist[lo:hi]), ids.slice(lo, hi - lo), pa.array(target[lo:hi], mask=~known[lo:hi])], fields=list(kind)
+                [pa.array(dist[full]), self.near.take(pa.array(at)), pa.array(self.target[at], mask=~self.known[at])], fields=list(kind)
             )
-            lists = pa.ListArray.from_arrays(pa.array(ends[at : to + 1] - lo, pa.int32()), near, type=schema.field("_b").type)
-            out = pa.RecordBatch.from_arrays([self.ids.slice(at, to - at), lists], schema=schema)
-            yield out.filter(pa.array(np.diff(ends[at : to + 1]) > 0))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), near, type=schema.field("_b").type)
+            yield pa.RecordBatch.from_arrays([self.ids.slice(lo, rows), lists], schema=schema).filter(pa.array(n > 0))
 
 
 def _nearest(k: int, exclude_self: bool):
-    """Over rows sorted by block, queries first: each query with its k nearest points."""
+    """Over pairs of a block and a pack: each query of the block with its k nearest points."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, name, waiting, schema = None, None, [], None
-        for whole in batches:
+        blocks: dict[int, _Block] = {}
+        waiting: dict[int, list] = {}
+        schema = None
+
+        def meet(name: int) -> None:
+            ids, v, y = zip(*waiting.pop(name))
+            blocks[name].meet(pa.concat_arrays(ids), np.concatenate(v), pa.concat_arrays(y))
+
+        for batch in batches:
             if schema is None:
-                id_type = whole.schema.field("_id").type
+                id_type = batch.schema.field("_id").type.value_type
                 near = pa.struct([("dist", pa.float64()), ("near_id", id_type), ("target", pa.float64())])
                 schema = pa.schema([("_id", id_type), ("_b", pa.list_(near))])
-            for batch in _stretches(whole):
-                here, kind = batch.column("_block")[0].as_py(), batch.column("_kind")[0].as_py()
-                if here != name:
-                    if block:
-                        yield from block.result(schema)
-                    block, name, waiting = None, here, []
-                if kind == 0:
-                    waiting.append((batch.column("_id"), _vectors(batch)))
-                    continue
-                if block is None:
-                    if not waiting:
-                        continue
-                    ids, v = zip(*waiting)
-                    block, waiting = _Block(pa.concat_arrays(ids), np.concatenate(v), k, exclude_self), []
-                block.meet(batch.column("_id"), _vectors(batch), batch.column("_y"))
-        if block:
-            yield from block.result(schema)
+            for row in range(len(batch)):
+                name, at = batch.column("_block")[row].as_py(), {x: batch.column(x)[row] for x in ("_q", "_qv", "_id", "_v", "_y")}
+                if name not in blocks:
+                    # a copy, as the batch goes
+                    q = pa.concat_arrays([at["_q"].values, at["_q"].values.slice(0, 0)])
+                    blocks[name] = _Block(q, _unpacked(at["_qv"], len(q)).copy(), k, exclude_self)
+                ids = at["_id"].values
+                waiting.setdefault(name, []).append((ids, _unpacked(at["_v"], len(ids)), at["_y"].values))
+                if sum(x[1].size for x in waiting[name]) >= MET:
+                    meet(name)
+        for name in list(blocks):
+            if name in waiting:
+                meet(name)
+            yield from blocks.pop(name).result(schema)
 
     return run
 
 
-def _stretches(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The runs of one block and kind in a batch."""
-    if not len(batch):
+def _unpacked(v: pa.Scalar, n: int) -> np.ndarray:
+    return np.frombuffer(v.as_buffer()).reshape(n, -1)
+
+
+def _query_pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each block of a partition: its queries and the cells that any of them reaches."""
+    whole = [b for b in batches if len(b)]
+    if not whole:
         return
-    name, kind = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("_block", "_kind"))
-    cuts = np.flatnonzero((name[1:] != name[:-1]) | (kind[1:] != kind[:-1])) + 1
-    for lo, hi in zip([0, *cuts], [*cuts, len(batch)]):
-        yield batch.slice(lo, hi - lo)
+    table = pa.Table.from_batches(whole)
+    for name in pc.unique(table.column("_block")):
+        part = table.filter(pc.equal(table.column("_block"), name)).combine_chunks().to_batches()[0]
+        cells = pc.unique(part.column("_cells").flatten())
+        yield _row({"_block": pa.array([name.as_py()], pa.int32()), "_cells": cells, "_q": part.column("_id"), "_qv": pa.array([_vectors(part).tobytes()], pa.binary())})
+
+
+def _row(columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    """One row; but for single values and packed vectors, an array becomes a list."""
+    one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+    single = ("_block", "_qv", "_v")
+    return pa.RecordBatch.from_arrays([x if k in single else one(x) for k, x in columns.items()], names=list(columns))
+
+
+def _point_packs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Points sorted by cell in packs, with the size and radii of each cell in a pack."""
+    waiting: list[pa.RecordBatch] = []
+    held = 0
+
+    def pack() -> pa.RecordBatch:
+        part = pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+        cell, r = (part.column(x).to_numpy(zero_copy_only=False) for x in ("_cell", "_r"))
+        first = np.append(np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]), len(cell))
+        rows = [{"cell": int(cell[lo]), "n": int(hi - lo), "lo": float(np.fmin.reduce(r[lo:hi])), "hi": float(r[lo:hi].max())} for lo, hi in zip(first, first[1:])]
+        kind = pa.struct([("cell", pa.int32()), ("n", pa.int64()), ("lo", pa.float64()), ("hi", pa.float64())])
+        return _row({"_info": pa.array(rows, kind), "_id": part.column("_id"), "_v": pa.array([_vectors(part).tobytes()], pa.binary()), "_y": part.column("_y")})
+
+    for batch in batches:
+        cell = batch.column("_cell").to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1), len(cell)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if waiting and held >= PACK // 4 and waiting[-1].column("_cell")[-1].as_py() != cell[lo]:
+                yield pack()
+                waiting, held = [], 0
+            while lo < hi:
+                to = min(hi, lo + PACK - held)
+                waiting.append(batch.slice(lo, to - lo))
+                held, lo = held + to - lo, to
+                if held >= PACK:
+                    yield pack()
+                    waiting, held = [], 0
+    if waiting:
+        yield pack()
 
 
 def knn_mean(
@@ -213,10 +323,15 @@ def knn_mean(
         pivots = min(4096, max(16, int(points.count() ** 0.5)))
     piv = choose_pivots(points, id_col, vec, pivots)
     near = F.array_position(F.col("_d"), F.array_min("_d")).cast("int") - 1
-    pts = _to_pivots(points.select(id_col, vec, target), vec, piv)
-    pts = cut(pts.withColumns({"_cell": near, "_r": F.array_min("_d")}).drop("_d"))
-    cells = pts.groupBy("_cell").agg(
-        F.count(F.lit(1)).alias("n"), F.max("_r").alias("hi"), F.min("_r").alias("lo")
+    id_type = dict(queries.dtypes)[id_col]
+    as_vector = c(vec).cast("array<double>").alias("_v")
+    pts = _to_pivots(points.select(id_col, vec, target), vec, piv).withColumns({"_cell": near, "_r": F.array_min("_d")})
+    pts = pts.where(F.col("_cell").isNotNull()).sortWithinPartitions("_cell")
+    pts = pts.select("_cell", "_r", c(id_col).cast(id_type).alias("_id"), as_vector, c(target).cast("double").alias("_y"))
+    info = "array<struct<cell:int,n:bigint,lo:double,hi:double>>"
+    pts = cut(pts.mapInArrow(_point_packs, f"_info {info}, _id array<{id_type}>, _v binary, _y array<double>"))
+    cells = pts.select(F.explode("_info").alias("_i")).groupBy(F.col("_i.cell").alias("_cell")).agg(
+        F.sum("_i.n").alias("n"), F.max("_i.hi").alias("hi"), F.min("_i.lo").alias("lo")
     ).collect()  # one row per pivot
     info = np.array([[r["_cell"], r["n"], r["hi"], r["lo"]] for r in cells], dtype="float64").reshape(-1, 4)
     ids, size, hi, lo = info[:, 0].astype(int), info[:, 1], info[:, 2], info[:, 3]
@@ -235,28 +350,30 @@ def knn_mean(
             out.append([int(x) for x in ids[low <= bound * (1 + 1e-9) + 1e-12]])
         return pd.Series(out)
 
-    # a block is a slice of the queries of one cell, and reads the cells that any of them reaches
+    # a block is a slice of the queries of one cell, and reads the packs with points of the cells that any of them reaches
     q = _to_pivots(queries.select(id_col, vec), vec, piv)
     q = cut(q.withColumns({"_own": near, "_cells": reachable("_d")}).drop("_d"))
     rows = max(1, min(block_rows, HELD // k))
-    slices = q.groupBy("_own").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("_n"))  # one row per pivot
+    ids_alone = q.groupBy(id_col).count().where("count > 1").isEmpty()
+    slices = q.where(F.col("_own").isNotNull()).groupBy("_own").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("_n")).collect()  # one row per pivot
+    first = np.cumsum([0, *(r["_n"] for r in slices)]).tolist()
+    starts = q.sparkSession.createDataFrame([(r["_own"], r["_n"], n) for r, n in zip(slices, first)], "_own int, _n int, _first int")
     own = F.pmod(F.xxhash64(id_col, F.monotonically_increasing_id()), F.col("_n")).cast("int")
-    q = cut(q.join(F.broadcast(slices), "_own").select(id_col, vec, "_cells", F.concat_ws("_", "_own", own).alias("_block")))
-    reach = q.select("_block", F.explode("_cells").alias("_cell")).distinct()
-    blocks = q.select("_block").distinct().count()
-    as_query = q.select("_block", F.lit(0).alias("_kind"), c(id_col).alias("_id"), c(vec).cast("array<double>").alias("_v"), F.lit(None).cast("double").alias("_y"))
-    as_point = pts.join(F.broadcast(reach), "_cell").select(
-        "_block", F.lit(1).alias("_kind"), c(id_col).alias("_id"), c(vec).cast("array<double>").alias("_v"), c(target).cast("double").alias("_y")
+    q = q.join(F.broadcast(starts), "_own").select((F.col("_first") + own).alias("_block"), "_cells", c(id_col).alias("_id"), as_vector)
+    # a block has a partition of its own
+    q = q.repartitionById(max(1, first[-1]), F.col("_block"))
+    q = cut(q.mapInArrow(_query_pack, f"_block int, _cells array<int>, _q array<{id_type}>, _qv binary"))
+    # each task reads all packs from the checkpoint, one after the other, and shuffles none
+    met = pts.coalesce(1).hint("shuffle_replicate_nl").join(q, F.arrays_overlap(F.col("_info.cell"), "_cells"))
+    hits = met.select("_block", "_q", "_qv", "_id", "_v", "_y").mapInArrow(
+        _nearest(k, exclude_self), f"_id {id_type}, _b array<struct<dist:double,near_id:{id_type},target:double>>"
     )
-    met = as_query.unionByName(as_point)
-    # several partitions a block, so that few of them hold two
-    met = met.repartition(max(1, 4 * blocks), "_block").sortWithinPartitions("_block", "_kind")
-    id_type = dict(queries.dtypes)[id_col]
-    hits = met.mapInArrow(_nearest(k, exclude_self), f"_id {id_type}, _b array<struct<dist:double,near_id:{id_type},target:double>>")
-    # rows of one id can lie in several blocks
-    best = F.slice(F.sort_array(F.flatten(F.collect_list("_b"))), 1, k)
-    return hits.groupBy(c("_id").alias(id_col)).agg(best.alias("_b")).select(
-        id_col,
+    if not ids_alone:
+        # rows of one id can lie in several blocks
+        best = F.slice(F.sort_array(F.flatten(F.collect_list("_b"))), 1, k)
+        hits = hits.groupBy("_id").agg(best.alias("_b"))
+    return hits.select(
+        c("_id").alias(id_col),
         F.size("_b").alias("n_near"),
         (F.aggregate("_b", F.lit(0.0), lambda a, e: a + e["target"]) / F.size("_b")).alias("knn_mean"),
     )

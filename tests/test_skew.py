@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -259,6 +260,64 @@ def test_knn_blocks_read_points_batch_by_batch(spark, monkeypatch, batch):
         assert got[i] == (9, None if 5 in near else pytest.approx(np.mean([data[j][2] for j in near])))
 
 
+def test_knn_shuffles_no_copies_of_points(spark):
+    rng = np.random.default_rng(21)
+    pts = rng.normal(0, 1, (300, 8))
+    df = spark.createDataFrame([(i, [float(x) for x in v], 1.0) for i, v in enumerate(pts)], "id long, vec array<double>, y double")
+    out = neighbours.knn_mean(df, df, "id", "vec", "y", k=5, pivots=4, exclude_self=True, block_rows=20)
+    # blocks read the packed points from the checkpoint, and ids that come once need no merge
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == 300
+
+
+@pytest.mark.parametrize("met", [1 << 6, 1 << 21])
+def test_knn_with_repeated_ids_and_vectors(spark, monkeypatch, met):
+    # ids that come twice with other vectors, one vector in a third of the rows, large shared offsets, a row with NaN
+    rng = np.random.default_rng(22)
+    pts = rng.normal(1000, 1, (240, 5))
+    pts[::3] = pts[0]
+    ids = [f"i{x:03d}" for x in [*range(200), *range(40)]]
+    pts[7, 2] = np.nan
+    df = spark.createDataFrame([(i, [float(x) for x in v], float(n % 11)) for n, (i, v) in enumerate(zip(ids, pts))], "id string, vec array<double>, y double")
+    monkeypatch.setattr(neighbours, "MET", met)
+    monkeypatch.setattr(neighbours, "SORTED", 500)
+    monkeypatch.setattr(neighbours, "PACK", 16)
+    got = neighbours.knn_mean(df, df, "id", "vec", "y", k=6, pivots=3, exclude_self=True, block_rows=30)
+    got = {r["id"]: (r["n_near"], r["knn_mean"]) for r in got.collect()}
+    d = np.sqrt(((pts[:, None] - pts) ** 2).sum(-1))
+    for x in set(ids) - {"i007"}:
+        # the best of all rows of the id
+        met_by = sorted((d[a, b], ids[b], b % 11) for a in range(240) if ids[a] == x for b in range(240) if ids[b] != x and np.isfinite(d[a, b]))
+        per = [sorted((d[a, b], ids[b], b % 11) for b in range(240) if ids[b] != x and np.isfinite(d[a, b]))[:6] for a in range(240) if ids[a] == x]
+        want = sorted(sum(per, []))[:6]
+        assert want == met_by[:6] and got[x][0] == 6
+        if len({w[:2] for w in sorted(sum(per, []))[:7]}) == 7:
+            assert got[x][1] == pytest.approx(np.mean([w[2] for w in want]))
+
+
+def test_knn_block_keeps_the_best_as_points_pass(monkeypatch):
+    monkeypatch.setattr(neighbours, "SORTED", 300)
+    monkeypatch.setattr(neighbours, "AT_ONCE", 1000)
+    rng = np.random.default_rng(23)
+    pts = np.round(rng.normal(0, 1, (3000, 6)), 1)
+    ids, y = pa.array(range(3000)), pa.array(rng.random(3000))
+    block = neighbours._Block(ids.slice(0, 90), pts[:90], 4, True)
+    for lo in range(0, 3000, 250):
+        block.meet(ids.slice(lo, 250), pts[lo : lo + 250], y.slice(lo, 250))
+    assert len(block.near) <= 90 * 4 + 300 + 250
+    kind = pa.schema([("_id", pa.int64()), ("_b", pa.list_(pa.struct([("dist", pa.float64()), ("near_id", pa.int64()), ("target", pa.float64())])))])
+    got = [r for b in block.result(kind, 32) for r in b.to_pylist()]
+    d = np.zeros((90, 3000))
+    for x in range(6):
+        d += (pts[:90, None, x] - pts[:, x]) ** 2
+    d = np.sqrt(d)
+    for i, r in enumerate(got):
+        d[i, i] = np.inf
+        near = np.lexsort((np.arange(3000), d[i]))[:4]
+        assert r["_id"] == i and [(e["dist"], e["near_id"]) for e in r["_b"]] == [(d[i, j], j) for j in near]
+    assert len(got) == 90
+
+
 def test_stratified_folds_are_balanced(spark):
     df = spark.range(1000).withColumn("y", (F.col("id") % 10 == 0).cast("int"))
     n = sampling.stratified_folds(df, "id", "y", 4).groupBy("y", "fold").count().collect()
