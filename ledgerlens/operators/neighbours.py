@@ -28,10 +28,10 @@ from .sampling import hash_int
 
 BLOCK_ROWS = 16_384
 # Neighbours that a block holds, distances that it works out at a time, and found neighbours that it sorts at a time.
-HELD, AT_ONCE, SORTED = 3_000_000, 1 << 21, 1 << 20
+HELD, AT_ONCE, SORTED = 3_000_000, 1 << 20, 1 << 19
 # Points of a pack; a pack with a quarter of them ends with its cell. Coordinates that a block meets at a time.
 PACK = 4096
-MET = 1 << 21
+MET = 1 << 20
 
 
 def _dist(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -132,7 +132,7 @@ class _Block:
             keep = np.isfinite(dist) & (dist <= self.bound[a])
             self.new.append((a[keep].astype(np.int32), dist[keep], (b[keep] + first).astype(np.int32)))
             self.n_new += len(self.new[-1][0])
-        if self.n_new > max(SORTED, self.dist.size):
+        if self.n_new > max(SORTED, self.dist.size // 4):
             self.settle()
 
     def _forget(self) -> None:
@@ -149,14 +149,15 @@ class _Block:
             return
         of, dist, at = (np.concatenate(x) for x in zip(*self.new))
         self.new, self.n_new = [], 0
-        order = np.argsort(of, kind="stable")
-        of, dist, at = of[order], dist[order], at[order]
+        if (of[1:] < of[:-1]).any():
+            order = np.argsort(of, kind="stable")
+            of, dist, at = of[order], dist[order], at[order]
         ends = np.searchsorted(of, np.arange(len(self.plain) + 1))
-        most, lo = np.diff(ends), 0
-        while lo < len(most):
+        most, lo, past = np.diff(ends), int(of[0]), int(of[-1]) + 1
+        while lo < past:
             hi = lo + 1
             widest = self.k + most[lo]
-            while hi < len(most) and (hi + 1 - lo) * max(widest, self.k + most[hi]) <= SORTED:
+            while hi < past and (hi + 1 - lo) * max(widest, self.k + most[hi]) <= SORTED:
                 widest, hi = max(widest, self.k + most[hi]), hi + 1
             some = slice(ends[lo], ends[hi])
             self._best(lo, hi, int(widest), of[some] - lo, np.arange(ends[lo], ends[hi]) - ends[of[some]], dist[some], at[some])
@@ -238,11 +239,11 @@ def _nearest(k: int, exclude_self: bool):
             for row in range(len(batch)):
                 name, at = batch.column("_block")[row].as_py(), {x: batch.column(x)[row] for x in ("_q", "_qv", "_id", "_v", "_y")}
                 if name not in blocks:
-                    # a copy, as the batch goes
                     q = pa.concat_arrays([at["_q"].values, at["_q"].values.slice(0, 0)])
                     blocks[name] = _Block(q, _unpacked(at["_qv"], len(q)).copy(), k, exclude_self)
-                ids = at["_id"].values
-                waiting.setdefault(name, []).append((ids, _unpacked(at["_v"], len(ids)), at["_y"].values))
+                # copies, so that a batch, which also holds the queries, can go
+                ids, y = (pa.concat_arrays([at[x].values, at[x].values.slice(0, 0)]) for x in ("_id", "_y"))
+                waiting.setdefault(name, []).append((ids, _unpacked(at["_v"], len(ids)).copy(), y))
                 if sum(x[1].size for x in waiting[name]) >= MET:
                     meet(name)
         for name in list(blocks):
