@@ -3,9 +3,8 @@
 Points are assigned to their nearest pivot. Cell sizes and radii, one row per
 pivot, bound each query's k-th distance, and the triangle inequality then names
 the cells that can hold a neighbour. Queries go to blocks of bounded size by their
-own cell; points are packed by cell. Every block meets the packs that hold points of
-its cells in one task, which reads them pack by pack from the checkpoint, so that no
-copies of points are shuffled, and keeps the k best of its queries so far. Matrix
+own cell; points are packed by cell. A block holds its queries and their k best so far
+and reads the packs of its cells one after the other. Matrix
 products rule out the points beyond a query's k-th distance, with a margin for
 rounding; the others are measured coordinate by coordinate. So a block leaves k rows
 a query, however many points it has read.
@@ -28,8 +27,8 @@ from .sampling import hash_int
 
 BLOCK_ROWS = 16_384
 # Neighbours that a block holds, distances that it works out at a time, and found neighbours that it sorts at a time.
-HELD, AT_ONCE, SORTED = 3_000_000, 1 << 20, 1 << 19
-# Points of a pack; a pack with a quarter of them ends with its cell. Coordinates that a block meets at a time.
+HELD, AT_ONCE, SORTED = 6_000_000, 1 << 20, 1 << 19
+# Points of a pack. Coordinates that a block meets at a time.
 PACK = 4096
 MET = 1 << 20
 
@@ -220,7 +219,7 @@ class _Block:
 
 
 def _nearest(k: int, exclude_self: bool):
-    """Over pairs of a block and a pack: each query of the block with its k nearest points."""
+    """Over blocks and packs of points, a block before its packs: each query of the block with its k nearest points."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks: dict[int, _Block] = {}
@@ -238,10 +237,11 @@ def _nearest(k: int, exclude_self: bool):
                 schema = pa.schema([("_id", id_type), ("_b", pa.list_(near))])
             for row in range(len(batch)):
                 name, at = batch.column("_block")[row].as_py(), {x: batch.column(x)[row] for x in ("_q", "_qv", "_id", "_v", "_y")}
-                if name not in blocks:
+                if at["_qv"].is_valid:
                     q = pa.concat_arrays([at["_q"].values, at["_q"].values.slice(0, 0)])
                     blocks[name] = _Block(q, _unpacked(at["_qv"], len(q)).copy(), k, exclude_self)
-                # copies, so that a batch, which also holds the queries, can go
+                    continue
+                # copies, so that a batch can go
                 ids, y = (pa.concat_arrays([at[x].values, at[x].values.slice(0, 0)]) for x in ("_id", "_y"))
                 waiting.setdefault(name, []).append((ids, _unpacked(at["_v"], len(ids)).copy(), y))
                 if sum(x[1].size for x in waiting[name]) >= MET:
@@ -273,28 +273,30 @@ def _query_pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _row(columns: dict[str, pa.Array]) -> pa.RecordBatch:
     """One row; but for single values and packed vectors, an array becomes a list."""
     one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-    single = ("_block", "_qv", "_v")
+    single = ("_block", "_qv", "_v", "_cell", "n", "lo", "hi")
     return pa.RecordBatch.from_arrays([x if k in single else one(x) for k, x in columns.items()], names=list(columns))
 
 
 def _point_packs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Points sorted by cell in packs, with the size and radii of each cell in a pack."""
+    """Points sorted by cell in packs of one cell, with their number and least and greatest distance from the pivot."""
     waiting: list[pa.RecordBatch] = []
     held = 0
 
     def pack() -> pa.RecordBatch:
         part = pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
         cell, r = (part.column(x).to_numpy(zero_copy_only=False) for x in ("_cell", "_r"))
-        first = np.append(np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]), len(cell))
-        rows = [{"cell": int(cell[lo]), "n": int(hi - lo), "lo": float(np.fmin.reduce(r[lo:hi])), "hi": float(r[lo:hi].max())} for lo, hi in zip(first, first[1:])]
-        kind = pa.struct([("cell", pa.int32()), ("n", pa.int64()), ("lo", pa.float64()), ("hi", pa.float64())])
-        return _row({"_info": pa.array(rows, kind), "_id": part.column("_id"), "_v": pa.array([_vectors(part).tobytes()], pa.binary()), "_y": part.column("_y")})
+        return _row(
+            {
+                "_cell": pa.array(cell[:1], pa.int32()), "n": pa.array([len(r)], pa.int64()), "lo": pa.array([np.fmin.reduce(r)]), "hi": pa.array([r.max()]),
+                "_id": part.column("_id"), "_v": pa.array([_vectors(part).tobytes()], pa.binary()), "_y": part.column("_y"),
+            }
+        )
 
     for batch in batches:
         cell = batch.column("_cell").to_numpy(zero_copy_only=False)
         cuts = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1), len(cell)]
         for lo, hi in zip(cuts, cuts[1:]):
-            if waiting and held >= PACK // 4 and waiting[-1].column("_cell")[-1].as_py() != cell[lo]:
+            if waiting and waiting[-1].column("_cell")[-1].as_py() != cell[lo]:
                 yield pack()
                 waiting, held = [], 0
             while lo < hi:
@@ -329,11 +331,8 @@ def knn_mean(
     pts = _to_pivots(points.select(id_col, vec, target), vec, piv).withColumns({"_cell": near, "_r": F.array_min("_d")})
     pts = pts.where(F.col("_cell").isNotNull()).sortWithinPartitions("_cell")
     pts = pts.select("_cell", "_r", c(id_col).cast(id_type).alias("_id"), as_vector, c(target).cast("double").alias("_y"))
-    info = "array<struct<cell:int,n:bigint,lo:double,hi:double>>"
-    pts = cut(pts.mapInArrow(_point_packs, f"_info {info}, _id array<{id_type}>, _v binary, _y array<double>"))
-    cells = pts.select(F.explode("_info").alias("_i")).groupBy(F.col("_i.cell").alias("_cell")).agg(
-        F.sum("_i.n").alias("n"), F.max("_i.hi").alias("hi"), F.min("_i.lo").alias("lo")
-    ).collect()  # one row per pivot
+    pts = cut(pts.mapInArrow(_point_packs, f"_cell int, n long, lo double, hi double, _id array<{id_type}>, _v binary, _y array<double>"))
+    cells = pts.groupBy("_cell").agg(F.sum("n").alias("n"), F.max("hi").alias("hi"), F.min("lo").alias("lo")).collect()  # one row per pivot
     info = np.array([[r["_cell"], r["n"], r["hi"], r["lo"]] for r in cells], dtype="float64").reshape(-1, 4)
     ids, size, hi, lo = info[:, 0].astype(int), info[:, 1], info[:, 2], info[:, 3]
     need = k + (1 if exclude_self else 0)
@@ -361,11 +360,14 @@ def knn_mean(
     starts = q.sparkSession.createDataFrame([(r["_own"], r["_n"], n) for r, n in zip(slices, first)], "_own int, _n int, _first int")
     own = F.pmod(F.xxhash64(id_col, F.monotonically_increasing_id()), F.col("_n")).cast("int")
     q = q.join(F.broadcast(starts), "_own").select((F.col("_first") + own).alias("_block"), "_cells", c(id_col).alias("_id"), as_vector)
-    # a block has a partition of its own
+    # a block has a partition of its own, here and where it meets its points
     q = q.repartitionById(max(1, first[-1]), F.col("_block"))
     q = cut(q.mapInArrow(_query_pack, f"_block int, _cells array<int>, _q array<{id_type}>, _qv binary"))
-    # each task reads all packs from the checkpoint, one after the other, and shuffles none
-    met = pts.coalesce(1).hint("shuffle_replicate_nl").join(q, F.arrays_overlap(F.col("_info.cell"), "_cells"))
+    reach = q.select("_block", F.explode("_cells").alias("_cell"))
+    as_query = q.select("_block", F.lit(0).alias("_kind"), "_q", "_qv")
+    as_point = pts.join(F.broadcast(reach), "_cell").select("_block", F.lit(1).alias("_kind"), "_id", "_v", "_y")
+    met = as_query.unionByName(as_point, allowMissingColumns=True)
+    met = met.repartitionById(max(1, first[-1]), F.col("_block")).sortWithinPartitions("_block", "_kind")
     hits = met.select("_block", "_q", "_qv", "_id", "_v", "_y").mapInArrow(
         _nearest(k, exclude_self), f"_id {id_type}, _b array<struct<dist:double,near_id:{id_type},target:double>>"
     )
